@@ -12,9 +12,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from dinelens.operators import adhoc, explorer, insights, marts, revenue, reviews
+from dinelens.operators import adhoc, explorer, insights, revenue, reviews
 from dinelens.operators.paging import page_params
 from dinelens.operators.scoring import RecordedReplies
 from dinelens.plans.warehouse import Warehouse
@@ -327,9 +326,9 @@ def queries() -> dict[str, Callable]:
     """Callables ``(spark, sf_dir) -> DataFrame`` for the driver."""
 
     def bind(fn: Query):
-        return lambda spark, sf_dir: fn(Warehouse.from_dir(spark, sf_dir))
+        return lambda spark, sf_dir: fn(Warehouse.shared(spark, sf_dir))
 
     return {name: bind(fn) for name, fn in REGISTRY.items()}
 
 
-__all__ = ["REGISTRY", "queries", "F", "marts"]
+__all__ = ["REGISTRY", "queries"]

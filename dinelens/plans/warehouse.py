@@ -24,6 +24,11 @@ from dinelens.sources.driver import BaseTables
 
 
 class Warehouse:
+    # Open warehouses per (session, directory). Only the lazy DataFrame
+    # handles are kept (analysed plans and file listings), never results:
+    # every query still runs its whole plan against the files.
+    _open: dict[tuple[int, str], "Warehouse"] = {}
+
     def __init__(self, spark: SparkSession, base: BaseTables):
         self.spark = spark
         self.base = base
@@ -32,6 +37,19 @@ class Warehouse:
     def from_dir(cls, spark: SparkSession, sf_dir: str) -> "Warehouse":
         return cls(spark, BaseTables(spark, sf_dir))
 
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str) -> "Warehouse":
+        """The open warehouse of ``sf_dir`` in this session (built once).
+
+        For read-only inputs, like a dashboard service that keeps its
+        table handles; use ``from_dir`` to see new files.
+        """
+        key = (id(spark), sf_dir.rstrip("/"))
+        w = cls._open.get(key)
+        if w is None or w.spark is not spark:
+            w = cls._open[key] = cls.from_dir(spark, sf_dir)
+        return w
+
     # bronze ---------------------------------------------------------------
     @cached_property
     def raw_restaurants(self) -> DataFrame:

@@ -20,11 +20,13 @@ CSV_NULL = ""
 
 def ingest_csv(spark: SparkSession, path: str, schema: T.StructType, null_value: str = CSV_NULL) -> DataFrame:
     """A1: read a CSV file (or directory) with a header and a fixed schema;
-    empty fields become NULL."""
+    empty fields become NULL, padding blanks are kept (as pandas does)."""
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("nullValue", null_value)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("mode", "FAILFAST")
         .csv(path)
     )
