@@ -49,15 +49,12 @@ def _commented(reviews: DataFrame) -> DataFrame:
     )
 
 
-def review_volume(
-    restaurants: DataFrame,
-    reviews: DataFrame,
-    min_reviews: int = MIN_REVIEWS,
-    top_n: int | None = TOP_N_RESTAURANTS,
+def qualifying_restaurants(
+    restaurants: DataFrame, reviews: DataFrame, min_reviews: int = MIN_REVIEWS
 ) -> DataFrame:
-    """Restaurants with at least ``min_reviews`` non-blank comments,
-    most reviewed first (ties by id), at most ``top_n`` (None = all).
-    Ids are matched as text on both sides."""
+    """Restaurants with at least ``min_reviews`` non-blank comments and their
+    count (unordered). Comments are counted per restaurant id first, so the
+    join only sees one row per reviewed restaurant."""
     per_rid = _commented(reviews).groupBy("rid").agg(F.count("comment").alias("n"))
     s = restaurants.select(
         "restaurant_id",
@@ -65,12 +62,25 @@ def review_volume(
         "city",
         F.col("restaurant_id").cast("string").alias("rid"),
     )
-    out = (
+    return (
         s.join(per_rid, "rid")
         .groupBy("restaurant_id", "restaurant_name", "city")
         .agg(F.sum("n").alias("review_count"))
         .filter(F.col("review_count") >= F.lit(min_reviews))
-        .orderBy(F.col("review_count").desc(), F.col("restaurant_id").asc_nulls_last())
+    )
+
+
+def review_volume(
+    restaurants: DataFrame,
+    reviews: DataFrame,
+    min_reviews: int = MIN_REVIEWS,
+    top_n: int | None = TOP_N_RESTAURANTS,
+) -> DataFrame:
+    """Restaurants with at least ``min_reviews`` non-blank comments,
+    most reviewed first (ties by id), at most ``top_n`` (None = all).
+    Ids are matched as text on both sides."""
+    out = qualifying_restaurants(restaurants, reviews, min_reviews).orderBy(
+        F.col("review_count").desc(), F.col("restaurant_id").asc_nulls_last()
     )
     return out.limit(top_n) if top_n else out
 
@@ -166,7 +176,11 @@ def insights_build(
 
     ``review_count`` is the number of comments sent (<= ``cap``).
     """
-    cands = pending_restaurants(review_volume(restaurants, reviews, min_reviews, top_n), done)
+    if top_n:
+        chosen = review_volume(restaurants, reviews, min_reviews, top_n)
+    else:  # every qualifying restaurant: no ordering needed
+        chosen = qualifying_restaurants(restaurants, reviews, min_reviews)
+    cands = pending_restaurants(chosen, done)
     cands = cands.select(
         F.col("restaurant_id").cast("string").alias("restaurant_id"), "restaurant_name", "city"
     )
@@ -175,9 +189,7 @@ def insights_build(
         "prompt", insight_prompt("restaurant_name", "n_reviews", "numbered_reviews")
     )
     scored = scorer.score(req, "restaurant_id", "prompt")
-    rows = req.select("restaurant_id", "restaurant_name", "city", "n_reviews").join(
-        scored, "restaurant_id", "left"
-    )
+    rows = scored.select("restaurant_id", "restaurant_name", "city", "n_reviews", "response")
     parsed = parse_insight_reply(rows)
     return parsed.select(
         "restaurant_id",

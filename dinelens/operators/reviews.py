@@ -84,8 +84,7 @@ def enrich_reviews(
     sentiment, topics, summary`` (failed replies have ``ok = false``)."""
     cand = enrich_candidates(raw, done, batch_size)
     scored = scorer.score(cand, "review_id", "text")
-    joined = cand.join(scored, "review_id", "left")
-    parsed = parse_review_reply(joined)
+    parsed = parse_review_reply(scored)
     return parsed.select(
         "review_id",
         F.col("text").alias("original_text"),

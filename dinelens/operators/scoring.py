@@ -2,10 +2,14 @@
 
 The reference sends each review (or each restaurant's review bundle) to a
 hosted language model. Here a scorer is any object with
-``score(requests, key, text) -> DataFrame[key, response]``; a NULL
-response means "no reply" and is reported as a failure.
-
-* ``RecordedReplies`` joins replies recorded earlier (tests, replays).
+``score(requests, key, text) -> requests + response``: it adds a string
+column ``response`` to the request rows (NULL = no reply, reported as a
+failure). Adding the column in place, instead of returning a separate
+``(key, response)`` frame, means the request rows (which carry the review
+texts) are never joined back to their replies.
+
+* ``RecordedReplies`` left-joins replies recorded earlier (tests, replays);
+  the request side streams and the reply table is the build side.
 * ``BatchScorer`` calls a Python function on Arrow batches through
   ``mapInPandas``; the function gets a pandas Series of texts and returns
   a Series of replies, so a client can batch, rate-limit and retry there.
@@ -37,10 +41,8 @@ class RecordedReplies(Scorer):
         replies = self.replies.select(
             F.col(key).alias("_reply_key"), F.col(self.response_col).alias("response")
         )
-        joined = requests.select(key).join(
-            replies, requests[key] == replies["_reply_key"], "left"
-        )
-        return joined.select(key, "response")
+        joined = requests.join(replies, requests[key] == replies["_reply_key"], "left")
+        return joined.drop("_reply_key")
 
 
 class BatchScorer(Scorer):
@@ -56,14 +58,13 @@ class BatchScorer(Scorer):
 
     def score(self, requests: DataFrame, key: str, text: str) -> DataFrame:
         fn = self.fn
-        key_type = requests.schema[key].dataType
         schema = T.StructType(
-            [T.StructField(key, key_type), T.StructField("response", T.StringType())]
+            requests.schema.fields + [T.StructField("response", T.StringType())]
         )
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 replies = pd.Series(fn(pdf[text].astype(object)), index=pdf.index)
-                yield pd.DataFrame({key: pdf[key], "response": replies.astype(object)})
+                yield pdf.assign(response=replies.astype(object))
 
-        return requests.select(key, text).mapInPandas(run, schema)
+        return requests.mapInPandas(run, schema)

@@ -234,7 +234,8 @@ cte(
     "sample30",
     ["commented"],
     """SELECT rid AS restaurant_id, rn, review_id, comment FROM (
- SELECT rid, review_id, comment, row_number() OVER (PARTITION BY rid ORDER BY review_id) AS rn FROM commented) s
+ SELECT rid, review_id, comment, CAST(row_number() OVER (PARTITION BY rid ORDER BY review_id) AS INTEGER) AS rn
+ FROM commented) s
 WHERE rn <= 30""",
 )
 

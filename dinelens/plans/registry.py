@@ -276,7 +276,7 @@ _add(
 
 
 def _pending(w: Warehouse) -> DataFrame:
-    vol = insights.review_volume(w.stg_restaurants, _raw_reviews(w), 5, None)
+    vol = insights.qualifying_restaurants(w.stg_restaurants, _raw_reviews(w), 5)
     first_run = insights.insights_build(
         w.stg_restaurants, _raw_reviews(w), RecordedReplies(w.insight_responses), top_n=10
     )

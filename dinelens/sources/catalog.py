@@ -34,7 +34,7 @@ def ingest_csv(spark: SparkSession, path: str, schema: T.StructType, null_value:
 
 def scan(spark: SparkSession, path_or_table: str) -> DataFrame:
     """A2: a table by catalog name, or a Parquet directory by path."""
-    if os.sep in path_or_table or path_or_table.startswith(("file:", "s3", "hdfs:", "gs:", "abfs")):
+    if _is_path(path_or_table):
         return spark.read.parquet(path_or_table)
     return spark.table(path_or_table)
 
@@ -64,8 +64,28 @@ def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(schema).parquet(path)
 
 
-def append_new(rows: DataFrame, path: str, key: str | list[str]) -> int:
-    """A5: append the rows whose key is not yet in the table at ``path``.
+def ensure_database(spark: SparkSession, name: str) -> None:
+    """``CREATE DATABASE IF NOT EXISTS`` (the reference's schemas)."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+
+
+def ensure_catalog_table(
+    spark: SparkSession, name: str, schema: T.StructType, path: str | None = None
+) -> DataFrame:
+    """A4 for catalog tables: ``CREATE TABLE IF NOT EXISTS name (...) USING
+    parquet`` (external at ``path`` when given)."""
+    if not spark.catalog.tableExists(name):
+        spark.catalog.createTable(name, path=path, source="parquet", schema=schema)
+    return spark.table(name)
+
+
+def _is_path(target: str) -> bool:
+    return os.sep in target or target.startswith(("file:", "s3", "hdfs:", "gs:", "abfs"))
+
+
+def append_new(rows: DataFrame, target: str, key: str | list[str]) -> int:
+    """A5: append the rows whose key is not yet in ``target`` (a Parquet path
+    or a catalog table name).
 
     Rows are de-duplicated on the key, then anti-joined against the
     table, so appending the same rows twice adds them once (the PRIMARY KEY
@@ -74,15 +94,23 @@ def append_new(rows: DataFrame, path: str, key: str | list[str]) -> int:
     """
     keys = [key] if isinstance(key, str) else list(key)
     spark = rows.sparkSession
-    target = spark.read.schema(rows.schema).parquet(path) if _exists(spark, path) else None
+    if _is_path(target):
+        existing = spark.read.schema(rows.schema).parquet(target) if _exists(spark, target) else None
+    else:
+        existing = spark.table(target) if spark.catalog.tableExists(target) else None
     new = rows.dropDuplicates(keys)
-    if target is not None:
-        new = new.join(target.select(*keys), keys, "left_anti")
+    if existing is not None:
+        new = new.join(existing.select(*keys), keys, "left_anti")
     new = new.select(*rows.columns).persist()
     try:
         n = new.count()
         if n:
-            new.write.mode("append").parquet(path)
+            if _is_path(target):
+                new.write.mode("append").parquet(target)
+            elif existing is not None:
+                new.select(*existing.columns).write.insertInto(target)
+            else:
+                new.write.format("parquet").saveAsTable(target)
     finally:
         new.unpersist()
     return n
@@ -106,7 +134,7 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def enriched_or_raw(spark: SparkSession, enriched: str, raw: DataFrame) -> tuple[str, DataFrame]:
     """``("enriched", table)`` when the enriched table exists (catalog
     name or Parquet path), else ``("raw", raw)``."""
-    if os.sep in enriched:
+    if _is_path(enriched):
         if _exists(spark, enriched):
             return "enriched", spark.read.parquet(enriched)
     elif spark.catalog.tableExists(enriched):

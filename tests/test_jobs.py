@@ -59,6 +59,23 @@ def test_ensure_and_append_new_is_idempotent(spark, scratch):  # A4, A5
     assert spark.read.parquet(path).count() == 2
 
 
+def test_catalog_table_append(spark, scratch):  # A4, A5 on catalog tables
+    catalog.ensure_database(spark, "gold")
+    name = "gold.gold_review_sentiments_t"
+    t = catalog.ensure_catalog_table(spark, name, schemas.GOLD_REVIEW_SENTIMENTS, os.path.join(scratch, "t"))
+    assert t.count() == 0
+    rows = spark.createDataFrame(
+        [(1, "a", "Positive", "x", "s", None), (2, "b", "Neutral", "y", "t", None)],
+        schemas.GOLD_REVIEW_SENTIMENTS,
+    )
+    assert catalog.append_new(rows, name, "review_id") == 2
+    assert catalog.append_new(rows, name, "review_id") == 0
+    assert spark.table(name).count() == 2
+    src, df = catalog.enriched_or_raw(spark, name, rows)
+    assert src == "enriched" and df.count() == 2
+    spark.sql(f"DROP TABLE {name}")
+
+
 def test_enriched_or_raw(spark, wh_small, scratch):  # A8, E3
     src, df = catalog.enriched_or_raw(spark, os.path.join(scratch, "nope"), wh_small.raw_reviews())
     assert src == "raw"
