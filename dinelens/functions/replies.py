@@ -6,6 +6,11 @@ fences and preceded by ``<think>...</think>`` text. Parsing happens with
 is also the success test) and ``from_json`` with a fixed schema, so that a
 key that is present with a null value stays NULL while a missing key takes
 its default.
+
+Callers compute the cleaned text, then the key list and parsed struct, in
+separate projections (see ``operators.reviews.parse_review_reply``), so
+the regex clean-up and the JSON parse run once per reply rather than once
+per output field.
 """
 
 from __future__ import annotations
@@ -51,59 +56,64 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _drop_fences_and_think(c: Column) -> Column:
-    out = F.replace(c, F.lit(FENCE_OPEN), F.lit(""))
+def strip_reply(c: str | Column) -> Column:
+    """Remove markdown fences and ``<think>`` blocks, then outer white space."""
+    out = F.replace(_c(c), F.lit(FENCE_OPEN), F.lit(""))
     out = F.replace(out, F.lit(FENCE), F.lit(""))
     out = strip_ws(out)
     return strip_ws(F.regexp_replace(out, F.lit(THINK_BLOCK), F.lit("")))
 
 
-def clean_review_reply(c: str | Column) -> Column:
-    """Reply text of one review, reduced to the JSON object text.
+def review_object(stripped: str | Column) -> Column:
+    """A stripped review reply if it is the object alone (``{`` first,
+    ``}`` last, as a strict ``json.loads`` wants), else NULL."""
+    s = _c(stripped)
+    return F.when(s.rlike(r"(?s)^\{.*\}$"), s)
+
 
-    The text must be the object alone (``{`` first, ``}`` last), as for a
-    strict ``json.loads``.
-    """
-    cleaned = _drop_fences_and_think(_c(c))
-    whole_object = cleaned.rlike(r"(?s)^\{.*\}$")
-    return F.when(whole_object, cleaned)
+def insight_object(stripped: str | Column) -> Column:
+    """The outermost ``{...}`` of a stripped restaurant reply (the whole
+    text when it has none)."""
+    s = _c(stripped)
+    obj = F.regexp_extract(s, OUTER_OBJECT, 0)
+    return F.when(obj == F.lit(""), s).otherwise(obj)
+
+
+def clean_review_reply(c: str | Column) -> Column:
+    """One-expression form of ``review_object(strip_reply(c))``."""
+    return review_object(strip_reply(c))
 
 
 def clean_insight_reply(c: str | Column) -> Column:
-    """Reply text of one restaurant: outermost ``{...}`` after clean-up."""
-    cleaned = _drop_fences_and_think(_c(c))
-    obj = F.regexp_extract(cleaned, OUTER_OBJECT, 0)
-    return F.when(obj == F.lit(""), cleaned).otherwise(obj)
+    """One-expression form of ``insight_object(strip_reply(c))``."""
+    return insight_object(strip_reply(c))
 
 
 def _field(keys: Column, parsed: Column, name: str, default: Column) -> Column:
     return F.when(F.array_contains(keys, F.lit(name)), parsed[name]).otherwise(default)
 
 
-def review_fields(clean: str | Column) -> dict[str, Column]:
-    """``ok``, ``sentiment``, ``topics``, ``summary`` of a cleaned reply."""
-    text = _c(clean)
-    keys = F.json_object_keys(text)
-    parsed = F.from_json(text, REVIEW_REPLY_SCHEMA)
-    out = {"ok": keys.isNotNull()}
+def review_fields(keys: str | Column, parsed: str | Column) -> dict[str, Column]:
+    """``ok``, ``sentiment``, ``topics``, ``summary`` from the object's key
+    list (``json_object_keys``) and its parsed struct (``REVIEW_REPLY_SCHEMA``)."""
+    k, p = _c(keys), _c(parsed)
+    out = {"ok": k.isNotNull()}
     for name, default in REVIEW_DEFAULTS.items():
-        out[name] = _field(keys, parsed, name, F.lit(default))
+        out[name] = _field(k, p, name, F.lit(default))
     return out
 
 
-def insight_fields(clean: str | Column) -> dict[str, Column]:
-    """Fields of a cleaned restaurant reply; counts default to 0, theme
-    lists keep their first four entries joined with ``", "``."""
-    text = _c(clean)
-    keys = F.json_object_keys(text)
-    parsed = F.from_json(text, INSIGHT_REPLY_SCHEMA)
-    out = {"ok": keys.isNotNull()}
+def insight_fields(keys: str | Column, parsed: str | Column) -> dict[str, Column]:
+    """Fields of a restaurant reply (``INSIGHT_REPLY_SCHEMA``); counts default
+    to 0, theme lists keep their first four entries joined with ``", "``."""
+    k, p = _c(keys), _c(parsed)
+    out = {"ok": k.isNotNull()}
     for name in ("positive_count", "negative_count", "neutral_count"):
-        out[name] = _field(keys, parsed, name, F.lit(0))
+        out[name] = _field(k, p, name, F.lit(0))
     for name in ("top_negative_themes", "top_positive_themes"):
-        joined = F.array_join(F.slice(parsed[name], 1, MAX_THEMES), ", ")
-        out[name] = F.when(F.array_contains(keys, F.lit(name)), joined).otherwise(F.lit(""))
-    out["summary"] = _field(keys, parsed, "summary", F.lit(""))
+        joined = F.array_join(F.slice(p[name], 1, MAX_THEMES), ", ")
+        out[name] = F.when(F.array_contains(k, F.lit(name)), joined).otherwise(F.lit(""))
+    out["summary"] = _field(k, p, "summary", F.lit(""))
     return out
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dinelens.functions.cleaning import non_blank, split_list
-from dinelens.functions.replies import clean_insight_reply, insight_fields
+from dinelens.functions.replies import INSIGHT_REPLY_SCHEMA, insight_object, strip_reply, insight_fields
 from dinelens.functions.search import rx_search
 from dinelens.operators.paging import Page, page_info, page_rows
 from dinelens.operators.scoring import Scorer
@@ -146,8 +146,16 @@ def insight_prompt(name_col: str, n_col: str, reviews_col: str):
 
 def parse_insight_reply(replies: DataFrame, response_col: str = "response") -> DataFrame:
     """Reply -> ``ok`` and the insight fields."""
-    fields = insight_fields(clean_insight_reply(response_col))
     keep = [c for c in replies.columns if c != response_col]
+    staged = (
+        replies.select(*keep, strip_reply(response_col).alias("_stripped"))
+        .select(*keep, insight_object("_stripped").alias("_clean"))
+    ).select(
+        *keep,
+        F.json_object_keys("_clean").alias("_keys"),
+        F.from_json("_clean", INSIGHT_REPLY_SCHEMA).alias("_parsed"),
+    )
+    fields = insight_fields("_keys", "_parsed")
     names = [
         "positive_count",
         "negative_count",
@@ -156,7 +164,7 @@ def parse_insight_reply(replies: DataFrame, response_col: str = "response") -> D
         "top_positive_themes",
         "summary",
     ]
-    return replies.select(
+    return staged.select(
         *keep,
         F.coalesce(fields["ok"], F.lit(False)).alias("ok"),
         *[fields[n].alias(n) for n in names],

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dinelens.functions.cleaning import split_list
-from dinelens.functions.replies import clean_review_reply, review_fields
+from dinelens.functions.replies import REVIEW_REPLY_SCHEMA, review_object, strip_reply, review_fields
 from dinelens.operators.scoring import Scorer
 
 MIN_REVIEW_CHARS = 15
@@ -65,9 +65,17 @@ def parse_review_reply(replies: DataFrame, response_col: str = "response") -> Da
     object. Missing keys take the defaults ``Neutral`` / ``General`` /
     ``No summary``; a key holding null stays NULL.
     """
-    fields = review_fields(clean_review_reply(response_col))
     keep = [c for c in replies.columns if c != response_col]
-    return replies.select(
+    staged = (
+        replies.select(*keep, strip_reply(response_col).alias("_stripped"))
+        .select(*keep, review_object("_stripped").alias("_clean"))
+    ).select(
+        *keep,
+        F.json_object_keys("_clean").alias("_keys"),
+        F.from_json("_clean", REVIEW_REPLY_SCHEMA).alias("_parsed"),
+    )
+    fields = review_fields("_keys", "_parsed")
+    return staged.select(
         *keep,
         F.coalesce(fields["ok"], F.lit(False)).alias("ok"),
         *[fields[n].alias(n) for n in ("sentiment", "topics", "summary")],
