@@ -100,17 +100,24 @@ def review_sample(
 ) -> DataFrame:
     """Up to ``cap`` non-blank comments per restaurant (lowest review
     ids): ``restaurant_id`` (text), ``rn``, ``review_id``, ``comment``.
-    ``only`` (a frame with a text ``restaurant_id``) limits the restaurants."""
-    c = _commented(reviews)
-    if only is not None:
-        keys = only.select(F.col("restaurant_id").cast("string").alias("rid"))
-        c = c.join(keys, "rid", "left_semi")
+
+    ``only`` (a frame with a text ``restaurant_id``) limits the restaurants.
+    It is applied *after* the per-restaurant limit and as an inner join with
+    distinct ids, not as a semi-join: Spark would push a semi-join below the
+    window, and a shuffle join there would send every review of a hot
+    restaurant to one task before the limit. This way the partial
+    ``WindowGroupLimit`` always runs before the first shuffle.
+    """
     w = Window.partitionBy("rid").orderBy(F.col("review_id").asc_nulls_last())
-    return (
-        c.withColumn("rn", F.row_number().over(w))
+    sample = (
+        _commented(reviews)
+        .withColumn("rn", F.row_number().over(w))
         .filter(F.col("rn") <= F.lit(cap))
-        .select(F.col("rid").alias("restaurant_id"), "rn", "review_id", "comment")
     )
+    if only is not None:
+        keys = only.select(F.col("restaurant_id").cast("string").alias("rid")).distinct()
+        sample = sample.join(keys, "rid")
+    return sample.select(F.col("rid").alias("restaurant_id"), "rn", "review_id", "comment")
 
 
 def review_bundle(sample: DataFrame) -> DataFrame:
