@@ -105,3 +105,23 @@ def test_aov_of_listing_rows(wh_mid):
         F.col("avg_order_value") != aov("total_revenue", "total_orders")
     )
     assert check.count() == 0
+
+
+def test_review_sample_with_one_hot_restaurant(wh_mid):
+    """A third of all reviews on one restaurant: still the 30 lowest ids
+    there, and the other restaurants untouched."""
+    raw = wh_mid.raw_reviews().withColumn(
+        "restaurant_id",
+        F.when(F.col("review_id") % 3 == 0, F.lit("8")).otherwise(F.col("restaurant_id")),
+    )
+    s = insights.review_sample(raw, cap=30, only=insights.qualifying_restaurants(wh_mid.stg_restaurants, raw))
+    hot = [r.review_id for r in s.filter(F.col("restaurant_id") == "8").orderBy("rn").collect()]
+    expect = [
+        r.review_id
+        for r in raw.filter((F.col("restaurant_id") == "8") & F.col("comment").isNotNull() & (F.trim("comment") != ""))
+        .orderBy("review_id")
+        .limit(30)
+        .collect()
+    ]
+    assert hot == expect and len(hot) == 30
+    assert s.groupBy("restaurant_id").count().filter("count > 30").count() == 0
