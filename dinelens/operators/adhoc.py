@@ -54,6 +54,21 @@ class GuardedResult:
     error: str | None = None
     columns: list[str] = field(default_factory=list)
 
+    def fetch(self, max_rows: int = 1000) -> tuple[list[tuple], bool]:
+        """Rows for display, at most ``max_rows``, and whether more exist.
+
+        Only ``max_rows + 1`` rows ever reach the driver, whatever the
+        statement returns; errors at run time are reported, not raised.
+        """
+        if not self.ok or self.frame is None:
+            return [], False
+        try:
+            rows = [tuple(r) for r in self.frame.limit(max_rows + 1).collect()]
+        except Exception as exc:  # run-time errors (casts, division, ...)
+            self.ok, self.error = False, str(exc).splitlines()[0]
+            return [], False
+        return rows[:max_rows], len(rows) > max_rows
+
 
 def guarded_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None = None) -> GuardedResult:
     """G1: refuse unsafe text; otherwise analyse it over ``views`` (temp

@@ -149,3 +149,6 @@ def test_guard_refuses_writes_and_non_select(spark, wh_small):  # G1, H19
     assert not bad.ok and bad.error
     good = adhoc.guarded_sql(spark, "SELECT COUNT(*) AS n FROM mart_orders", wh_small.views())
     assert good.ok and good.columns == ["n"] and good.frame.first()["n"] == wh_small.mart_orders.count()
+    many = adhoc.guarded_sql(spark, "SELECT * FROM raw_orders", wh_small.views())
+    rows, more = many.fetch(max_rows=5)
+    assert len(rows) == 5 and more
