@@ -143,6 +143,10 @@ def _period_format(period: str) -> str:
     return "yyyy-MM" if period == "monthly" else "yyyy"
 
 
+def _period_unit(period: str) -> str:
+    return "MM" if period == "monthly" else "year"
+
+
 def trend(
     raw_orders: DataFrame,
     period: str = "monthly",
@@ -155,19 +159,30 @@ def trend(
     Rows with a NULL date or amount are left out; amounts are FLOAT. Q9/Q10
     take the newest ``limit`` periods, Q11 all periods oldest first with an
     optional real city of the order row.
+
+    Rows are grouped on the first day of their period (a DATE, cheap to hash)
+    and the ``YYYY-MM`` / ``YYYY`` label is formatted on the aggregated rows
+    only; the label is a one-to-one function of that day.
     """
     o = raw_orders.filter(F.col("order_date").isNotNull() & F.col("sales_amount").isNotNull())
     o = in_city(o, city, "restaurant_city")
     amount = F.col("sales_amount").cast("float")
-    label = F.date_format(F.col("order_date").cast("date"), _period_format(period))
-    g = o.groupBy(label.alias("period_label")).agg(
+    start = F.trunc(F.col("order_date").cast("date"), _period_unit(period))
+    g = o.groupBy(start.alias("period_start")).agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.round(F.sum(amount), 2).alias("total_revenue"),
         F.round(F.avg(amount), 2).alias("avg_order_value"),
     )
-    order = F.col("period_label").desc() if newest_first else F.col("period_label").asc_nulls_last()
+    order = F.col("period_start").desc() if newest_first else F.col("period_start").asc_nulls_last()
     g = g.orderBy(order)
-    return g.limit(limit) if limit else g
+    if limit:
+        g = g.limit(limit)
+    return g.select(
+        F.date_format("period_start", _period_format(period)).alias("period_label"),
+        "total_orders",
+        "total_revenue",
+        "avg_order_value",
+    )
 
 
 def aov_trend(raw_orders: DataFrame, period: str = "monthly", city: str | None = None) -> DataFrame:
