@@ -69,3 +69,28 @@ def stg_orders(raw: DataFrame, strict: bool = True) -> DataFrame:
             continue
         cols.append((_cast(src, typ, strict) if typ else F.col(src)).alias(dst))
     return raw.select(*cols)
+
+
+def _rejected(raw_col: str, cleaned):
+    return F.col(raw_col).isNotNull() & cleaned.isNull()
+
+
+def restaurant_rejects(raw: DataFrame) -> DataFrame:
+    """H17, lenient mode: one row counting raw restaurant values that the
+    lenient casts turned into NULL (``'--'`` ratings are not rejects)."""
+    rating = clean_rating("rating", strict=False)
+    rating_bad = _rejected("rating", rating) & (F.col("rating") != F.lit("--"))
+    return raw.agg(
+        F.count_if(_rejected("id", F.col("id").try_cast("int"))).alias("id_rejects"),
+        F.count_if(rating_bad).alias("rating_rejects"),
+        F.count_if(_rejected("cost", clean_cost("cost", strict=False))).alias("cost_rejects"),
+    )
+
+
+def order_rejects(raw: DataFrame) -> DataFrame:
+    """H17, lenient mode: raw order values that do not cast, per column."""
+    spec = [("order_id", "int"), ("r_id", "int"), ("user_id", "int"), ("order_date", "date"), ("sales_amount", "float")]
+    present = [(c, t) for c, t in spec if c in raw.columns]
+    return raw.agg(
+        *[F.count_if(_rejected(c, F.col(c).try_cast(t))).alias(f"{c}_rejects") for c, t in present]
+    )

@@ -361,6 +361,24 @@ q(
 )
 q("stg_orders", ["stg_orders"], "SELECT * FROM stg_orders")
 q("mart_orders", ["mart_orders"], "SELECT * FROM mart_orders")
+q(
+    "restaurant_rejects",
+    ["raw_restaurants"],
+    """SELECT COUNT(*) FILTER (WHERE id IS NOT NULL AND TRY_CAST(id AS INTEGER) IS NULL) AS id_rejects,
+ COUNT(*) FILTER (WHERE rating IS NOT NULL AND rating != '--' AND TRY_CAST(rating AS FLOAT) IS NULL) AS rating_rejects,
+ COUNT(*) FILTER (WHERE cost IS NOT NULL AND TRY_CAST(REPLACE(cost, '₹ ', '') AS INTEGER) IS NULL) AS cost_rejects
+FROM raw_restaurants""",
+)
+q(
+    "order_rejects",
+    ["raw_orders"],
+    """SELECT """
+    + ",\n ".join(
+        f"COUNT(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST({c} AS {t}) IS NULL) AS {c}_rejects"
+        for c, t in [("order_id", "INTEGER"), ("r_id", "INTEGER"), ("user_id", "INTEGER"), ("order_date", "DATE"), ("sales_amount", "FLOAT")]
+    )
+    + "\nFROM raw_orders",
+)
 q(
     "mart_city_restaurant_stats",
     ["stg_restaurants"],

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from dinelens.operators import adhoc, explorer, insights, revenue, reviews
+from dinelens.operators import adhoc, explorer, insights, revenue, reviews, staging
 from dinelens.operators.paging import page_params
 from dinelens.operators.scoring import RecordedReplies
 from dinelens.plans.warehouse import Warehouse
@@ -76,6 +76,8 @@ _add("stg_restaurants", lambda w: w.stg_restaurants)
 _add("stg_restaurants_typed", lambda w: w.stg_restaurants_typed)
 _add("stg_orders", lambda w: w.stg_orders)
 _add("mart_orders", lambda w: w.mart_orders)
+_add("restaurant_rejects", lambda w: staging.restaurant_rejects(w.raw_restaurants))
+_add("order_rejects", lambda w: staging.order_rejects(w.raw_orders()))
 _add("mart_city_restaurant_stats", lambda w: w.mart_city_restaurant_stats)
 _add("mart_city_order_stats", lambda w: w.mart_city_order_stats)
 

@@ -121,3 +121,19 @@ def test_parse_insight_reply_cases(spark):  # E14
     r2 = got["2"]
     assert r2.ok and r2.positive_count == 1 and r2.negative_count == 0 and r2.summary == ""
     assert not got["3"].ok
+
+
+def test_lenient_staging_counts_rejects(spark):  # H17
+    from dinelens.operators.staging import order_rejects, restaurant_rejects, stg_restaurants
+
+    raw = spark.createDataFrame(
+        [("1", "A", "X", "4.1", "₹ 200", "c"), ("x", "B", "Y", "--", "₹200", None), ("3", "C", "Z", "new", "1,200", "d")],
+        "id string, name string, city string, rating string, cost string, cuisine string",
+    )
+    got = restaurant_rejects(raw).first()
+    assert (got.id_rejects, got.rating_rejects, got.cost_rejects) == (1, 1, 2)
+    assert stg_restaurants(raw, strict=False).count() == 3
+    orders = spark.createDataFrame([("1", "2", "3", "2020-01-02", "9.5"), ("a", "2", "3", "bad", "9")],
+                                   "order_id string, r_id string, user_id string, order_date string, sales_amount string")
+    o = order_rejects(orders).first()
+    assert (o.order_id_rejects, o.order_date_rejects, o.sales_amount_rejects) == (1, 1, 0)
