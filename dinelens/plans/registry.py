@@ -251,7 +251,7 @@ _add("enrich_candidates", lambda w: reviews.enrich_candidates(_raw_reviews(w)))
 
 
 def _first_batch_done(w: Warehouse) -> DataFrame:
-    scorer = RecordedReplies(w.review_responses)
+    scorer = RecordedReplies(w.review_reply_log)
     first = reviews.enrich_reviews(_raw_reviews(w), scorer, batch_size=reviews.ENRICH_BATCH)
     return reviews.sentiment_rows(first, with_timestamp=False)
 

@@ -32,6 +32,7 @@ class Warehouse:
     def __init__(self, spark: SparkSession, base: BaseTables):
         self.spark = spark
         self.base = base
+        self._frames: dict[tuple, DataFrame] = {}
 
     @classmethod
     def from_dir(cls, spark: SparkSession, sf_dir: str) -> "Warehouse":
@@ -56,15 +57,27 @@ class Warehouse:
         return fixtures.raw_restaurants(self.base)
 
     def raw_orders(self, columns=None) -> DataFrame:
-        return fixtures.raw_orders(self.base, columns)
+        return self._memo("raw_orders", columns, fixtures.raw_orders)
 
     def raw_reviews(self, columns=None) -> DataFrame:
-        return fixtures.raw_reviews(self.base, columns)
+        return self._memo("raw_reviews", columns, fixtures.raw_reviews)
+
+    def _memo(self, name: str, columns, build) -> DataFrame:
+        """One lazy frame per (table, column list), built on first use."""
+        key = (name, tuple(columns) if columns is not None else None)
+        df = self._frames.get(key)
+        if df is None:
+            df = self._frames[key] = build(self.base, columns)
+        return df
 
     @cached_property
     def review_responses(self) -> DataFrame:
         return fixtures.review_responses(self.base)
 
+    @cached_property
+    def review_reply_log(self) -> DataFrame:
+        return fixtures.review_reply_log(self.base)
+
     @cached_property
     def insight_responses(self) -> DataFrame:
         return fixtures.insight_responses(self.base)
@@ -105,7 +118,7 @@ class Warehouse:
     def review_enrichment(self) -> DataFrame:
         """E8 over every pending review with the recorded replies."""
         raw = self.raw_reviews(["review_id", "restaurant_id", "comment"])
-        return reviews.enrich_reviews(raw, RecordedReplies(self.review_responses))
+        return reviews.enrich_reviews(raw, RecordedReplies(self.review_reply_log))
 
     @cached_property
     def gold_review_sentiments(self) -> DataFrame:

@@ -18,6 +18,10 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture for error messages costs several JVM round trips
+    # per column function while a plan is being built; off for services
+    # that build many plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -176,11 +176,8 @@ RECORDED_TOPICS = [
 ]
 
 
-def review_responses(t: BaseTables) -> DataFrame:
-    """Recorded model replies for every review long enough to be scored:
-    fenced JSON after a ``<think>`` block, some without ``topics``, and every
-    40th one malformed."""
-    rv = raw_reviews(t).filter(F.col("comment").isNotNull() & (F.length("comment") >= 15))
+def _review_reply_text(rv: DataFrame) -> DataFrame:
+    """``review_id, response`` for rows carrying ``review_id`` and ``rating``."""
     rid, rating = F.col("review_id"), F.col("rating")
     sentiment = (
         F.when(rating >= 4, F.lit("Positive"))
@@ -209,6 +206,24 @@ def review_responses(t: BaseTables) -> DataFrame:
     )
 
 
+def review_responses(t: BaseTables) -> DataFrame:
+    """Recorded model replies for every review long enough to be scored:
+    fenced JSON after a ``<think>`` block, some without ``topics``, and every
+    40th one malformed."""
+    rv = raw_reviews(t).filter(F.col("comment").isNotNull() & (F.length("comment") >= 15))
+    return _review_reply_text(rv)
+
+
+def review_reply_log(t: BaseTables) -> DataFrame:
+    """The same replies keyed by every review id, for replaying a scorer.
+
+    Enrichment only sends reviews of 15+ characters, so a left join of its
+    requests to this log picks exactly the rows of ``review_responses``;
+    without the text filter the log reads ids and labels, not the texts.
+    """
+    return _review_reply_text(raw_reviews(t, ["review_id", "rating"]))
+
+
 # Recorded theme lists (0, 2 and 6 entries).
 THEMES_NEGATIVE = [
     [],
