@@ -17,24 +17,48 @@ from pyspark.sql import functions as F
 from dinelens.functions.metrics import aov
 from dinelens.functions.places import real_city
 from dinelens.functions.search import rx_search
-from dinelens.operators.paging import Page, page_info, page_rows
+from dinelens.operators.paging import Page, attach_late, page_info, page_rows
 from dinelens.operators.revenue import in_city
 
 
+@dataclass(frozen=True)
+class LateColumns:
+    """Wide columns of a listing that are joined to a page after it is cut:
+    ``source`` holds ``key`` (unique) and ``columns``."""
+
+    key: str
+    source: DataFrame
+    columns: tuple[str, ...]
+
+
 @dataclass
 class Listing:
     rows: DataFrame
     order: list[Column]
+    late: LateColumns | None = None
 
     def page(self, page: Page) -> DataFrame:
-        return page_rows(self.rows, self.order, page)
+        if self.late is None:
+            return page_rows(self.rows, self.order, page)
+        return self._attach(page_rows(self._narrow(), self.order, page), page.size)
 
     def info(self, page: Page) -> DataFrame:
         return page_info(self.rows, page)
 
     def head(self, n: int) -> DataFrame:
         """First ``n`` rows in order (the capped listing of the v1 API)."""
-        return self.rows.orderBy(*self.order).limit(n)
+        if self.late is None:
+            return self.rows.orderBy(*self.order).limit(n)
+        return self._attach(self._narrow().orderBy(*self.order).limit(n), n)
+
+    def _narrow(self) -> DataFrame:
+        return self.rows.drop(*self.late.columns)
+
+    def _attach(self, cut: DataFrame, n: int) -> DataFrame:
+        late = self.late
+        return attach_late(
+            cut, late.source, late.key, list(late.columns), self.order, n, self.rows.columns
+        )
 
 
 def restaurants_listing(
@@ -118,9 +142,17 @@ def reviews_listing(
     search: str | None = None,
     fallback_rows: int = RAW_REVIEW_FALLBACK_ROWS,
     literal: bool = False,
+    texts: DataFrame | None = None,
 ) -> Listing:
     """D3 (with E3): enriched reviews by id, else the first
-    ``fallback_rows`` raw reviews by id; then the text search."""
+    ``fallback_rows`` raw reviews by id; then the text search.
+
+    Enriched pages are cut on the narrow columns and the review texts of
+    the page's rows joined afterwards, from ``texts`` (``review_id,
+    original_text``; by default the gold table itself). The search still
+    reads every text, but no text travels through a shuffle or a sort.
+    """
+    order = [F.col("review_id").asc_nulls_last()]
     if gold is not None:
         rows = gold.select(
             "review_id",
@@ -129,11 +161,16 @@ def reviews_listing(
             "topics",
             "summary",
         )
-    else:
-        rows = reviews_fallback(raw, fallback_rows).withColumnRenamed("comment", "review")
+        if search:
+            rows = rows.filter(rx_search("review", search, literal))
+        source = (gold if texts is None else texts).select(
+            "review_id", F.col("original_text").alias("review")
+        )
+        return Listing(rows, order, LateColumns("review_id", source, ("review",)))
+    rows = reviews_fallback(raw, fallback_rows).withColumnRenamed("comment", "review")
     if search:
         rows = rows.filter(rx_search("review", search, literal))
-    return Listing(rows, [F.col("review_id").asc_nulls_last()])
+    return Listing(rows, order)
 
 
 def reviews_fallback(raw: DataFrame, limit: int = RAW_REVIEW_FALLBACK_ROWS) -> DataFrame:

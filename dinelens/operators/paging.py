@@ -66,3 +66,23 @@ def page_info(df: DataFrame, page: Page) -> DataFrame:
         F.lit(page.page).alias("page"),
         F.lit(page.size).alias("page_size"),
     )
+
+
+def attach_late(
+    cut: DataFrame,
+    source: DataFrame,
+    key: str,
+    columns: list[str],
+    order: list[Column],
+    n: int,
+    output: list[str],
+) -> DataFrame:
+    """Join wide columns (long texts) to an already cut page.
+
+    ``cut`` holds at most ``n`` rows (a page or a top-k), so the planner
+    broadcasts it by its own size bound and streams ``source``: the wide
+    columns are read once and never shuffled, only the page's rows keep
+    them. ``key`` must be unique in ``source`` (the table's primary key).
+    """
+    wide = source.select(key, *columns)
+    return cut.join(wide, key).orderBy(*order).limit(n).select(*output)

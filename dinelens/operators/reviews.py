@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dinelens.functions.cleaning import split_list
 from dinelens.functions.replies import REVIEW_REPLY_SCHEMA, review_object, strip_reply, review_fields
+from dinelens.operators.paging import attach_late
 from dinelens.operators.scoring import Scorer
 
 MIN_REVIEW_CHARS = 15
@@ -143,12 +144,19 @@ def sentiment_summary(gold: DataFrame | None, raw: DataFrame) -> DataFrame:
     )
 
 
-def sample_reviews(gold: DataFrame, k: int = 10) -> DataFrame:
-    """K enriched reviews (lowest ids): text, sentiment, summary."""
-    return (
-        gold.orderBy(F.col("review_id").asc_nulls_last())
-        .limit(k)
-        .select("original_text", "sentiment", "summary")
+def sample_reviews(gold: DataFrame, k: int = 10, texts: DataFrame | None = None) -> DataFrame:
+    """K enriched reviews (lowest ids): text, sentiment, summary.
+
+    The k ids are chosen on the narrow columns; their texts are joined
+    afterwards from ``texts`` (``review_id, original_text``, by default the
+    gold table), so only k texts are moved.
+    """
+    order = [F.col("review_id").asc_nulls_last()]
+    cut = gold.select("review_id", "sentiment", "summary").orderBy(*order).limit(k)
+    source = gold if texts is None else texts
+    return attach_late(
+        cut, source, "review_id", ["original_text"], order, k,
+        ["original_text", "sentiment", "summary"],
     )
 
 

@@ -213,15 +213,21 @@ _add(
     "explore_orders_info",
     lambda w: explorer.orders_listing(w.mart_orders, min_revenue=MIN_REVENUE).info(PAGE_2_OF_3),
 )
+
+
+def _gold_reviews(w: Warehouse, search: str | None = None):
+    return explorer.reviews_listing(
+        w.gold_review_sentiments, None, search, texts=w.gold_review_texts
+    )
+
+
 _add(
     "explore_reviews",
-    lambda w: explorer.reviews_listing(w.gold_review_sentiments, None).page(PAGE_2_OF_3),
+    lambda w: _gold_reviews(w).page(PAGE_2_OF_3),
 )
 _add(
     "explore_reviews_search",
-    lambda w: explorer.reviews_listing(w.gold_review_sentiments, None, REVIEW_SEARCH).page(
-        PAGE_WIDE
-    ),
+    lambda w: _gold_reviews(w, REVIEW_SEARCH).page(PAGE_WIDE),
 )
 _add(
     "explore_reviews_raw",
@@ -229,9 +235,7 @@ _add(
 )
 _add(
     "explore_reviews_info",
-    lambda w: explorer.reviews_listing(w.gold_review_sentiments, None, REVIEW_SEARCH).info(
-        PAGE_2_OF_3
-    ),
+    lambda w: _gold_reviews(w, REVIEW_SEARCH).info(PAGE_2_OF_3),
 )
 _add("distinct_cities", lambda w: explorer.distinct_cities(w.mart_orders))
 _add("distinct_real_cities", lambda w: explorer.distinct_real_cities(w.mart_orders))
@@ -244,7 +248,10 @@ _add(
 )
 _add("sentiment_summary_raw", lambda w: reviews.sentiment_summary(None, _raw_reviews(w)))
 _add("reviews_fallback", lambda w: explorer.reviews_fallback(_raw_reviews(w)))
-_add("sample_reviews", lambda w: reviews.sample_reviews(w.gold_review_sentiments))
+_add(
+    "sample_reviews",
+    lambda w: reviews.sample_reviews(w.gold_review_sentiments, texts=w.gold_review_texts),
+)
 _add("top_topics", lambda w: reviews.top_topics(w.gold_review_sentiments, 15))
 _add("topic_counts", lambda w: reviews.topic_counts(w.gold_review_sentiments))
 _add("enrich_candidates", lambda w: reviews.enrich_candidates(_raw_reviews(w)))

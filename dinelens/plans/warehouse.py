@@ -15,6 +15,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dinelens.operators import insights as ins
 from dinelens.operators import marts, reviews, staging
@@ -124,6 +125,16 @@ class Warehouse:
     def gold_review_sentiments(self) -> DataFrame:
         return reviews.sentiment_rows(self.review_enrichment, with_timestamp=False)
 
+    @cached_property
+    def gold_review_texts(self) -> DataFrame:
+        """``review_id, original_text`` of every review enrichment sends: the
+        gold table's text column, read from the raw reviews (one row per id)
+        without going through the reply join."""
+        raw = self.raw_reviews(["review_id", "restaurant_id", "comment"])
+        return reviews.enrich_candidates(raw).select(
+            "review_id", F.col("text").alias("original_text")
+        )
+
     @cached_property
     def insight_build(self) -> DataFrame:
         """E15 over every qualifying restaurant with the recorded replies."""

@@ -125,3 +125,29 @@ def test_review_sample_with_one_hot_restaurant(wh_mid):
     ]
     assert hot == expect and len(hot) == 30
     assert s.groupBy("restaurant_id").count().filter("count > 30").count() == 0
+
+
+def test_review_pages_with_late_texts_equal_plain_pages(wh_mid):
+    from dinelens.operators import reviews
+    from dinelens.operators.explorer import reviews_listing
+    from dinelens.operators.paging import page_rows
+
+    gold = wh_mid.gold_review_sentiments
+    for search in (None, "the"):
+        for texts in (None, wh_mid.gold_review_texts):
+            listing = reviews_listing(gold, None, search, texts=texts)
+            for page in (page_params(1, 10), page_params(4, 7), page_params(1, 500)):
+                late = [tuple(r) for r in listing.page(page).collect()]
+                plain = [tuple(r) for r in page_rows(listing.rows, listing.order, page).collect()]
+                assert late == plain and len(late) == page.size
+            head = [tuple(r) for r in listing.head(50).collect()]
+            assert head == [tuple(r) for r in listing.rows.orderBy(*listing.order).limit(50).collect()]
+    plain = gold.orderBy("review_id").limit(10).select("original_text", "sentiment", "summary")
+    for texts in (None, wh_mid.gold_review_texts):
+        assert rows(reviews.sample_reviews(gold, 10, texts)) == rows(plain)
+
+
+def test_gold_texts_are_the_gold_text_column(wh_mid):
+    gold = wh_mid.gold_review_sentiments.select("review_id", "original_text")
+    texts = wh_mid.gold_review_texts.join(gold.select("review_id"), "review_id", "left_semi")
+    assert rows(texts, "review_id") == rows(gold, "review_id")
