@@ -174,11 +174,17 @@ def reviews_listing(
 
 
 def reviews_fallback(raw: DataFrame, limit: int = RAW_REVIEW_FALLBACK_ROWS) -> DataFrame:
-    """Raw reviews ``(review_id, comment, rating)`` by id, first ``limit``."""
-    return (
-        raw.select("review_id", "comment", "rating")
-        .orderBy(F.col("review_id").asc_nulls_last())
-        .limit(limit)
+    """Raw reviews ``(review_id, comment, rating)`` by id, first ``limit``.
+
+    The ``limit`` ids are chosen on ``(review_id, rating)`` and their
+    comments joined afterwards, so the top-k that funnels every task's
+    candidates into one task moves ids, not texts (``review_id`` is the
+    review's key).
+    """
+    order = [F.col("review_id").asc_nulls_last()]
+    cut = raw.select("review_id", "rating").orderBy(*order).limit(limit)
+    return attach_late(
+        cut, raw, "review_id", ["comment"], order, limit, ["review_id", "comment", "rating"]
     )
 
 

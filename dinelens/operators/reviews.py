@@ -47,15 +47,19 @@ def enrich_candidates(
 
     Processed ids are removed *before* the batch is cut (a re-run moves on
     to the next reviews), and the batch is the lowest ids, so runs are
-    repeatable. ``batch_size=None`` takes every pending review.
+    repeatable. ``batch_size=None`` takes every pending review. A batch is
+    cut on the ids alone and the texts of its rows joined afterwards.
     """
     ident, text = review_columns(raw.columns)
-    r = raw.select(F.col(ident).alias("review_id"), F.col(text).cast("string").alias("text"))
+    texts = raw.select(F.col(ident).alias("review_id"), F.col(text).cast("string").alias("text"))
+    r = texts
     if done is not None:
         r = r.join(done.select("review_id"), "review_id", "left_anti")
     r = r.filter(F.col("text").isNotNull() & (F.length("text") >= F.lit(min_chars)))
     if batch_size:
-        r = r.orderBy(F.col("review_id").asc_nulls_last()).limit(batch_size)
+        order = [F.col("review_id").asc_nulls_last()]
+        cut = r.select("review_id").orderBy(*order).limit(batch_size)
+        r = attach_late(cut, texts, "review_id", ["text"], order, batch_size, ["review_id", "text"])
     return r
 
 

@@ -58,10 +58,17 @@ def test_no_python_in_registered_queries(wh_small):
 
 
 def test_review_pages_cut_before_texts_join(wh_small):
-    for key in ("explore_reviews", "explore_reviews_search", "sample_reviews"):
+    text_col = r"\b(review|original_text|comment|text)#"
+    for key in (
+        "explore_reviews",
+        "explore_reviews_search",
+        "sample_reviews",
+        "reviews_fallback",
+        "enrich_candidates_batch",
+    ):
         p = plan(REGISTRY[key](wh_small))
         cuts = re.findall(r"TakeOrderedAndProject\(limit=\d+.*?output=\[([^\]]*)\]", p)
         assert len(cuts) == 2, key
-        # the inner cut (the page that meets the texts) holds no text column
-        assert not re.search(r"\b(review|original_text)#", cuts[1]), (key, cuts)
-        assert re.search(r"\b(review|original_text)#", cuts[0]), (key, cuts)
+        # the inner cut (the rows that meet the texts) holds no text column
+        assert not re.search(text_col, cuts[1]), (key, cuts)
+        assert re.search(text_col, cuts[0]), (key, cuts)

@@ -151,3 +151,17 @@ def test_gold_texts_are_the_gold_text_column(wh_mid):
     gold = wh_mid.gold_review_sentiments.select("review_id", "original_text")
     texts = wh_mid.gold_review_texts.join(gold.select("review_id"), "review_id", "left_semi")
     assert rows(texts, "review_id") == rows(gold, "review_id")
+
+
+def test_fallback_and_batch_cut_on_ids_equal_plain_top_k(wh_mid):
+    from dinelens.operators import reviews
+    from dinelens.operators.explorer import reviews_fallback
+
+    raw = wh_mid.raw_reviews()
+    for n in (1, 1000, 5000):
+        plain = raw.select("review_id", "comment", "rating").orderBy("review_id").limit(n)
+        assert rows(reviews_fallback(raw, n)) == rows(plain)
+    cand = reviews.enrich_candidates(raw)
+    for n in (1, 100, 10_000):
+        plain = cand.orderBy("review_id").limit(n)
+        assert rows(reviews.enrich_candidates(raw, batch_size=n)) == rows(plain)
