@@ -143,6 +143,7 @@ def reviews_listing(
     fallback_rows: int = RAW_REVIEW_FALLBACK_ROWS,
     literal: bool = False,
     texts: DataFrame | None = None,
+    raw_texts: DataFrame | None = None,
 ) -> Listing:
     """D3 (with E3): enriched reviews by id, else the first
     ``fallback_rows`` raw reviews by id; then the text search.
@@ -151,6 +152,7 @@ def reviews_listing(
     the page's rows joined afterwards, from ``texts`` (``review_id,
     original_text``; by default the gold table itself). The search still
     reads every text, but no text travels through a shuffle or a sort.
+    ``raw_texts`` (``review_id, comment``) does the same for the fallback.
     """
     order = [F.col("review_id").asc_nulls_last()]
     if gold is not None:
@@ -167,24 +169,27 @@ def reviews_listing(
             "review_id", F.col("original_text").alias("review")
         )
         return Listing(rows, order, LateColumns("review_id", source, ("review",)))
-    rows = reviews_fallback(raw, fallback_rows).withColumnRenamed("comment", "review")
+    rows = reviews_fallback(raw, fallback_rows, raw_texts).withColumnRenamed("comment", "review")
     if search:
         rows = rows.filter(rx_search("review", search, literal))
     return Listing(rows, order)
 
 
-def reviews_fallback(raw: DataFrame, limit: int = RAW_REVIEW_FALLBACK_ROWS) -> DataFrame:
+def reviews_fallback(
+    raw: DataFrame, limit: int = RAW_REVIEW_FALLBACK_ROWS, texts: DataFrame | None = None
+) -> DataFrame:
     """Raw reviews ``(review_id, comment, rating)`` by id, first ``limit``.
 
     The ``limit`` ids are chosen on ``(review_id, rating)`` and their
-    comments joined afterwards, so the top-k that funnels every task's
-    candidates into one task moves ids, not texts (``review_id`` is the
-    review's key).
+    comments joined afterwards from ``texts`` (``review_id, comment``; by
+    default ``raw``), so the top-k that funnels every task's candidates
+    into one task moves ids, not texts (``review_id`` is the review's key).
     """
     order = [F.col("review_id").asc_nulls_last()]
     cut = raw.select("review_id", "rating").orderBy(*order).limit(limit)
+    source = raw if texts is None else texts
     return attach_late(
-        cut, raw, "review_id", ["comment"], order, limit, ["review_id", "comment", "rating"]
+        cut, source, "review_id", ["comment"], order, limit, ["review_id", "comment", "rating"]
     )
 
 

@@ -54,6 +54,16 @@ def _raw_reviews(w: Warehouse) -> DataFrame:
     return w.raw_reviews()
 
 
+def _review_texts(w: Warehouse) -> DataFrame:
+    """``review_id, comment`` straight from the text table (no rating join)."""
+    return w.raw_reviews(["review_id", "comment"])
+
+
+def _commented_reviews(w: Warehouse) -> DataFrame:
+    """The review columns the insight job reads (no rating join)."""
+    return w.raw_reviews(["review_id", "restaurant_id", "comment"])
+
+
 # ------------------------------------------------------------ A: sources
 _add("scan_raw_restaurants", lambda w: w.raw_restaurants)
 _add("scan_raw_orders", lambda w: w.raw_orders())
@@ -231,7 +241,9 @@ _add(
 )
 _add(
     "explore_reviews_raw",
-    lambda w: explorer.reviews_listing(None, _raw_reviews(w), REVIEW_SEARCH).page(PAGE_WIDE),
+    lambda w: explorer.reviews_listing(
+        None, _raw_reviews(w), REVIEW_SEARCH, raw_texts=_review_texts(w)
+    ).page(PAGE_WIDE),
 )
 _add(
     "explore_reviews_info",
@@ -244,59 +256,65 @@ _add("distinct_real_cities", lambda w: explorer.distinct_real_cities(w.mart_orde
 _add("sentiment_counts", lambda w: reviews.sentiment_counts(w.gold_review_sentiments))
 _add(
     "sentiment_summary",
-    lambda w: reviews.sentiment_summary(w.gold_review_sentiments, _raw_reviews(w)),
+    lambda w: reviews.sentiment_summary(w.gold_review_sentiments, w.raw_reviews(["review_id"])),
+)
+_add(
+    "sentiment_summary_raw",
+    lambda w: reviews.sentiment_summary(None, w.raw_reviews(["review_id"])),
+)
+_add(
+    "reviews_fallback",
+    lambda w: explorer.reviews_fallback(_raw_reviews(w), texts=_review_texts(w)),
 )
-_add("sentiment_summary_raw", lambda w: reviews.sentiment_summary(None, _raw_reviews(w)))
-_add("reviews_fallback", lambda w: explorer.reviews_fallback(_raw_reviews(w)))
 _add(
     "sample_reviews",
     lambda w: reviews.sample_reviews(w.gold_review_sentiments, texts=w.gold_review_texts),
 )
 _add("top_topics", lambda w: reviews.top_topics(w.gold_review_sentiments, 15))
 _add("topic_counts", lambda w: reviews.topic_counts(w.gold_review_sentiments))
-_add("enrich_candidates", lambda w: reviews.enrich_candidates(_raw_reviews(w)))
+_add("enrich_candidates", lambda w: reviews.enrich_candidates(_review_texts(w)))
 
 
 def _first_batch_done(w: Warehouse) -> DataFrame:
     scorer = RecordedReplies(w.review_reply_log)
-    first = reviews.enrich_reviews(_raw_reviews(w), scorer, batch_size=reviews.ENRICH_BATCH)
+    first = reviews.enrich_reviews(_review_texts(w), scorer, batch_size=reviews.ENRICH_BATCH)
     return reviews.sentiment_rows(first, with_timestamp=False)
 
 
 _add(
     "enrich_candidates_resume",
-    lambda w: reviews.enrich_candidates(_raw_reviews(w), done=_first_batch_done(w)),
+    lambda w: reviews.enrich_candidates(_review_texts(w), done=_first_batch_done(w)),
 )
 _add(
     "enrich_candidates_batch",
-    lambda w: reviews.enrich_candidates(_raw_reviews(w), batch_size=reviews.ENRICH_BATCH),
+    lambda w: reviews.enrich_candidates(_review_texts(w), batch_size=reviews.ENRICH_BATCH),
 )
 _add("parse_review_reply", lambda w: reviews.parse_review_reply(w.review_responses))
 _add("enrich_reviews", lambda w: w.review_enrichment)
 _add("enrich_report", lambda w: reviews.enrich_report(w.review_enrichment))
 _add(
     "review_volume",
-    lambda w: insights.review_volume(w.stg_restaurants, _raw_reviews(w), 5, 50),
+    lambda w: insights.review_volume(w.stg_restaurants, _commented_reviews(w), 5, 50),
 )
 _add(
     "review_volume_all",
-    lambda w: insights.review_volume(w.stg_restaurants, _raw_reviews(w), 5, None),
+    lambda w: insights.review_volume(w.stg_restaurants, _commented_reviews(w), 5, None),
 )
 
 
 def _pending(w: Warehouse) -> DataFrame:
-    vol = insights.qualifying_restaurants(w.stg_restaurants, _raw_reviews(w), 5)
+    vol = insights.qualifying_restaurants(w.stg_restaurants, _commented_reviews(w), 5)
     first_run = insights.insights_build(
-        w.stg_restaurants, _raw_reviews(w), RecordedReplies(w.insight_responses), top_n=10
+        w.stg_restaurants, _commented_reviews(w), RecordedReplies(w.insight_responses), top_n=10
     )
     return insights.pending_restaurants(vol, insights.insight_rows(first_run, False))
 
 
 _add("pending_restaurants", _pending)
-_add("review_sample", lambda w: insights.review_sample(_raw_reviews(w), 30))
+_add("review_sample", lambda w: insights.review_sample(_commented_reviews(w), 30))
 _add(
     "review_bundle",
-    lambda w: insights.review_bundle(insights.review_sample(_raw_reviews(w), 30)),
+    lambda w: insights.review_bundle(insights.review_sample(_commented_reviews(w), 30)),
 )
 _add("parse_insight_reply", lambda w: insights.parse_insight_reply(w.insight_responses))
 _add("insights_build", lambda w: w.insight_build)
