@@ -96,26 +96,34 @@ def pending_restaurants(candidates: DataFrame, insights: DataFrame | None) -> Da
 
 
 def review_sample(
-    reviews: DataFrame, cap: int = MAX_REVIEWS_PER_RESTAURANT, only: DataFrame | None = None
+    reviews: DataFrame,
+    cap: int = MAX_REVIEWS_PER_RESTAURANT,
+    only: DataFrame | None = None,
+    only_is_small: bool = False,
 ) -> DataFrame:
     """Up to ``cap`` non-blank comments per restaurant (lowest review
     ids): ``restaurant_id`` (text), ``rn``, ``review_id``, ``comment``.
 
     ``only`` (a frame with a text ``restaurant_id``) limits the restaurants.
-    It is applied *after* the per-restaurant limit and as an inner join with
-    distinct ids, not as a semi-join: Spark would push a semi-join below the
-    window, and a shuffle join there would send every review of a hot
-    restaurant to one task before the limit. This way the partial
-    ``WindowGroupLimit`` always runs before the first shuffle.
+    By default it is applied *after* the per-restaurant limit and as an
+    inner join with distinct ids, not as a semi-join: Spark would push a
+    semi-join below the window, and a shuffle join there would send every
+    review of a hot restaurant to one task before the limit. This way the
+    partial ``WindowGroupLimit`` always runs before the first shuffle.
+
+    ``only_is_small`` says that ``only`` has a row bound (a top-n): then
+    the reviews are cut to those restaurants first by a semi-join against
+    the broadcast ids (no shuffle), and the window only sees their reviews.
     """
     w = Window.partitionBy("rid").orderBy(F.col("review_id").asc_nulls_last())
-    sample = (
-        _commented(reviews)
-        .withColumn("rn", F.row_number().over(w))
-        .filter(F.col("rn") <= F.lit(cap))
-    )
+    commented = _commented(reviews)
+    keys = None
     if only is not None:
         keys = only.select(F.col("restaurant_id").cast("string").alias("rid")).distinct()
+        if only_is_small:
+            commented = commented.join(keys, "rid", "left_semi")
+    sample = commented.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.lit(cap))
+    if keys is not None and not only_is_small:
         sample = sample.join(keys, "rid")
     return sample.select(F.col("rid").alias("restaurant_id"), "rn", "review_id", "comment")
 
@@ -199,7 +207,7 @@ def insights_build(
     cands = cands.select(
         F.col("restaurant_id").cast("string").alias("restaurant_id"), "restaurant_name", "city"
     )
-    bundle = review_bundle(review_sample(reviews, cap, only=cands))
+    bundle = review_bundle(review_sample(reviews, cap, only=cands, only_is_small=bool(top_n)))
     req = cands.join(bundle, "restaurant_id").withColumn(
         "prompt", insight_prompt("restaurant_name", "n_reviews", "numbered_reviews")
     )

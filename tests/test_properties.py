@@ -165,3 +165,15 @@ def test_fallback_and_batch_cut_on_ids_equal_plain_top_k(wh_mid):
     for n in (1, 100, 10_000):
         plain = cand.orderBy("review_id").limit(n)
         assert rows(reviews.enrich_candidates(raw, batch_size=n)) == rows(plain)
+
+
+def test_sample_cut_to_a_top_n_first_equals_cut_after(wh_mid):
+    raw = wh_mid.raw_reviews(["review_id", "restaurant_id", "comment"])
+    chosen = insights.review_volume(wh_mid.stg_restaurants, raw, 5, 7).select(
+        F.col("restaurant_id").cast("string").alias("restaurant_id")
+    )
+    early = insights.review_sample(raw, 30, only=chosen, only_is_small=True)
+    late = insights.review_sample(raw, 30, only=chosen)
+    key = ("restaurant_id", "rn")
+    assert rows(early, *key) == rows(late, *key)
+    assert rows(early.select("restaurant_id").distinct(), "restaurant_id") == rows(chosen, "restaurant_id")
