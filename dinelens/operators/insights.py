@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from dinelens.functions.cleaning import non_blank, split_list
 from dinelens.functions.replies import INSIGHT_REPLY_SCHEMA, insight_object, strip_reply, insight_fields
 from dinelens.functions.search import rx_search
-from dinelens.operators.paging import Page, page_info, page_rows
+from dinelens.operators.paging import MAX_BROADCAST_ROWS, Page, bounded_broadcast, page_info, page_rows
 from dinelens.operators.scoring import Scorer
 
 # Job constants of the insight run.
@@ -99,7 +99,7 @@ def review_sample(
     reviews: DataFrame,
     cap: int = MAX_REVIEWS_PER_RESTAURANT,
     only: DataFrame | None = None,
-    only_is_small: bool = False,
+    only_max_rows: int | None = None,
 ) -> DataFrame:
     """Up to ``cap`` non-blank comments per restaurant (lowest review
     ids): ``restaurant_id`` (text), ``rn``, ``review_id``, ``comment``.
@@ -111,19 +111,21 @@ def review_sample(
     review of a hot restaurant to one task before the limit. This way the
     partial ``WindowGroupLimit`` always runs before the first shuffle.
 
-    ``only_is_small`` says that ``only`` has a row bound (a top-n): then
-    the reviews are cut to those restaurants first by a semi-join against
-    the broadcast ids (no shuffle), and the window only sees their reviews.
+    ``only_max_rows`` is a row bound of ``only`` (a top-n). When it is small
+    enough to broadcast, the reviews are cut to those restaurants first by
+    a semi-join against the broadcast ids (no shuffle), and the window only
+    sees their reviews.
     """
     w = Window.partitionBy("rid").orderBy(F.col("review_id").asc_nulls_last())
     commented = _commented(reviews)
     keys = None
+    early = only_max_rows is not None and only_max_rows <= MAX_BROADCAST_ROWS
     if only is not None:
         keys = only.select(F.col("restaurant_id").cast("string").alias("rid")).distinct()
-        if only_is_small:
-            commented = commented.join(keys, "rid", "left_semi")
+        if early:
+            commented = commented.join(bounded_broadcast(keys, only_max_rows), "rid", "left_semi")
     sample = commented.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.lit(cap))
-    if keys is not None and not only_is_small:
+    if keys is not None and not early:
         sample = sample.join(keys, "rid")
     return sample.select(F.col("rid").alias("restaurant_id"), "rn", "review_id", "comment")
 
@@ -207,7 +209,7 @@ def insights_build(
     cands = cands.select(
         F.col("restaurant_id").cast("string").alias("restaurant_id"), "restaurant_name", "city"
     )
-    bundle = review_bundle(review_sample(reviews, cap, only=cands, only_is_small=bool(top_n)))
+    bundle = review_bundle(review_sample(reviews, cap, only=cands, only_max_rows=top_n or None))
     req = cands.join(bundle, "restaurant_id").withColumn(
         "prompt", insight_prompt("restaurant_name", "n_reviews", "numbered_reviews")
     )

@@ -68,6 +68,19 @@ def page_info(df: DataFrame, page: Page) -> DataFrame:
     )
 
 
+# Largest cut (rows of narrow columns) that is broadcast explicitly.
+MAX_BROADCAST_ROWS = 10_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
+    """``broadcast(df)`` when ``df`` is known to hold at most ``max_rows``
+    rows (a limit, a page, a top-n) and that bound is small; otherwise
+    ``df`` unchanged and the planner picks the join by its estimates."""
+    if max_rows is not None and max_rows <= MAX_BROADCAST_ROWS:
+        return F.broadcast(df)
+    return df
+
+
 def attach_late(
     cut: DataFrame,
     source: DataFrame,
@@ -79,10 +92,11 @@ def attach_late(
 ) -> DataFrame:
     """Join wide columns (long texts) to an already cut page.
 
-    ``cut`` holds at most ``n`` rows (a page or a top-k), so the planner
-    broadcasts it by its own size bound and streams ``source``: the wide
-    columns are read once and never shuffled, only the page's rows keep
-    them. ``key`` must be unique in ``source`` (the table's primary key).
+    ``cut`` holds at most ``n`` rows (a page or a top-k); it is broadcast
+    (``bounded_broadcast``) and ``source`` streams: the wide columns are
+    read once and never shuffled, only the page's rows keep them. ``key``
+    must be unique in ``source`` (the table's primary key).
     """
     wide = source.select(key, *columns)
-    return cut.join(wide, key).orderBy(*order).limit(n).select(*output)
+    small = bounded_broadcast(cut, n)
+    return small.join(wide, key).orderBy(*order).limit(n).select(*output)

@@ -72,3 +72,35 @@ def test_review_pages_cut_before_texts_join(wh_small):
         # the inner cut (the rows that meet the texts) holds no text column
         assert not re.search(text_col, cuts[1]), (key, cuts)
         assert re.search(text_col, cuts[0]), (key, cuts)
+
+
+def _shuffle_inputs(df) -> list[str]:
+    """The ``Input`` line of every shuffle (not broadcast) exchange."""
+    lines = explain(df).splitlines()
+    out = []
+    for i, line in enumerate(lines):
+        if re.match(r"^\(\d+\) Exchange\b", line):
+            out += [l for l in lines[i + 1 : i + 4] if l.startswith("Input")]
+    return out
+
+
+def test_no_text_is_shuffled_without_auto_broadcast(spark, wh_small):
+    # as on a cluster where every table is far above the broadcast threshold
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for key in (
+            "explore_reviews",
+            "explore_reviews_search",
+            "explore_reviews_raw",
+            "sample_reviews",
+            "reviews_fallback",
+            "enrich_candidates_batch",
+            "review_volume",
+            "pending_restaurants",
+        ):
+            inputs = _shuffle_inputs(REGISTRY[key](wh_small))
+            for line in inputs:
+                assert not re.search(r"\b(review|original_text|comment|text)#", line), (key, line)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -172,7 +172,7 @@ def test_sample_cut_to_a_top_n_first_equals_cut_after(wh_mid):
     chosen = insights.review_volume(wh_mid.stg_restaurants, raw, 5, 7).select(
         F.col("restaurant_id").cast("string").alias("restaurant_id")
     )
-    early = insights.review_sample(raw, 30, only=chosen, only_is_small=True)
+    early = insights.review_sample(raw, 30, only=chosen, only_max_rows=7)
     late = insights.review_sample(raw, 30, only=chosen)
     key = ("restaurant_id", "rn")
     assert rows(early, *key) == rows(late, *key)
