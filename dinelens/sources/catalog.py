@@ -49,6 +49,21 @@ def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.parquet(path)
 
 
+def materialize_bucketed(
+    df: DataFrame, name: str, key: str, buckets: int, path: str | None = None
+) -> DataFrame:
+    """A3 for tables that are joined on one key: a catalog table bucketed
+    and sorted on ``key`` (external at ``path`` when given). Tables written
+    with the same ``buckets`` on the same key join, anti-join and group on
+    it without a shuffle, so e.g. review texts never move to meet their
+    labels or their gold rows. Returns a scan of the table."""
+    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)

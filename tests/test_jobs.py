@@ -152,3 +152,24 @@ def test_guard_refuses_writes_and_non_select(spark, wh_small):  # G1, H19
     many = adhoc.guarded_sql(spark, "SELECT * FROM raw_orders", wh_small.views())
     rows, more = many.fetch(max_rows=5)
     assert len(rows) == 5 and more
+
+
+def test_bucketed_review_tables_join_without_shuffle(spark, wh_small, scratch):  # A3
+    texts = wh_small.raw_reviews(["review_id", "comment"])
+    labels = wh_small.raw_reviews(["review_id", "rating"])
+    a = catalog.materialize_bucketed(texts, "bkt_review_texts", "review_id", 4, f"{scratch}/a")
+    b = catalog.materialize_bucketed(labels, "bkt_review_labels", "review_id", 4, f"{scratch}/b")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = a.join(b, "review_id")
+        pending = a.join(b.select("review_id"), "review_id", "left_anti")
+        for df in (joined, pending):
+            p = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in p and "Exchange" not in p, p
+        assert sorted(joined.collect()) == sorted(texts.join(labels, "review_id").collect())
+        assert pending.count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE IF EXISTS bkt_review_texts")
+        spark.sql("DROP TABLE IF EXISTS bkt_review_labels")
