@@ -177,3 +177,8 @@ def test_sample_cut_to_a_top_n_first_equals_cut_after(wh_mid):
     key = ("restaurant_id", "rn")
     assert rows(early, *key) == rows(late, *key)
     assert rows(early.select("restaurant_id").distinct(), "restaurant_id") == rows(chosen, "restaurant_id")
+
+
+def test_stg_orders_count_equals_its_mart_columns_count(wh_mid):
+    # table_counts counts stg_orders without its 1:1 user_id lookup
+    assert wh_mid.stg_orders.count() == wh_mid.orders_for_marts.count()
