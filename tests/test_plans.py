@@ -104,3 +104,16 @@ def test_no_text_is_shuffled_without_auto_broadcast(spark, wh_small):
                 assert not re.search(r"\b(review|original_text|comment|text)#", line), (key, line)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_bounded_broadcast_only_below_the_bound(wh_small):
+    from dinelens.operators.paging import MAX_BROADCAST_ROWS, bounded_broadcast
+
+    df = wh_small.raw_reviews(["review_id"]).limit(5)
+
+    def hinted(d):
+        return "broadcast" in d._jdf.queryExecution().analyzed().toString().lower()
+
+    assert hinted(bounded_broadcast(df, 5))
+    assert not hinted(bounded_broadcast(df, MAX_BROADCAST_ROWS + 1))
+    assert not hinted(bounded_broadcast(df, None))
