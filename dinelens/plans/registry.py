@@ -90,7 +90,13 @@ _add("stg_restaurants_typed", lambda w: w.stg_restaurants_typed)
 _add("stg_orders", lambda w: w.stg_orders)
 _add("mart_orders", lambda w: w.mart_orders)
 _add("restaurant_rejects", lambda w: staging.restaurant_rejects(w.raw_restaurants))
-_add("order_rejects", lambda w: staging.order_rejects(w.raw_orders()))
+_add(
+    "order_rejects",
+    # the columns it checks; the restaurant_city lookup (1:1) is left out
+    lambda w: staging.order_rejects(
+        w.raw_orders(["order_id", "r_id", "user_id", "order_date", "order_status", "sales_amount"])
+    ),
+)
 _add("mart_city_restaurant_stats", lambda w: w.mart_city_restaurant_stats)
 _add("mart_city_order_stats", lambda w: w.mart_city_order_stats)
 
