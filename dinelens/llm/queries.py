@@ -7,12 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dinelens.llm import chat, decontaminate, exact_dedup, secret_scan
+from dinelens.llm import chat, decontaminate, exact_dedup, html_text, language_id, packing, secret_scan, simhash, token_files, toxicity
 from dinelens.llm.common import table
+from dinelens.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by four kinds of evidence, all documents by text and source; the other table's id is NULL."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    names, model = language_id.train_text(docs)
+    none = F.lit(None).cast("long")
+    of_pages = language_id.identify(language_id.page_records(pages), names, model).withColumn("doc_id", none)
+    of_docs = language_id.identify(language_id.document_records(docs), names, model)
+    of_docs = of_docs.withColumn("page_id", none).withColumn("url", F.lit(None).cast("string"))
+    columns = ["doc_id", "page_id", "url", "lang", "probability", "text_lang"]
+    return of_pages.select(*columns).unionByName(of_docs.select(*columns))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,11 +43,28 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_scan.span_digests(secret_scan.scan(docs, secret_scan.train(docs)))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_path(spark)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), path, end_id=2)
+    found = token_files.read_token_files(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 PROBE_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -37,12 +76,25 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(formatted))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_language_id": op2_language_id,
+        "op3_html_text": op3_html_text,
         "op4_decontaminate": op4_decontaminate,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_secret_scan": op7_secret_scan,
+        "op8_toxicity": op8_toxicity,
+        "op9_token_files": op9_token_files,
         "op10_chat_format": op10_chat_format,
+        "pipeline": pipeline,
     }
 
 

@@ -19,8 +19,8 @@ constant array.
 
 Defined cases: NULL text counts as empty; empty texts have no span; rows that
 repeat an id get a row each; extra columns are ignored; an empty table gives
-an empty result, and models without samples fall back to smoothing alone,
-where every ratio is zero and nothing is added.
+an empty result, and without samples of both kinds every ratio is zero and
+nothing is added.
 """
 
 from __future__ import annotations
@@ -107,22 +107,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     return _ratios(counts)
 
 
-def _ratios(counts: dict[int, dict[tuple[int, int], int]], smooth: float = 0.5) -> list[float]:
+def _ratios(counts: dict[int, dict[tuple[int, int], int]], smooth: float = 0.5, pull: float = 2.0) -> list[float]:
+    """Transition probabilities pulled towards the frequency of the second character, which is smoothed itself."""
     alphabet = sorted({c for m in counts.values() for pair in m for c in pair})
-    size = max(1, len(alphabet))
     log_p: dict[int, dict[tuple[int, int], float]] = {}
     for label, m in counts.items():
-        totals: dict[int, float] = {}
-        for (a, _), n in m.items():
-            totals[a] = totals.get(a, 0.0) + n
-        log_p[label] = {
-            (a, b): math.log((m.get((a, b), 0) + smooth) / (totals.get(a, 0.0) + smooth * size)) for a in alphabet for b in alphabet
-        }
+        starts: dict[int, float] = {}
+        ends: dict[int, float] = {}
+        for (a, b), n in m.items():
+            starts[a] = starts.get(a, 0.0) + n
+            ends[b] = ends.get(b, 0.0) + n
+        whole = sum(ends.values()) + smooth * len(alphabet)
+        single = {b: (ends.get(b, 0.0) + smooth) / whole for b in alphabet}
+        log_p[label] = {(a, b): math.log((m.get((a, b), 0) + pull * single[b]) / (starts.get(a, 0.0) + pull)) for a in alphabet for b in alphabet}
     out = [0.0] * (ASCII * ASCII)
-    for pair in log_p[1]:
-        a, b = pair
-        if a < ASCII and b < ASCII:
-            out[a * ASCII + b] = round(log_p[1][pair] - log_p[0][pair], 5)
+    if counts[0] and counts[1]:
+        for a, b in log_p[1]:
+            if a < ASCII and b < ASCII:
+                out[a * ASCII + b] = round(log_p[1][a, b] - log_p[0][a, b], 5)
     return out
 
 
