@@ -200,7 +200,7 @@ class Page:
                 continue
             pure = t / (t + self.dropped[c] + self.links[c])
             depth = self.paths[c].count(">")
-            out.append((t / whole * pure**0.5 + (0.2 if self.semantic[c] else 0.0) + 0.001 * min(depth, 50), c))
+            out.append((t / whole * pure**0.5 + (0.2 if self.semantic[c] else 0.0) + 0.05 * min(depth, 10), c))
         return sorted(out, key=lambda x: (-x[0], -x[1]))
 
     def taken(self, roots: set[int]) -> str:
