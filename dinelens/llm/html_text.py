@@ -233,9 +233,9 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], float] = {}
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = Page(source)
-            for score, c in page.scored()[:VOTES_PER_PAGE]:
+            for rank, (score, c) in enumerate(page.scored()[:VOTES_PER_PAGE], 1):
                 key = (host, page.paths[c])
-                seen[key] = seen.get(key, 0.0) + score
+                seen[key] = seen.get(key, 0.0) + score / rank**2
         rows = sorted(seen.items())
         yield pa.RecordBatch.from_arrays(
             [pa.array([h for (h, _), _ in rows], pa.string()), pa.array([p for (_, p), _ in rows], pa.string()), pa.array([v for _, v in rows], pa.float64())], ["host", "path", "votes"]
