@@ -19,10 +19,10 @@ def _cast(c: str, t: str, strict: bool):
 
 
 def stg_restaurants(raw: DataFrame, strict: bool = True) -> DataFrame:
-    """``id -> restaurant_id INT``, ``name -> restaurant_name``, rating
+    """``id -> restaurant_id BIGINT``, ``name -> restaurant_name``, rating
     ``'--'`` -> NULL else FLOAT, cost ``'₹ 200'`` -> 200 INT."""
     return raw.select(
-        _cast("id", "int", strict).alias("restaurant_id"),
+        _cast("id", "bigint", strict).alias("restaurant_id"),
         F.col("name").alias("restaurant_name"),
         F.col("city"),
         clean_rating("rating", strict).alias("rating"),
@@ -49,16 +49,19 @@ def stg_restaurants_typed(frame: DataFrame) -> DataFrame:
 
 
 def stg_orders(raw: DataFrame, strict: bool = True) -> DataFrame:
-    """Ids to INT, date to DATE, amount to FLOAT;
+    """Ids to BIGINT, date to DATE, amount to FLOAT;
     ``r_id -> restaurant_id``, ``sales_amount -> order_amount``.
 
+    Ids are wider than the INT of the original tables: order ids pass 2^31
+    long before the data is large, and an INT cast would fail the job.
+
     Only the columns present in ``raw`` are produced, so a caller that
     needs fewer columns can hand in a narrower raw frame.
     """
     spec = [
-        ("order_id", "order_id", "int"),
-        ("r_id", "restaurant_id", "int"),
-        ("user_id", "user_id", "int"),
+        ("order_id", "order_id", "bigint"),
+        ("r_id", "restaurant_id", "bigint"),
+        ("user_id", "user_id", "bigint"),
         ("order_date", "order_date", "date"),
         ("order_status", "order_status", None),
         ("sales_amount", "order_amount", "float"),
@@ -81,7 +84,7 @@ def restaurant_rejects(raw: DataFrame) -> DataFrame:
     rating = clean_rating("rating", strict=False)
     rating_bad = _rejected("rating", rating) & (F.col("rating") != F.lit("--"))
     return raw.agg(
-        F.count_if(_rejected("id", F.col("id").try_cast("int"))).alias("id_rejects"),
+        F.count_if(_rejected("id", F.col("id").try_cast("bigint"))).alias("id_rejects"),
         F.count_if(rating_bad).alias("rating_rejects"),
         F.count_if(_rejected("cost", clean_cost("cost", strict=False))).alias("cost_rejects"),
     )
@@ -89,7 +92,7 @@ def restaurant_rejects(raw: DataFrame) -> DataFrame:
 
 def order_rejects(raw: DataFrame) -> DataFrame:
     """H17, lenient mode: raw order values that do not cast, per column."""
-    spec = [("order_id", "int"), ("r_id", "int"), ("user_id", "int"), ("order_date", "date"), ("sales_amount", "float")]
+    spec = [("order_id", "bigint"), ("r_id", "bigint"), ("user_id", "bigint"), ("order_date", "date"), ("sales_amount", "float")]
     present = [(c, t) for c, t in spec if c in raw.columns]
     return raw.agg(
         *[F.count_if(_rejected(c, F.col(c).try_cast(t))).alias(f"{c}_rejects") for c, t in present]

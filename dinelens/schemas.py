@@ -34,7 +34,7 @@ RAW_REVIEWS = _struct(("review_id", L), ("restaurant_id", S), ("comment", S), ("
 
 # Silver.
 STG_RESTAURANTS = _struct(
-    ("restaurant_id", I),
+    ("restaurant_id", L),
     ("restaurant_name", S),
     ("city", S),
     ("rating", F32),
@@ -42,9 +42,9 @@ STG_RESTAURANTS = _struct(
     ("cuisine", S),
 )
 STG_ORDERS = _struct(
-    ("order_id", I),
-    ("restaurant_id", I),
-    ("user_id", I),
+    ("order_id", L),
+    ("restaurant_id", L),
+    ("user_id", L),
     ("order_date", DT),
     ("order_status", S),
     ("order_amount", F32),
