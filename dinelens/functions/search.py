@@ -11,10 +11,11 @@ def rx_search(c: str | Column, pattern: str, literal: bool = False) -> Column:
 
     By default ``pattern`` is a regular expression (as in the dashboards,
     where a bad pattern is an error). ``literal=True`` matches the text as is.
+    Case is folded for all letters, not only ASCII ones.
     """
     col = F.col(c) if isinstance(c, str) else c
     if literal:
         hit = F.contains(F.lower(col), F.lower(F.lit(pattern)))
     else:
-        hit = col.rlike("(?i)" + pattern)
+        hit = col.rlike("(?iu)" + pattern)
     return F.coalesce(hit, F.lit(False))
