@@ -133,26 +133,23 @@ def explore_orders(mart: DataFrame, page: Page, **filters) -> DataFrame:
     return orders_listing(mart, **filters).page(page)
 
 
-RAW_REVIEW_FALLBACK_ROWS = 5000
-
-
 def reviews_listing(
     gold: DataFrame | None,
     raw: DataFrame,
     search: str | None = None,
-    fallback_rows: int = RAW_REVIEW_FALLBACK_ROWS,
     literal: bool = False,
     texts: DataFrame | None = None,
-    raw_texts: DataFrame | None = None,
 ) -> Listing:
-    """D3 (with E3): enriched reviews by id, else the first
-    ``fallback_rows`` raw reviews by id; then the text search.
+    """D3 (with E3): enriched reviews, else all raw reviews; then the text
+    search; pages by id.
 
     Enriched pages are cut on the narrow columns and the review texts of
     the page's rows joined afterwards, from ``texts`` (``review_id,
     original_text``; by default the gold table itself). The search still
     reads every text, but no text travels through a shuffle or a sort.
-    ``raw_texts`` (``review_id, comment``) does the same for the fallback.
+    That needs the id to be a key, as ``append_new`` keeps it in the gold
+    table. Raw reviews have no key (ids may repeat or be NULL): their pages
+    are a plain filter and top-k, ties ordered by text and rating.
     """
     order = [F.col("review_id").asc_nulls_last()]
     if gold is not None:
@@ -169,28 +166,15 @@ def reviews_listing(
             "review_id", F.col("original_text").alias("review")
         )
         return Listing(rows, order, LateColumns("review_id", source, ("review",)))
-    rows = reviews_fallback(raw, fallback_rows, raw_texts).withColumnRenamed("comment", "review")
+    rows = reviews_fallback(raw).withColumnRenamed("comment", "review")
     if search:
         rows = rows.filter(rx_search("review", search, literal))
-    return Listing(rows, order)
-
+    return Listing(rows, [*order, F.col("review").asc_nulls_last(), F.col("rating").asc_nulls_last()])
 
-def reviews_fallback(
-    raw: DataFrame, limit: int = RAW_REVIEW_FALLBACK_ROWS, texts: DataFrame | None = None
-) -> DataFrame:
-    """Raw reviews ``(review_id, comment, rating)`` by id, first ``limit``.
 
-    The ``limit`` ids are chosen on ``(review_id, rating)`` and their
-    comments joined afterwards from ``texts`` (``review_id, comment``; by
-    default ``raw``), so the top-k that funnels every task's candidates
-    into one task moves ids, not texts (``review_id`` is the review's key).
-    """
-    order = [F.col("review_id").asc_nulls_last()]
-    cut = raw.select("review_id", "rating").orderBy(*order).limit(limit)
-    source = raw if texts is None else texts
-    return attach_late(
-        cut, source, "review_id", ["comment"], order, limit, ["review_id", "comment", "rating"]
-    )
+def reviews_fallback(raw: DataFrame) -> DataFrame:
+    """All raw reviews ``(review_id, comment, rating)``; the caller pages them."""
+    return raw.select("review_id", "comment", "rating")
 
 
 def distinct_cities(mart: DataFrame) -> DataFrame:

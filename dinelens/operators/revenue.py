@@ -153,6 +153,7 @@ def trend(
     newest_first: bool = True,
     limit: int | None = 20,
     city: str | None = None,
+    restaurants: DataFrame | None = None,
 ) -> DataFrame:
     """Q9/Q10/Q11: orders, revenue and mean amount per month or year.
 
@@ -163,15 +164,28 @@ def trend(
     Rows are grouped on the first day of their period (a DATE, cheap to hash)
     and the ``YYYY-MM`` / ``YYYY`` label is formatted on the aggregated rows
     only; the label is a one-to-one function of that day.
+
+    For a city, ``restaurants`` (``id, city``, one row per id) gives the
+    cities: orders are summed per restaurant (``r_id``) and period first, so
+    a restaurant with a third of all orders is combined before the shuffle
+    and the join sees aggregates only. Without it the order rows must carry
+    ``restaurant_city``.
     """
     o = raw_orders.filter(F.col("order_date").isNotNull() & F.col("sales_amount").isNotNull())
-    o = in_city(o, city, "restaurant_city")
     amount = F.col("sales_amount").cast("float")
-    start = F.trunc(F.col("order_date").cast("date"), _period_unit(period))
-    g = o.groupBy(start.alias("period_start")).agg(
-        F.count(F.lit(1)).alias("total_orders"),
-        F.round(F.sum(amount), 2).alias("total_revenue"),
-        F.round(F.avg(amount), 2).alias("avg_order_value"),
+    start = F.trunc(F.col("order_date").cast("date"), _period_unit(period)).alias("period_start")
+    n, total = F.count(F.lit(1)).alias("n"), F.sum(amount).alias("amount")
+    if city and restaurants is not None:
+        places = in_city(restaurants.select(F.col("id").alias("place_id"), "city"), city)
+        parts = o.groupBy("r_id", start).agg(n, total)
+        parts = parts.join(places, F.col("r_id") == F.col("place_id"))
+    else:
+        parts = in_city(o, city, "restaurant_city").groupBy(start).agg(n, total)
+    orders, revenue = F.sum("n"), F.sum("amount")
+    g = parts.groupBy("period_start").agg(
+        orders.alias("total_orders"),
+        F.round(revenue, 2).alias("total_revenue"),
+        F.round(revenue / orders, 2).alias("avg_order_value"),
     )
     order = F.col("period_start").desc() if newest_first else F.col("period_start").asc_nulls_last()
     g = g.orderBy(order)
@@ -185,9 +199,14 @@ def trend(
     )
 
 
-def aov_trend(raw_orders: DataFrame, period: str = "monthly", city: str | None = None) -> DataFrame:
+def aov_trend(
+    raw_orders: DataFrame,
+    period: str = "monthly",
+    city: str | None = None,
+    restaurants: DataFrame | None = None,
+) -> DataFrame:
     """Q12: AOV over time, the Q11 data."""
-    return trend(raw_orders, period, newest_first=False, limit=None, city=city).select(
+    return trend(raw_orders, period, newest_first=False, limit=None, city=city, restaurants=restaurants).select(
         "period_label", "avg_order_value"
     )
 
