@@ -1,14 +1,16 @@
 """Guarded ad-hoc SQL and the canned questions.
 
 The reference lets a language model write SQL and runs it after a guard.
-Only the guard and the run are kept: a caller's text must start with
-``SELECT`` and hold none of the write/DDL keywords; it then runs as one
-``spark.sql`` statement over temp views, lazily.
+Only the guard and the run are kept. The guard looks at what Spark's parser
+makes of the text, not at words in it: the statement must be one query (no
+command can be one), read only the views offered to it, and call no function
+that leaves SQL. It then runs as one ``spark.sql`` statement, lazily.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,32 +20,48 @@ from dinelens.functions.metrics import ratio
 from dinelens.functions.places import real_city
 from dinelens.operators.revenue import cities_ranked, in_city, kpis_by_scope
 
-# The statement must start with SELECT and may not contain
-# any of these words (matched anywhere, also inside string literals).
-SELECT_START = r"(?is)^\s*SELECT\b"
-FORBIDDEN_WORDS = [
-    "INSERT",
-    "UPDATE",
-    "DELETE",
-    "DROP",
-    "ALTER",
-    "CREATE",
-    "ATTACH",
-    "COPY",
-    "PRAGMA",
-    "CALL",
-    "EXPORT",
-    "IMPORT",
-]
-_FORBIDDEN = re.compile(r"\b(" + "|".join(FORBIDDEN_WORDS) + r")\b", re.IGNORECASE)
-
-
-def is_safe_select(sql: str) -> bool:
-    """True for one read-only SELECT statement (a trailing ``;`` allowed)."""
-    s = sql.strip().rstrip(";")
-    if not re.match(SELECT_START, s):
-        return False
-    return _FORBIDDEN.search(s) is None
+# Plan nodes a query can have at its top, functions that run
+# code outside SQL, and the table functions that only make rows.
+QUERY_NODES = frozenset(
+    "Project Aggregate Filter Sort GlobalLimit LocalLimit Offset Distinct Union Except Intersect SubqueryAlias "
+    "UnresolvedWith UnresolvedHaving WithWindowDefinition UnresolvedSubqueryColumnAliases Join OneRowRelation "
+    "UnresolvedOrderBy UnresolvedRelation".split()
+)
+UNSAFE_FUNCTIONS = frozenset("reflect java_method try_reflect".split())
+TABLE_FUNCTIONS = frozenset("explode explode_outer posexplode posexplode_outer inline inline_outer stack range".split())
+
+_RELATION = re.compile(r"'UnresolvedRelation \[([^\]]*)\]")
+_CTE = re.compile(r"CTE \[([^\]]*)\]")
+_CALL = re.compile(r"'([A-Za-z_][\w.]*)\(")
+_TABLE_CALL = re.compile(r"'UnresolvedTableValuedFunction \[([^\]]*)\]")
+
+
+def refusal(spark: SparkSession, sql: str, views: Iterable[str]) -> str | None:
+    """Why ``sql`` may not run over ``views``; None if it may.
+
+    The text is parsed and never analysed or run here. Nested queries appear
+    in the printed plan like all other nodes.
+    """
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as exc:
+        return f"no SQL statement: {str(exc).splitlines()[0]}"
+    top = plan.getClass().getSimpleName()
+    if top not in QUERY_NODES:
+        return f"not a query: {top}"
+    tree = plan.toString()
+    names = [n.strip().lower() for found in _CTE.findall(tree) for n in found.split(",")]
+    allowed = {v.lower() for v in views} | set(names)
+    for relation in _RELATION.findall(tree):
+        if relation.strip().lower() not in allowed:
+            return f"unknown table: {relation.replace(', ', '.')}"
+    for name in _TABLE_CALL.findall(tree):
+        if name.strip().lower() not in TABLE_FUNCTIONS:
+            return f"table function not allowed: {name}"
+    for name in _CALL.findall(tree):
+        if name.lower().rpartition(".")[2] in UNSAFE_FUNCTIONS:
+            return f"function not allowed: {name}"
+    return None
 
 
 @dataclass
@@ -58,7 +76,7 @@ class GuardedResult:
         """Rows for display, at most ``max_rows``, and whether more exist.
 
         Only ``max_rows + 1`` rows ever reach the driver, whatever the
-        statement returns; errors at run time are reported, not raised.
+        statement returns (``frame`` stays whole); errors at run time are reported, not raised.
         """
         if not self.ok or self.frame is None:
             return [], False
@@ -73,12 +91,14 @@ class GuardedResult:
 def guarded_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None = None) -> GuardedResult:
     """G1: refuse unsafe text; otherwise analyse it over ``views`` (temp
     views) and return the lazy result. Errors are reported, not raised."""
-    if not is_safe_select(sql):
-        return GuardedResult(sql, False, error="refused: not a single read-only SELECT")
+    text = sql.strip().rstrip(";")
+    why = refusal(spark, text, views or {})
+    if why:
+        return GuardedResult(sql, False, error=f"refused: {why}")
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
     try:
-        frame = spark.sql(sql.strip().rstrip(";"))
+        frame = spark.sql(text)
     except Exception as exc:  # analysis errors: unknown table, bad syntax
         return GuardedResult(sql, False, error=str(exc).splitlines()[0])
     return GuardedResult(sql, True, frame=frame, columns=frame.columns)
