@@ -21,15 +21,23 @@ CSV_NULL = ""
 def ingest_csv(spark: SparkSession, path: str, schema: T.StructType, null_value: str = CSV_NULL) -> DataFrame:
     """A1: read a CSV file (or directory) with a header and a fixed schema;
     empty fields become NULL, padding blanks are kept (as pandas does)."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("nullValue", null_value)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    return spark.read.schema(schema).options(header=True, **csv_options(null_value)).csv(path)
+
+
+def csv_options(null_value: str = CSV_NULL) -> dict[str, str]:
+    return {
+        "nullValue": null_value,
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+        "mode": "FAILFAST",
+    }
+
+
+def parse_csv_lines(lines: DataFrame, column: str, schema: T.StructType, null_value: str = CSV_NULL) -> DataFrame:
+    """A1 for lines that are rows of a table already: the same rules as
+    ``ingest_csv``, without a header."""
+    row = F.from_csv(F.col(column), schema.simpleString()[len("struct<") : -1].replace(":", " "), csv_options(null_value))
+    return lines.select(row.alias("row")).select("row.*")
 
 
 def scan(spark: SparkSession, path_or_table: str) -> DataFrame:
@@ -39,9 +47,19 @@ def scan(spark: SparkSession, path_or_table: str) -> DataFrame:
     return spark.table(path_or_table)
 
 
-def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(
+    df: DataFrame, path: str, partition_by: list[str] | None = None, files_per_partition: int = 8
+) -> DataFrame:
     """A3: create-or-replace a Parquet table from a query; returns a scan of
-    the written table (the lineage ends at the files)."""
+    the written table (the lineage ends at the files).
+
+    A partitioned table is dealt by partition value and a salt first, so a
+    value has at most ``files_per_partition`` files and a value with most of
+    the rows is written by as many tasks, instead of a file per task and value.
+    """
+    if partition_by:
+        salt = F.floor(F.rand(17) * files_per_partition).cast("int")
+        df = df.repartition(*partition_by, salt)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -98,6 +116,14 @@ def _is_path(target: str) -> bool:
     return os.sep in target or target.startswith(("file:", "s3", "hdfs:", "gs:", "abfs"))
 
 
+def new_rows(rows: DataFrame, existing: DataFrame | None, keys: list[str]) -> DataFrame:
+    """A5's plan: ``rows`` with one row per key, without the keys of ``existing``."""
+    new = rows.dropDuplicates(keys)
+    if existing is not None:
+        new = new.join(existing.select(*keys), keys, "left_anti")
+    return new.select(*rows.columns)
+
+
 def append_new(rows: DataFrame, target: str, key: str | list[str]) -> int:
     """A5: append the rows whose key is not yet in ``target`` (a Parquet path
     or a catalog table name).
@@ -113,10 +139,7 @@ def append_new(rows: DataFrame, target: str, key: str | list[str]) -> int:
         existing = spark.read.schema(rows.schema).parquet(target) if _exists(spark, target) else None
     else:
         existing = spark.table(target) if spark.catalog.tableExists(target) else None
-    new = rows.dropDuplicates(keys)
-    if existing is not None:
-        new = new.join(existing.select(*keys), keys, "left_anti")
-    new = new.select(*rows.columns).persist()
+    new = new_rows(rows, existing, keys).persist()
     try:
         n = new.count()
         if n:
