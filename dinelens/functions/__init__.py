@@ -14,12 +14,6 @@ from dinelens.functions.cleaning import (
 )
 from dinelens.functions.metrics import aov, rating_bucket, rating_sort_order, ratio
 from dinelens.functions.search import rx_search
-from dinelens.functions.replies import (
-    clean_insight_reply,
-    clean_review_reply,
-    insight_fields,
-    review_fields,
-)
 
 __all__ = [
     "area",
@@ -34,8 +28,4 @@ __all__ = [
     "rating_bucket",
     "rating_sort_order",
     "rx_search",
-    "clean_review_reply",
-    "clean_insight_reply",
-    "review_fields",
-    "insight_fields",
 ]

@@ -2,24 +2,26 @@
 
 A reply is text holding one JSON object, possibly wrapped in markdown
 fences and preceded by ``<think>...</think>`` text. Parsing happens with
-``json_object_keys`` (NULL unless the text is one valid JSON object, which
-is also the success test) and ``from_json`` with a fixed schema, so that a
-key that is present with a null value stays NULL while a missing key takes
-its default.
-
-Callers compute the cleaned text, then the key list and parsed struct, in
-separate projections (see ``operators.reviews.parse_review_reply``), so
-the regex clean-up and the JSON parse run once per reply rather than once
-per output field.
+``json_object_keys`` and ``from_json`` with a fixed schema, so that a key that
+is present with a null value stays NULL while a missing key takes its default.
+The text must be one JSON value and nothing else: put into brackets, it must
+be an array of one element (the JSON functions alone stop at the end of the
+first value).
+
+``once`` keeps a struct from being computed again by every reader of its
+fields: Catalyst pushes filters and projections below other projections and
+so repeats their expressions, but not below a generator.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dinelens.functions.cleaning import WS_CLASS, strip_ws
+from dinelens.functions.cleaning import strip_ws
 
 # Markdown fences and reasoning block removed from replies.
 FENCE_OPEN = "```json"
@@ -38,19 +40,14 @@ REVIEW_REPLY_SCHEMA = T.StructType(
     ]
 )
 
+# All fields are read as text: counts may be written as 3.0 or "2", and a
+# theme list must be told from a text or null.
+INSIGHT_COUNTS = ("positive_count", "negative_count", "neutral_count")
+INSIGHT_THEMES = ("top_negative_themes", "top_positive_themes")
 INSIGHT_REPLY_SCHEMA = T.StructType(
-    [
-        T.StructField("positive_count", T.IntegerType()),
-        T.StructField("negative_count", T.IntegerType()),
-        T.StructField("neutral_count", T.IntegerType()),
-        T.StructField("top_negative_themes", T.ArrayType(T.StringType())),
-        T.StructField("top_positive_themes", T.ArrayType(T.StringType())),
-        T.StructField("summary", T.StringType()),
-    ]
+    [T.StructField(n, T.StringType()) for n in (*INSIGHT_COUNTS, *INSIGHT_THEMES, "summary")]
 )
 
-MAX_THEMES = 4
-
 
 def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -79,48 +76,56 @@ def insight_object(stripped: str | Column) -> Column:
     return F.when(obj == F.lit(""), s).otherwise(obj)
 
 
-def clean_review_reply(c: str | Column) -> Column:
-    """One-expression form of ``review_object(strip_reply(c))``."""
-    return review_object(strip_reply(c))
+def once(df: DataFrame, keep: list[str], fields: dict[str, Column]) -> DataFrame:
+    """``keep`` and the fields, each row's fields computed once."""
+    row = F.struct(*[e.alias(n) for n, e in fields.items()])
+    return df.select(*keep, F.inline(F.array(row)))
 
 
-def clean_insight_reply(c: str | Column) -> Column:
-    """One-expression form of ``insight_object(strip_reply(c))``."""
-    return insight_object(strip_reply(c))
+def parsed_object(
+    df: DataFrame, keep: list[str], response: str, only_object: Callable[[str], Column], schema: T.StructType
+) -> DataFrame:
+    """``keep``, ``_keys`` (NULL unless the cleaned reply is exactly one JSON
+    object) and ``_parsed``."""
+    stripped = once(df, keep, {"_stripped": strip_reply(response)})
+    cleaned = once(stripped, keep, {"_clean": only_object("_stripped")})
+    c = F.col("_clean")
+    alone = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
+    return once(cleaned, keep, {"_keys": F.when(alone, F.json_object_keys(c)), "_parsed": F.from_json(c, schema)})
 
 
-def _field(keys: Column, parsed: Column, name: str, default: Column) -> Column:
-    return F.when(F.array_contains(keys, F.lit(name)), parsed[name]).otherwise(default)
+def _field(name: str, default: Column) -> Column:
+    value = F.col("_parsed")[name]
+    return F.when(F.array_contains("_keys", F.lit(name)), value).otherwise(default)
 
 
-def review_fields(keys: str | Column, parsed: str | Column) -> dict[str, Column]:
-    """``ok``, ``sentiment``, ``topics``, ``summary`` from the object's key
-    list (``json_object_keys``) and its parsed struct (``REVIEW_REPLY_SCHEMA``)."""
-    k, p = _c(keys), _c(parsed)
-    out = {"ok": k.isNotNull()}
+def review_fields() -> dict[str, Column]:
+    """``ok``, ``sentiment``, ``topics``, ``summary`` of a ``parsed_object``
+    (``REVIEW_REPLY_SCHEMA``). An empty object counts as a failure."""
+    out = {"ok": F.col("_keys").isNotNull() & (F.size("_keys") > 0)}
     for name, default in REVIEW_DEFAULTS.items():
-        out[name] = _field(k, p, name, F.lit(default))
-    return out
-
-
-def insight_fields(keys: str | Column, parsed: str | Column) -> dict[str, Column]:
-    """Fields of a restaurant reply (``INSIGHT_REPLY_SCHEMA``); counts default
-    to 0, theme lists keep their first four entries joined with ``", "``."""
-    k, p = _c(keys), _c(parsed)
-    out = {"ok": k.isNotNull()}
-    for name in ("positive_count", "negative_count", "neutral_count"):
-        out[name] = _field(k, p, name, F.lit(0))
-    for name in ("top_negative_themes", "top_positive_themes"):
-        joined = F.array_join(F.slice(p[name], 1, MAX_THEMES), ", ")
-        out[name] = F.when(F.array_contains(k, F.lit(name)), joined).otherwise(F.lit(""))
-    out["summary"] = _field(k, p, "summary", F.lit(""))
+        out[name] = _field(name, F.lit(default))
     return out
 
 
-__all__ = [
-    "WS_CLASS",
-    "clean_review_reply",
-    "clean_insight_reply",
-    "review_fields",
-    "insight_fields",
-]
+def insight_fields(max_themes: int | None = None) -> dict[str, Column]:
+    """Fields of a restaurant reply (``INSIGHT_REPLY_SCHEMA``).
+
+    Counts default to 0 and are rounded to whole numbers; theme lists are
+    arrays, with at most ``max_themes`` entries if given. A count that is no
+    number, or themes that are no list, make the reply a failure.
+    """
+    ok = F.col("_keys").isNotNull()
+    out: dict[str, Column] = {}
+    for name in INSIGHT_COUNTS:
+        text = _field(name, F.lit("0"))
+        number = text.try_cast("double")
+        ok = ok & (text.isNull() | number.isNotNull())
+        out[name] = F.bround(number).cast("int")
+    for name in INSIGHT_THEMES:
+        text = _field(name, F.lit("[]"))
+        ok = ok & F.coalesce(F.json_array_length(text).isNotNull(), F.lit(False))
+        themes = F.from_json(text, T.ArrayType(T.StringType()))
+        out[name] = F.slice(themes, 1, max_themes) if max_themes else themes
+    out["summary"] = _field("summary", F.lit(""))
+    return {"ok": F.coalesce(ok, F.lit(False)), **out}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dinelens.functions.cleaning import split_list
-from dinelens.functions.replies import REVIEW_REPLY_SCHEMA, review_object, strip_reply, review_fields
+from dinelens.functions.replies import REVIEW_REPLY_SCHEMA, once, parsed_object, review_fields, review_object
 from dinelens.operators.paging import attach_late
 from dinelens.operators.scoring import Scorer
 
@@ -46,20 +46,18 @@ def enrich_candidates(
     """``(review_id, text)`` of reviews still to enrich.
 
     Processed ids are removed *before* the batch is cut (a re-run moves on
-    to the next reviews), and the batch is the lowest ids, so runs are
-    repeatable. ``batch_size=None`` takes every pending review. A batch is
-    cut on the ids alone and the texts of its rows joined afterwards.
+    to the next reviews), and the batch is the lowest ids (ties by text), so
+    runs are repeatable. ``batch_size=None`` takes every pending review. Raw
+    reviews have no key, so a batch is a plain filter and top-k: each row is
+    sent once, however its id repeats.
     """
     ident, text = review_columns(raw.columns)
-    texts = raw.select(F.col(ident).alias("review_id"), F.col(text).cast("string").alias("text"))
-    r = texts
+    r = raw.select(F.col(ident).alias("review_id"), F.col(text).cast("string").alias("text"))
     if done is not None:
         r = r.join(done.select("review_id"), "review_id", "left_anti")
     r = r.filter(F.col("text").isNotNull() & (F.length("text") >= F.lit(min_chars)))
     if batch_size:
-        order = [F.col("review_id").asc_nulls_last()]
-        cut = r.select("review_id").orderBy(*order).limit(batch_size)
-        r = attach_late(cut, texts, "review_id", ["text"], order, batch_size, ["review_id", "text"])
+        r = r.orderBy(F.col("review_id").asc_nulls_last(), "text").limit(batch_size)
     return r
 
 
@@ -67,24 +65,12 @@ def parse_review_reply(replies: DataFrame, response_col: str = "response") -> Da
     """Reply text -> ``ok, sentiment, topics, summary``.
 
     Fences and ``<think>`` blocks are removed; the rest must be one JSON
-    object. Missing keys take the defaults ``Neutral`` / ``General`` /
-    ``No summary``; a key holding null stays NULL.
+    object with at least one key. Missing keys take the defaults ``Neutral``
+    / ``General`` / ``No summary``; a key holding null stays NULL.
     """
     keep = [c for c in replies.columns if c != response_col]
-    staged = (
-        replies.select(*keep, strip_reply(response_col).alias("_stripped"))
-        .select(*keep, review_object("_stripped").alias("_clean"))
-    ).select(
-        *keep,
-        F.json_object_keys("_clean").alias("_keys"),
-        F.from_json("_clean", REVIEW_REPLY_SCHEMA).alias("_parsed"),
-    )
-    fields = review_fields("_keys", "_parsed")
-    return staged.select(
-        *keep,
-        F.coalesce(fields["ok"], F.lit(False)).alias("ok"),
-        *[fields[n].alias(n) for n in ("sentiment", "topics", "summary")],
-    )
+    parsed = parsed_object(replies, keep, response_col, review_object, REVIEW_REPLY_SCHEMA)
+    return once(parsed, keep, review_fields())
 
 
 def enrich_reviews(

@@ -20,7 +20,7 @@ from dinelens import schemas
 from dinelens.operators import insights as ins
 from dinelens.operators import reviews
 from dinelens.operators.scoring import Scorer
-from dinelens.plans.warehouse import Warehouse
+from dinelens.plans.warehouse import BUILT_TABLES, Warehouse
 from dinelens.session import checkpoint_dir
 from dinelens.sources import catalog
 
@@ -33,36 +33,37 @@ class RunReport:
 
 
 def build_warehouse(w: Warehouse, out_dir: str) -> dict[str, DataFrame]:
-    """A3: write staging and marts as Parquet tables under ``out_dir``.
+    """A3: write staging, marts and gold as Parquet tables under ``out_dir``
+    (``Warehouse.from_built`` opens them).
 
     ``stg_orders`` is partitioned by order year so that trend queries over
     a date range prune files. Returns scans of the written tables.
     """
     out = out_dir.rstrip("/")
-    orders = w.stg_orders.withColumn("order_year", F.year("order_date"))
-    return {
-        "stg_restaurants": catalog.materialize(w.stg_restaurants, f"{out}/stg_restaurants"),
-        "stg_orders": catalog.materialize(orders, f"{out}/stg_orders", ["order_year"]),
-        "mart_orders": catalog.materialize(w.mart_orders, f"{out}/mart_orders"),
-        "mart_city_restaurant_stats": catalog.materialize(
-            w.mart_city_restaurant_stats, f"{out}/mart_city_restaurant_stats"
-        ),
-    }
-
-
-def _stable(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    checkpoint_dir(spark)
+    written = {}
+    for name in BUILT_TABLES:
+        df, by = getattr(w, name), None
+        if name == "stg_orders":
+            df, by = df.withColumn("order_year", F.year("order_date")), ["order_year"]
+        written[name] = catalog.materialize(df, f"{out}/{name}", by)
+    return written
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` from a reliable checkpoint, so that its rows (model replies)
+    stay the same after the loss of an executor."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def run_review_enrichment(
-    raw: DataFrame, gold_path: str, scorer: Scorer, batch_size: int | None = reviews.ENRICH_BATCH
+    raw: DataFrame, gold_path: str, scorer: Scorer, batch_size: int | None = None
 ) -> RunReport:
-    """E8 + E9 as a job: enrich pending reviews into ``gold_path``."""
+    """E8 + E9 as a job: enrich all pending reviews (or one batch, if a size
+    is given) into ``gold_path``."""
     spark = raw.sparkSession
     gold = catalog.ensure_table(spark, gold_path, schemas.GOLD_REVIEW_SENTIMENTS)
-    enriched = _stable(reviews.enrich_reviews(raw, scorer, done=gold, batch_size=batch_size))
+    enriched = stable(reviews.enrich_reviews(raw, scorer, done=gold, batch_size=batch_size))
     counts = reviews.enrich_report(enriched).first()
     appended = catalog.append_new(reviews.sentiment_rows(enriched), gold_path, "review_id")
     return RunReport(counts["enriched"] + counts["failed"], counts["failed"], appended)
@@ -74,18 +75,21 @@ def run_restaurant_insights(
     insights_path: str,
     scorer: Scorer,
     min_reviews: int = ins.MIN_REVIEWS,
-    top_n: int | None = ins.TOP_N_RESTAURANTS,
-    cap: int = ins.MAX_REVIEWS_PER_RESTAURANT,
+    top_n: int | None = None,
+    per_request: int = ins.REVIEWS_PER_REQUEST,
+    max_themes: int | None = None,
+    template: str = ins.DEFAULT_TEMPLATE,
 ) -> RunReport:
-    """E15 as a job: analyse pending restaurants into ``insights_path``.
+    """E15 as a job: analyse all pending restaurants into ``insights_path``
+    (only the ``top_n`` with most comments, if asked for).
 
     A failed restaurant is only reported; the next run retries it, since
     it is still missing from the table.
     """
     spark = restaurants.sparkSession
     done = catalog.ensure_table(spark, insights_path, schemas.GOLD_RESTAURANT_INSIGHTS)
-    built = _stable(
-        ins.insights_build(restaurants, raw_reviews, scorer, done, min_reviews, top_n, cap)
+    built = stable(
+        ins.insights_build(restaurants, raw_reviews, scorer, done, min_reviews, top_n, per_request, max_themes, template)
     )
     counts = ins.insights_report(built).first()
     appended = catalog.append_new(ins.insight_rows(built), insights_path, "restaurant_id")

@@ -90,6 +90,9 @@ cte(
     ["raw_reviews"],
     """SELECT review_id,
  CASE WHEN review_id % 40 = 3 THEN 'not json'
+  WHEN review_id % 40 = 11 THEN '{"sentiment": "Positive"} {"x": 1}' WHEN review_id % 40 = 17 THEN '{}'
+  WHEN review_id % 40 = 23 THEN '{"sentiment": null, "topics": "Service", "extra": [1, {"y": 2}]}'
+  WHEN review_id % 40 = 29 THEN '{"sentiment": "Negative"} as asked' WHEN review_id % 40 = 37 THEN '[{"sentiment": "Negative"}]'
   ELSE '<think>x</think>```json' || chr(10) || '{"sentiment": "' || CASE WHEN rating >= 4 THEN 'Positive' WHEN rating <= 2 THEN 'Negative' ELSE 'Neutral' END
    || '"' || CASE WHEN review_id % 13 = 0 THEN '' ELSE ', "topics": "' || CASE review_id % 4 WHEN 0 THEN 'Delivery, Food Quality' WHEN 1 THEN 'Packaging,, Delivery ' WHEN 2 THEN 'Service' ELSE 'Food Quality, Price' END || '"' END
    || ', "summary": "s' || CAST(review_id % 17 AS VARCHAR) || '"}' || chr(10) || '```' END AS response
@@ -109,15 +112,30 @@ _POS = {
 
 
 def _pick(d: dict[int, str]) -> str:
-    k = "CAST(restaurant_id AS BIGINT) % 3"
+    k = "(CAST(restaurant_id AS BIGINT) + request) % 3"
     return f"CASE {k} WHEN 0 THEN '{d[0]}' WHEN 1 THEN '{d[1]}' ELSE '{d[2]}' END"
 
 
+# Every comment's request: 30 comments of a restaurant each, by review id.
 cte(
-    "insight_responses",
+    "requests",
     ["raw_reviews"],
-    f"""SELECT restaurant_id,
+    """SELECT restaurant_id, review_id, comment, rating, CAST((pos - 1) // 30 AS BIGINT) AS request, CAST((pos - 1) % 30 + 1 AS INTEGER) AS rn
+FROM (SELECT *, row_number() OVER (PARTITION BY restaurant_id ORDER BY review_id) AS pos
+      FROM raw_reviews WHERE comment IS NOT NULL AND trim(comment) != '') n""",
+)
+
+cte(
+    "insight_responses",
+    ["requests"],
+    f"""SELECT restaurant_id || '/' || CAST(request AS VARCHAR) AS request_id, restaurant_id, request,
  CASE WHEN CAST(restaurant_id AS BIGINT) % 10 = 4 THEN 'Rate limit reached, try again later'
+ WHEN CAST(restaurant_id AS BIGINT) % 11 = 1 THEN '{{"positive_count": 1, "top_negative_themes": null}}'
+ WHEN CAST(restaurant_id AS BIGINT) % 11 = 2 THEN '{{"positive_count": 1, "top_positive_themes": "great taste"}}'
+ WHEN CAST(restaurant_id AS BIGINT) % 11 = 3 THEN '{{"positive_count": 3.0, "negative_count": "2", "neutral_count": 1.6, "top_negative_themes": ["a", "b", "c", "d", "e"]}}'
+ WHEN CAST(restaurant_id AS BIGINT) % 11 = 5 THEN '{{"positive_count": "many"}}'
+ WHEN CAST(restaurant_id AS BIGINT) % 11 = 9 THEN '{{"positive_count": 1}} then {{"negative_count": 2}}'
+ WHEN CAST(restaurant_id AS BIGINT) % 11 = 10 THEN '{{}}'
  ELSE '<think>' || CAST(n AS VARCHAR) || ' reviews {{draft}}</think>```json' || chr(10)
   || '{{"positive_count": ' || CAST(pos AS VARCHAR) || ', "negative_count": ' || CAST(neg AS VARCHAR)
   || ', "neutral_count": ' || CAST(n - pos - neg AS VARCHAR)
@@ -125,15 +143,15 @@ cte(
   || ', "top_positive_themes": ' || {_pick(_POS)}
   || CASE WHEN CAST(restaurant_id AS BIGINT) % 7 = 5 THEN '' ELSE ', "summary": "Restaurant ' || restaurant_id || ' verdict."' END
   || '}}' || chr(10) || '```' END AS response
-FROM (SELECT restaurant_id, COUNT(*) AS n, COUNT(CASE WHEN rating >= 4 THEN 1 END) AS pos,
+FROM (SELECT restaurant_id, request, COUNT(*) AS n, COUNT(CASE WHEN rating >= 4 THEN 1 END) AS pos,
              COUNT(CASE WHEN rating <= 2 THEN 1 END) AS neg
-      FROM raw_reviews WHERE comment IS NOT NULL AND trim(comment) != '' GROUP BY restaurant_id) t""",
+      FROM requests GROUP BY restaurant_id, request) t""",
 )
 
 cte(
     "stg_restaurants",
     ["raw_restaurants"],
-    """SELECT CAST(id AS INTEGER) AS restaurant_id, name AS restaurant_name, city,
+    """SELECT CAST(id AS BIGINT) AS restaurant_id, name AS restaurant_name, city,
  CASE WHEN rating = '--' THEN NULL ELSE CAST(rating AS FLOAT) END AS rating,
  CAST(REPLACE(cost, '₹ ', '') AS INTEGER) AS cost_for_two, cuisine
 FROM raw_restaurants""",
@@ -142,8 +160,8 @@ FROM raw_restaurants""",
 cte(
     "stg_orders",
     ["raw_orders"],
-    """SELECT CAST(order_id AS INTEGER) AS order_id, CAST(r_id AS INTEGER) AS restaurant_id,
- CAST(user_id AS INTEGER) AS user_id, CAST(order_date AS DATE) AS order_date, order_status,
+    """SELECT CAST(order_id AS BIGINT) AS order_id, CAST(r_id AS BIGINT) AS restaurant_id,
+ CAST(user_id AS BIGINT) AS user_id, CAST(order_date AS DATE) AS order_date, order_status,
  CAST(sales_amount AS FLOAT) AS order_amount
 FROM raw_orders""",
 )
@@ -169,7 +187,7 @@ WHERE comment IS NOT NULL AND length(comment) >= 15""",
 
 
 def _review_parse(src: str, keep: str) -> str:
-    return f"""SELECT {keep}, COALESCE(j IS NOT NULL, false) AS ok,
+    return f"""SELECT {keep}, COALESCE(j IS NOT NULL AND len(json_keys(j)) > 0, false) AS ok,
  CASE WHEN json_exists(j, '$.sentiment') THEN json_extract_string(j, '$.sentiment') ELSE 'Neutral' END AS sentiment,
  CASE WHEN json_exists(j, '$.topics') THEN json_extract_string(j, '$.topics') ELSE 'General' END AS topics,
  CASE WHEN json_exists(j, '$.summary') THEN json_extract_string(j, '$.summary') ELSE 'No summary' END AS summary
@@ -240,32 +258,35 @@ WHERE rn <= 30""",
 )
 
 cte(
-    "bundle30",
-    ["sample30"],
-    """SELECT restaurant_id, CAST(COUNT(*) AS INTEGER) AS n_reviews,
+    "bundles",
+    ["requests"],
+    """SELECT restaurant_id, request, CAST(COUNT(*) AS INTEGER) AS n_reviews,
  string_agg(CAST(rn AS VARCHAR) || '. ' || comment, chr(10) ORDER BY rn) AS numbered_reviews
-FROM sample30 GROUP BY restaurant_id""",
+FROM requests GROUP BY restaurant_id, request""",
 )
 
 _CLEAN_INSIGHT0 = strip(f"regexp_replace({_CLEAN_FENCES}, '(?is)<think>.*?</think>', '', 'g')")
+_COUNTS = ("positive_count", "negative_count", "neutral_count")
+_THEMES = ("top_negative_themes", "top_positive_themes")
 
 
 def _insight_parse(src: str, keep: str) -> str:
     def cnt(name):
         return (
-            f"CASE WHEN json_exists(j, '$.{name}') THEN CAST(json_extract_string(j, '$.{name}') AS INTEGER) "
+            f"CASE WHEN json_exists(j, '$.{name}') THEN CAST(round_even(TRY_CAST(json_extract_string(j, '$.{name}') AS DOUBLE), 0) AS INTEGER) "
             f"ELSE 0 END AS {name}"
         )
 
     def themes(name):
         return (
-            f"CASE WHEN json_exists(j, '$.{name}') THEN array_to_string(list_slice("
-            f"CAST(json_extract(j, '$.{name}') AS VARCHAR[]), 1, 4), ', ') ELSE '' END AS {name}"
+            f"CASE WHEN json_type(j, '$.{name}') = 'ARRAY' THEN list_slice(CAST(json_extract(j, '$.{name}') AS VARCHAR[]), 1, 4) "
+            f"WHEN json_exists(j, '$.{name}') THEN NULL ELSE CAST([] AS VARCHAR[]) END AS {name}"
         )
 
-    return f"""SELECT {keep}, COALESCE(j IS NOT NULL, false) AS ok,
- {cnt('positive_count')}, {cnt('negative_count')}, {cnt('neutral_count')},
- {themes('top_negative_themes')}, {themes('top_positive_themes')},
+    good = [f"(json_type(j, '$.{n}') IS NULL OR json_type(j, '$.{n}') = 'NULL' OR TRY_CAST(json_extract_string(j, '$.{n}') AS DOUBLE) IS NOT NULL)" for n in _COUNTS]
+    good += [f"(NOT json_exists(j, '$.{n}') OR json_type(j, '$.{n}') = 'ARRAY')" for n in _THEMES]
+    return f"""SELECT {keep}, COALESCE(j IS NOT NULL AND {' AND '.join(good)}, false) AS ok,
+ {', '.join(map(cnt, _COUNTS))}, {', '.join(map(themes, _THEMES))},
  CASE WHEN json_exists(j, '$.summary') THEN json_extract_string(j, '$.summary') ELSE '' END AS summary
 FROM (SELECT *, CASE WHEN json_valid(c) AND json_type(c) = 'OBJECT' THEN c END AS j
       FROM (SELECT *, CASE WHEN regexp_extract(c0, '(?s)\\{{.*\\}}', 0) = '' THEN c0
@@ -273,35 +294,35 @@ FROM (SELECT *, CASE WHEN json_valid(c) AND json_type(c) = 'OBJECT' THEN c END A
             FROM (SELECT *, {_CLEAN_INSIGHT0} AS c0 FROM {src}) a) b) x"""
 
 
-cte("insight_parsed", ["insight_responses"], _insight_parse("insight_responses", "restaurant_id"))
+cte("insight_parsed", ["insight_responses"], _insight_parse("insight_responses", "request_id, restaurant_id, request"))
+
+
+def _themes_of(kind: str) -> str:
+    """The most frequent themes of a restaurant's replies, at most four."""
+    return f"""(SELECT array_to_string(list_slice(list(theme ORDER BY n DESC, theme), 1, 4), ', ')
+  FROM (SELECT theme, COUNT(*) AS n FROM (SELECT unnest({kind}) AS theme FROM p p2 WHERE p2.restaurant_id = p1.restaurant_id) u
+        WHERE theme IS NOT NULL GROUP BY theme) c)"""
 
 
 def _insights_build(volume: str) -> str:
-    return (
-        """SELECT restaurant_id, restaurant_name, city, n_reviews AS review_count, positive_count, negative_count,
- neutral_count, top_negative_themes, top_positive_themes, summary, ok FROM ("""
-        + _insight_parse(
-            f"""(SELECT q.restaurant_id, q.restaurant_name, q.city, q.n_reviews, ir.response FROM (
-   SELECT CAST(v.restaurant_id AS VARCHAR) AS restaurant_id, v.restaurant_name, v.city, b.n_reviews
-   FROM {volume} v JOIN bundle30 b ON CAST(v.restaurant_id AS VARCHAR) = b.restaurant_id) q
-  LEFT JOIN insight_responses ir ON q.restaurant_id = ir.restaurant_id) r""",
-            "restaurant_id, restaurant_name, city, n_reviews",
-        )
-        + ") p"
+    parse = _insight_parse(
+        f"""(SELECT q.*, ir.response FROM (
+   SELECT CAST(v.restaurant_id AS VARCHAR) AS restaurant_id, v.restaurant_name, v.city, b.request, b.n_reviews
+   FROM {volume} v JOIN bundles b ON CAST(v.restaurant_id AS VARCHAR) = b.restaurant_id) q
+  LEFT JOIN insight_responses ir ON q.restaurant_id = ir.restaurant_id AND q.request = ir.request) r""",
+        "restaurant_id, restaurant_name, city, request, n_reviews",
     )
+    sums = ", ".join(f"CASE WHEN bool_and(ok) THEN CAST(SUM({c}) AS INTEGER) END AS {c}" for c in _COUNTS)
+    themes = ", ".join(f"CASE WHEN bool_and(ok) THEN COALESCE({_themes_of(k)}, '') END AS {k}" for k in _THEMES)
+    return f"""WITH p AS ({parse})
+SELECT restaurant_id, restaurant_name, city, CAST(SUM(n_reviews) AS INTEGER) AS review_count, {sums}, {themes},
+ CASE WHEN bool_and(ok) THEN arg_min(summary, request) END AS summary, bool_and(ok) AS ok
+FROM p p1 GROUP BY restaurant_id, restaurant_name, city"""
 
 
-cte("insight_build", ["volume_all", "bundle30", "insight_responses"], _insights_build("volume_all"))
-cte(
-    "volume_top10",
-    ["volume_all"],
-    "SELECT * FROM volume_all ORDER BY review_count DESC, restaurant_id ASC LIMIT 10",
-)
-cte(
-    "insight_first_run",
-    ["volume_top10", "bundle30", "insight_responses"],
-    _insights_build("volume_top10"),
-)
+cte("insight_build", ["volume_all", "bundles", "insight_responses"], _insights_build("volume_all"))
+cte("volume_even", ["volume_all"], "SELECT * FROM volume_all WHERE restaurant_id % 2 = 0")
+cte("insight_first_run", ["volume_even", "bundles", "insight_responses"], _insights_build("volume_even"))
 cte(
     "gold_restaurant_insights",
     ["insight_build"],
@@ -323,7 +344,7 @@ def with_ctes(names: list[str], select: str) -> str:
     for n in names:
         visit(n)
     parts = [f"{n} AS (\n{CTES[n][1]}\n)" for n in order]
-    return "WITH " + ",\n".join(parts) + "\n" + select
+    return "WITH " + ",\n".join(parts) + "\n" + select if parts else select
 
 
 # --------------------------------------------------------------- queries
@@ -364,7 +385,7 @@ q("mart_orders", ["mart_orders"], "SELECT * FROM mart_orders")
 q(
     "restaurant_rejects",
     ["raw_restaurants"],
-    """SELECT COUNT(*) FILTER (WHERE id IS NOT NULL AND TRY_CAST(id AS INTEGER) IS NULL) AS id_rejects,
+    """SELECT COUNT(*) FILTER (WHERE id IS NOT NULL AND TRY_CAST(id AS BIGINT) IS NULL) AS id_rejects,
  COUNT(*) FILTER (WHERE rating IS NOT NULL AND rating != '--' AND TRY_CAST(rating AS FLOAT) IS NULL) AS rating_rejects,
  COUNT(*) FILTER (WHERE cost IS NOT NULL AND TRY_CAST(REPLACE(cost, '₹ ', '') AS INTEGER) IS NULL) AS cost_rejects
 FROM raw_restaurants""",
@@ -375,7 +396,7 @@ q(
     """SELECT """
     + ",\n ".join(
         f"COUNT(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST({c} AS {t}) IS NULL) AS {c}_rejects"
-        for c, t in [("order_id", "INTEGER"), ("r_id", "INTEGER"), ("user_id", "INTEGER"), ("order_date", "DATE"), ("sales_amount", "FLOAT")]
+        for c, t in [("order_id", "BIGINT"), ("r_id", "BIGINT"), ("user_id", "BIGINT"), ("order_date", "DATE"), ("sales_amount", "FLOAT")]
     )
     + "\nFROM raw_orders",
 )
@@ -621,7 +642,7 @@ q(
 q(
     "explore_reviews_raw",
     ["raw_reviews"],
-    f"""SELECT * FROM (SELECT review_id, comment AS review, rating FROM raw_reviews ORDER BY review_id LIMIT 5000) t
+    f"""SELECT * FROM (SELECT review_id, comment AS review, rating FROM raw_reviews) t
 WHERE {_REV_SEARCH} ORDER BY review_id LIMIT 100""",
 )
 q(
@@ -662,7 +683,7 @@ q(
 q(
     "reviews_fallback",
     ["raw_reviews"],
-    "SELECT review_id, comment, rating FROM raw_reviews ORDER BY review_id LIMIT 5000",
+    "SELECT review_id, comment, rating FROM raw_reviews",
 )
 q(
     "sample_reviews",
@@ -691,6 +712,25 @@ q(
 )
 q("parse_review_reply", ["review_parsed"], "SELECT * FROM review_parsed")
 q("enrich_reviews", ["enriched"], "SELECT * FROM enriched")
+_GOOD = "('good', 'great', 'tasty', 'fresh', 'friendly', 'fast', 'excellent', 'love', 'polite', 'best')"
+_BAD = "('bad', 'cold', 'late', 'rude', 'stale', 'slow', 'worst', 'disgusting', 'worthless', 'pathetic')"
+_TOPIC = {
+    "Delivery": "['delivery', 'late', 'fast', 'slow', 'rider']",
+    "Food Quality": "['cold', 'stale', 'fresh', 'tasty', 'taste', 'disgusting']",
+    "Service": "['rude', 'friendly', 'polite', 'staff', 'service']",
+    "Price": "['price', 'expensive', 'cheap', 'worthless']",
+}
+q(
+    "enrich_reviews_rules",
+    ["candidates"],
+    f"""SELECT review_id, text AS original_text, true AS ok,
+ CASE WHEN good > bad THEN 'Positive' WHEN bad > good THEN 'Negative' ELSE 'Neutral' END AS sentiment,
+ CASE WHEN topics = '' THEN 'General' ELSE topics END AS topics,
+ CAST(good AS VARCHAR) || ' good and ' || CAST(bad AS VARCHAR) || ' bad words' AS summary
+FROM (SELECT *, len(list_filter(w, lambda x: x IN {_GOOD})) AS good, len(list_filter(w, lambda x: x IN {_BAD})) AS bad,
+        concat_ws(', ', {', '.join(f"CASE WHEN list_has_any(w, {v}) THEN '{k}' END" for k, v in _TOPIC.items())}) AS topics
+      FROM (SELECT *, string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+') AS w FROM candidates) a) b""",
+)
 q(
     "enrich_report",
     ["enriched"],
@@ -709,8 +749,12 @@ q(
  (SELECT restaurant_id FROM insight_first_run WHERE ok)""",
 )
 q("review_sample", ["sample30"], "SELECT * FROM sample30")
-q("review_bundle", ["bundle30"], "SELECT * FROM bundle30")
-q("parse_insight_reply", ["insight_parsed"], "SELECT * FROM insight_parsed")
+q("review_bundle", ["bundles"], "SELECT * FROM bundles")
+q(
+    "parse_insight_reply",
+    ["insight_parsed"],
+    "SELECT * REPLACE (" + ", ".join(f"array_to_string({k}, ', ') AS {k}" for k in _THEMES) + ") FROM insight_parsed",
+)
 q("insights_build", ["insight_build"], "SELECT * FROM insight_build")
 q(
     "insights_report",
@@ -780,5 +824,26 @@ q(
 )
 
 
+q(
+    "export_json_parsed",
+    ["mart_orders"],
+    f"""SELECT {rc('city')} AS city, SUM(total_revenue) AS revenue, CAST(SUM(total_orders) AS BIGINT) AS orders,
+ COUNT(*) AS restaurant_count FROM mart_orders GROUP BY {rc('city')}""",
+)
+q("ingest_csv_lines", ["raw_restaurants"], "SELECT * REPLACE (NULLIF(cuisine, '') AS cuisine) FROM raw_restaurants")
+q(
+    "append_new_rows",
+    ["raw_reviews"],
+    """SELECT DISTINCT CAST(FLOOR(review_id / 2) AS BIGINT) AS review_id FROM raw_reviews
+WHERE CAST(FLOOR(review_id / 2) AS BIGINT) NOT IN (SELECT review_id FROM raw_reviews WHERE review_id % 3 = 0)""",
+)
+q(
+    "source_choice",
+    [],
+    """SELECT 'labels' AS wanted, 'enriched' AS source, COUNT(*) AS row_count FROM labels
+UNION ALL SELECT 'gold_review_sentiments', 'raw', COUNT(*) FROM documents""",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from dinelens.operators import adhoc, explorer, insights, revenue, reviews, staging
 from dinelens.operators.paging import page_params
-from dinelens.operators.scoring import RecordedReplies
+from dinelens.operators.scoring import RecordedReplies, RuleScorer
 from dinelens.plans.warehouse import Warehouse
 from dinelens.sources import catalog
 
@@ -72,6 +73,41 @@ _add("table_counts", lambda w: catalog.table_counts(_count_tables(w)))
 _add("export_json", lambda w: explorer.export_json(revenue.cities_ranked(w.mart_orders)))
 
 
+_add("export_json_parsed", lambda w: _parsed_json(revenue.cities_ranked(w.mart_orders)))
+_add("ingest_csv_lines", lambda w: _csv_lines(w.raw_restaurants))
+_add("append_new_rows", lambda w: _append_new_rows(w))
+_add("source_choice", lambda w: _source_choice(w))
+
+
+def _parsed_json(df: DataFrame) -> DataFrame:
+    """A6 read back, so that numbers and not their spelling are compared."""
+    row = F.from_json("json", df.schema)
+    return explorer.export_json(df).select(row.alias("r")).select("r.*")
+
+
+def _csv_lines(df: DataFrame) -> DataFrame:
+    """A1 over the table's rows as CSV lines."""
+    lines = df.select(F.to_csv(F.struct(*df.columns), catalog.csv_options()).alias("line"))
+    return catalog.parse_csv_lines(lines, "line", df.schema)
+
+
+def _append_new_rows(w: Warehouse) -> DataFrame:
+    """A5: every id twice, those divisible by three in the table already."""
+    ids = w.raw_reviews(["review_id"])
+    rows = ids.select(F.floor(F.col("review_id") / 2).alias("review_id"))
+    return catalog.new_rows(rows, ids.filter("review_id % 3 = 0"), ["review_id"])
+
+
+def _source_choice(w: Warehouse) -> DataFrame:
+    """The labels are there, so they count as enriched; the other table is not."""
+    raw = w.raw_reviews(["review_id"])
+    parts = []
+    for name in ("labels", "gold_review_sentiments"):
+        source, rows = catalog.enriched_or_raw(w.spark, f"{w.base.root}/{name}.parquet", raw)
+        parts.append(rows.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("wanted"), F.lit(source).alias("source"), "row_count"))
+    return parts[0].unionByName(parts[1])
+
+
 def _count_tables(w: Warehouse) -> dict[str, DataFrame]:
     # stg_orders is counted on its mart columns: the user_id lookup it
     # leaves out is a 1:1 left join (o_orderkey is the key of orders), so
@@ -114,7 +150,7 @@ _add("restaurant_detail", lambda w: revenue.restaurant_detail(w.mart_orders))
 
 
 def _trend_orders(w: Warehouse, city: str | None = None) -> DataFrame:
-    cols = ["order_date", "sales_amount"] + (["restaurant_city"] if city else [])
+    cols = ["order_date", "sales_amount"] + (["r_id"] if city else [])
     return w.raw_orders(cols)
 
 
@@ -127,7 +163,7 @@ def _q10(w):
 
 
 def _q11(w, period="monthly", city=None):
-    return revenue.trend(_trend_orders(w, city), period, newest_first=False, limit=None, city=city)
+    return revenue.trend(_trend_orders(w, city), period, newest_first=False, limit=None, city=city, restaurants=w.raw_restaurants)
 
 
 _add("trend_monthly", _q9)
@@ -136,7 +172,7 @@ _add("trend_scoped", lambda w: _q11(w))
 _add("trend_scoped_city", lambda w: _q11(w, "monthly", CITY))
 _add("trend_scoped_yearly", lambda w: _q11(w, "yearly"))
 _add("aov_trend", lambda w: revenue.aov_trend(_trend_orders(w)))
-_add("aov_trend_city", lambda w: revenue.aov_trend(_trend_orders(w, CITY), city=CITY))
+_add("aov_trend_city", lambda w: revenue.aov_trend(_trend_orders(w, CITY), city=CITY, restaurants=w.raw_restaurants))
 _add("trend_summary_monthly", lambda w: revenue.trend_summary(_q9(w)))
 _add("trend_summary_yearly", lambda w: revenue.trend_summary(_q10(w)))
 _add("trend_summary_scoped_city", lambda w: revenue.trend_summary(_q11(w, "monthly", CITY)))
@@ -250,9 +286,7 @@ _add(
 )
 _add(
     "explore_reviews_raw",
-    lambda w: explorer.reviews_listing(
-        None, _raw_reviews(w), REVIEW_SEARCH, raw_texts=_review_texts(w)
-    ).page(PAGE_WIDE),
+    lambda w: explorer.reviews_listing(None, _raw_reviews(w), REVIEW_SEARCH).page(PAGE_WIDE),
 )
 _add(
     "explore_reviews_info",
@@ -273,7 +307,7 @@ _add(
 )
 _add(
     "reviews_fallback",
-    lambda w: explorer.reviews_fallback(_raw_reviews(w), texts=_review_texts(w)),
+    lambda w: explorer.reviews_fallback(_raw_reviews(w)),
 )
 _add(
     "sample_reviews",
@@ -285,8 +319,8 @@ _add("enrich_candidates", lambda w: reviews.enrich_candidates(_review_texts(w)))
 
 
 def _first_batch_done(w: Warehouse) -> DataFrame:
-    scorer = RecordedReplies(w.review_reply_log)
-    first = reviews.enrich_reviews(_review_texts(w), scorer, batch_size=reviews.ENRICH_BATCH)
+    # The scenario: an earlier run took one batch of 100.
+    first = reviews.enrich_reviews(_review_texts(w), w.review_scorer, batch_size=reviews.ENRICH_BATCH)
     return reviews.sentiment_rows(first, with_timestamp=False)
 
 
@@ -301,6 +335,7 @@ _add(
 _add("parse_review_reply", lambda w: reviews.parse_review_reply(w.review_responses))
 _add("enrich_reviews", lambda w: w.review_enrichment)
 _add("enrich_report", lambda w: reviews.enrich_report(w.review_enrichment))
+_add("enrich_reviews_rules", lambda w: reviews.enrich_reviews(_review_texts(w), RuleScorer()))
 _add(
     "review_volume",
     lambda w: insights.review_volume(w.stg_restaurants, _commented_reviews(w), 5, 50),
@@ -313,19 +348,16 @@ _add(
 
 def _pending(w: Warehouse) -> DataFrame:
     vol = insights.qualifying_restaurants(w.stg_restaurants, _commented_reviews(w), 5)
-    first_run = insights.insights_build(
-        w.stg_restaurants, _commented_reviews(w), RecordedReplies(w.insight_responses), top_n=10
-    )
+    # The scenario: an earlier run has analysed the restaurants with an even id.
+    even = w.stg_restaurants.filter(F.col("restaurant_id") % 2 == 0)
+    first_run = insights.insights_build(even, _commented_reviews(w), RecordedReplies(w.insight_responses))
     return insights.pending_restaurants(vol, insights.insight_rows(first_run, False))
 
 
 _add("pending_restaurants", _pending)
 _add("review_sample", lambda w: insights.review_sample(_commented_reviews(w), 30))
-_add(
-    "review_bundle",
-    lambda w: insights.review_bundle(insights.review_sample(_commented_reviews(w), 30)),
-)
-_add("parse_insight_reply", lambda w: insights.parse_insight_reply(w.insight_responses))
+_add("review_bundle", lambda w: insights.review_bundle(_commented_reviews(w)))
+_add("parse_insight_reply", lambda w: insights.parse_insight_reply(w.insight_responses, max_themes=4))
 _add("insights_build", lambda w: w.insight_build)
 _add("insights_report", lambda w: insights.insights_report(w.insight_build))
 _add("insights_list", lambda w: insights.insights_list(w.gold_restaurant_insights, page_params(1, None, 20)))

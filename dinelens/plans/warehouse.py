@@ -19,16 +19,30 @@ from pyspark.sql import functions as F
 
 from dinelens.operators import insights as ins
 from dinelens.operators import marts, reviews, staging
-from dinelens.operators.scoring import RecordedReplies
+from dinelens.operators.scoring import RecordedReplies, Scorer
 from dinelens.sources import fixtures
 from dinelens.sources.driver import BaseTables
 
 
+# What ``jobs.build_warehouse`` writes and ``Warehouse.from_built`` reads.
+BUILT_TABLES = (
+    "stg_restaurants",
+    "stg_orders",
+    "mart_orders",
+    "mart_city_restaurant_stats",
+    "mart_city_order_stats",
+    "gold_review_sentiments",
+    "gold_restaurant_insights",
+)
+
+
 class Warehouse:
-    # Open warehouses per (session, directory). Only the lazy DataFrame
-    # handles are kept (analysed plans and file listings), never results:
-    # every query still runs its whole plan against the files.
-    _open: dict[tuple[int, str], "Warehouse"] = {}
+    # Open warehouses of the current session, by directory. Only the lazy
+    # DataFrame handles are kept (analysed plans and file listings), never
+    # results: every query still runs its whole plan against the files. Those
+    # of an earlier session are let go when another one asks.
+    _open: dict[str, "Warehouse"] = {}
+    _session: SparkSession | None = None
 
     def __init__(self, spark: SparkSession, base: BaseTables):
         self.spark = spark
@@ -46,10 +60,24 @@ class Warehouse:
         For read-only inputs, like a dashboard service that keeps its
         table handles; use ``from_dir`` to see new files.
         """
-        key = (id(spark), sf_dir.rstrip("/"))
-        w = cls._open.get(key)
-        if w is None or w.spark is not spark:
-            w = cls._open[key] = cls.from_dir(spark, sf_dir)
+        if cls._session is not spark:
+            cls._open, cls._session = {}, spark
+        key = sf_dir.rstrip("/")
+        if key not in cls._open:
+            cls._open[key] = cls.from_dir(spark, sf_dir)
+        return cls._open[key]
+
+    @classmethod
+    def from_built(cls, spark: SparkSession, sf_dir: str, built_dir: str) -> "Warehouse":
+        """Silver and gold tables are scans of what ``jobs.build_warehouse``
+        wrote to ``built_dir``; only bronze comes from ``sf_dir``. Dashboard
+        queries then read the marts instead of aggregating all orders."""
+        w = cls.from_dir(spark, sf_dir)
+        for name in BUILT_TABLES:
+            w.__dict__[name] = spark.read.parquet(f"{built_dir.rstrip('/')}/{name}")
+        w.__dict__["stg_orders"] = w.stg_orders.drop("order_year")
+        w.__dict__["orders_for_marts"] = w.stg_orders.select("order_id", "restaurant_id", "order_amount")
+        w.__dict__["gold_review_texts"] = w.gold_review_sentiments.select("review_id", "original_text")
         return w
 
     # bronze ---------------------------------------------------------------
@@ -76,8 +104,8 @@ class Warehouse:
         return fixtures.review_responses(self.base)
 
     @cached_property
-    def review_reply_log(self) -> DataFrame:
-        return fixtures.review_reply_log(self.base)
+    def review_scorer(self) -> Scorer:
+        return fixtures.review_replay(self.base)
 
     @cached_property
     def insight_responses(self) -> DataFrame:
@@ -119,7 +147,7 @@ class Warehouse:
     def review_enrichment(self) -> DataFrame:
         """E8 over every pending review with the recorded replies."""
         raw = self.raw_reviews(["review_id", "restaurant_id", "comment"])
-        return reviews.enrich_reviews(raw, RecordedReplies(self.review_reply_log))
+        return reviews.enrich_reviews(raw, self.review_scorer)
 
     @cached_property
     def gold_review_sentiments(self) -> DataFrame:
@@ -140,7 +168,7 @@ class Warehouse:
         """E15 over every qualifying restaurant with the recorded replies."""
         raw = self.raw_reviews(["review_id", "restaurant_id", "comment"])
         return ins.insights_build(
-            self.stg_restaurants, raw, RecordedReplies(self.insight_responses), top_n=None
+            self.stg_restaurants, raw, RecordedReplies(self.insight_responses), max_themes=4
         )
 
     @cached_property

