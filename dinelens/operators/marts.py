@@ -6,8 +6,10 @@
 all orders still sends one row per map task through the shuffle), and only
 the per-restaurant totals meet the restaurant table. The sums equal those
 of join-then-aggregate because every (order, restaurant row) pair
-contributes the same addend either way; with FLOAT amounts summed in
-DOUBLE the totals are exact, so the order of addition does not matter.
+contributes the same addend either way. FLOAT amounts summed in DOUBLE are
+exact while a total stays below about 2^53 times the smallest addend's last
+bit (tens of billions here); beyond that the last digits of a total depend on
+the order of addition, and answers that are shown are rounded outermost.
 
 No broadcast hint: the restaurant side grows with the data, so the join
 strategy is left to Catalyst's size estimate and AQE's runtime statistics

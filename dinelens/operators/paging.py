@@ -4,7 +4,8 @@ A page is ``orderBy(...).offset(start).limit(size)``: Spark plans it as one
 ``TakeOrderedAndProject`` with an offset, so each task keeps at most
 ``offset + size`` rows and only one page reaches the driver. Page sizes are
 bounded (100 by default), which keeps that per-task heap small; deep pages
-cost ``O(offset)`` per task.
+cost ``O(offset)`` per task. A reader who goes on from the last row it has seen
+asks for ``rows_after`` instead: a filter and a top-k, whatever the depth.
 """
 
 from __future__ import annotations
@@ -56,6 +57,28 @@ def page_rows(df: DataFrame, order: list[Column], page: Page) -> DataFrame:
     return out.limit(page.size)
 
 
+def rows_after(df: DataFrame, order: list[tuple[str, bool]], last: tuple, size: int) -> DataFrame:
+    """The ``size`` rows behind ``last`` in an order of ``(column, falling)``
+    pairs, NULL last; ``last`` holds the order's values of the last row seen.
+
+    The order must be total, as for ``page_rows``. Each task keeps ``size``
+    rows and the first column's bound reaches the scan.
+    """
+    behind, equal = F.lit(False), F.lit(True)
+    for (name, falling), value in zip(order, last, strict=True):
+        c = F.col(name)
+        if value is not None:
+            beyond = (c < F.lit(value)) if falling else (c > F.lit(value))
+            behind = behind | (equal & (F.coalesce(beyond, F.lit(True))))
+        equal = equal & c.eqNullSafe(F.lit(value))
+    by = [F.col(n).desc_nulls_last() if falling else F.col(n).asc_nulls_last() for n, falling in order]
+    first, value = order[0], last[0]
+    if value is not None:
+        c = F.col(first[0])
+        df = df.filter((c <= F.lit(value)) | c.isNull() if first[1] else (c >= F.lit(value)) | c.isNull())
+    return df.filter(behind).orderBy(*by).limit(size)
+
+
 def page_info(df: DataFrame, page: Page) -> DataFrame:
     """One row: ``total_count, total_pages, page, page_size``;
     ``total_pages = max(1, ceil(total_count / page_size))``."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dinelens.functions.metrics import aov, rating_bucket, rating_sort_order, ratio
 from dinelens.functions.places import area, real_city
-from dinelens.operators.paging import Page, clamp, page_rows
+from dinelens.operators.paging import Page, clamp, page_rows, rows_after
 
 def _revenue_ties() -> list[Column]:
     return [F.col("restaurant_name").asc_nulls_last(), F.col("city").asc_nulls_last()]
@@ -245,6 +245,14 @@ def _performance_columns(mart: DataFrame) -> DataFrame:
     )
 
 
+PERFORMANCE_ORDER = [("total_revenue", True), ("restaurant_name", False), ("city", False)]
+
+
+def performance_after(mart: DataFrame, last: tuple, size: int = 10) -> DataFrame:
+    """Q20 for a reader who goes on behind the row ``last`` (revenue, name, city)."""
+    return rows_after(_performance_columns(mart), PERFORMANCE_ORDER, last, size)
+
+
 def restaurants_filtered(
     mart: DataFrame, min_revenue: float = 0, sort: str = "revenue", limit=20
 ) -> DataFrame:

@@ -565,6 +565,13 @@ FROM mart_orders {where} ORDER BY {order} LIMIT {limit} OFFSET {offset}"""
 
 q("performance_page", ["mart_orders"], _perf("", BY_REV, 3, 3))
 q("performance_page_city", ["mart_orders"], _perf(_WC, BY_REV, 100, 0))
+q(
+    "performance_after",
+    ["mart_orders"],
+    f"""SELECT restaurant_name, city, total_orders, total_revenue, {aov()} AS avg_order_value FROM mart_orders
+WHERE total_revenue IS NULL OR total_revenue < 30000000 OR (total_revenue = 30000000 AND (restaurant_name IS NULL OR restaurant_name > 'Merchant 3'))
+ORDER BY {BY_REV} LIMIT 5""",
+)
 q(
     "performance_page_by_name",
     ["mart_orders"],
@@ -845,5 +852,34 @@ UNION ALL SELECT 'gold_review_sentiments', 'raw', COUNT(*) FROM documents""",
 )
 
 
+cte(
+    "bad_restaurants",
+    ["raw_restaurants"],
+    """SELECT * REPLACE (CASE WHEN CAST(id AS BIGINT) % 10 = 1 THEN 'x' || id ELSE id END AS id,
+ CASE WHEN CAST(id AS BIGINT) % 10 = 2 THEN 'new' ELSE rating END AS rating,
+ CASE WHEN CAST(id AS BIGINT) % 10 = 3 THEN '₹ many' ELSE cost END AS cost) FROM raw_restaurants""",
+)
+q(
+    "restaurant_rejects_lenient",
+    ["bad_restaurants"],
+    """SELECT COUNT(*) FILTER (WHERE id IS NOT NULL AND TRY_CAST(id AS BIGINT) IS NULL) AS id_rejects,
+ COUNT(*) FILTER (WHERE rating IS NOT NULL AND rating != '--' AND TRY_CAST(rating AS FLOAT) IS NULL) AS rating_rejects,
+ COUNT(*) FILTER (WHERE cost IS NOT NULL AND TRY_CAST(REPLACE(cost, '₹ ', '') AS INTEGER) IS NULL) AS cost_rejects FROM bad_restaurants""",
+)
+q(
+    "stg_restaurants_lenient",
+    ["bad_restaurants"],
+    """SELECT TRY_CAST(id AS BIGINT) AS restaurant_id, name AS restaurant_name, city, TRY_CAST(rating AS FLOAT) AS rating,
+ TRY_CAST(REPLACE(cost, '₹ ', '') AS INTEGER) AS cost_for_two, cuisine FROM bad_restaurants""",
+)
+q(
+    "order_rejects_lenient",
+    ["raw_orders"],
+    """SELECT COUNT(*) FILTER (WHERE k % 100 = 11) AS order_id_rejects, CAST(0 AS BIGINT) AS r_id_rejects,
+ COUNT(*) FILTER (WHERE k % 100 = 12) AS order_date_rejects, COUNT(*) FILTER (WHERE k % 100 = 13) AS sales_amount_rejects
+FROM (SELECT CAST(order_id AS BIGINT) AS k FROM raw_orders) t""",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -133,6 +133,35 @@ _add(
         w.raw_orders(["order_id", "r_id", "user_id", "order_date", "order_status", "sales_amount"])
     ),
 )
+# the same counts over values of which some are bad
+_add("restaurant_rejects_lenient", lambda w: staging.restaurant_rejects(_bad_restaurants(w.raw_restaurants)))
+_add("stg_restaurants_lenient", lambda w: staging.stg_restaurants(_bad_restaurants(w.raw_restaurants), strict=False))
+_add("order_rejects_lenient", lambda w: staging.order_rejects(_bad_orders(w)))
+
+
+def _bad_restaurants(raw: DataFrame) -> DataFrame:
+    k = F.col("id").cast("bigint")
+    return raw.withColumns(
+        {
+            "id": F.when(k % 10 == 1, F.concat(F.lit("x"), "id")).otherwise(F.col("id")),
+            "rating": F.when(k % 10 == 2, F.lit("new")).otherwise(F.col("rating")),
+            "cost": F.when(k % 10 == 3, F.lit("₹ many")).otherwise(F.col("cost")),
+        }
+    )
+
+
+def _bad_orders(w: Warehouse) -> DataFrame:
+    raw = w.raw_orders(["order_id", "r_id", "order_date", "sales_amount"])
+    k = F.col("order_id").cast("bigint")
+    return raw.withColumns(
+        {
+            "order_id": F.when(k % 100 == 11, F.lit("?")).otherwise(F.col("order_id")),
+            "order_date": F.when(k % 100 == 12, F.lit("2024-13-45")).otherwise(F.col("order_date")),
+            "sales_amount": F.when(k % 100 == 13, F.lit("1,5")).otherwise(F.col("sales_amount").cast("string")),
+        }
+    )
+
+
 _add("mart_city_restaurant_stats", lambda w: w.mart_city_restaurant_stats)
 _add("mart_city_order_stats", lambda w: w.mart_city_order_stats)
 
@@ -211,6 +240,11 @@ _add(
     "performance_page_by_name",
     lambda w: revenue.performance_page(w.mart_orders, PAGE_2_OF_3, sort="name"),
 )
+# behind a row that is given by its values; it need not exist
+_add(
+    "performance_after",
+    lambda w: revenue.performance_after(w.mart_orders, (float(MIN_REVENUE), "Merchant 3", None), 5),
+)
 _add(
     "performance_page_by_orders",
     lambda w: revenue.performance_page(w.mart_orders, PAGE_2_OF_3, sort="orders"),

@@ -8,7 +8,6 @@ session and set only when missing).
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -44,20 +43,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none a folder is set: ``fallback``, or in
-    local mode (tests) a fresh temporary one. On a cluster without a setting
-    this raises instead of using a machine-local folder.
+    Only when the session names none, ``fallback`` is set (tests, local runs);
+    without one this raises instead of using a machine-local folder.
     """
     current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-        return current
-    if fallback is None and not spark.sparkContext.master.startswith("local"):
+    path = current or fallback
+    if not path:
         raise RuntimeError(
             "spark.checkpoint.dir is not set: name a shared folder (HDFS/object store) "
             "so checkpoints survive the loss of an executor"
         )
-    path = fallback or tempfile.mkdtemp(prefix="dinelens-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(path)
     return path

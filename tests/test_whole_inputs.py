@@ -226,3 +226,19 @@ def test_year_partitions_have_few_files(wh_small, scratch):
     build_warehouse(wh_small, scratch)
     for year in glob.glob(f"{scratch}/stg_orders/order_year=*"):
         assert len(glob.glob(f"{year}/*.parquet")) <= 8
+
+
+def test_going_on_behind_a_row_equals_pages(wh_mid):
+    from dinelens.operators import revenue
+
+    whole = [tuple(r) for r in revenue._performance_columns(wh_mid.mart_orders).orderBy(
+        F.col("total_revenue").desc_nulls_last(), F.col("restaurant_name").asc_nulls_last(), F.col("city").asc_nulls_last()
+    ).collect()]
+    got, last = [], None
+    first = revenue._performance_columns(wh_mid.mart_orders)
+    rows = [tuple(r) for r in first.orderBy(F.col("total_revenue").desc_nulls_last(), F.col("restaurant_name").asc_nulls_last(), F.col("city").asc_nulls_last()).limit(40).collect()]
+    while rows:
+        got += rows
+        last = (rows[-1][3], rows[-1][0], rows[-1][1])
+        rows = [tuple(r) for r in revenue.performance_after(wh_mid.mart_orders, last, 40).collect()]
+    assert got == whole
