@@ -42,10 +42,11 @@ from pyspark.sql import functions as F
 from dinelens.llm.common import materialise, text_or_empty
 
 MAX_EXAMPLES = 30_000
-MAX_TERMS = 4096
+MAX_TERMS = 1024
 MAX_CALIBRATION = 3000
 LEAST_ROWS = 3
 LEAST_RATIO = 2.0
+LEAST_GAIN = 6.0  # of a term: toxic rows with it, times the log of its ratio
 PREFIXES = (4, 5, 6)
 K = 15
 BLOCK = 64
@@ -61,16 +62,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def term_counts(text: str) -> dict[str, int]:
-    """Words of the lower-cased text, and ``^`` with the first letters of longer ones."""
-    words = Counter(WORD.findall(text.lower()))
-    out = dict(words)
-    for w, n in words.items():
-        for p in PREFIXES:
-            if len(w) > p:
-                key = "^" + w[:p]
-                out[key] = out.get(key, 0) + n
-    return out
+def terms_of(word: str) -> list[str]:
+    """The word, and ``^`` with its first letters if it is longer."""
+    return [word, *("^" + word[:p] for p in PREFIXES if len(word) > p)]
+
+
+def words_of(text: str) -> Counter:
+    return Counter(WORD.findall(text.lower()))
 
 
 # ---------------------------------------------------------------- learning
@@ -101,7 +99,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen[int(y > 0)].update(term_counts(text).keys())
+            seen[int(y > 0)].update({t for w in words_of(text) for t in terms_of(w)})
             if len(seen[0]) + len(seen[1]) > FLUSH:
                 yield out()
                 seen[0].clear()
@@ -120,7 +118,8 @@ def learn_terms(sample: DataFrame, max_terms: int) -> tuple[list[str], int, int]
     )
     rate1, rate0 = (F.col("d1") + 0.5) / (n1 + 1.0), (F.col("d0") + 0.5) / (n0 + 1.0)
     marked = by_term.filter((F.col("d1") >= LEAST_ROWS) & (rate1 > LEAST_RATIO * rate0))
-    best = marked.select("term", (F.col("d1") * F.log(rate1 / rate0)).alias("gain")).orderBy(F.desc("gain"), "term").limit(max_terms)
+    marked = marked.select("term", (F.col("d1") * F.ln(rate1 / rate0)).alias("gain")).filter(F.col("gain") >= LEAST_GAIN)
+    best = marked.orderBy(F.desc("gain"), "term").limit(max_terms)
     return [r["term"] for r in best.collect()], n0, n1
 
 
@@ -132,12 +131,21 @@ def vectors(docs: DataFrame, terms: list[str], keep: tuple[str, ...] = ()) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = number.value
+        known: dict[str, tuple[int, ...]] = {}  # words seen before; most have no term
         for batch in batches:
             ids, tfs = [], []
             for text in batch.column("text").to_pylist():
-                found = sorted((place[w], n) for w, n in term_counts(text).items() if w in place)
-                ids.append([i for i, _ in found])
-                tfs.append([n for _, n in found])
+                if len(known) > FLUSH:
+                    known.clear()
+                counts: dict[int, int] = {}
+                for w, n in words_of(text).items():
+                    found = known.get(w)
+                    if found is None:
+                        found = known[w] = tuple(place[t] for t in terms_of(w) if t in place)
+                    for i in found:
+                        counts[i] = counts.get(i, 0) + n
+                ids.append(sorted(counts))
+                tfs.append([counts[i] for i in ids[-1]])
             columns = [*(batch.column(c) for c in names), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, [*names, "ids", "tfs"])
 
@@ -185,30 +193,26 @@ class Index:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         places, cosines = np.zeros(0, np.int64), np.zeros(0)
-        at, take = 0, 4
+        at, take = 0, 8
         while at < len(order):
             if len(cosines) >= k and bound[order[at]] < cosines[k - 1] - 1e-9:
                 break
-            group = np.sort(order[at : at + take])
-            at, take = at + take, min(2 * take, 256)
-            score = np.zeros(self.n_scores(group))
+            taken = np.zeros(self.blocks, bool)
+            taken[order[at : at + take]] = True
+            at, take = at + take, 4 * take
+            score = np.zeros(self.n)
             for (p, pw, b, first, _), q in lists:
-                where = np.searchsorted(b, group)
-                hit = (where < len(b)) & (b[np.minimum(where, len(b) - 1)] == group)
-                for g, i in zip(np.flatnonzero(hit).tolist(), where[hit].tolist(), strict=True):
-                    lo, hi = first[i], first[i + 1]
-                    score[g * self.block + p[lo:hi] - group[g] * self.block] += q * pw[lo:hi]
-            s = np.flatnonzero(score > 0)
-            place = group[s // self.block] * self.block + s % self.block
-            keep = place != skip
-            places, cosines = np.concatenate([places, place[keep]]), np.concatenate([cosines, score[s][keep]])
+                here = taken[b]
+                if here.any():
+                    rows = np.repeat(here, np.diff(first))
+                    score[p[rows]] += q * pw[rows]
+            place = np.flatnonzero(score > 0)
+            place = place[place != skip]
+            places, cosines = np.concatenate([places, place]), np.concatenate([cosines, score[place]])
             best = np.lexsort((places, -np.round(cosines, 9)))[:k]
             places, cosines = places[best], cosines[best]
         return places, cosines
 
-    def n_scores(self, group: np.ndarray) -> int:
-        return len(group) * self.block
-
 
 class Model:
     """Index, base rates and the map from votes to probabilities."""
