@@ -20,7 +20,7 @@ def library_ids(path, texts):
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-ODD = ["", " ", "\n", "a\n\nb", " x  y\n z\t", "Hé!  ok.\nno,   x", "日本語 テスト", "it's John's. 12,000.5", "a\x1cb c", "x\x85y z", "İstanbul ΣΑΣ. ΣΑΣ", "<|endoftext|> x", "wort, , . .. ...", "\na", "a\n", "don't. 's, 's"]
+ODD = ["", " ", "\n", "a\n\nb", " x  y\n z\t", "Hé!  ok.\nno,   x", "日本語 テスト", "it's John's. 12,000.5", "a\x1cb c", "x\x85y z", "İstanbul ΣΑΣ. ΣΑΣ", "<|endoftext|> x", "İİ, İ. ŉabc, ǰx ﬁ. ß, ª. x². Ⅷ,", "wort, , . .. ...", "\na", "a\n", "don't. 's, 's"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])

@@ -38,17 +38,6 @@ def test_a_changed_byte_is_found():
         token_files.read_segment(bytes(data))
 
 
-def brute(rows, ids):
-    from pyspark.sql.functions import xxhash64  # noqa: F401
-
-    out, start = [], 0
-    for d, t in rows:
-        v = np.array([*ids[t], 2], "<u4")
-        out.append((d, start, len(v), zlib.crc32(v.tobytes())))
-        start += len(v)
-    return out
-
-
 def test_round_trip_through_files(spark, documents, odd_documents, empty_documents, tmp_path):
     from tokenizers import Tokenizer
 
