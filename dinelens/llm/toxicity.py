@@ -123,6 +123,28 @@ def learn_terms(sample: DataFrame, max_terms: int) -> tuple[list[str], int, int]
     return [r["term"] for r in best.collect()], n0, n1
 
 
+class _Counter:
+    """Counts of vocabulary terms in a text, remembering the terms of words seen before."""
+
+    def __init__(self, place: dict[str, int]):
+        self.place = place
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def __call__(self, text: str) -> tuple[list[int], list[int]]:
+        known, place = self.known, self.place
+        if len(known) > FLUSH:
+            known.clear()
+        counts: dict[int, int] = {}
+        for w, n in words_of(text).items():
+            found = known.get(w)
+            if found is None:  # most words have no term
+                found = known[w] = tuple(place[t] for t in terms_of(w) if t in place)
+            for i in found:
+                counts[i] = counts.get(i, 0) + n
+        ids = sorted(counts)
+        return ids, [counts[i] for i in ids]
+
+
 def vectors(docs: DataFrame, terms: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, t, ids, tfs`` of every document and the columns ``keep``: the counts of vocabulary terms in its whole text."""
     number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
@@ -130,22 +152,10 @@ def vectors(docs: DataFrame, terms: list[str], keep: tuple[str, ...] = ()) -> Da
     names = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = number.value
-        known: dict[str, tuple[int, ...]] = {}  # words seen before; most have no term
+        count = _Counter(number.value)
         for batch in batches:
-            ids, tfs = [], []
-            for text in batch.column("text").to_pylist():
-                if len(known) > FLUSH:
-                    known.clear()
-                counts: dict[int, int] = {}
-                for w, n in words_of(text).items():
-                    found = known.get(w)
-                    if found is None:
-                        found = known[w] = tuple(place[t] for t in terms_of(w) if t in place)
-                    for i in found:
-                        counts[i] = counts.get(i, 0) + n
-                ids.append(sorted(counts))
-                tfs.append([counts[i] for i in ids[-1]])
+            found = [count(text) for text in batch.column("text").to_pylist()]
+            ids, tfs = [i for i, _ in found], [n for _, n in found]
             columns = [*(batch.column(c) for c in names), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, [*names, "ids", "tfs"])
 
@@ -259,8 +269,8 @@ def monotone(x: np.ndarray, y: np.ndarray, groups: int = 20) -> tuple[np.ndarray
     return np.concatenate([[min(0.0, at[0])], at, [max(1.0, at[-1])]]), np.concatenate([[rate[0]], rate, [rate[-1]]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = K) -> tuple[Model, DataFrame]:
-    """The model, and the count vectors of all documents it was fitted beside."""
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = K) -> tuple[Model, DataFrame, list[str]]:
+    """The model, the count vectors of all documents it was fitted beside, and the terms."""
     sample = materialise(labelled_sample(docs, labels, max_examples), "sample")
     terms, _, _ = learn_terms(sample, max_terms)
     vecs = materialise(vectors(docs, terms), "vectors")
@@ -273,29 +283,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     rows = vectors(sample, terms, keep=("toxic",)).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["t"], r["doc_id"]))
     index = Index(idf, [(r["ids"], r["tfs"]) for r in rows], [int(r["toxic"] > 0) for r in rows], [r["doc_id"] for r in rows])
-    return Model(index, k), vecs
+    return Model(index, k), vecs, terms
 
 
 # ----------------------------------------------------------------- scoring
 
 
+class _Scorer:
+    """``Model.score``, remembering the vectors seen before."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known: dict = {}
+
+    def __call__(self, ids: list[int], tfs: list[int]) -> tuple[float, str]:
+        # One term alone has the same unit vector for any count.
+        key = (tuple(ids), tuple(tfs) if len(ids) > 1 else ())
+        if key not in self.known:
+            if len(self.known) > CACHED:
+                self.known.clear()
+            self.known[key] = self.model.score(ids, tfs)
+        return self.known[key]
+
+
 def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per document: ``doc_id, t, held_out, score, predicted, evidence``."""
-    model, vecs = fit(docs.select("doc_id", "text"), labels, **options)
+    model, vecs, _ = fit(docs.select("doc_id", "text"), labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        scored = _Scorer(shared.value)
         for batch in batches:
-            out = []
-            for ids, tfs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                # One term alone has the same unit vector for any count.
-                key = (tuple(ids), tuple(tfs) if len(ids) > 1 else ())
-                if key not in known:
-                    if len(known) > CACHED:
-                        known.clear()
-                    known[key] = shared.value.score(ids, tfs)
-                out.append(known[key])
+            out = [scored(ids, tfs) for ids, tfs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.string())],
                 ["doc_id", "t", "score", "evidence"],
@@ -309,8 +328,20 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not predicted toxic."""
-    bad = score(docs, labels, **options).filter("predicted = 1")
-    bad = materialise(bad.select(F.col("doc_id").alias("_llm_id"), F.col("t").alias("_llm_t")).distinct(), "toxic")
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_llm_id"]) & (F.xxhash64(text) == bad["_llm_t"]), "left_anti")
+    """The rows of ``docs``, all columns, that ``score`` does not predict toxic.
+
+    The model is fitted as for ``score``; then every row is scored where it
+    lies and kept or not. No row is shuffled, whatever share of them is toxic.
+    """
+    model, _, terms = fit(docs.select("doc_id", "text"), labels, **options)
+    shared = docs.sparkSession.sparkContext.broadcast((model, {t: i for i, t in enumerate(terms)}))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, place = shared.value
+        scored, count = _Scorer(model), _Counter(place)
+        for batch in batches:
+            keep = [scored(*count(text or ""))[0] < PREDICT_AT for text in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
