@@ -122,7 +122,7 @@ def crossover(a: Solution, b: Solution, counts: dict[int, int], capacity: int, r
                 left[n] -= k * x
 
     well = [(p, m) for p, m in b if _filled(p) >= WELL_FILLED * capacity] or b
-    for p, m in rng.sample(well, rng.randint(1, len(well))):
+    for p, m in rng.sample(well, rng.randint(1, max(1, len(well) // 20))):
         keep(p, m)
     for p, m in sorted(a, key=lambda x: (-_filled(x[0]), x[0])):
         keep(p, m)  # bins beyond that hold documents already placed: dissolved
