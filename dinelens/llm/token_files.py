@@ -37,13 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from dinelens.llm.common import shared_folder, text_or_empty
+from dinelens.llm.common import materialise, shared_folder, text_or_empty
 from dinelens.llm.tokens import encoder
 
 MAGIC = b"TIDS"
 BLOCK = 1024
 LANES = 4096
-SLOTS = 512  # of a context table
+SLOTS = 64  # of a context table; small ones stay in the cache
+SHIFT = np.uint32(32 - 6)  # takes a 32-bit hash to a slot
 NONE = 65535
 ONE = 4096  # what the shares of the three orders sum to
 LEAST = 32  # of a prediction's weight, and of what lies above it
@@ -86,8 +87,8 @@ class _Model:
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The two predicted ids, and the ends of their shares of ``ONE``."""
         b1 = self.before1
-        hash2 = ((b1 * np.uint32(2246822519)) ^ (self.before2 * np.uint32(3266489917))) >> np.uint32(23)
-        hash1 = (b1 * np.uint32(2654435761)) >> np.uint32(23)
+        hash2 = ((b1 * np.uint32(2246822519)) ^ (self.before2 * np.uint32(3266489917))) >> SHIFT
+        hash1 = (b1 * np.uint32(2654435761)) >> SHIFT
         self.at = [self.base + hash2, self.base + hash1]
         e2, e1 = (t.take(i) for t, i in zip(self.entries, self.at, strict=True))
         self.sure = [e2 >> 16, e1 >> 16]
@@ -298,8 +299,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     # One row per writing task, so the ordered window over all is small.
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    bases = totals.select(F.col("part").alias("base_part"), F.coalesce(before, F.lit(0)).alias("base"))
-    rows = files.join(F.broadcast(bases), F.col("part") == F.col("base_part")).select((F.col("base") + F.col("first")).alias("first"), "data")
+    bases = materialise(totals.select(F.col("part").alias("base_part"), F.coalesce(before, F.lit(0)).alias("base")), "bases")
+    rows = files.join(bases, F.col("part") == F.col("base_part")).select((F.col("base") + F.col("first")).alias("first"), "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

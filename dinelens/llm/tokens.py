@@ -14,8 +14,11 @@ import json
 import os
 from array import array
 
+import numpy as np
+
 MAX_CACHED = 600_000
 STOPS = ".,"
+JOINED = 64
 _OPEN: dict[str, Encoder] = {}
 
 
@@ -54,14 +57,35 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words of letters alone, many to one call of the library: such a word is one pre-token."""
+        out: list[bytes] = []
+        chunks = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        found = self.library.encode_batch([before + " ".join(c) for c in chunks], add_special_tokens=False)
+        for chunk, e in zip(chunks, found, strict=True):
+            of = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
+            ends = [*(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            if len(ends) == len(chunk) and -1 not in of:
+                raw = array("I", e.ids).tobytes()
+                out.extend(raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
+            else:  # a letter that becomes something else
+                out.extend(self.whole([before + w for w in chunk]))
+        return out
+
     def _learn(self, cache: dict, words: set[str], before: str) -> None:
         new = words.difference(cache)
         if len(cache) + len(new) > MAX_CACHED:
             cache.clear()
             new = words
-        stopped = {w for w in new if w[-1:] in self.stops and w[:-1].isalpha()}
-        plain = list((new - stopped | {w[:-1] for w in stopped}).difference(cache))
-        for word, ids in zip(plain, self.whole([before + w for w in plain]), strict=True):
+        # The letter before the stop must still be one in lower case, or the two may join.
+        stopped = {w for w in new if w[-1:] in self.stops and w[:-1].isalpha() and w[-2].lower().isalpha()}
+        plain = (new - stopped | {w[:-1] for w in stopped}).difference(cache)
+        if before or self.wordwise:
+            letters = [w for w in plain if w.isalpha()]
+            cache.update(zip(letters, self._joined(letters, before), strict=True))
+            plain.difference_update(letters)
+        rest = list(plain)
+        for word, ids in zip(rest, self.whole([before + w for w in rest]), strict=True):
             unsafe = self.bytewise and (not word or word[0].isspace() or word[-1].isspace())
             cache[word] = None if unsafe else ids
         for w in stopped:
@@ -77,11 +101,11 @@ class Encoder:
     def _bytewise(self, texts: list[str]) -> list[bytes]:
         cut = [[line.split(" ") for line in t.split("\n")] for t in texts]
         self._learn(self.first, {line[0] for lines in cut for line in lines}, "")
-        self._learn(self.later, {w for lines in cut for line in lines for w in line[1:]}, " ")
-        first, later, out = self.first, self.later, []
+        self._learn(self.later, set().union(*[line[1:] for lines in cut for line in lines]), " ")
+        first, later, out = self.first, self.later.__getitem__, []
         for text, lines in zip(texts, cut, strict=True):
             try:
-                out.append(self.line_break.join([first[x[0]] + b"".join([later[w] for w in x[1:]]) for x in lines]))
+                out.append(self.line_break.join([first[x[0]] + b"".join(map(later, x[1:])) for x in lines]))
             except TypeError:  # white space that belongs to no word
                 out.extend(self.whole([text]))
         return out
@@ -90,6 +114,6 @@ class Encoder:
         # str.split() also parts at the four separators, which other tools see as characters.
         odd = {i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
         cut = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        self._learn(self.later, {w for c in cut for w in c}, "")
-        later = self.later
-        return [self.whole([texts[i]])[0] if i in odd else b"".join([later[w] for w in c]) for i, c in enumerate(cut)]
+        self._learn(self.later, set().union(*cut), "")
+        later = self.later.__getitem__
+        return [self.whole([texts[i]])[0] if i in odd else b"".join(map(later, c)) for i, c in enumerate(cut)]
