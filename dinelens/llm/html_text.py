@@ -2,13 +2,21 @@
 
 First pass: every page scores its containers (``div``, ``article`` ...) by the
 share of its plain text they hold, by how little boilerplate and link text
-lies inside, and by semantic tags, and votes for the best few. A container is
+lies inside, and by semantic tags. From the best one it climbs to the ancestor
+as long as that adds a title or more plain text than link text (titles, leads
+and closing paragraphs beside an inner container); it climbs to the body for
+a title, for text of the body's own or for more than ``MINOR`` of its text.
+The container reached is the page's own and gets its vote. A container is
 named by its generalised path: tags with classes from the body down, digits
-replaced. Votes are summed per host and path in Spark.
+replaced. Per host and path Spark sums the votes, the pages that have the path
+and those where it lies beside the page's own container; a path that lies
+beside it on most of several pages is outvoted.
 
 Second pass: every page is read again and its text taken from the containers
-on its host's winning path; a page that lacks it, or where it holds little,
-takes the next path of its host, at last its own best container.
+on the first path of its host that holds nearly all text of the page's own
+container, outvoted paths aside, and not less than a third of it with them;
+without such a path it is the page's own container. So a host's further paths
+beyond ``MAX_PATHS`` and ``MAX_OUTVOTED`` cost a page no text.
 
 The pass over pages is repeated instead of stored, and the table of winning
 paths is written first, so Spark joins it by broadcast while it is small and
@@ -53,9 +61,11 @@ BOILERPLATE = frozenset(
     "disqus respond replies reply share sharing social related recommended breadcrumb breadcrumbs pagination pager newsletter subscribe "
     "subscription signup login search toolbar complementary contentinfo".split()
 )
-MAX_PATHS = 8
-VOTES_PER_PAGE = 3
-LITTLE = 0.2
+MAX_PATHS = 32
+MAX_OUTVOTED = 64
+NEARLY = 0.9
+LEAST = 1 / 3
+MINOR = 0.05
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?/][^>]*>",
@@ -72,12 +82,12 @@ class Page:
 
     def __init__(self, source: str):
         self.paths, self.parents, self.semantic = ["html"], [-1], [False]
-        self.blocks: list[tuple[int, str, int]] = []  # container, text, characters of links
+        self.blocks: list[tuple[int, str, int, bool]] = []  # container, text, characters of links, is it a title
         self.dropped = [0]
         self._read(source)
         n = len(self.paths)
         self.text, self.links = [0] * n, [0] * n
-        for c, t, linked in self.blocks:
+        for c, t, linked, _ in self.blocks:
             self.text[c] += len(t) - linked
             self.links[c] += linked
         for c in range(n - 1, 0, -1):  # a container comes after its parent
@@ -90,6 +100,7 @@ class Page:
         at, here, dropping, links = 0, 0, 0, 0
         words: list[str] = []
         linked = 0
+        title = False  # inside an h1, whose link text counts as plain
 
         def flush() -> None:
             nonlocal linked
@@ -100,7 +111,7 @@ class Page:
                     if dropping:
                         self.dropped[here] += len(text)
                     else:
-                        self.blocks.append((here, text, min(linked, len(text))))
+                        self.blocks.append((here, text, 0 if title else min(linked, len(text)), title))
             linked = 0
 
         def close(k: int) -> None:
@@ -140,6 +151,7 @@ class Page:
             if closing:
                 if tag in BLOCKS:
                     flush()
+                    title = False
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         if stack[k][3]:
@@ -150,6 +162,7 @@ class Page:
                 continue
             if tag in BLOCKS:
                 flush()
+                title = tag == "h1"
                 links = 0 if tag != "li" else links
                 if stack[-1][0] in ("p", "li", "dt", "dd") and (tag == stack[-1][0] or stack[-1][0] == "p"):
                     close(len(stack) - 1)
@@ -203,25 +216,86 @@ class Page:
             out.append((t / whole * pure**0.5 + (0.2 if self.semantic[c] else 0.0) + 0.05 * min(depth, 10), c))
         return sorted(out, key=lambda x: (-x[0], -x[1]))
 
-    def taken(self, roots: set[int]) -> str:
-        """The blocks inside the given containers, in page order."""
+    def own(self) -> int:
+        """The page's own container: the best one, widened; -1 without plain text."""
+        best = self.scored()
+        if not best:
+            return -1
+        at = best[0][1]
+        up = self.parents[at]
+        while up >= 0 and not self.semantic[at]:
+            plain, linked = self.text[up] - self.text[at], self.links[up] - self.links[at]
+            if plain or linked:
+                beside = self._beside(at, up)
+                if plain < linked and not any(title for _, _, title in beside):
+                    break
+                if self.paths[up].count(">") <= 1 and plain <= MINOR * self.text[up]:
+                    titled = {child for child, _, title in beside if title}
+                    if any(child >= 0 and child not in titled for child, _, _ in beside):
+                        break
+                at = up
+            up = self.parents[up]
+        return at
+
+    def _beside(self, at: int, up: int) -> list[tuple[int, int, bool]]:
+        """Blocks of ``up`` outside ``at``: child container of ``up`` or -1, plain characters, is it a title."""
+        inside, out = self.inside({at}), []
+        for c, t, linked, title in self.blocks:
+            if inside[c]:
+                continue
+            child = -1
+            while c != up and c >= 0:
+                child, c = c, self.parents[c]
+            if c == up:
+                out.append((child, len(t) - linked, title))
+        return out
+
+    def inside(self, roots: set[int]) -> list[bool]:
+        """Of every container: is it one of the given or inside one."""
         inside = [False] * len(self.paths)
         for c in range(len(self.paths)):
             inside[c] = c in roots or (self.parents[c] >= 0 and inside[self.parents[c]])
-        return "\n".join(t for c, t, _ in self.blocks if inside[c])
+        return inside
 
-    def extract(self, ranked: list[str]) -> str:
-        """Text by the first of the host's paths that holds enough, else by the page's best container."""
-        best = self.scored()
-        if not best:
+    def taken(self, roots: set[int]) -> str:
+        """The blocks inside the given containers, in page order."""
+        inside = self.inside(roots)
+        return "\n".join(t for c, t, _, _ in self.blocks if inside[c])
+
+    def votes(self) -> dict[str, tuple[int, int]]:
+        """Per path with plain text: is it the own container's, and do all its containers lie beside that."""
+        own = self.own()
+        if own < 0:
+            return {}
+        inside, around, up = self.inside({own}), set(), own
+        while up >= 0:
+            around.add(up)
+            up = self.parents[up]
+        out: dict[str, tuple[int, int]] = {}
+        for c, path in enumerate(self.paths):
+            if self.text[c] > 0:
+                won, beside = out.get(path, (0, 1))
+                out[path] = (won | (path == self.paths[own]), beside & (not inside[c] and c not in around))
+        return out
+
+    def extract(self, ranked: list[str], outvoted: list[str] = ()) -> str:
+        """Text by the first of the host's paths that holds nearly all, else of the page's own container."""
+        own = self.own()
+        if own < 0:
             # Link text alone is what the page has, if anything.
             return self.taken({0}) if self.blocks else ""
-        most = self.text[best[0][1]]
+        lost = set(outvoted)
+        off = self.inside({c for c, p in enumerate(self.paths) if p in lost}) if lost else [False] * len(self.paths)
+        mine = self.inside({own})
+        kept = [(c, len(t) - linked) for c, t, linked, _ in self.blocks if mine[c] and not off[c]]
+        most = sum(n for _, n in kept)
         for path in ranked:
             roots = {c for c, p in enumerate(self.paths) if p == path}
-            if roots and sum(self.text[c] for c in roots) >= LITTLE * most:
-                return self.taken(roots)
-        return self.taken({best[0][1]})
+            if roots and sum(self.text[c] for c in roots) >= LEAST * self.text[own]:
+                inside = self.inside(roots)
+                if sum(n for c, n in kept if inside[c]) >= NEARLY * most:
+                    return self.taken(roots)
+        return self.taken({own})
 
 
 def host_of(url: Column) -> Column:
@@ -230,26 +304,33 @@ def host_of(url: Column) -> Column:
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen: dict[tuple[str, str], float] = {}
+        seen: dict[tuple[str, str], list[int]] = {}
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            page = Page(source)
-            for rank, (score, c) in enumerate(page.scored()[:VOTES_PER_PAGE], 1):
-                key = (host, page.paths[c])
-                seen[key] = seen.get(key, 0.0) + score / rank**2
+            for path, (won, beside) in Page(source).votes().items():
+                n = seen.setdefault((host, path), [0, 0, 0])
+                n[0] += won
+                n[1] += 1
+                n[2] += beside
         rows = sorted(seen.items())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([h for (h, _), _ in rows], pa.string()), pa.array([p for (_, p), _ in rows], pa.string()), pa.array([v for _, v in rows], pa.float64())], ["host", "path", "votes"]
-        )
+        names = [pa.array([key[i] for key, _ in rows], pa.string()) for i in range(2)]
+        counts = [pa.array([n[i] for _, n in rows], pa.int64()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*names, *counts], ["host", "path", "votes", "pages", "beside"])
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """``host, paths``: the paths with most votes, best first, from rows of ``host, html``."""
-    votes = pages.select("host", "html").mapInArrow(_votes, "host string, path string, votes double")
-    summed = votes.groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
-    rank = F.row_number().over(W.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    first = summed.withColumn("rank", rank).filter(F.col("rank") <= MAX_PATHS)
-    ordered = F.sort_array(F.collect_list(F.struct("rank", "path")))
-    return first.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"))
+    """``host, paths, outvoted``: the paths with most votes, best first, and the outvoted ones, from rows of ``host, html``."""
+    counted = pages.select("host", "html").mapInArrow(_votes, "host string, path string, votes long, pages long, beside long")
+    summed = counted.groupBy("host", "path").agg(*[F.sum(n).alias(n) for n in ("votes", "pages", "beside")])
+    won = F.when(F.col("votes") > 0, F.struct(F.lit(0).alias("kind"), F.col("votes").alias("n")))
+    lost = F.when((F.col("pages") > 1) & (2 * F.col("beside") > F.col("pages")), F.struct(F.lit(1).alias("kind"), F.col("pages").alias("n")))
+    listed = summed.select("host", "path", F.explode(F.array_compact(F.array(won, lost))).alias("x")).select("host", "path", "x.kind", "x.n")
+    rank = F.row_number().over(W.partitionBy("host", "kind").orderBy(F.desc("n"), "path"))
+    first = listed.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("kind") == 0, MAX_PATHS).otherwise(MAX_OUTVOTED)).filter(F.col("rank") <= max(MAX_PATHS, MAX_OUTVOTED))
+
+    def ordered(kind: int) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "path")))), lambda x: x["path"])
+
+    return first.groupBy("host").agg(ordered(0).alias("paths"), ordered(1).alias("outvoted"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -258,11 +339,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
     )
     best = materialise(winning_paths(rows), "paths").withColumnRenamed("host", "best_host")
-    joined = rows.join(best, rows["host"] == best["best_host"], "left").select("page_id", "url", "html", "paths")
+    joined = rows.join(best, rows["host"] == best["best_host"], "left").select("page_id", "url", "html", "paths", "outvoted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [Page(s).extract(p or []) for s, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            html, paths, outvoted = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            text = [Page(s).extract(p or [], o or []) for s, p, o in zip(html, paths, outvoted, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
     kind = rows.schema["page_id"].dataType.simpleString()

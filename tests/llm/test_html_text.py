@@ -70,3 +70,27 @@ def test_whole_article_on_the_given_pages(spark):
         article = re.search(r"<article>(.*)</article>", source[r["page_id"]], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r["text"] == "\n".join(b for b in blocks if b)
+
+
+def test_title_and_lead_beside_the_inner_container_stay():
+    # The inner div holds over 95% of the text; the title and the closing paragraph lie beside it.
+    body = f"<h1>The title</h1><div class='entry'><p>{'Article words here. ' * 30}</p></div><p>The end.</p>"
+    want = f"The title\n{('Article words here. ' * 30).strip()}\nThe end."
+    source = f"<body><div class='page'><div class='post'>{body}</div></div></body>"
+    assert text(source) == want
+    path = Page(source).paths[Page(source).own()]
+    assert text(source, [path]) == want
+    # Beside the body's own inner containers, and with a linked title.
+    assert text(f"<body><div><h1><a href='/'>The title</a></h1></div><div class='a'><div class='b'><p>{'Words. ' * 99}</p></div></div></body>").startswith("The title\nWords.")
+
+
+def test_a_teaser_on_the_winning_path_does_not_win(spark):
+    # Most pages of the host have their article in div.post; some only a teaser there and the article in div.story.
+    long, teaser = ("Article words here. " * 20).strip(), ("Teaser words here. " * 7).strip()
+    rows = [(i, "http://h.example/x", f"<body><div class='post'><p>{long}</p></div></body>") for i in range(6)]
+    rows += [(i, "http://h.example/x", f"<body><div class='post'><p>{teaser}</p></div><div class='story'><p>{long}</p></div></body>") for i in range(6, 10)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(long in got[i] for i in range(10))
+    # More templates on a host than paths are kept.
+    many = [(i, "http://h.example/x", f"<body><div class='t{chr(97 + i % 26)}{chr(97 + i // 26)}'><h1>T</h1><p>{long}</p></div></body>") for i in range(120)]
+    assert {r["text"] for r in extract_text(spark.createDataFrame(many, "page_id long, url string, html string")).collect()} == {f"T\n{long}"}
