@@ -24,7 +24,14 @@ by a shuffle whose hot hosts AQE splits when it is not.
 
 Boilerplate is left out by tag (``nav``, ``footer``, ``aside``, ``form`` ...),
 by words of class, id or role (menu, sidebar, advert, notice, comments ...) and
-if hidden. A ``header`` counts as boilerplate outside an article only.
+if hidden. A ``header`` counts as boilerplate outside an article only. Words
+mark an element, and what it holds is judged when the whole page is read: a
+mark counts only if the element does not hold the page's largest ``article``
+or ``main``, and if all elements of that name hold a minor part of the plain
+text: up to ``WHOLE_SHARE`` for names wholly of such words (``comments``), up
+to ``PART_SHARE`` of what is then left for others (``comments-open``, but an
+``article`` or ``main`` is never marked by these). Words after no, has, with
+do not mark. If nothing is left, the name with most text does not count.
 
 Defined cases: NULL html counts as empty and gives an empty text; a NULL url
 has the empty host; rows repeating a page id get a row each (each votes);
@@ -52,8 +59,8 @@ BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr caption figure figcaption hr address "
     "details summary nav footer aside form fieldset menu dialog hgroup".split()
 )
-DROPPED = frozenset("nav footer aside form menu dialog button select option label legend fieldset datalist input figcaption head".split())
-RAW = frozenset("script style noscript template textarea iframe svg canvas object title math video audio".split())
+DROPPED = frozenset("nav footer aside form menu dialog button select option legend fieldset datalist input head".split())
+RAW = frozenset("script style noscript template textarea iframe svg canvas title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset(
     "nav navbar navigation menu menubar topbar header masthead footer sidebar side aside widget ad ads advert adverts advertisement advertising "
@@ -61,6 +68,9 @@ BOILERPLATE = frozenset(
     "disqus respond replies reply share sharing social related recommended breadcrumb breadcrumbs pagination pager newsletter subscribe "
     "subscription signup login search toolbar complementary contentinfo".split()
 )
+MODIFIERS = frozenset("no not has have with without hide".split())
+WHOLE_SHARE = 0.9
+PART_SHARE = 0.5
 MAX_PATHS = 32
 MAX_OUTVOTED = 64
 NEARLY = 0.9
@@ -77,6 +87,18 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 DIGITS = re.compile(r"[0-9]+")
 
 
+def marked(value: str, in_article: bool) -> int:
+    """2 if a name of the attribute is wholly of boilerplate words, 1 if a part of one is, else 0."""
+    most = 0
+    for name in value.split():
+        words = [w.lower() for w in PARTS.findall(name) if not w.isdigit()]
+        told = next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))
+        found = [w in BOILERPLATE and not (in_article and w == "header") for w in words[:told]]
+        if any(found):
+            most = max(most, 2 if len(found) == len(words) and all(found) else 1)
+    return most
+
+
 class Page:
     """Containers and text blocks of one page."""
 
@@ -84,7 +106,11 @@ class Page:
         self.paths, self.parents, self.semantic = ["html"], [-1], [False]
         self.blocks: list[tuple[int, str, int, bool]] = []  # container, text, characters of links, is it a title
         self.dropped = [0]
+        self.marks: list[tuple[int, int, str]] = []  # of marked elements: mark around, ``marked``, name
+        self.mark_of, self.block_marks = [-1], []  # innermost mark of containers and blocks
         self._read(source)
+        if self.marks:
+            self._settle()
         n = len(self.paths)
         self.text, self.links = [0] * n, [0] * n
         for c, t, linked, _ in self.blocks:
@@ -94,9 +120,68 @@ class Page:
             for of in (self.text, self.links, self.dropped):
                 of[self.parents[c]] += of[c]
 
+    def _settle(self) -> None:
+        """Drop the blocks inside marks that count."""
+        plain = [len(t) - linked for _, t, linked, _ in self.blocks]
+        total = sum(plain)
+        held = [0] * len(self.paths)
+        for (c, *_), n in zip(self.blocks, plain, strict=True):
+            held[c] += n
+        for c in range(len(self.paths) - 1, 0, -1):
+            held[self.parents[c]] += held[c]
+        marks = self.marks
+
+        def chain(k: int) -> Iterator[int]:
+            while k >= 0:
+                yield k
+                k = marks[k][0]
+
+        def off(counts: set[int]) -> list[bool]:
+            """Of every mark: does it or one around it count. The last place is for no mark."""
+            out = [False] * (len(marks) + 1)
+            for k, (around, _, _) in enumerate(marks):
+                out[k] = k in counts or out[around]
+            return out
+
+        def texts(gone: list[bool]) -> tuple[dict[str, int], int]:
+            """Plain characters left in the elements of each name, and on the page."""
+            n = [0] * (len(marks) + 1)
+            for m, x in zip(self.block_marks, plain, strict=True):
+                n[m] += 0 if gone[m] else x
+            rest, by_name = sum(n), {}
+            for k in range(len(marks) - 1, -1, -1):
+                n[marks[k][0]] += n[k]
+            for k, (around, _, name) in enumerate(marks):
+                if n[k] and not any(marks[j][2] == name for j in chain(around)):
+                    by_name[name] = by_name.get(name, 0) + n[k]
+            return by_name, rest
+
+        largest = max(
+            (c for c in range(len(self.paths)) if self.semantic[c] and held[c]),
+            key=lambda c: (all(marks[k][1] < 2 for k in chain(self.mark_of[c])), held[c], -c),
+            default=-1,
+        )
+        safe = set(chain(self.mark_of[largest])) if largest >= 0 else set()
+        counts: set[int] = set()
+        whole, _ = texts(off(counts))
+        for kind, share in ((2, WHOLE_SHARE), (1, PART_SHARE)):
+            by_name, rest = texts(off(counts))
+            counts |= {k for k, (_, is_a, name) in enumerate(marks) if is_a == kind and k not in safe and by_name.get(name, 0) <= share * rest}
+        while total and counts and not texts(off(counts))[1]:
+            # Nothing is left: the name with most text does not count.
+            name = max((marks[k][2] for k in counts), key=lambda x: (whole.get(x, 0), x))
+            counts = {k for k in counts if marks[k][2] != name}
+        gone = off(counts)
+        keep = [not gone[m] for m in self.block_marks]
+        for (c, t, _, _), k in zip(self.blocks, keep, strict=True):
+            if not k:
+                self.dropped[c] += len(t)
+        self.blocks = [b for b, k in zip(self.blocks, keep, strict=True) if k]
+
     def _read(self, source: str) -> None:
-        # (tag, container or -1, does it drop, open elements of the same tag inside)
-        stack: list[list] = [["html", 0, False, 0]]
+        # (tag, container or -1, does it drop, open elements of the same tag inside, mark around)
+        stack: list[list] = [["html", 0, False, 0, -1]]
+        mark = -1
         at, here, dropping, links = 0, 0, 0, 0
         words: list[str] = []
         linked = 0
@@ -112,13 +197,14 @@ class Page:
                         self.dropped[here] += len(text)
                     else:
                         self.blocks.append((here, text, 0 if title else min(linked, len(text)), title))
+                        self.block_marks.append(mark)
             linked = 0
 
         def close(k: int) -> None:
-            nonlocal here, dropping
+            nonlocal here, dropping, mark
             flush()
             while len(stack) > k:
-                _, _, drops, _ = stack.pop()
+                _, _, drops, _, mark = stack.pop()
                 dropping -= drops
             here = next(f[1] for f in reversed(stack) if f[1] >= 0)
 
@@ -169,30 +255,40 @@ class Page:
             if tag in VOID or attrs.endswith("/"):
                 continue
             drops, name = tag in DROPPED, tag
+            in_article = (tag == "header" or bool(attrs)) and any(f[0] == "article" for f in stack)
             if tag == "header":
-                drops = not any(f[0] == "article" for f in stack)
+                drops = not in_article
+            worded, names = 0, tag
             if attrs:
                 if HIDDEN.search(attrs):
                     drops = True
                 for found in NAMES.finditer(attrs):
                     value = found[2] or found[3] or found[4] or ""
-                    if tag not in ("html", "body", "article", "main") or found[1].lower() != "id":
-                        drops = drops or any(w.lower() in BOILERPLATE for w in PARTS.findall(value)) and tag not in ("html", "body")
+                    if tag not in ("html", "body") and (tag not in SEMANTIC or found[1].lower() != "id"):
+                        is_a = marked(value, in_article)
+                        if is_a:
+                            worded, names = max(worded, is_a), f"{names} {DIGITS.sub('#', value)}"
                     if found[1].lower() == "class" and value.strip():
                         name = tag + "." + DIGITS.sub("#", ".".join(sorted(value.split())))
+            around = mark
+            if worded == 2 or worded and tag not in SEMANTIC:
+                flush()
+                self.marks.append((mark, worded, names))
+                mark = len(self.marks) - 1
             if tag in CONTAINERS and tag != "html":
                 flush()
                 self.paths.append(f"{self.paths[here]}>{name}")
                 self.parents.append(here)
                 self.semantic.append(tag in SEMANTIC)
                 self.dropped.append(0)
+                self.mark_of.append(mark)
                 here = len(self.paths) - 1
-                stack.append([tag, here, bool(drops), 0])
+                stack.append([tag, here, bool(drops), 0, around])
                 dropping += bool(drops)
-            elif drops:
+            elif drops or mark != around:
                 flush()
-                stack.append([tag, -1, True, 0])
-                dropping += 1
+                stack.append([tag, -1, bool(drops), 0, around])
+                dropping += bool(drops)
             else:
                 for f in reversed(stack):
                     if f[0] == tag:

@@ -94,3 +94,31 @@ def test_a_teaser_on_the_winning_path_does_not_win(spark):
     # More templates on a host than paths are kept.
     many = [(i, "http://h.example/x", f"<body><div class='t{chr(97 + i % 26)}{chr(97 + i // 26)}'><h1>T</h1><p>{long}</p></div></body>") for i in range(120)]
     assert {r["text"] for r in extract_text(spark.createDataFrame(many, "page_id long, url string, html string")).collect()} == {f"T\n{long}"}
+
+
+def test_words_on_wrappers_do_not_drop_the_article():
+    side = "<div class='sidebar'><p>Some other text.</p></div>"
+    for wrap in (
+        "<div class='content has-sidebar'>{}</div>",
+        "<div id='no-sidebar'>{}</div>",
+        "<div class='noSidebar'>{}</div>",
+        "<div class='post comments-open'>{}</div>",
+        "<main class='with-sidebar'>{}</main>",
+        "<div class='layout sidebar-right'><article>{}</article></div>",
+        "<div class='sidebar'><main>{}</main></div>",
+        "<div class='comments'><div>{}</div></div>",
+    ):
+        assert text(page(wrap.format(ARTICLE))) == WANT, wrap
+        if "div class='sidebar'" not in wrap:
+            assert text(page(wrap.format(ARTICLE), side)) == WANT, wrap
+            assert text(page(wrap.format(ARTICLE + side))) == WANT, wrap
+    posts = "".join(f"<div class='post-{i} comments-open'><p>Post number {i} with some words.</p></div>" for i in range(6))
+    assert text(page(f"<div><p>All posts.</p>{posts}</div>")).count("with some words") == 6
+    # Comments longer than the article, each one an article of its own.
+    thread = "".join(f"<li class='comment'><article class='comment-body'><p>{'A reader says so. ' * 5}</p></article></li>" for _ in range(6))
+    assert text(page(f"<article>{ARTICLE}</article>", f"<div id='comments'><ol>{thread}</ol></div>")) == WANT
+
+
+def test_captions_labels_and_formulas_stay():
+    inside = "<p>Before.</p><figure><img src=x><figcaption>A caption.</figcaption></figure><p>As <math><mi>x</mi><mo>=</mo><mn>1</mn></math> shows.</p><p><label>A label.</label></p><object><p>Instead.</p></object>"
+    assert text(page(f"<article>{inside}</article>")) == "Before.\nA caption.\nAs x=1 shows.\nA label.\nInstead."
