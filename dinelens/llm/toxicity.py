@@ -1,8 +1,8 @@
 """Operator 8: toxicity by nearest labelled examples under TF-IDF cosine.
 
 Terms are words and the beginnings of longer words, so that inflected forms
-meet. The vocabulary holds at most ``MAX_TERMS`` terms that labelled toxic
-training rows use markedly more often. Every document becomes a sparse count
+meet. The vocabulary holds every term that labelled toxic training rows use
+markedly more often; it is bounded by the sample it is learned from. Every document becomes a sparse count
 vector over it in one pass (a narrow table); document frequencies are counted
 over all documents.
 
@@ -42,11 +42,9 @@ from pyspark.sql import functions as F
 from dinelens.llm.common import materialise, text_or_empty
 
 MAX_EXAMPLES = 30_000
-MAX_TERMS = 1024
 MAX_CALIBRATION = 3000
 LEAST_ROWS = 3
 LEAST_RATIO = 2.0
-LEAST_GAIN = 6.0  # of a term: toxic rows with it, times the log of its ratio
 PREFIXES = (4, 5, 6)
 K = 15
 BLOCK = 64
@@ -108,7 +106,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def learn_terms(sample: DataFrame, max_terms: int) -> tuple[list[str], int, int]:
+def learn_terms(sample: DataFrame) -> tuple[list[str], int, int]:
     """The vocabulary, and the numbers of clean and toxic sample rows."""
     sizes = {r["y"]: r["n"] for r in sample.groupBy((F.col("toxic") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(False, 0), sizes.get(True, 0)
@@ -118,8 +116,8 @@ def learn_terms(sample: DataFrame, max_terms: int) -> tuple[list[str], int, int]
     )
     rate1, rate0 = (F.col("d1") + 0.5) / (n1 + 1.0), (F.col("d0") + 0.5) / (n0 + 1.0)
     marked = by_term.filter((F.col("d1") >= LEAST_ROWS) & (rate1 > LEAST_RATIO * rate0))
-    marked = marked.select("term", (F.col("d1") * F.ln(rate1 / rate0)).alias("gain")).filter(F.col("gain") >= LEAST_GAIN)
-    best = marked.orderBy(F.desc("gain"), "term").limit(max_terms)
+    marked = marked.select("term", (F.col("d1") * F.ln(rate1 / rate0)).alias("gain"))
+    best = marked.orderBy(F.desc("gain"), "term")
     return [r["term"] for r in best.collect()], n0, n1
 
 
@@ -269,17 +267,16 @@ def monotone(x: np.ndarray, y: np.ndarray, groups: int = 20) -> tuple[np.ndarray
     return np.concatenate([[min(0.0, at[0])], at, [max(1.0, at[-1])]]), np.concatenate([[rate[0]], rate, [rate[-1]]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = K) -> tuple[Model, DataFrame, list[str]]:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = K) -> tuple[Model, DataFrame, list[str]]:
     """The model, the count vectors of all documents it was fitted beside, and the terms."""
     sample = materialise(labelled_sample(docs, labels, max_examples), "sample")
-    terms, _, _ = learn_terms(sample, max_terms)
+    terms, _, _ = learn_terms(sample)
     vecs = materialise(vectors(docs, terms), "vectors")
     n = vecs.count()
     df = vecs.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
     idf = np.full(len(terms), math.log(1 + n) + 1)
     for r in df.collect():
         idf[r["i"]] = math.log((1 + n) / (1 + r["n"])) + 1
-    # At most max_examples rows of at most max_terms numbers each.
     rows = vectors(sample, terms, keep=("toxic",)).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["t"], r["doc_id"]))
     index = Index(idf, [(r["ids"], r["tfs"]) for r in rows], [int(r["toxic"] > 0) for r in rows], [r["doc_id"] for r in rows])

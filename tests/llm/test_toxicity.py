@@ -83,3 +83,16 @@ def test_odd_rows(spark, odd_documents, empty_documents, which):
     assert all(r["score"] is not None and 0 <= r["score"] <= 1 for r in got)
     assert toxicity.score(empty_documents, labels).count() == 0
     assert toxicity.without_toxic(odd_documents, labels).schema.names == odd_documents.schema.names
+
+
+def test_every_marked_term_is_in_the_vocabulary(spark):
+    # 400 words with their prefixes, each in three toxic rows only: many terms of little gain.
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abdeilmnorstu") for _ in range(9)) for _ in range(400)})
+    rows = [(i, " ".join(["plain", *(words[i // 3 * 4 : i // 3 * 4 + 4] if i < 300 else [])])) for i in range(1200)]
+    ids = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 3 != 1][:1200]
+    docs = spark.createDataFrame([(ids[i], t, "", "") for i, t in rows], DOCS)
+    labels = spark.createDataFrame([(ids[i], 1, int(i < 300)) for i, _ in rows], LABELS)
+    assert len(words) == 400
+    terms = toxicity.fit(docs, labels)[2]
+    assert set(words) <= set(terms) and len(terms) >= 1200
