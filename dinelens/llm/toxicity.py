@@ -6,8 +6,11 @@ markedly more often; it is bounded by the sample it is learned from. Every docum
 vector over it in one pass (a narrow table); document frequencies are counted
 over all documents.
 
-The index holds at most ``MAX_EXAMPLES`` labelled training rows (a hash
-sample, in expectation), so its size does not grow with the corpus. Example
+The index holds at most ``MAX_EXAMPLES`` labelled training examples, so its size
+does not grow with the corpus. An example is a distinct pair of id and text;
+beyond the bound a hash sample of the ids is taken, then of their pairs, the
+first pair of every id before the second ones, so no repeated id crowds out
+others. Example
 numbers are cut into blocks; every term keeps its largest weight per block. A
 query adds these to an upper bound for each block, visits blocks by falling
 bound and stops when no bound reaches the k-th best cosine: the result is the
@@ -73,7 +76,7 @@ def words_of(text: str) -> Counter:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> DataFrame:
-    """``doc_id, t, text, toxic`` of at most about ``max_examples`` training rows."""
+    """``doc_id, t, text, toxic`` of at most ``max_examples`` distinct training pairs of id and text."""
     y = labels.filter(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull())
     y = y.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     y = y.filter(~held_out(F.col("label_id")))
@@ -81,8 +84,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> Da
     share = F.abs(F.xxhash64("label_id", F.lit(11)) / F.lit(2.0**63)) <= min(1.0, max_examples / max(1, n))
     y = materialise(y.filter(share), "labels")
     rows = docs.select("doc_id", text_or_empty("text").alias("text"))
-    rows = rows.join(F.broadcast(y), F.col("doc_id") == F.col("label_id"))  # bounded by max_examples
-    return rows.select("doc_id", F.xxhash64("text").alias("t"), "text", "toxic")
+    rows = rows.join(F.broadcast(y), F.col("doc_id") == F.col("label_id"))  # about max_examples ids
+    rows = rows.select("doc_id", F.xxhash64("text").alias("t"), "text", "toxic")
+    pairs = materialise(rows.select("doc_id", "t").distinct(), "pairs")
+    if pairs.count() > max_examples:
+        pairs = pairs.select(F.xxhash64("doc_id", "t", F.lit(12)).alias("h"), "t", "doc_id")
+        first = pairs.groupBy("doc_id").agg(F.min(F.struct("h", "t")).alias("x")).select(F.lit(0).alias("turn"), "x.h", "x.t", "doc_id")
+        more = pairs.orderBy("h", "t", "doc_id").limit(max_examples).select(F.lit(1).alias("turn"), "h", "t", "doc_id")
+        both = first.unionByName(more).groupBy("h", "t", "doc_id").agg(F.min("turn").alias("turn"))
+        pairs = materialise(both.orderBy("turn", "h", "t", "doc_id").limit(max_examples), "chosen")
+    chosen = pairs.select(F.col("doc_id").alias("pair_id"), F.col("t").alias("pair_t"))
+    rows = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("pair_id")) & (F.col("t") == F.col("pair_t")))  # at most max_examples
+    return rows.groupBy("doc_id", "t").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k:
     idf = np.full(len(terms), math.log(1 + n) + 1)
     for r in df.collect():
         idf[r["i"]] = math.log((1 + n) / (1 + r["n"])) + 1
+    # At most max_examples rows.
     rows = vectors(sample, terms, keep=("toxic",)).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["t"], r["doc_id"]))
     index = Index(idf, [(r["ids"], r["tfs"]) for r in rows], [int(r["toxic"] > 0) for r in rows], [r["doc_id"] for r in rows])

@@ -96,3 +96,15 @@ def test_every_marked_term_is_in_the_vocabulary(spark):
     assert len(words) == 400
     terms = toxicity.fit(docs, labels)[2]
     assert set(words) <= set(terms) and len(terms) >= 1200
+
+
+def test_a_repeated_id_does_not_fill_the_sample(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1][:40]
+    rows = [(i, f"text {i}", "", "") for i in ids for _ in range(3)] + [(ids[0], f"another text {j}", "", "") for j in range(300)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids], LABELS)
+    got = toxicity.labelled_sample(spark.createDataFrame(rows, DOCS), labels, 50).collect()
+    assert len(got) == 50 and {r["doc_id"] for r in got} == set(ids)
+    assert len({(r["doc_id"], r["text"]) for r in got}) == 50
+    # Below the bound nothing is left out.
+    got = toxicity.labelled_sample(spark.createDataFrame(rows, DOCS), labels, 1000).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == {(i, t) for i, t, _, _ in rows} and len(got) == 340
