@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dinelens.llm import chat, decontaminate, exact_dedup, html_text, language_id, packing, secret_scan, simhash, token_files, toxicity
+from dinelens.llm import chat, decontaminate, divergence, exact_dedup, html_text, language_id, packing, secret_scan, simhash, token_files, toxicity
 from dinelens.llm.common import table
 from dinelens.llm.tokens import public_path
 
@@ -76,6 +76,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(formatted))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), top_terms=200)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,6 +98,7 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_token_files": op9_token_files,
         "op10_chat_format": op10_chat_format,
+        "op13_source_divergence": op13_source_divergence,
         "pipeline": pipeline,
     }
 
@@ -149,5 +154,43 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(n_text + CASE WHEN first THEN n_role + 4 + 3 + 9 ELSE 8 END) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id
+""",
+        "op13_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), o AS (SELECT id, lang, source, unnest(terms) AS term FROM d
+), kept AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT id) >= 3
+), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), g AS (SELECT DISTINCT lang, source FROM d
+), c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+  FROM g JOIN kept k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v.v) AS p
+  FROM cells JOIN v USING (lang)
+), l AS (SELECT lang, term, sum(n) AS n FROM cells GROUP BY ALL
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v.v) AS q FROM l JOIN v USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(any_value(s.value), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+             FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  GROUP BY ALL
+), terms AS (
+  SELECT p.lang, p.source, p.term AS item, ((p - q) * (p - q)) // q AS value
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
 """,
     }
