@@ -10,10 +10,10 @@ Documents are rows: repeated rows count each. NULL text, language or source
 reads as ''. A document without terms still makes its group known. An empty
 table gives no rows. Extra columns are ignored.
 
-Exact at any size: a count row knows how many documents it stands for and the
-first and last of them. Three or more settle it; rows of one or two documents
-name them all, so a term has a third document exactly if some row names one
-that is neither the first nor the last of the term's rows.
+Exact at any size: a chunk's row knows how many documents of its group hold it
+and the first and last of them. Three or more settle it; rows of one or two
+documents name them all, so a term has a third document exactly if some row
+names one that is neither the first nor the last of the term's rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dinelens.llm.common import materialise
+from dinelens.llm.common import materialise, text_or_empty
 
 # Fixed values of the audit.
 LEAST_DOCS = 3
@@ -36,59 +36,67 @@ SCALE = 1_000_000_000
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-MAX_HELD = 400_000  # counts held by a task before it writes them out
+MAX_HELD = 1_000_000  # counts held by a task before it writes them out
 MAX_CELLS = 1_000_000  # terms x sources of one block of the pair sums
-COUNTS = "lang string, source string, chunk string, n long, docs long, least long, most long"
+MANY = -1
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:
-    """Counts of chunks: ``lang, source, chunk, n, docs, least, most``.
+    """Counts of chunks as tasks found them: ``place, chunk, n, seen``.
 
-    A chunk has one row per group and task, or a few where a task held more
-    than ``MAX_HELD``. ``least`` and ``most`` are the numbers of the first and
-    last document with it; a document's number is its place in the scan, so
-    ``docs`` must be a stored table, which a lost task reads again alike. Each
-    group also has a row of the chunk ''.
+    ``place`` spells language and source. ``seen`` is the number of a document
+    with the chunk, or ``MANY`` where a task has met three; of two documents
+    each has a row. A document's number is its place in the scan, so ``docs``
+    must be a stored table, which a lost task reads again alike.
     """
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.string()), *[(c, pa.int64()) for c in ("n", "docs", "least", "most")]])
+    schema = pa.schema([("place", pa.string()), ("chunk", pa.string()), ("n", pa.int64()), ("seen", pa.int64())])
+    low = (1 << 40) - 1
 
     def flush(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), chunks in held.items():
-            keys, rows = list(chunks), np.array(list(chunks.values()), np.int64)
+        for place, (found, again) in held.items():
+            keys = list(found)
             for at in range(0, len(keys), 50_000):
-                part = rows[at : at + 50_000]
-                names = [pa.array([x] * len(part), pa.string()) for x in (lang, source)]
-                yield pa.record_batch([*names, pa.array(keys[at : at + 50_000], pa.string()), *[pa.array(part[:, i].copy()) for i in range(4)]], schema=schema)
+                part = keys[at : at + 50_000]
+                codes = [found[c] for c in part]
+                seen = [MANY if again.get(c) == MANY else code >> 40 for c, code in zip(part, codes, strict=True)]
+                yield pa.record_batch([pa.array([place] * len(part), pa.string()), pa.array(part, pa.string()), pa.array([c & low for c in codes]), pa.array(seen)], schema=schema)
+            two = [(c, number) for c, number in again.items() if number != MANY]
+            if two:
+                yield pa.record_batch(
+                    [pa.array([place] * len(two), pa.string()), pa.array([c for c, _ in two], pa.string()), pa.array([0] * len(two)), pa.array([x for _, x in two])],
+                    schema=schema,
+                )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
-        held: dict[tuple[bytes, bytes], dict[bytes, list[int]]] = {}
+        # By place: chunk -> number of its first document and count in one integer; chunk -> its second document.
+        held: dict[bytes, tuple[dict[bytes, int], dict[bytes, int]]] = {}
         size = 0
         for batch in batches:
-            columns = [batch.column(i).cast(pa.binary()).to_pylist() for i in range(3)]
-            for text, lang, source in zip(*columns, strict=True):
+            texts, places = (batch.column(i).cast(pa.binary()).to_pylist() for i in range(2))
+            for text, place in zip(texts, places, strict=True):
                 number += 1
-                if (lang, source) not in held:
-                    held[lang, source] = {b"": [0, 0, 0, 0]}
-                chunks = held[lang, source]
-                size -= len(chunks)
+                first = number << 40
+                if place not in held:
+                    held[place] = {}, {}
+                found, again = held[place]
+                size -= len(found)
                 # Bytes split at ASCII white space alone; other white space is part of terms.
                 for chunk, n in Counter(text.split()).items():
-                    row = chunks.get(chunk)
-                    if row is None:
-                        chunks[chunk] = [n, 1, number, number]
+                    if chunk in found:
+                        found[chunk] += n
+                        again[chunk] = MANY if chunk in again else number
                     else:
-                        row[0] += n
-                        row[1] += 1
-                        row[3] = number
-                size += len(chunks)
+                        found[chunk] = first | n
+                size += len(found)
                 if size > MAX_HELD:
                     yield from flush(held)
                     held, size = {}, 0
         yield from flush(held)
 
-    given = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    return given.mapInArrow(count, COUNTS)
+    lang, source = text_or_empty("lang"), text_or_empty("source")
+    place = F.concat(F.length(lang).cast("string"), F.lit(":"), lang, source)
+    return docs.select(text_or_empty().alias("text"), place.alias("place")).mapInArrow(count, "place string, chunk string, n long, seen long")
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
@@ -102,13 +110,31 @@ def kept_terms(counts: DataFrame) -> DataFrame:
 
     ``n`` is the term's occurrences in the group, ``n_lang`` in the language;
     ``first`` marks one row per language and term.
+
+    The counts are dealt by chunk once: that shuffle serves the sums per group,
+    the distinct chunks and the join of the two.
     """
-    rows = counts.filter("chunk <> ''").join(chunk_terms(counts.filter("chunk <> ''")), "chunk")
-    rows = rows.select("lang", "source", "term", (F.col("n") * F.col("times")).alias("n"), "docs", "least", "most")
+    one = F.when(F.col("seen") != MANY, F.col("seen"))
+    sums = counts.repartition("chunk").groupBy("place", "chunk")
+    sums = sums.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("seen") == MANY, LEAST_DOCS).otherwise(1)).alias("docs"), F.min(one).alias("least"), F.max(one).alias("most"))
+    # Always true; it names all columns, so that both uses of the shuffle read the same ones.
+    sums = sums.filter((F.col("n") > 0) & (F.col("docs") > 0) & (F.col("least").isNull() | F.col("most").isNotNull()))
+    rows = sums.join(chunk_terms(sums).hint("merge"), "chunk")  # both grow with the input: never broadcast
+    size = F.substring_index("place", ":", 1).cast("int")
+    start = F.instr("place", ":") + 1
+    rows = rows.select(
+        F.substring("place", start, size).alias("lang"),
+        F.substring("place", start + size, F.length("place")).alias("source"),
+        "term",
+        (F.col("n") * F.col("times")).alias("n"),
+        "docs",
+        "least",
+        "most",
+    )
     term = Window.partitionBy("lang", "term")
     rows = rows.repartition("lang", "term").withColumn("a", F.min("least").over(term)).withColumn("b", F.max("most").over(term))
     other = (F.col("docs") >= LEAST_DOCS) | ~F.col("least").isin(F.col("a"), F.col("b")) | ~F.col("most").isin(F.col("a"), F.col("b"))
-    groups = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.max(other).alias("enough"))
+    groups = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.max(F.coalesce(other, F.lit(False))).alias("enough"))
     groups = groups.withColumn("n_lang", F.sum("n").over(term)).withColumn("enough", F.max("enough").over(term))
     groups = groups.withColumn("first", F.row_number().over(term.orderBy("source")) == 1)
     return groups.filter("enough").select("lang", "source", "term", "n", "n_lang", "first")
@@ -174,11 +200,10 @@ def term_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, top_terms: int = 200) -> DataFrame:
     """``lang, source, part, item, value, rank``: all pairs of sources, and the ``top_terms`` of each source."""
-    counts = materialise(chunk_counts(docs), "chunk_counts")
-    kept = materialise(kept_terms(counts), "kept_terms")
+    kept = materialise(kept_terms(chunk_counts(docs)), "kept_terms")
     langs = kept.groupBy("lang").agg(F.sum("n").alias("total_lang"), F.count_if("first").alias("v"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    known = counts.filter("chunk = ''").select("lang", "source").distinct()
+    known = docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source")).distinct()
     many = known.groupBy("lang").agg(F.count(F.lit(1)).alias("sources"))
     groups = known.join(many, "lang").join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "v", "total_lang"])
     # A language without kept terms has no shares; its sums are 0 whatever these are.
