@@ -2,9 +2,11 @@
 
 Nodes: rows with the same vector are one node, known by its smallest id and by
 the ``copies`` smallest ids, which are all that a search for ``copies - 1`` can
-return. Every vector is divided by the largest norm and gets a further component
-that brings its norm to one; largest inner products with a vector whose further
-component is zero are then smallest distances.
+return. For the graph, every vector is divided by the largest norm and gets a
+further component that brings its norm to one; largest inner products with a
+vector whose further component is zero are then smallest distances. Norms above
+``LONG`` times the median count as that there, or a few long vectors would leave
+the others alike; the search multiplies by what was cut off.
 
 Graph: nodes sorted by the signs of random projections are cut into blocks, and
 each block's best links start the graph. A round of NN-descent joins every node
@@ -48,8 +50,8 @@ MAX_ROUNDS = 12
 STILL = 0.01  # share of links that may still change when the rounds end
 BEAM = 48
 ENTRIES = 24
+LONG = 8.0
 FIRST = 4  # nodes whose links the first hop follows
-LINK = "array<struct<s: float, id: long, fresh: boolean>>"
 
 
 def usable(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -92,23 +94,25 @@ def _unpack(packed: pa.Array) -> np.ndarray:
 
 
 def packed_nodes(nodes: DataFrame) -> DataFrame:
-    """``node, norm, packed``: vectors of norm one, and the norm before."""
-    squares = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    # Components near the range of doubles: their squares don't count as infinite.
-    largest = nodes.agg(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double")))))).first()[0] or 1.0
-    most = nodes.select(F.max(F.sqrt(squares / largest / largest))).first()[0] if largest < 1e150 else None
-    top = (most or 1.0) * largest if most else largest * 1e3
+    """``node, norm, stretch, packed``: vectors of norm one; ``stretch`` is the norm over the one used for them."""
+    # Divided by a vector's largest component first: squares of very large or small ones would not be numbers.
+    largest = F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))
+    squares = F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / largest, 2))
+    normed = nodes.select("node", "vec", (F.sqrt(squares) * largest).alias("norm"))
+    found = normed.agg(F.max("norm"), F.percentile_approx("norm", 0.5)).first()
+    top = min(found[0] or 1.0, LONG * (found[1] or 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = _matrix(batch.column(1)) / top
-            norm = np.linalg.norm(rows, axis=1)
-            more = np.sqrt(np.maximum(0.0, 1.0 - norm * norm))
-            yield pa.record_batch([batch.column(0), pa.array(norm), _pack(np.column_stack([rows, more]))], names=["node", "norm", "packed"])
+            if batch.num_rows:
+                rows, norm = _matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
+                rows = rows / np.abs(rows).max(axis=1)[:, None]
+                used = np.minimum(norm / top, 1.0)
+                rows *= (used / np.linalg.norm(rows, axis=1))[:, None]
+                packed = _pack(np.column_stack([rows, np.sqrt(1.0 - used * used)]))
+                yield pa.record_batch([batch.column(0), batch.column(2), pa.array(norm / np.maximum(used, 1e-300)), packed], names=["node", "norm", "stretch", "packed"])
 
-    return nodes.select("node", "vec").mapInArrow(run, "node long, norm double, packed binary")
+    return normed.select("node", "vec", "norm").mapInArrow(run, "node long, norm double, stretch double, packed binary")
 
 
 def _best(sims: np.ndarray, k: int) -> np.ndarray:
@@ -205,8 +209,10 @@ def improved(graph: DataFrame, packed: DataFrame, number: int, links: int, sampl
                 yield pa.record_batch({"node": pa.array(owner), "id": pa.array(other), "s": pa.array(s[real])})
 
     better = lists.select("of").mapInArrow(compare, "node long, id long, s float").withColumn("fresh", F.lit(True))
-    known = graph.select("node", F.explode("links").alias("x")).select("node", "x.id", "x.s", F.lit(False).alias("fresh"))
-    return keep_best(better.unionByName(known), links)
+    known = graph.select("node", F.explode("links").alias("x")).select("node", "x.id", "x.s", "x.fresh")
+    # Links are new until a round has compared them.
+    done = some.select("node", "id", "s", F.lit(False).alias("fresh"))
+    return keep_best(better.unionByName(known).unionByName(done), links)
 
 
 def build_graph(packed: DataFrame, links: int = LINKS, rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -225,15 +231,15 @@ def build_graph(packed: DataFrame, links: int = LINKS, rounds: int = MAX_ROUNDS)
 
 
 def build_index(packed: DataFrame, graph: DataFrame, links: int = LINKS) -> DataFrame:
-    """``node, packed, near``: links of both directions; of the reverse ones the ``links`` nearest."""
+    """``node, stretch, packed, near``: links of both directions; of the reverse ones the ``links`` nearest."""
     order = Window.partitionBy("node").orderBy(F.desc("s"), "id")
     edges = graph.select("node", F.explode("links").alias("x")).select("node", "x.id", "x.s")
     back = edges.select(F.col("id").alias("node"), F.col("node").alias("id"), "s").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= links)
     near = edges.select("node", "id").unionByName(back.select("node", "id")).groupBy("node").agg(F.collect_set("id").alias("near"))
-    return packed.select("node", "packed").join(near, "node", "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))
+    return packed.select("node", "stretch", "packed").join(near, "node", "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))
 
 
-STATE = "q long, packed binary, pool array<struct<s: float, id: long>>, seen array<long>, todo array<long>, worst float"
+STATE = "q long, packed binary, pool array<struct<s: double, id: long>>, seen array<long>, todo array<long>, worst double"
 
 
 def greedy_search(index: DataFrame, queries: DataFrame, entries: list[int], beam: int = BEAM) -> DataFrame:
@@ -242,15 +248,15 @@ def greedy_search(index: DataFrame, queries: DataFrame, entries: list[int], beam
     ``packed`` has a last component of zero, ``start`` is a node or NULL.
     """
     first = F.array_distinct(F.filter(F.concat(F.array("start"), F.array(*map(F.lit, entries)).cast("array<long>")), lambda x: x.isNotNull()))
-    none = F.lit(float("-inf")).cast("float")
-    state = queries.select("q", "packed", F.array().cast("array<struct<s: float, id: long>>").alias("pool"), first.alias("seen"), first.alias("todo"), none.alias("worst"))
+    none = F.lit(float("-inf"))
+    state = queries.select("q", "packed", F.array().cast("array<struct<s: double, id: long>>").alias("pool"), first.alias("seen"), first.alias("todo"), none.alias("worst"))
     state = materialise(state, "state")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.einsum("ij,ij->i", _unpack(batch.column(3)), _unpack(batch.column(4))).astype(np.float32)
+            s = np.einsum("ij,ij->i", _unpack(batch.column(3)), _unpack(batch.column(4))) * batch.column(5).to_numpy(zero_copy_only=False)
             good = s > batch.column(2).to_numpy(zero_copy_only=False)
-            yield pa.record_batch([*batch.columns[:2], pa.array(s), batch.column(5)], names=["q", "id", "s", "near"]).filter(pa.array(good))
+            yield pa.record_batch([*batch.columns[:2], pa.array(s), batch.column(6)], names=["q", "id", "s", "near"]).filter(pa.array(good))
 
     def follow(widest: int):
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,10 +272,10 @@ def greedy_search(index: DataFrame, queries: DataFrame, entries: list[int], beam
                     worst = best[-1][0] if len(best) == beam else -float("inf")
                     made.append(([{"s": s, "id": i} for s, i in best], seen + todo, todo, worst))
                 pools, seens, todos, worsts = ([m[i] for m in made] for i in range(4))
-                pool_type = pa.list_(pa.struct([("s", pa.float32()), ("id", pa.int64())]))
+                pool_type = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())]))
                 ids = pa.list_(pa.int64())
                 yield pa.record_batch(
-                    [*batch.columns[:2], pa.array(pools, pool_type), pa.array(seens, ids), pa.array(todos, ids), pa.array(worsts, pa.float32())],
+                    [*batch.columns[:2], pa.array(pools, pool_type), pa.array(seens, ids), pa.array(todos, ids), pa.array(worsts, pa.float64())],
                     names=["q", "packed", "pool", "seen", "todo", "worst"],
                 )
 
@@ -279,8 +285,8 @@ def greedy_search(index: DataFrame, queries: DataFrame, entries: list[int], beam
     widest = FIRST
     while True:
         look = state.select("q", "packed", "worst", F.explode("todo").alias("id"))
-        met = look.join(index.select(F.col("node").alias("id"), F.col("packed").alias("of"), "near"), "id").select("q", "id", "worst", "packed", "of", "near")
-        better = met.mapInArrow(score, "q long, id long, s float, near array<long>").groupBy("q").agg(F.collect_list(F.struct("s", "id", "near")).alias("found"))
+        met = look.join(index.select(F.col("node").alias("id"), F.col("packed").alias("of"), "stretch", "near"), "id").select("q", "id", "worst", "packed", "of", "stretch", "near")
+        better = met.mapInArrow(score, "q long, id long, s double, near array<long>").groupBy("q").agg(F.collect_list(F.struct("s", "id", "near")).alias("found"))
         moved = state.join(better, "q", "left").select("q", "packed", "pool", "seen", "found").mapInArrow(follow(widest), STATE)
         moved = materialise(moved, "state")
         done.append(moved.filter(F.size("todo") == 0).select("q", "pool"))

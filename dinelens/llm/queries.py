@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dinelens.llm import chat, decontaminate, divergence, exact_dedup, html_text, language_id, packing, secret_scan, simhash, spelling, token_files, toxicity
+from dinelens.llm import chat, decontaminate, divergence, exact_dedup, html_text, language_id, neighbours, packing, secret_scan, simhash, spelling, token_files, toxicity
 from dinelens.llm.common import table
 from dinelens.llm.tokens import public_path
 
@@ -76,6 +76,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(formatted))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), least_chars=6, least_count=5, divisor=199, factor=5)
 
@@ -102,6 +106,7 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_token_files": op9_token_files,
         "op10_chat_format": op10_chat_format,
+        "op11_nearest_neighbours": op11_nearest_neighbours,
         "op12_spelling_variants": op12_spelling_variants,
         "op13_source_divergence": op13_source_divergence,
         "pipeline": pipeline,

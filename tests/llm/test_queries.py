@@ -21,7 +21,7 @@ COLUMNS = {
 def test_all_are_registered():
     registered = E.queries()
     assert set(queries.queries()) <= set(registered) and "pipeline" in registered
-    assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in registered)] == []
+    assert [n for n in range(1, 14) if not any(k.startswith(f"op{n}_") for k in registered)] == []
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in E.oracle_sql()
 
 
