@@ -8,7 +8,8 @@ failure). Adding the column in place, instead of returning a separate
 ``(key, response)`` frame, means the request rows (which carry the review
 texts) are never joined back to their replies.
 
-* ``RuleScorer`` is the default for reviews: word lists, no model.
+* ``RuleScorer`` is the default for reviews without ratings: word lists, no model.
+* ``learned.LearnedScorer`` is trained on the reviews that have a star rating.
 * ``RecordedReplies`` left-joins replies recorded earlier (tests, replays);
   the request side streams and the reply table is the build side.
 * ``DerivedReplies`` left-joins narrow facts and builds the reply from them.
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dinelens.functions.replies import once
+
 log = logging.getLogger(__name__)
 
 
@@ -45,26 +48,33 @@ TOPIC_WORDS = {
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
+def rule_words(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``keep`` and ``_words``: the text in lower case, split once."""
+    return once(df, keep, {"_words": F.split(F.lower(F.col(text)), NOT_WORD, -1)})
+
+
+def rule_topics() -> Column:
+    """Topics with a word among ``_words``, else ``General``."""
+    found = [F.when(F.arrays_overlap("_words", F.array(*map(F.lit, of))), F.lit(t)) for t, of in TOPIC_WORDS.items()]
+    return F.coalesce(F.nullif(F.concat_ws(", ", *found), F.lit("")), F.lit("General"))
+
+
 class RuleScorer(Scorer):
     """Replies by rules, as native expressions: the mood with more words
     wins, topics are those with a word in the text."""
 
     def score(self, requests: DataFrame, key: str, text: str) -> DataFrame:
-        words = F.split(F.lower(F.col(text)), NOT_WORD, -1)
-
         def count(of: tuple[str, ...]) -> Column:
-            return F.size(F.filter(words, lambda w: w.isin(*of)))
+            return F.size(F.filter("_words", lambda w: w.isin(*of)))
 
-        good, bad = count(GOOD_WORDS), count(BAD_WORDS)
+        keep = requests.columns
+        words = rule_words(requests, keep, text)
+        found = once(words, keep, {"_good": count(GOOD_WORDS), "_bad": count(BAD_WORDS), "_topics": rule_topics()})
+        good, bad = F.col("_good"), F.col("_bad")
         mood = F.when(good > bad, "Positive").when(bad > good, "Negative").otherwise("Neutral")
-        found = [F.when(F.arrays_overlap(words, F.array(*map(F.lit, of))), F.lit(t)) for t, of in TOPIC_WORDS.items()]
-        topics = F.concat_ws(", ", *found)
-        reply = F.struct(
-            mood.alias("sentiment"),
-            F.when(topics == "", "General").otherwise(topics).alias("topics"),
-            F.format_string("%d good and %d bad words", good, bad).alias("summary"),
-        )
-        return requests.withColumn("response", F.when(F.col(text).isNotNull(), F.to_json(reply)))
+        summary = F.format_string("%d good and %d bad words", good, bad)
+        reply = F.struct(mood.alias("sentiment"), F.col("_topics").alias("topics"), summary.alias("summary"))
+        return found.select(*keep, F.when(F.col(text).isNotNull(), F.to_json(reply)).alias("response"))
 
 
 class RecordedReplies(Scorer):

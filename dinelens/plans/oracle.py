@@ -738,6 +738,90 @@ FROM (SELECT *, len(list_filter(w, lambda x: x IN {_GOOD})) AS good, len(list_fi
         concat_ws(', ', {', '.join(f"CASE WHEN list_has_any(w, {v}) THEN '{k}' END" for k, v in _TOPIC.items())}) AS topics
       FROM (SELECT *, string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+') AS w FROM candidates) a) b""",
 )
+
+
+def _buckets(source: str, keep: str, text: str) -> str:
+    """``keep`` and the hashed features ``b`` of ``text``."""
+    words = f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    marks = {
+        "distinct": "len(list_distinct(w)) * 20 // greatest(len(w), 1)",
+        "marks": "length(regexp_replace(t, '[\\p{L} \\t\\n\\r]', '', 'g')) * 40 // greatest(length(t), 1)",
+        "capitals": "length(regexp_replace(t, '[^\\p{Lu}]', '', 'g')) * 40 // greatest(length(t), 1)",
+        "lines": "len(list_distinct(string_split(t, chr(10)))) * 10 // len(string_split(t, chr(10)))",
+        "letters": "length(array_to_string(w, '')) * 2 // greatest(len(w), 1)",
+    }
+    shape = ", ".join(f"'#{name}:' || CAST({e} AS VARCHAR)" for name, e in marks.items())
+    return f"""SELECT {keep}, list_distinct(list_transform(list_concat(w, [{shape}]), lambda x: CAST('0x' || md5(x)[1:4] AS INTEGER))) AS b
+FROM (SELECT *, {text} AS t, {words} AS w FROM {source}) p"""
+
+
+cte(
+    "learn_rows",
+    ["raw_reviews"],
+    _buckets(
+        "(SELECT *, CASE WHEN rating <= 2 THEN 0 WHEN rating >= 4 THEN 2 ELSE 1 END AS label,"
+        " CAST('0x' || md5(comment)[1] AS INTEGER) AS fold FROM raw_reviews WHERE rating IS NOT NULL AND comment IS NOT NULL) r",
+        "label, fold, row_number() OVER () AS id",
+        "comment",
+    ),
+)
+cte(
+    "learn_docs",
+    ["learn_rows"],
+    """SELECT c.label, COUNT(r.label) AS d, SUM(COUNT(r.label)) OVER () AS total FROM (VALUES (0), (1), (2)) c(label)
+LEFT JOIN (SELECT label FROM learn_rows WHERE fold < 12) r ON r.label = c.label GROUP BY c.label""",
+)
+cte(
+    "learn_weights",
+    ["learn_rows", "learn_docs"],
+    """SELECT bucket, label, CAST(round(1000 * odds) AS BIGINT) AS weight FROM (
+ SELECT bucket, label, n_all, ln((n + 0.5) / (d + 1.0)) - ln((n_all - n + 0.5) / (total - d + 1.0)) AS odds,
+  sqrt(1.0 / (n + 0.5) + 1.0 / (n_all - n + 0.5)) AS error
+ FROM (SELECT a.bucket, o.label, o.d, o.total, a.n_all, CAST(coalesce(h.n, 0) AS DOUBLE) AS n
+  FROM (SELECT bucket, CAST(COUNT(*) AS DOUBLE) AS n_all FROM (SELECT unnest(b) AS bucket FROM learn_rows WHERE fold < 12) GROUP BY bucket) a
+  CROSS JOIN learn_docs o
+  LEFT JOIN (SELECT label, bucket, COUNT(*) AS n FROM (SELECT label, unnest(b) AS bucket FROM learn_rows WHERE fold < 12) GROUP BY ALL) h
+   ON h.bucket = a.bucket AND h.label = o.label) x) y
+WHERE n_all >= 5 AND abs(odds) > 6 * error""",
+)
+
+
+def _judged(source: str, key: str) -> str:
+    """``key, mood, bin`` of the rows ``key, b``."""
+    return f"""SELECT {key}, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS mood,
+ CASE WHEN lead < 250 THEN 0 ELSE length(bin(lead // 250)) END AS bin
+FROM (SELECT *, greatest(s0, s1, s2) - CASE WHEN s0 >= s1 AND s0 >= s2 THEN greatest(s1, s2) WHEN s1 >= s2 THEN greatest(s0, s2) ELSE greatest(s0, s1) END AS lead
+ FROM (SELECT {key}, {", ".join(f"CAST(coalesce(SUM(weight) FILTER (label = {c}), 0) AS BIGINT) + (SELECT CAST(round(1000 * ln((d + 1.0) / (total - d + 1.0))) AS BIGINT) FROM learn_docs WHERE label = {c}) AS s{c}" for c in range(3))}
+  FROM (SELECT {key}, unnest(CASE WHEN len(b) = 0 THEN [-1] ELSE b END) AS bucket FROM {source}) e
+  LEFT JOIN learn_weights USING (bucket) GROUP BY {key}) g) h"""
+
+
+cte("learn_judged", ["learn_rows", "learn_docs", "learn_weights"], _judged("learn_rows", "id"))
+cte(
+    "learn_bins",
+    ["learn_rows", "learn_judged"],
+    """SELECT bin, greatest(333, MAX(1000 * (good + 1) // (n + 2)) OVER (ORDER BY bin)) AS confidence
+FROM (SELECT bin, COUNT(*) AS n, COUNT(*) FILTER (label = mood) AS good FROM learn_rows JOIN learn_judged USING (id)
+ WHERE fold IN (12, 13) GROUP BY bin) x""",
+)
+cte("cand_buckets", ["candidates"], _buckets("(SELECT *, row_number() OVER () AS id FROM candidates) c", "id, review_id, text, w", "text"))
+cte("cand_judged", ["cand_buckets", "learn_docs", "learn_weights"], _judged("cand_buckets", "id"))
+_MOOD = "['Negative', 'Neutral', 'Positive']"
+q(
+    "enrich_reviews_learned",
+    ["cand_buckets", "cand_judged", "learn_bins"],
+    f"""SELECT review_id, text AS original_text, true AS ok, {_MOOD}[mood + 1] AS sentiment,
+ CASE WHEN topics = '' THEN 'General' ELSE topics END AS topics,
+ 'confidence ' || CAST(coalesce((SELECT MAX(l.confidence) FROM learn_bins l WHERE l.bin <= j.bin), 333) AS VARCHAR) || '/1000' AS summary
+FROM (SELECT *, concat_ws(', ', {", ".join(f"CASE WHEN list_has_any(w, {v}) THEN '{k}' END" for k, v in _TOPIC.items())}) AS topics FROM cand_buckets) c
+JOIN cand_judged j USING (id)""",
+)
+q(
+    "learned_held_out",
+    ["learn_rows", "learn_judged"],
+    f"""SELECT {_MOOD}[label + 1] AS rated, {_MOOD}[mood + 1] AS found, COUNT(*) AS count
+FROM learn_rows JOIN learn_judged USING (id) WHERE fold >= 14 GROUP BY ALL""",
+)
 q(
     "enrich_report",
     ["enriched"],

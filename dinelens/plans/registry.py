@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dinelens.operators import adhoc, explorer, insights, revenue, reviews, staging
+from dinelens.operators import adhoc, explorer, insights, learned, revenue, reviews, staging
 from dinelens.operators.paging import page_params
 from dinelens.operators.scoring import RecordedReplies, RuleScorer
 from dinelens.plans.warehouse import Warehouse
@@ -370,6 +370,12 @@ _add("parse_review_reply", lambda w: reviews.parse_review_reply(w.review_respons
 _add("enrich_reviews", lambda w: w.review_enrichment)
 _add("enrich_report", lambda w: reviews.enrich_report(w.review_enrichment))
 _add("enrich_reviews_rules", lambda w: reviews.enrich_reviews(_review_texts(w), RuleScorer()))
+def _learned(w: Warehouse) -> learned.SentimentModel:
+    return learned.train(w.raw_reviews(["comment", "rating"]))
+
+
+_add("enrich_reviews_learned", lambda w: reviews.enrich_reviews(_review_texts(w), learned.LearnedScorer(_learned(w))))
+_add("learned_held_out", lambda w: learned.held_out(w.raw_reviews(["comment", "rating"]), _learned(w)))
 _add(
     "review_volume",
     lambda w: insights.review_volume(w.stg_restaurants, _commented_reviews(w), 5, 50),
