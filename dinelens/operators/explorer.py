@@ -19,6 +19,7 @@ from dinelens.functions.places import real_city
 from dinelens.functions.search import rx_search
 from dinelens.operators.paging import Page, attach_late, page_info, page_rows
 from dinelens.operators.revenue import in_city
+from dinelens.operators.text_index import TextIndex
 
 
 @dataclass(frozen=True)
@@ -61,12 +62,20 @@ class Listing:
         )
 
 
+def _searched(rows: DataFrame, column: str, search: str | None, literal: bool, index: TextIndex | None) -> DataFrame:
+    """``rows`` whose ``column`` matches; from ``index`` (over the same rows) if there is one."""
+    if not search:
+        return rows
+    return rows.filter(rx_search(column, search, literal)) if index is None else index.search(search, literal)
+
+
 def restaurants_listing(
     restaurants: DataFrame,
     search: str | None = None,
     min_rating: float = 0.0,
     city: str | None = None,
     literal: bool = False,
+    index: TextIndex | None = None,
 ) -> Listing:
     """Restaurants by rating (best first).
 
@@ -74,9 +83,7 @@ def restaurants_listing(
     applied only when > 0 (so NULL ratings stay at 0) and compared in FLOAT
     like the FLOAT rating column (4.1 >= 4.1 holds).
     """
-    r = in_city(restaurants, city)
-    if search:
-        r = r.filter(rx_search("restaurant_name", search, literal))
+    r = in_city(_searched(restaurants, "restaurant_name", search, literal, index), city)
     if min_rating and min_rating > 0:
         r = r.filter(F.col("rating") >= F.lit(float(min_rating)).cast("float"))
     rows = r.select("restaurant_name", "city", "rating", "cuisine", "cost_for_two", "restaurant_id")
@@ -102,15 +109,14 @@ def orders_listing(
     min_orders: float = 0,
     min_revenue: float = 0,
     literal: bool = False,
+    index: TextIndex | None = None,
 ) -> Listing:
     """Mart rows with AOV; raw-city list, one real city, name search,
     and minimum orders / revenue (always applied, so NULL revenue drops)."""
-    m = mart
+    m = _searched(mart, "restaurant_name", search, literal, index)
     if cities:
         m = m.filter(F.col("city").isin(list(cities)))
     m = in_city(m, city)
-    if search:
-        m = m.filter(rx_search("restaurant_name", search, literal))
     m = m.filter(
         (F.col("total_orders") >= F.lit(min_orders)) & (F.col("total_revenue") >= F.lit(min_revenue))
     )
@@ -139,6 +145,7 @@ def reviews_listing(
     search: str | None = None,
     literal: bool = False,
     texts: DataFrame | None = None,
+    index: TextIndex | None = None,
 ) -> Listing:
     """D3 (with E3): enriched reviews, else all raw reviews; then the text
     search; pages by id.
@@ -149,10 +156,15 @@ def reviews_listing(
     reads every text, but no text travels through a shuffle or a sort.
     That needs the id to be a key, as ``append_new`` keeps it in the gold
     table. Raw reviews have no key (ids may repeat or be NULL): their pages
-    are a plain filter and top-k, ties ordered by text and rating.
+    are a plain filter and top-k, ties ordered by text and rating. With an
+    ``index`` over the enriched table's texts a search reads the rows that may
+    match, and no others.
     """
     order = [F.col("review_id").asc_nulls_last()]
     if gold is not None:
+        if search and index is not None:
+            gold = index.search(search, literal)
+            texts, search = gold, None
         rows = gold.select(
             "review_id",
             F.col("original_text").alias("review"),

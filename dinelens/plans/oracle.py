@@ -965,5 +965,17 @@ FROM (SELECT CAST(order_id AS BIGINT) AS k FROM raw_orders) t""",
 )
 
 
+for _key in ("explore_reviews_search", "explore_restaurants_search", "explore_orders_search"):
+    ORACLE[f"{_key}_index"] = ORACLE[_key]
+q(
+    "review_matches_index",
+    ["candidates"],
+    " UNION ALL ".join(
+        f"SELECT '{p}' AS pattern, review_id FROM candidates WHERE regexp_matches(text, '{p}', 'i')"
+        for p in ("thorr[a-z]+nd", "ünge(n|r)? |AN[DT] T?HE[ .]", "a[qx]u")
+    ),
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from dinelens.operators import adhoc, explorer, insights, learned, revenue, reviews, staging
 from dinelens.operators.paging import page_params
 from dinelens.operators.scoring import RecordedReplies, RuleScorer
+from dinelens.operators.text_index import TextIndex
 from dinelens.plans.warehouse import Warehouse
+from dinelens.session import scratch_path
 from dinelens.sources import catalog
 
 CITY = "EUROPE"
@@ -25,6 +27,7 @@ MIN_REVENUE = 30_000_000
 MIN_RATING = 4.1
 NAME_SEARCH = "chant [1-4]"
 REVIEW_SEARCH = "the"
+RARE_SEARCHES = ("thorr[a-z]+nd", "ünge(n|r)? |AN[DT] T?HE[ .]", "a[qx]u")
 RESTAURANT_ID = "8"
 PAGE_2_OF_3 = page_params(2, 3)
 PAGE_WIDE = page_params(1, 500)  # clamped to 100
@@ -326,6 +329,45 @@ _add(
     "explore_reviews_info",
     lambda w: _gold_reviews(w, REVIEW_SEARCH).info(PAGE_2_OF_3),
 )
+
+
+def _index(rows: DataFrame, text: str) -> TextIndex:
+    """An index over the rows, written for this run."""
+    return TextIndex.build(rows, text, scratch_path(rows.sparkSession, "text-index"))
+
+
+# the same searches as above, through an index
+_add(
+    "explore_reviews_search_index",
+    lambda w: explorer.reviews_listing(
+        w.gold_review_sentiments, None, REVIEW_SEARCH, index=_index(w.gold_review_sentiments, "original_text")
+    ).page(PAGE_WIDE),
+)
+_add(
+    "explore_restaurants_search_index",
+    lambda w: explorer.explore_restaurants(
+        w.stg_restaurants, PAGE_WIDE, search=NAME_SEARCH, index=_index(w.stg_restaurants, "restaurant_name")
+    ),
+)
+_add(
+    "explore_orders_search_index",
+    lambda w: explorer.explore_orders(
+        w.mart_orders, PAGE_WIDE, search=NAME_SEARCH, min_orders=1, index=_index(w.mart_orders, "restaurant_name")
+    ),
+)
+# whole results of a rare pattern, of alternatives, and of one that no trigram can narrow
+_add("review_matches_index", lambda w: _matches(w, RARE_SEARCHES))
+
+
+def _matches(w: Warehouse, patterns: tuple[str, ...]) -> DataFrame:
+    index = _index(w.gold_review_texts, "original_text")
+    parts = [index.search(p).select(F.lit(p).alias("pattern"), "review_id") for p in patterns]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 _add("distinct_cities", lambda w: explorer.distinct_cities(w.mart_orders))
 _add("distinct_real_cities", lambda w: explorer.distinct_real_cities(w.mart_orders))
 

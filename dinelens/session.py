@@ -8,6 +8,8 @@ session and set only when missing).
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,3 +58,17 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path that the driver and all executors share.
+
+    Under ``spark.checkpoint.dir``; where that is unset, a local session (one
+    machine, one JVM) gets a temporary folder and any other master an error.
+    """
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        local = master.startswith("local") and not master.startswith("local-cluster")
+        base = checkpoint_dir(spark, "file://" + tempfile.mkdtemp(prefix="dinelens-shared-") if local else None)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
