@@ -32,7 +32,11 @@ def _orders_per_restaurant(orders: DataFrame) -> DataFrame:
 def mart_orders(orders: DataFrame, restaurants: DataFrame) -> DataFrame:
     """Per (restaurant_name, city): ``COUNT(order_id)`` and
     ``SUM(order_amount)`` over the inner join on ``restaurant_id``."""
-    per_id = _orders_per_restaurant(orders)
+    return mart_orders_of(_orders_per_restaurant(orders), restaurants)
+
+
+def mart_orders_of(per_id: DataFrame, restaurants: DataFrame) -> DataFrame:
+    """P3 from ``restaurant_id, n_orders, revenue``, one row per restaurant."""
     r = restaurants.select("restaurant_id", "restaurant_name", "city")
     return (
         per_id.join(r, "restaurant_id")
@@ -65,7 +69,11 @@ def mart_city_order_stats(orders: DataFrame, restaurants: DataFrame) -> DataFram
     mart has no id left). Orders are again summed per id first; the
     distinct count is then a count of distinct ids among the per-id rows.
     """
-    per_id = _orders_per_restaurant(orders)
+    return mart_city_order_stats_of(_orders_per_restaurant(orders), restaurants)
+
+
+def mart_city_order_stats_of(per_id: DataFrame, restaurants: DataFrame) -> DataFrame:
+    """P5 from ``restaurant_id, n_orders, revenue``, one row per restaurant."""
     r = restaurants.select("restaurant_id", "city")
     return (
         per_id.join(r, "restaurant_id")

@@ -47,14 +47,17 @@ def enrich_candidates(
 
     Processed ids are removed *before* the batch is cut (a re-run moves on
     to the next reviews), and the batch is the lowest ids (ties by text), so
-    runs are repeatable. ``batch_size=None`` takes every pending review. Raw
+    runs are repeatable. ``batch_size=None`` takes every pending review. Ids
+    are compared null-safely: the gold table keeps one row without an id, and
+    once it is there no review without an id is sent again. Raw
     reviews have no key, so a batch is a plain filter and top-k: each row is
     sent once, however its id repeats.
     """
     ident, text = review_columns(raw.columns)
     r = raw.select(F.col(ident).alias("review_id"), F.col(text).cast("string").alias("text"))
     if done is not None:
-        r = r.join(done.select("review_id"), "review_id", "left_anti")
+        known = done.select(F.col("review_id").alias("_done_id"))
+        r = r.join(known, F.col("review_id").eqNullSafe(F.col("_done_id")), "left_anti")
     r = r.filter(F.col("text").isNotNull() & (F.length("text") >= F.lit(min_chars)))
     if batch_size:
         r = r.orderBy(F.col("review_id").asc_nulls_last(), "text").limit(batch_size)

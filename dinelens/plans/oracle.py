@@ -965,6 +965,34 @@ FROM (SELECT CAST(order_id AS BIGINT) AS k FROM raw_orders) t""",
 )
 
 
+for _key in ("mart_orders", "mart_city_order_stats"):
+    ORACLE[f"{_key}_incremental"] = ORACLE[_key]
+q(
+    "append_new_rows_nulls",
+    ["raw_reviews"],
+    """SELECT DISTINCT CASE WHEN review_id % 5 <> 0 THEN review_id // 2 END AS review_id FROM raw_reviews
+EXCEPT SELECT NULLIF(review_id, 0) FROM raw_reviews WHERE review_id % 3 = 0""",
+)
+q(
+    "append_ledger",
+    ["raw_reviews"],
+    """SELECT review_id, MIN(batch_id) AS batch_id FROM
+ (SELECT CASE WHEN review_id % 7 <> 3 THEN review_id // 2 END AS review_id, review_id % 3 AS batch_id FROM raw_reviews) r GROUP BY review_id""",
+)
+q(
+    "ingest_quarantine",
+    ["raw_restaurants"],
+    """SELECT CAST(id AS BIGINT) AS id, name, city, rating, cost, NULLIF(cuisine, '') AS cuisine FROM raw_restaurants
+WHERE CAST(id AS BIGINT) % 10 NOT IN (1, 2, 3)""",
+)
+q(
+    "ingest_rejects",
+    ["raw_restaurants"],
+    """SELECT folder, record, reason FROM (
+ SELECT k % 10 AS kind, CAST(k % 2 AS INTEGER) AS folder, row_number() OVER (PARTITION BY k % 2 ORDER BY k) AS record,
+  CASE WHEN k % 10 = 1 THEN 'bad value: id' ELSE 'wrong number of fields' END AS reason
+ FROM (SELECT CAST(id AS BIGINT) AS k FROM raw_restaurants) a) b WHERE kind IN (1, 2, 3)""",
+)
 for _key in ("explore_reviews_search", "explore_restaurants_search", "explore_orders_search"):
     ORACLE[f"{_key}_index"] = ORACLE[_key]
 q(

@@ -13,14 +13,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dinelens.operators import adhoc, explorer, insights, learned, revenue, reviews, staging
 from dinelens.operators.paging import page_params
 from dinelens.operators.scoring import RecordedReplies, RuleScorer
 from dinelens.operators.text_index import TextIndex
+from dinelens.plans import incremental
 from dinelens.plans.warehouse import Warehouse
 from dinelens.session import scratch_path
-from dinelens.sources import catalog
+from dinelens.sources import catalog, ledger, quarantine
 
 CITY = "EUROPE"
 MIN_REVENUE = 30_000_000
@@ -79,6 +81,10 @@ _add("export_json", lambda w: explorer.export_json(revenue.cities_ranked(w.mart_
 _add("export_json_parsed", lambda w: _parsed_json(revenue.cities_ranked(w.mart_orders)))
 _add("ingest_csv_lines", lambda w: _csv_lines(w.raw_restaurants))
 _add("append_new_rows", lambda w: _append_new_rows(w))
+_add("append_new_rows_nulls", lambda w: _append_new_rows_nulls(w))
+_add("append_ledger", lambda w: _append_ledger(w))
+_add("ingest_quarantine", lambda w: _quarantine(w).rows)
+_add("ingest_rejects", lambda w: _reject_lines(w))
 _add("source_choice", lambda w: _source_choice(w))
 
 
@@ -101,6 +107,67 @@ def _append_new_rows(w: Warehouse) -> DataFrame:
     return catalog.new_rows(rows, ids.filter("review_id % 3 = 0"), ["review_id"])
 
 
+def _append_new_rows_nulls(w: Warehouse) -> DataFrame:
+    """A5 with ids that are missing, in the rows and in the table."""
+    ids = w.raw_reviews(["review_id"])
+    rows = ids.select(F.when(F.col("review_id") % 5 != 0, F.floor(F.col("review_id") / 2)).alias("review_id"))
+    table = ids.filter("review_id % 3 = 0").select(F.when(F.col("review_id") != 0, F.col("review_id")).alias("review_id"))
+    return catalog.new_rows(rows, table, ["review_id"])
+
+
+def _append_ledger(w: Warehouse) -> DataFrame:
+    """A5 in batches: overlapping ids with NULLs, a crash before the record, and every batch run twice."""
+    target = scratch_path(w.spark, "ledger")
+    ids = w.raw_reviews(["review_id"])
+    key = F.when(F.col("review_id") % 7 != 3, F.floor(F.col("review_id") / 2)).alias("review_id")
+    rounds = [ids.filter(F.col("review_id") % 3 == r).select(key) for r in range(3)]
+    ledger.write_batch(rounds[0], target, ["review_id"], 0)
+    for _ in range(2):
+        for number, rows in enumerate(rounds):
+            ledger.append_batch(rows, target, "review_id", number)
+    return ledger.read_table(w.spark, target, rounds[0].schema)
+
+
+def _csv_files(w: Warehouse) -> tuple[str, DataFrame]:
+    """The restaurants as CSV files: two headers, bad ids, and records with too many or too few fields."""
+    path = scratch_path(w.spark, "csv")
+    k = F.col("id").cast("bigint")
+    given = w.raw_restaurants.select("*", k.alias("k")).withColumn("id", F.when(k % 10 == 1, F.concat(F.lit("x"), "id")).otherwise(F.col("id")))
+    orders = (["id", "name", "city", "rating", "cost", "cuisine"], ["note", "cuisine", "rating", "city", "name", "id", "cost"])
+    for place, names in enumerate(orders):
+        mine = given.filter(F.pmod("k", F.lit(2)) == place).withColumn("note", F.lit("n, n"))
+        line = F.to_csv(F.struct(*names), catalog.csv_options())
+        line = F.when(F.col("k") % 10 == 2, F.concat(line, F.lit(",more"))).when(F.col("k") % 10 == 3, F.lit("alone")).otherwise(line)
+        lines = mine.select("k", line.alias("value")).unionByName(w.spark.createDataFrame([(-1, ",".join(names))], "k long, value string"))
+        lines.coalesce(1).sortWithinPartitions("k").select("value").write.text(f"{path}/{place}")
+    return f"{path}/*", given
+
+
+QUARANTINE_SCHEMA = "id bigint, name string, city string, rating string, cost string, cuisine string"
+
+
+def _quarantine(w: Warehouse) -> quarantine.Ingest:
+    path, given = _csv_files(w)
+    return quarantine.ingest(w.spark, path, T.StructType.fromDDL(QUARANTINE_SCHEMA))
+
+
+def _reject_lines(w: Warehouse) -> DataFrame:
+    """The rejects, by their file's folder and their number in it."""
+    folder = F.regexp_extract("file", r"/(\d)/[^/]*$", 1).cast("int").alias("folder")
+    return _quarantine(w).rejects.select(folder, "record", "reason")
+
+
+def _order_days(w: Warehouse) -> DataFrame:
+    """The stored days after a load, a load of late orders, and the second one once more."""
+    path = scratch_path(w.spark, "order-days")
+    orders = staging.stg_orders(w.raw_orders(["order_id", "r_id", "order_date", "sales_amount"]))
+    late = F.col("order_id") % 5 == 0
+    incremental.load_orders(orders.filter(~late), path, "first")
+    for _ in range(2):
+        incremental.load_orders(orders.filter(late), path, "late")
+    return incremental.read_days(w.spark, path)
+
+
 def _source_choice(w: Warehouse) -> DataFrame:
     """The labels are there, so they count as enriched; the other table is not."""
     raw = w.raw_reviews(["review_id"])
@@ -165,6 +232,9 @@ def _bad_orders(w: Warehouse) -> DataFrame:
     )
 
 
+# the same marts from stored days: two loads, one of them late and repeated
+_add("mart_orders_incremental", lambda w: incremental.mart_orders(_order_days(w), w.stg_restaurants))
+_add("mart_city_order_stats_incremental", lambda w: incremental.mart_city_order_stats(_order_days(w), w.stg_restaurants))
 _add("mart_city_restaurant_stats", lambda w: w.mart_city_restaurant_stats)
 _add("mart_city_order_stats", lambda w: w.mart_city_order_stats)
 

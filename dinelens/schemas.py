@@ -54,6 +54,8 @@ STG_ORDERS = _struct(
 MART_ORDERS = _struct(
     ("restaurant_name", S), ("city", S), ("total_orders", L), ("total_revenue", D)
 )
+# Partial sums of the incremental marts; ``order_date`` is the partition.
+ORDER_DAYS = _struct(("restaurant_id", L), ("load_id", S), ("n_orders", L), ("revenue", D), ("order_date", DT))
 GOLD_REVIEW_SENTIMENTS = _struct(
     ("review_id", L),
     ("original_text", S),

@@ -9,6 +9,8 @@ atomic per job, so a lost executor does not leave half a table behind.
 from __future__ import annotations
 
 import os
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +22,20 @@ CSV_NULL = ""
 
 def ingest_csv(spark: SparkSession, path: str, schema: T.StructType, null_value: str = CSV_NULL) -> DataFrame:
     """A1: read a CSV file (or directory) with a header and a fixed schema;
-    empty fields become NULL, padding blanks are kept (as pandas does)."""
-    return spark.read.schema(schema).options(header=True, **csv_options(null_value)).csv(path)
+    empty fields become NULL, padding blanks are kept (as pandas does).
+
+    Columns are matched by the header's names, whatever their order; further
+    columns are left out, a missing one is an error, and so is a bad record or
+    a file with another header (``quarantine.ingest`` sets these aside).
+    """
+    options = {"header": "true", **csv_options(null_value)}
+    names = spark.read.options(**options).csv(path).columns
+    missing = [f.name for f in schema if f.name not in names]
+    if missing:
+        raise ValueError(f"{path}: the header lacks {missing}")
+    types = {f.name: f.dataType for f in schema}
+    as_read = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+    return spark.read.schema(as_read).options(enforceSchema="false", **options).csv(path).select(*schema.names)
 
 
 def csv_options(null_value: str = CSV_NULL) -> dict[str, str]:
@@ -117,10 +131,14 @@ def _is_path(target: str) -> bool:
 
 
 def new_rows(rows: DataFrame, existing: DataFrame | None, keys: list[str]) -> DataFrame:
-    """A5's plan: ``rows`` with one row per key, without the keys of ``existing``."""
+    """A5's plan: ``rows`` with one row per key, without the keys of ``existing``.
+
+    NULL is a key like any other, so rows without one are added once."""
     new = rows.dropDuplicates(keys)
     if existing is not None:
-        new = new.join(existing.select(*keys), keys, "left_anti")
+        known = existing.select(*[F.col(k).alias(f"_known_{i}") for i, k in enumerate(keys)])
+        same = [new[k].eqNullSafe(known[f"_known_{i}"]) for i, k in enumerate(keys)]
+        new = new.join(known, reduce(and_, same), "left_anti")
     return new.select(*rows.columns)
 
 
