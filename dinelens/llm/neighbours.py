@@ -8,12 +8,11 @@ vector whose further component is zero are then smallest distances. Norms above
 ``LONG`` times the median count as that there, or a few long vectors would leave
 the others alike; the search multiplies by what was cut off.
 
-Graph: nodes sorted by the signs of random projections are cut into blocks, and
-each block's best links start the graph. A round of NN-descent joins every node
-with a sample of its links in both directions, compares these neighbours of
-neighbours with each other and joins what beats a node's worst link back to that
-node. Rounds end when few links change. The compared vectors are rounded to
-eight bits.
+Graph: nodes whose random projections have like signs are compared in blocks of
+some thousands, and each block's best links start the graph. A round of NN-descent joins the nodes
+whose links meet at the same node, compares these neighbours of neighbours with
+each other and joins what beats a node's worst link back to that node. Rounds
+end when few links change. The compared vectors are rounded to eight bits.
 
 Search: each distinct query vector starts at its own node, or at a few entry
 nodes, and keeps the ``beam`` best nodes seen. Each hop joins the nodes to look
@@ -32,6 +31,7 @@ usable query, gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +41,16 @@ from pyspark.sql import functions as F
 
 from dinelens.llm.common import materialise
 
-LINKS = 24
-SAMPLE = 20  # links of a node compared in a round, a little over half of them new
-BEST = 3  # better links that a comparison reports for each node
-BLOCK = 160
-STARTS = 3
+LINKS = 32
+SAMPLE = 40  # links of a node compared in a round
+OLD_TURN = 4  # an old link is compared in one round of so many
+BEST = 4  # better links that a comparison reports for each node
+BLOCK = 4096
+STARTS = 10
+CODE_BITS = 62
 MAX_ROUNDS = 12
-STILL = 0.01  # share of links that may still change when the rounds end
-BEAM = 48
+STILL = 0.02  # share of links that may still change when the rounds end
+BEAM = 64
 ENTRIES = 24
 LONG = 8.0
 FIRST = 4  # nodes whose links the first hop follows
@@ -121,77 +123,99 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-sims, k - 1, axis=-1)[..., :k]
 
 
-def start_links(packed: DataFrame, links: int, seed: int) -> DataFrame:
-    """``node, id, s``: the best links inside blocks of nodes whose projections have like signs."""
+def start_links(packed: DataFrame, nodes: int, links: int, seed: int) -> DataFrame:
+    """``node, id, s``: the best links inside blocks of nodes whose projections have like signs.
+
+    As many signs are taken as give ``BLOCK`` nodes on average; a larger block
+    is cut in the order of further signs.
+    """
+    bits = max(0, math.ceil(math.log2(max(1, nodes) / BLOCK)))
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _unpack(batch.column(1))
-            planes = np.random.default_rng(seed).standard_normal((rows.shape[1], 62)).astype(np.float32)
-            code = (rows @ planes > 0).astype(np.int64) @ (np.int64(1) << np.arange(62, dtype=np.int64))
-            yield pa.record_batch([pa.array(code), *batch.columns], names=["code", "node", "packed"])
-
-    def block(ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        sims = rows @ rows.T
-        np.fill_diagonal(sims, -np.inf)
-        at = _best(sims, min(links, max(1, len(ids) - 1)))
-        s = np.take_along_axis(sims, at, 1)
-        good = np.isfinite(s).ravel()
-        return pa.record_batch({"node": pa.array(np.repeat(ids, at.shape[1])[good]), "id": pa.array(ids[at].ravel()[good]), "s": pa.array(s.ravel()[good].astype(np.float32))})
+            planes = np.random.default_rng(seed).standard_normal((rows.shape[1], CODE_BITS)).astype(np.float32)
+            code = (rows @ planes > 0).astype(np.int64) @ (np.int64(1) << np.arange(CODE_BITS, dtype=np.int64))
+            yield pa.record_batch([pa.array(code >> (CODE_BITS - bits)), pa.array(code), *batch.columns], names=["block", "code", "node", "packed"])
+
+    def best_of(ids: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(ids), 512):
+            sims = rows[at : at + 512] @ rows.T
+            own = np.arange(len(sims))
+            sims[own, at + own] = -np.inf
+            best = _best(sims, min(links, max(1, len(ids) - 1)))
+            s = np.take_along_axis(sims, best, 1)
+            good = np.isfinite(s).ravel()
+            node = np.repeat(ids[at : at + 512], best.shape[1])[good]
+            yield pa.record_batch({"node": pa.array(node), "id": pa.array(ids[best].ravel()[good]), "s": pa.array(s.ravel()[good].astype(np.float32))})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows = np.zeros(0, np.int64), None
+        ids, blocks, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in batches:
-            ids = np.concatenate([ids, batch.column(1).to_numpy(zero_copy_only=False)])
-            new = _unpack(batch.column(2))
+            blocks = np.concatenate([blocks, batch.column(0).to_numpy(zero_copy_only=False)])
+            ids = np.concatenate([ids, batch.column(2).to_numpy(zero_copy_only=False)])
+            new = _unpack(batch.column(3))
             rows = new if rows is None else np.concatenate([rows, new])
-            whole = max(0, len(ids) // BLOCK - 1) * BLOCK  # the last block takes the rest
-            for at in range(0, whole, BLOCK):
-                yield block(ids[at : at + BLOCK], rows[at : at + BLOCK])
-            ids, rows = ids[whole:], rows[whole:]
-        if len(ids) > 1:
-            yield block(ids, rows)
+            while len(ids):
+                end = int(np.searchsorted(blocks, blocks[0], "right"))
+                if end == len(ids) and end < 3 * BLOCK:
+                    break  # the block may go on
+                if end > 2 * BLOCK:
+                    end = BLOCK
+                yield from best_of(ids[:end], rows[:end])
+                ids, blocks, rows = ids[end:], blocks[end:], rows[end:]
+        if len(ids):
+            yield from best_of(ids, rows)
 
-    sorted_nodes = packed.select("node", "packed").mapInArrow(codes, "code long, node long, packed binary")
-    dealt = sorted_nodes.repartitionByRange("code", "node").sortWithinPartitions("code", "node")
-    return dealt.mapInArrow(compare, "node long, id long, s float")
+    coded = packed.select("node", "packed").mapInArrow(codes, "block long, code long, node long, packed binary")
+    return coded.repartition("block").sortWithinPartitions("block", "code", "node").mapInArrow(compare, "node long, id long, s float")
 
 
 def keep_best(found: DataFrame, links: int) -> DataFrame:
-    """``node, links``: each node's best links of ``node, id, s, fresh``; a link already known isn't fresh."""
-    order = Window.partitionBy("node").orderBy(F.desc("s"), "id")
-    some = found.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= 3 * links)
-    one = some.groupBy("node", "id").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
-    one = one.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= links)
-    return one.groupBy("node").agg(F.collect_list(F.struct("s", "id", "fresh")).alias("links"))
+    """``node, packed, links``: each node's best links of ``node, id, s, fresh``; a link already known isn't fresh.
+
+    A row without ``id`` carries the node's vector. A node has a bounded number
+    of rows: it is in at most ``links`` lists, and each reports a few.
+    """
+    one = found.repartition("node").groupBy("node", "id").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"), F.first("packed", True).alias("packed"))
+    order = Window.partitionBy("node").orderBy(F.col("id").isNotNull(), F.desc("s"), "id")
+    one = one.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= links + 1)
+    of = F.collect_list(F.when(F.col("id").isNotNull(), F.struct("s", "id", "fresh"))).alias("links")
+    return one.groupBy("node").agg(F.first("packed", True).alias("packed"), of)
 
 
-def both_ways(graph: DataFrame) -> DataFrame:
-    """``node, id, s, fresh``: links and their reverses."""
-    edges = graph.select("node", F.explode("links").alias("x")).select("node", "x.*")
-    return edges.unionByName(edges.select(F.col("id").alias("node"), F.col("node").alias("id"), "s", "fresh"))
+def carriers(packed: DataFrame) -> DataFrame:
+    """Rows for ``keep_best`` that carry the vectors."""
+    none = F.lit(None)
+    return packed.select("node", none.cast("long").alias("id"), none.cast("float").alias("s"), F.lit(False).alias("fresh"), "packed")
 
 
-def improved(graph: DataFrame, packed: DataFrame, number: int, links: int, sample: int = SAMPLE) -> DataFrame:
-    """A round of NN-descent: ``graph`` with the better links among neighbours of neighbours."""
-    chance = Window.partitionBy("node", "fresh").orderBy(F.xxhash64("id", "node", F.lit(number)))
-    some = both_ways(graph).withColumn("at", F.row_number().over(chance))
-    some = some.filter(F.col("at") <= F.when(F.col("fresh"), sample * 3 // 5).otherwise(sample - sample * 3 // 5)).filter(F.col("at") <= sample)
+def improved(graph: DataFrame, number: int, links: int, sample: int | None = None) -> DataFrame:
+    """A round of NN-descent: ``graph`` with the better links among neighbours of neighbours.
+
+    A node's vector travels along its links; those that meet at a node are
+    neighbours of a neighbour of each other. New links all go, old ones in
+    turn; where more than ``sample`` meet, new ones and then a hash decide.
+    """
     worst = F.when(F.size("links") >= links, F.array_min(F.transform("links", lambda x: x["s"]))).otherwise(F.lit(float("-inf")).cast("float"))
-    ends = packed.select(F.col("node").alias("id"), "packed").join(graph.select(F.col("node").alias("id"), worst.alias("worst")), "id")
-    lists = some.select("node", "id", "fresh").join(ends, "id").groupBy("node").agg(F.collect_list(F.struct("id", "fresh", "worst", "packed")).alias("of"))
+    sent = graph.select("node", "packed", worst.alias("worst"), F.explode("links").alias("x"))
+    chance = F.xxhash64("at", "id", F.lit(number))
+    sent = sent.select(F.col("x.id").alias("at"), F.col("node").alias("id"), "x.s", "x.fresh", "worst", "packed").filter(F.col("fresh") | (F.pmod(chance, F.lit(OLD_TURN)) == 0))
+    some = sent.withColumn("rank", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("fresh"), chance))).filter(F.col("rank") <= (sample or SAMPLE))
+    lists = some.groupBy("at").agg(F.collect_list(F.struct("id", "s", "fresh", "worst", "packed")).alias("of"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
-                of = whole.column(0).slice(start, 1024)
+                of = whole.column(1).slice(start, 1024)
+                centre = whole.column(0).slice(start, 1024).to_numpy(zero_copy_only=False)
                 sizes = np.diff(of.offsets.to_numpy())
                 flat = of.flatten()
-                ids, fresh, worst = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                ids, near, fresh, worst = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 at = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 wide = int(sizes.max())
-                rows = _unpack(flat.field(3))
+                rows = _unpack(flat.field(4))
                 table = np.zeros((len(sizes), wide, rows.shape[1]), np.float32)
                 name = np.full((len(sizes), wide), -1, np.int64)
                 new, limit = np.zeros((len(sizes), wide), bool), np.full((len(sizes), wide), np.inf, np.float32)
@@ -206,24 +230,34 @@ def improved(graph: DataFrame, packed: DataFrame, number: int, links: int, sampl
                 real = np.isfinite(s)
                 owner = np.broadcast_to(name[:, :, None], best.shape)[real]
                 other = np.take_along_axis(np.broadcast_to(name[:, None, :], sims.shape), best, 2)[real]
-                yield pa.record_batch({"node": pa.array(owner), "id": pa.array(other), "s": pa.array(s[real])})
+                # New links are offered to the node they lead to; those compared here are new no more.
+                back, to = centre[row][fresh], ids[fresh]
+                yield pa.record_batch(
+                    {
+                        "node": pa.array(np.concatenate([owner, back, ids])),
+                        "id": pa.array(np.concatenate([other, to, centre[row]])),
+                        "s": pa.array(np.concatenate([s[real], near[fresh], near]).astype(np.float32)),
+                        "fresh": pa.array(np.repeat([True, False], [len(owner) + len(back), len(ids)])),
+                    }
+                )
 
-    better = lists.select("of").mapInArrow(compare, "node long, id long, s float").withColumn("fresh", F.lit(True))
-    known = graph.select("node", F.explode("links").alias("x")).select("node", "x.id", "x.s", "x.fresh")
-    # Links are new until a round has compared them.
-    done = some.select("node", "id", "s", F.lit(False).alias("fresh"))
-    return keep_best(better.unionByName(known).unionByName(done), links)
+    none = F.lit(None).cast("binary").alias("packed")
+    better = lists.select("at", "of").mapInArrow(compare, "node long, id long, s float, fresh boolean").withColumn("packed", none)
+    known = graph.select("node", F.explode("links").alias("x")).select("node", "x.id", "x.s", "x.fresh", none)
+    return keep_best(better.unionByName(known).unionByName(carriers(graph)), links)
 
 
 def build_graph(packed: DataFrame, links: int = LINKS, rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``node, links``: the neighbour graph; only counts reach the driver."""
-    start = start_links(packed, links, 0)
+    """``node, packed, links``: the neighbour graph; only counts reach the driver."""
+    nodes = packed.count()
+    start = start_links(packed, nodes, links // 2, 0)
     for seed in range(1, STARTS):
-        start = start.unionByName(start_links(packed, links, seed))
-    graph = materialise(keep_best(start.withColumn("fresh", F.lit(True)), links), "graph")
+        start = start.unionByName(start_links(packed, nodes, links // 2, seed))
+    start = start.withColumn("fresh", F.lit(True)).withColumn("packed", F.lit(None).cast("binary"))
+    graph = materialise(keep_best(start.unionByName(carriers(packed)), links), "graph")
     total = graph.select(F.sum(F.size("links"))).first()[0] or 0
     for number in range(rounds):
-        graph = materialise(improved(graph, packed, number, links), "graph")
+        graph = materialise(improved(graph, number, links), "graph")
         changed = graph.select(F.sum(F.size(F.filter("links", lambda x: x["fresh"])))).first()[0] or 0
         if changed <= STILL * total:
             break
@@ -231,12 +265,15 @@ def build_graph(packed: DataFrame, links: int = LINKS, rounds: int = MAX_ROUNDS)
 
 
 def build_index(packed: DataFrame, graph: DataFrame, links: int = LINKS) -> DataFrame:
-    """``node, stretch, packed, near``: links of both directions; of the reverse ones the ``links`` nearest."""
-    order = Window.partitionBy("node").orderBy(F.desc("s"), "id")
+    """``node, stretch, packed, near``: the best ``2 x links`` links of both directions."""
     edges = graph.select("node", F.explode("links").alias("x")).select("node", "x.id", "x.s")
-    back = edges.select(F.col("id").alias("node"), F.col("node").alias("id"), "s").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= links)
-    near = edges.select("node", "id").unionByName(back.select("node", "id")).groupBy("node").agg(F.collect_set("id").alias("near"))
-    return packed.select("node", "stretch", "packed").join(near, "node", "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))
+    both = edges.unionByName(edges.select(F.col("id").alias("node"), F.col("node").alias("id"), "s"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("id").isNotNull(), F.desc("s"), "id"))
+    none = F.lit(None)
+    both = both.select("*", none.cast("double").alias("stretch"), none.cast("binary").alias("packed"))
+    own = packed.select("node", none.cast("long").alias("id"), none.cast("float").alias("s"), "stretch", "packed")
+    some = both.unionByName(own).withColumn("at", rank).filter(F.col("at") <= 2 * links + 1)
+    return some.groupBy("node").agg(F.first("stretch", True).alias("stretch"), F.first("packed", True).alias("packed"), F.collect_set("id").alias("near"))
 
 
 STATE = "q long, packed binary, pool array<struct<s: double, id: long>>, seen array<long>, todo array<long>, worst double"
@@ -258,7 +295,7 @@ def greedy_search(index: DataFrame, queries: DataFrame, entries: list[int], beam
             good = s > batch.column(2).to_numpy(zero_copy_only=False)
             yield pa.record_batch([*batch.columns[:2], pa.array(s), batch.column(6)], names=["q", "id", "s", "near"]).filter(pa.array(good))
 
-    def follow(widest: int):
+    def follow(limit: int):
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 made: list[tuple] = []
@@ -266,7 +303,7 @@ def greedy_search(index: DataFrame, queries: DataFrame, entries: list[int], beam
                     old = [(x["s"], x["id"]) for x in pool]
                     near = {x["id"]: x["near"] for x in found or ()}
                     best = sorted(old + [(x["s"], x["id"]) for x in found or ()], key=lambda x: (-x[0], x[1]))[:beam]
-                    new = [i for _, i in best if i in near][:widest]
+                    new = [i for _, i in best if i in near][:limit]
                     known = set(seen)
                     todo = [i for i in dict.fromkeys(j for n in new for j in near[n]) if i not in known]
                     worst = best[-1][0] if len(best) == beam else -float("inf")
@@ -282,16 +319,22 @@ def greedy_search(index: DataFrame, queries: DataFrame, entries: list[int], beam
         return step
 
     done: list[DataFrame] = []
-    widest = FIRST
+    limit = FIRST
     while True:
         look = state.select("q", "packed", "worst", F.explode("todo").alias("id"))
         met = look.join(index.select(F.col("node").alias("id"), F.col("packed").alias("of"), "stretch", "near"), "id").select("q", "id", "worst", "packed", "of", "stretch", "near")
-        better = met.mapInArrow(score, "q long, id long, s double, near array<long>").groupBy("q").agg(F.collect_list(F.struct("s", "id", "near")).alias("found"))
-        moved = state.join(better, "q", "left").select("q", "packed", "pool", "seen", "found").mapInArrow(follow(widest), STATE)
+        better = met.mapInArrow(score, "q long, id long, s double, near array<long>")
+        # The states and what was found for them meet in one shuffle.
+        none = F.lit(None)
+        better = better.select("q", *[none.cast(state.schema[c].dataType).alias(c) for c in ("packed", "pool", "seen")], F.struct("s", "id", "near").alias("x"))
+        own = state.select("q", "packed", "pool", "seen", none.cast(better.schema["x"].dataType).alias("x"))
+        of_query = better.unionByName(own).repartition("q").groupBy("q")
+        of_query = of_query.agg(*[F.first(c, True).alias(c) for c in ("packed", "pool", "seen")], F.collect_list("x").alias("found"))
+        moved = of_query.mapInArrow(follow(limit), STATE)
         moved = materialise(moved, "state")
         done.append(moved.filter(F.size("todo") == 0).select("q", "pool"))
         state = moved.filter(F.size("todo") > 0)
-        widest = beam
+        limit = beam
         if state.isEmpty():
             break
     out = done[0]
