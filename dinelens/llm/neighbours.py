@@ -297,7 +297,8 @@ def greedy_search(index: DataFrame, queries: DataFrame, entries: list[int], beam
 
     def follow(limit: int):
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            # Few rows at a time: as Python objects, the links of many queries would fill the memory.
+            for batch in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):
                 made: list[tuple] = []
                 for pool, seen, found in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
                     old = [(x["s"], x["id"]) for x in pool]
