@@ -99,8 +99,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         ).alias("x")
     )
     samples = labelled.select("x.label", F.explode("x.samples").alias("s")).groupBy("label", "s").agg(F.count(F.lit(1)).alias("n"))
-    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))).alias("pair")
-    counted = samples.filter(F.length("s") >= 2).select("label", "n", pair).groupBy("label", "pair").agg(F.sum("n").alias("n"))
+    chars = _characters(F.col("s"))
+    pair = F.zip_with(F.slice(chars, F.lit(1), F.length("s") - 1), F.slice(chars, F.lit(2), F.length("s") - 1), lambda a, b: F.concat(a, b))
+    counted = samples.filter(F.length("s") >= 2).select("label", "n", F.explode(pair).alias("pair")).groupBy("label", "pair").agg(F.sum("n").alias("n"))
     counts = {0: {}, 1: {}}
     for r in counted.collect():
         counts[r["label"]][(ord(r["pair"][0]), ord(r["pair"][1]))] = r["n"]
@@ -128,11 +129,17 @@ def _ratios(counts: dict[int, dict[tuple[int, int], int]], smooth: float = 0.5,
     return out
 
 
+def _characters(text: Column) -> Column:
+    """The text's characters in one pass; a substring for each would start anew at the front."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
 def _mean_ratio(token: Column, ratios: Column) -> Column:
-    codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.ascii(F.substring(token, i, F.lit(1))))
-    steps = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: a * ASCII + b)
+    codes = F.transform(_characters(token), lambda c: F.ascii(c))
+    last = F.length(token) - 1
+    steps = F.zip_with(F.slice(codes, F.lit(1), last), F.slice(codes, F.lit(2), last), lambda a, b: a * ASCII + b)
     total = F.aggregate(steps, F.lit(0.0), lambda acc, k: acc + F.coalesce(F.get(ratios, k), F.lit(0.0)))
-    return total / (F.length(token) - 1)
+    return total / last
 
 
 def _joined(spans: Column, names: list[str]) -> Column:

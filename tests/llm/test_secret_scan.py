@@ -1,6 +1,8 @@
+import base64
 import hashlib
 import random
 import re
+import time
 
 from dinelens.llm import secret_scan
 
@@ -64,3 +66,16 @@ def test_native(documents, capsys):
     secret_scan.scan(documents, [0.0] * 128 * 128).explain()
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_one_very_long_run(spark):
+    image = base64.b64encode(random.Random(3).randbytes(750_000)).decode()
+    docs = spark.createDataFrame([(1, f"see data:image/png;base64,{image} end")], "doc_id long, text string")
+    ratios = [0.0] * (128 * 128)
+    for a in range(128):
+        ratios[a * 128 + ord("A")] = 64.0
+    began = time.time()
+    got = secret_scan.scan(docs, ratios, threshold=0.5).first()
+    assert time.time() - began < 60  # a quadratic pass would take hours
+    value = max(re.findall(secret_scan.RUN, image), key=len)
+    assert [s["value"] for s in got["added"]] == [value] and value.count("A") / len(value) * 64 > 0.5
