@@ -19,14 +19,19 @@ string, so its turns meet in one row by definition; no other group does.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dinelens.llm.common import computed, running
+
 # Fixed values of the template.
 HEAD, NAME_END, NEXT, END = "### ", " :\n", "\n<next>\n", "\n</turn>\n"
 TEXT_CONTROLS = r"(\\|</turn>|<next>|###)"
 ROLE_CONTROLS = r"(\\|</turn>|<next>|###|:)"
 LOSS_ROLE = "assistant"
+SPANS = "array<struct<begin:bigint,length:bigint,first_byte:bigint,bytes:bigint>>"
 
 
 def _escape(text: Column, controls: str) -> Column:
@@ -48,7 +53,9 @@ def format_conversations(
     """One row per conversation: ``conv_id, formatted, loss_spans``.
 
     ``loss_spans`` is the loss mask: ``(begin, length)`` in code points of
-    ``formatted``, one span for each text of ``loss_role``, markers left out.
+    ``formatted``, one span for each text of ``loss_role``, markers left out;
+    ``first_byte`` and ``bytes`` say the same of its UTF-8, where a span can be
+    taken out without counting characters from the front.
     """
     row = F.struct(
         turns[turn_col].alias("turn"),
@@ -82,7 +89,7 @@ def format_conversations(
             t["parts"].alias("parts"),
         ),
     )
-    built = with_starts.select("conv_id", head.alias("turns"))
+    built = computed(with_starts, ["conv_id"], turns=head)
 
     formatted = F.array_join(
         F.transform("turns", lambda t: F.concat(t["head"], F.array_join(t["parts"], NEXT), F.lit(END))), ""
@@ -95,31 +102,31 @@ def format_conversations(
             lambda t, k: F.transform(
                 t["parts"],
                 lambda p, i: F.struct(
-                    F.when(i > 0, F.lit(len(NEXT)))
-                    .otherwise(F.length(t["head"]) + F.when(k > 0, F.lit(len(END))).otherwise(F.lit(0)))
-                    .cast("long")
-                    .alias("gap"),
+                    _gap(F.length, t, k, i).alias("gap"),
                     F.length(p).cast("long").alias("length"),
+                    _gap(F.octet_length, t, k, i).alias("byte_gap"),
+                    F.octet_length(p).cast("long").alias("bytes"),
                     (t["role"] == F.lit(loss_role)).alias("loss"),
                 ),
             ),
         )
     )
-    spans = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<begin:bigint,length:bigint>>)").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["length"]).alias("at"),
-            F.when(
-                p["loss"],
-                F.array_append(acc["spans"], F.struct((acc["at"] + p["gap"]).alias("begin"), p["length"].alias("length"))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return built.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+    cut = computed(built, ["conv_id"], formatted=formatted, pieces=pieces)
+
+    def step(at: Column, p: Column) -> tuple[Column, Column, Column]:
+        begin, first = at["char"] + p["gap"], at["byte"] + p["byte_gap"]
+        span = F.struct(begin.alias("begin"), p["length"].alias("length"), first.alias("first_byte"), p["bytes"].alias("bytes"))
+        return F.struct((begin + p["length"]).alias("char"), (first + p["bytes"]).alias("byte")), p["loss"], span
+
+    zero = F.lit(0).cast("long")
+    spans = running(F.col("pieces"), F.struct(zero.alias("char"), zero.alias("byte")), SPANS, step)
+    return cut.select("conv_id", "formatted", spans.alias("loss_spans"))
+
+
+def _gap(length: Callable[[Column], Column], turn: Column, number: Column, part: Column) -> Column:
+    """What stands before a part: a separator, or the turn's head behind the end of the turn before."""
+    head = length(turn["head"]) + F.when(number > 0, F.lit(len(END))).otherwise(F.lit(0))
+    return F.when(part > 0, F.lit(len(NEXT))).otherwise(head).cast("long")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -130,23 +137,22 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """
     chunks = F.split("formatted", END, -1)
     chunks = F.slice(chunks, F.lit(1), F.size(chunks) - 1)
-    parsed = F.flatten(
-        F.transform(
-            chunks,
-            lambda c: F.transform(
-                F.split(F.substring(c, F.locate(NAME_END, c) + len(NAME_END), F.length(c)), NEXT, -1),
-                lambda p: F.struct(
-                    _unescape(F.substring(c, F.lit(len(HEAD) + 1), F.locate(NAME_END, c) - 1 - len(HEAD)), ROLE_CONTROLS).alias("role"),
-                    _unescape(p, TEXT_CONTROLS).alias("text"),
-                ),
-            ),
-        )
+    # A role holds no unescaped colon, so the first end of a name ends the head.
+    halves = F.transform(chunks, lambda c: F.split(c, NAME_END, 2))
+    merged = F.transform(
+        halves,
+        lambda h: F.struct(
+            _unescape(F.substring(F.get(h, F.lit(0)), F.lit(len(HEAD) + 1), F.length(F.get(h, F.lit(0)))), ROLE_CONTROLS).alias("role"),
+            F.split(F.get(h, F.lit(1)), NEXT, -1).alias("parts"),
+        ),
     )
+    each = F.transform(merged, lambda t: F.transform(t["parts"], lambda p: F.struct(t["role"].alias("role"), _unescape(p, TEXT_CONTROLS).alias("text"))))
+    raw = computed(formatted, ["conv_id", "formatted", "loss_spans"], raw=F.col("formatted").cast("binary"))
     under_mask = F.transform(
         "loss_spans",
-        lambda s: _unescape(F.substring(F.col("formatted"), (s["begin"] + 1).cast("int"), s["length"].cast("int")), TEXT_CONTROLS),
+        lambda s: _unescape(F.substring(F.col("raw"), (s["first_byte"] + 1).cast("int"), s["bytes"].cast("int")).cast("string"), TEXT_CONTROLS),
     )
-    return formatted.select("conv_id", "formatted", "loss_spans", parsed.alias("turns"), under_mask.alias("loss_texts"))
+    return raw.select("conv_id", "formatted", "loss_spans", F.flatten(each).alias("turns"), under_mask.alias("loss_texts"))
 
 
 def digests(back: DataFrame) -> DataFrame:

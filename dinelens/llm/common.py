@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,38 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     """
     gone = ids.select(F.col("doc_id").alias("_llm_gone")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_llm_gone"]), "left_anti")
+
+
+def computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and the columns, each row's computed once.
+
+    Catalyst writes the expression of a column wherever the column is used,
+    inside lambdas too, but not below a generator.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+BLOCK = 256
+
+
+def running(items: Column, at: Column, out_type: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """The outputs of a pass over the array column ``items`` with a running value.
+
+    ``step(at, item)`` gives the next value, whether there is an output, and the
+    output. Appending copies an array, so outputs are appended within blocks,
+    and blocks to each other: the copies stay few for very long arrays.
+    ``items`` must be a plain column (``computed``).
+    """
+    none, no_blocks = F.expr(f"cast(array() as {out_type})"), F.expr(f"cast(array() as array<{out_type}>)")
+
+    def one(acc: Column, x: Column) -> Column:
+        after, keep, out = step(acc["at"], x)
+        return F.struct(after.alias("at"), F.when(keep, F.array_append(acc["out"], out)).otherwise(acc["out"]).alias("out"))
+
+    def block(acc: Column, number: Column) -> Column:
+        of = F.aggregate(F.slice(items, number * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        return F.struct(of["at"].alias("at"), F.array_append(acc["out"], of["out"]).alias("out"))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    found = F.aggregate(numbers, F.struct(at.alias("at"), no_blocks.alias("out")), block, lambda acc: F.flatten(acc["out"]))
+    return F.when(F.size(items) > 0, found).otherwise(none)

@@ -1,8 +1,12 @@
 import hashlib
+import time
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from dinelens.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, formatted string"
@@ -62,3 +66,17 @@ def test_digests(spark):
     assert r["n_turns"] == 3 and r["loss_chars"] == 6
     assert r["loss_sha256"] == hashlib.sha256("yö \\ z".encode()).hexdigest()
     assert r["turns_sha256"] == hashlib.sha256("user\nhi\nassistant\nyö \\ \nassistant\nz\n".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("roles", [("user", "assistant"), ("assistant",)])
+def test_very_many_turns_of_one_conversation(spark, roles):
+    n = 60_000
+    role = F.element_at(F.array(*map(F.lit, roles)), (F.col("id") % len(roles) + 1).cast("int"))
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("é ### turn "), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    got = chat.digests(chat.read_back(chat.format_conversations(turns))).first()
+    assert time.time() - began < 60  # a quadratic pass would take many minutes
+    texts = [(roles[i % len(roles)], f"é ### turn {i}") for i in range(n)]
+    loss = "".join(t for r, t in texts if r == "assistant")
+    assert got["n_turns"] == n and got["loss_chars"] == len(loss) and got["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in texts).encode()).hexdigest()
