@@ -130,8 +130,8 @@ def number_reviews(
     """Every non-blank comment's request: ``rid, review_id, text_hash, request, rn``.
 
     ``rn`` counts 1, 2, .. within a request, by review id. A restaurant with
-    more than ``per_part`` comments is cut by ``review_id`` modulo the number
-    of its parts first; request numbers are distinct within a restaurant. The
+    more than ``per_part`` comments is cut by a hash of id and text into parts
+    first, whatever its ids are; request numbers are distinct within a restaurant. The
     texts stay behind: only their hashes are shuffled and sorted.
     """
     ids = reviews.filter(non_blank("comment")).select(
@@ -143,7 +143,7 @@ def number_reviews(
     sizes = ids.groupBy("rid").agg(F.ceil(F.count(F.lit(1)) / per_part).alias("parts"))
     # ``sizes`` has one row per restaurant; AQE splits a hot one's rows.
     parted = ids.join(sizes.withColumnRenamed("rid", "_rid"), F.col("rid").eqNullSafe(F.col("_rid"))).drop("_rid")
-    parted = parted.withColumn("part", F.pmod(F.coalesce(F.col("review_id").try_cast("bigint"), F.lit(0)), F.col("parts")))
+    parted = parted.withColumn("part", F.pmod(F.xxhash64("review_id", "text_hash"), F.col("parts")))
     w = Window.partitionBy("rid", "part").orderBy(F.col("review_id").asc_nulls_last(), "text_hash")
     numbered = parted.withColumn("at", F.row_number().over(w) - 1)
     chunk = F.floor(F.col("at") / per_request)

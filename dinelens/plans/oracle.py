@@ -965,6 +965,31 @@ FROM (SELECT CAST(order_id AS BIGINT) AS k FROM raw_orders) t""",
 )
 
 
+cte(
+    "theme_counts",
+    ["raw_reviews", "stg_restaurants"],
+    f"""SELECT rid, place, theme, CAST(COUNT(*) AS DOUBLE) AS n FROM (
+ SELECT rid, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS theme FROM (
+  SELECT restaurant_id AS rid, list_filter(string_split_regex(lower(comment), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
+  FROM raw_reviews WHERE comment IS NOT NULL AND {strip('comment')} <> '') a) b
+JOIN (SELECT DISTINCT CAST(restaurant_id AS VARCHAR) AS rid, coalesce(city, '') AS place FROM stg_restaurants) p USING (rid)
+GROUP BY ALL""",
+)
+cte(
+    "theme_scores",
+    ["theme_counts"],
+    """SELECT rid, theme, n, n_place, round((ln(mine / (all_rid + 500.0 - mine)) - ln(theirs / (all_place - all_rid + 500.0 - theirs))) / sqrt(1.0 / mine + 1.0 / theirs), 6) AS score
+FROM (SELECT *, n + 500.0 * n_all / total AS mine, n_place - n + 500.0 * n_all / total AS theirs FROM (
+ SELECT *, SUM(n) OVER (PARTITION BY place, theme) AS n_place, SUM(n) OVER (PARTITION BY theme) AS n_all,
+  SUM(n) OVER (PARTITION BY rid, place) AS all_rid, SUM(n) OVER (PARTITION BY place) AS all_place, SUM(n) OVER () AS total FROM theme_counts) x
+ WHERE n >= 3) y""",
+)
+q(
+    "restaurant_themes",
+    ["theme_scores"],
+    """SELECT rid AS restaurant_id, rank, theme, CAST(n AS BIGINT) AS reviews, CAST(n_place AS BIGINT) AS city_reviews, score
+FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, theme) AS rank FROM theme_scores WHERE score > 0) z WHERE rank <= 5""",
+)
 for _key in ("mart_orders", "mart_city_order_stats"):
     ORACLE[f"{_key}_incremental"] = ORACLE[_key]
 q(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dinelens.operators import adhoc, explorer, insights, learned, revenue, reviews, staging
+from dinelens.operators import adhoc, explorer, insights, learned, revenue, reviews, staging, themes
 from dinelens.operators.paging import page_params
 from dinelens.operators.scoring import RecordedReplies, RuleScorer
 from dinelens.operators.text_index import TextIndex
@@ -510,6 +510,7 @@ _add("pending_restaurants", _pending)
 _add("review_sample", lambda w: insights.review_sample(_commented_reviews(w), 30))
 _add("review_bundle", lambda w: insights.review_bundle(_commented_reviews(w)))
 _add("parse_insight_reply", lambda w: insights.parse_insight_reply(w.insight_responses, max_themes=4))
+_add("restaurant_themes", lambda w: themes.restaurant_themes(w.stg_restaurants, _commented_reviews(w)))
 _add("insights_build", lambda w: w.insight_build)
 _add("insights_report", lambda w: insights.insights_report(w.insight_build))
 _add("insights_list", lambda w: insights.insights_list(w.gold_restaurant_insights, page_params(1, None, 20)))
