@@ -5,13 +5,16 @@ documents in order and writes segments. A segment has a directory (ids and
 token counts of whole documents) and blocks of ``BLOCK`` token ids. Every
 block starts from a reset model, has a checksum and can be read alone.
 
-Model of a block, per token: an order-2 and an order-1 context each predict
-one id with a confidence; adaptive weights per confidence mix the two
-predictions with an order-0 distribution of the id's high byte that is
-refreshed as counts grow. All arithmetic is on integers, so writer and reader
-agree on any machine. A range coder with 48-bit state and 16-bit output codes
-the result. The blocks of a segment are coded in lock-step, one numpy lane per
-block.
+Order-0: a segment counts its ids, sorts them by count and cuts the list into
+classes of about 1/256 of all counts, so ids of a class are about equally
+frequent. The segment's header lists the ids of each class. A block starts from
+the segment's shares of the classes and adapts them to its own ids; within a
+class all ids get the same share. Order-1 and order-2: a context (the one or two
+ids before) predicts one id with a confidence; these tables start empty in each
+block. Adaptive weights per confidence mix the three. All arithmetic is on
+integers, so writer and reader agree on any machine. A range coder with 56-bit
+state and 16-bit output codes the result. The blocks of a segment are coded in
+lock-step, one numpy lane per block.
 
 Segments are rows of a Parquet table (``part, number, first, n_ids, data``),
 so any store that Spark writes to can hold them and a lost task leaves no half
@@ -20,7 +23,7 @@ file behind.
 Defined cases: NULL text counts as empty (the end id alone); a NULL id comes
 first; rows repeating an id are documents of their own, ordered by a hash of
 their text; extra columns are ignored; an empty table gives an empty result.
-A token id must be below 65,535 (checked).
+A token id must be below 1,048,575 (checked).
 """
 
 from __future__ import annotations
@@ -40,31 +43,86 @@ from pyspark.sql import Window as W
 from dinelens.llm.common import materialise, shared_folder, text_or_empty
 from dinelens.llm.tokens import encoder
 
-MAGIC = b"TIDS"
-BLOCK = 1024
-LANES = 4096
-SLOTS = 64  # of a context table; small ones stay in the cache
-SHIFT = np.uint32(32 - 6)  # takes a 32-bit hash to a slot
-NONE = 65535
+MAGIC = b"TID2"
+HEAD = "<4sIQIIII"
+BLOCK = 4096
+LANES = 1024
+SLOT_BITS = 10  # of a context table
+SLOTS = 1 << SLOT_BITS
+SHIFT = np.uint32(32 - SLOT_BITS)  # takes a 32-bit hash to a slot
+ID_BITS = 20
+NONE = (1 << ID_BITS) - 1
 ONE = 4096  # what the shares of the three orders sum to
-LEAST = 32  # of a prediction's weight, and of what lies above it
+LEAST = 64  # of a prediction's weight, and of what lies above it
 WEIGHTS = (64, 800, 2000, 3200)  # at first, by confidence
-HIGH = 1024  # total of the order-0 frequencies
-FULL = 1 << 32  # the coder's width stays at or above this
-REFRESH = frozenset([16, 32, 64, 128, 256, 512, 768])
+CLASSES = 256
+LARGEST = 1 << 15  # ids of a class, so that an id's share is never empty
+PRIOR = 1024  # ids of a block that the segment's shares of the classes count for
+TOTAL_BITS = 12
+TOTAL = 1 << TOTAL_BITS  # of the class frequencies
+FULL = 1 << 40  # the coder's width stays at or above this
+LOW = FULL - 1
+
+
+class Classes:
+    """Ids of a segment by falling count, cut into classes of about equal weight."""
+
+    def __init__(self, ranked: np.ndarray, starts: np.ndarray, weights: np.ndarray):
+        self.ranked, self.starts, self.weights = ranked, starts, weights
+        self.sizes = np.diff(np.append(starts, len(ranked)))
+        order = np.repeat(np.arange(len(starts)), self.sizes)
+        place = np.arange(len(ranked)) - starts[order]
+        top = int(ranked.max()) + 1
+        self.class_of, self.place_of = np.zeros(top, np.int64), np.zeros(top, np.int64)
+        self.class_of[ranked], self.place_of[ranked] = order, place
+
+    @classmethod
+    def count(cls, ids: np.ndarray) -> Classes:
+        n = np.bincount(ids)
+        ranked = np.flatnonzero(n)
+        ranked = ranked[np.argsort(-n[ranked], kind="stable")]
+        weight = n[ranked]
+        share = (np.cumsum(weight) - weight) * CLASSES // weight.sum()
+        starts = np.flatnonzero(np.diff(share, prepend=-1))
+        ends = np.append(starts[1:], len(ranked))
+        starts = np.concatenate([np.arange(a, b, LARGEST) for a, b in zip(starts, ends, strict=True)])
+        # Within a class the order doesn't matter; rising ids pack better.
+        ranked = ranked[np.lexsort((ranked, np.searchsorted(starts, np.arange(len(ranked)), "right")))]
+        weights = np.add.reduceat(weight, starts)
+        return cls(ranked, starts, np.maximum(1, weights * PRIOR // weights.sum()))
+
+    def to_bytes(self) -> bytes:
+        steps = np.diff(self.ranked, prepend=0)
+        numbers = np.concatenate([self.sizes, self.weights, steps]).astype("<i4")
+        planes = numbers.view(np.uint8).reshape(-1, 4).T  # alike bytes side by side
+        packer = zlib.compressobj(9, strategy=zlib.Z_RLE)
+        return struct.pack("<I", len(self.starts)) + packer.compress(planes.tobytes()) + packer.flush()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Classes:
+        (k,) = struct.unpack_from("<I", data)
+        planes = np.frombuffer(zlib.decompress(data[4:]), np.uint8).reshape(4, -1).T
+        numbers = np.ascontiguousarray(planes).view("<i4").ravel().astype(np.int64)
+        sizes, weights, steps = numbers[:k], numbers[k : 2 * k], numbers[2 * k :]
+        return cls(np.cumsum(steps), np.cumsum(sizes) - sizes, weights)
+
+
+def _refreshes(step: int) -> bool:
+    """Class frequencies are renewed at 32, 64, 128, 256 and then every 256 ids."""
+    return step >= 32 and (step & (step - 1) == 0 or step % 256 == 0)
 
 
 class _Model:
     """The predictions of ``lanes`` blocks at once."""
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.base, self.row = self.lane * SLOTS, self.lane * 256
-        # A context's entry is its predicted id and, above 16 bits, the confidence.
+    def __init__(self, lanes: int, classes: Classes):
+        self.lane, self.k = np.arange(lanes), len(classes.starts)
+        self.base, self.row = self.lane * SLOTS, self.lane * self.k
+        # A context's entry is its predicted id and, above that, the confidence.
         self.entries = [np.full(lanes * SLOTS, NONE, np.int32) for _ in range(2)]
         self.weights = [np.tile(np.array(WEIGHTS, np.int64), lanes) for _ in range(2)]
         self.before1, self.before2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.counts = np.ones((lanes, 256), np.int64)
+        self.counts = np.tile(classes.weights, (lanes, 1))
         self.seen: list[np.ndarray] = []
         self.step = 0
         self._frequencies()
@@ -74,15 +132,15 @@ class _Model:
             flat = (np.stack(self.seen) + self.row).ravel()
             self.counts += np.bincount(flat, minlength=self.counts.size).reshape(self.counts.shape)
             self.seen = []
-        freq = 1 + self.counts * (HIGH - 256) // self.counts.sum(axis=1, keepdims=True)
-        freq[:, 0] += HIGH - freq.sum(axis=1)
+        freq = 1 + self.counts * (TOTAL - self.k) // self.counts.sum(axis=1, keepdims=True)
+        freq[:, 0] += TOTAL - freq.sum(axis=1)
         self.freq = freq
-        # Of each high byte: where its share begins and, above 16 bits, how large it is.
+        # Of each class: where its share begins and, above 16 bits, how large it is.
         self.shares = (np.cumsum(freq, axis=1) - freq + (freq << 16)).astype(np.int32).ravel()
 
     def inverse(self) -> np.ndarray:
-        """The high byte of each of the ``HIGH`` places, lane by lane."""
-        return np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(self.lane)), self.freq.ravel())
+        """The class of each of the ``TOTAL`` places, lane by lane."""
+        return np.repeat(np.tile(np.arange(self.k, dtype=np.uint16), len(self.lane)), self.freq.ravel())
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The two predicted ids, and the ends of their shares of ``ONE``."""
@@ -91,32 +149,32 @@ class _Model:
         hash1 = (b1 * np.uint32(2654435761)) >> SHIFT
         self.at = [self.base + hash2, self.base + hash1]
         e2, e1 = (t.take(i) for t, i in zip(self.entries, self.at, strict=True))
-        self.sure = [e2 >> 16, e1 >> 16]
+        self.sure = [e2 >> ID_BITS, e1 >> ID_BITS]
         self.cell = [(self.lane << 2) + s for s in self.sure]
         w2, w1 = (w.take(i) for w, i in zip(self.weights, self.cell, strict=True))
         self.w = [w2, w1]
-        return e2 & 0xFFFF, e1 & 0xFFFF, w2, w2 + ((ONE - w2) * w1 >> 12)
+        return e2 & NONE, e1 & NONE, w2, w2 + ((ONE - w2) * w1 >> 12)
 
-    def update(self, ids: np.ndarray, high: np.ndarray, hits: tuple[np.ndarray, np.ndarray]) -> None:
+    def update(self, ids: np.ndarray, cls: np.ndarray, hits: tuple[np.ndarray, np.ndarray]) -> None:
         """``hits``: whether the order-2 and the order-1 prediction were right."""
         for k, hit in enumerate(hits):
             w = self.w[k]
             self.weights[k][self.cell[k]] = w + ((np.where(hit, ONE - LEAST, LEAST) - w) >> 4)
-            self.entries[k][self.at[k]] = ids | np.where(hit, np.minimum(self.sure[k] + 1, 3) << 16, 0)
-        self.seen.append(high)
+            self.entries[k][self.at[k]] = ids | np.where(hit, np.minimum(self.sure[k] + 1, 3) << ID_BITS, 0)
+        self.seen.append(cls)
         self.before2 = self.before1
         self.before1 = ids.astype(np.uint32) + np.uint32(1)
         self.step += 1
-        if self.step in REFRESH:
+        if _refreshes(self.step):
             self._frequencies()
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Code words of each row of a (lanes, steps) array of 16-bit ids."""
+def encode_blocks(ids: np.ndarray, classes: Classes) -> list[bytes]:
+    """Code words of each row of a (lanes, steps) array of ids."""
     lanes, steps = ids.shape
-    model = _Model(lanes)
+    model = _Model(lanes, classes)
     low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
-    room = steps * 2 + 5
+    room = steps * 3 + 5
     out = np.zeros(lanes * room, np.uint32)
     at = np.arange(lanes) * room
     columns = np.ascontiguousarray(ids.T).astype(np.int32)
@@ -127,75 +185,75 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         hit1 = right1 & ~right2 & (b > a)  # a share may be too small to code
         hit = right2 | hit1
         end2, end1 = a * unit, b * unit
-        high, rest = (x >> 8).astype(np.int64), x & 255
-        share = model.shares.take(model.row + high)
-        left = width - end1
-        unit = left >> 10
-        part = ((share >> 16) * unit) >> 8
-        low += np.where(hit, np.where(right2, 0, end2), end1 + (share & 0xFFFF) * unit + rest * part)
+        cls = classes.class_of.take(x)
+        share = model.shares.take(model.row + cls)
+        unit = (width - end1) >> TOTAL_BITS
+        part = (share >> 16) * unit // classes.sizes.take(cls)
+        low += np.where(hit, np.where(right2, 0, end2), end1 + (share & 0xFFFF) * unit + classes.place_of.take(x) * part)
         width = np.where(hit, np.where(right2, end2, end1 - end2), part)
-        model.update(x, high, (right2, right1))
+        model.update(x, cls, (right2, right1))
         # Words may have 17 bits; the carry is passed on at the end. A lane that
         # need not move writes its next place in vain.
         need = width < FULL
-        out[at] = low >> 32
-        low = np.where(need, (low & 0xFFFFFFFF) << 16, low)
+        out[at] = low >> 40
+        low = np.where(need, (low & LOW) << 16, low)
         width = np.where(need, width << 16, width)
         at += need
         k = np.flatnonzero(width < FULL)
         while len(k):
-            out[at[k]] = low[k] >> 32
-            low[k] = (low[k] & 0xFFFFFFFF) << 16
+            out[at[k]] = low[k] >> 40
+            low[k] = (low[k] & LOW) << 16
             width[k] <<= 16
             at[k] += 1
             k = k[width[k] < FULL]
-    for _ in range(3):
-        out[at] = low >> 32
-        low = (low & 0xFFFFFFFF) << 16
-        at += 1
+    # The width is at least one word's unit, so one word names a place inside it.
+    out[at] = (low + LOW) >> 40
+    at += 1
     out = out.reshape(lanes, room)
     at -= np.arange(lanes) * room
     for j in range(int(at.max()) - 1, 0, -1):
         out[:, j - 1] += out[:, j] >> 16
     words = (out & 0xFFFF).astype(">u2")
-    return [words[i, : at[i]].tobytes() for i in range(lanes)]
+    # The first byte is always zero: the width began at 48 of 56 bits.
+    return [words[i, : at[i]].tobytes()[1:] for i in range(lanes)]
 
 
-def decode_blocks(blocks: list[bytes], steps: int) -> np.ndarray:
+def decode_blocks(blocks: list[bytes], steps: int, classes: Classes) -> np.ndarray:
     """Inverse of ``encode_blocks``."""
     lanes = len(blocks)
-    room = max(len(b) for b in blocks) // 2 + 4
+    room = max(len(b) for b in blocks) // 2 + 5
     words = np.zeros((lanes, room), np.uint16)
     for i, b in enumerate(blocks):
-        words[i, : len(b) // 2] = np.frombuffer(b, ">u2")
-    model = _Model(lanes)
+        words[i, : (len(b) + 1) // 2] = np.frombuffer(b + b"\0" * (len(b) % 2), ">u2")
+    model = _Model(lanes, classes)
     inverse, step_of = model.inverse(), 0
     code = (words[:, 0].astype(np.int64) << 32) | (words[:, 1].astype(np.int64) << 16) | words[:, 2]
     width = np.full(lanes, 1 << 48, np.int64)
     start = np.arange(lanes) * room
     at, last = start + 3, start + room - 1
     words = words.ravel()
-    place = np.arange(lanes) * HIGH
-    out = np.zeros((steps, lanes), np.uint16)
+    place = np.arange(lanes) * TOTAL
+    out = np.zeros((steps, lanes), np.uint32)
     for s in range(steps):
-        if model.step in REFRESH and model.step != step_of:
+        if model.step != step_of and _refreshes(model.step):
             inverse, step_of = model.inverse(), model.step
         p2, p1, a, b = model.predict()
         unit = width >> 12
         end2, end1 = a * unit, b * unit
         hit2, hit = code < end2, code < end1
-        left = width - end1
-        unit = left >> 10
+        unit = (width - end1) >> TOTAL_BITS
         c = code - end1
-        high = inverse.take(place + np.clip(c // unit, 0, HIGH - 1)).astype(np.int64)
-        share = model.shares.take(model.row + high)
-        part = ((share >> 16) * unit) >> 8
+        cls = inverse.take(place + np.clip(c // unit, 0, TOTAL - 1)).astype(np.int64)
+        share = model.shares.take(model.row + cls)
+        sizes = classes.sizes.take(cls)
+        part = (share >> 16) * unit // sizes
         c -= (share & 0xFFFF) * unit
-        rest = np.clip(c // part, 0, 255)
-        x = np.where(hit, np.where(hit2, p2, p1), high << 8 | rest).astype(np.int32)
+        rest = np.clip(c // part, 0, sizes - 1)
+        x = np.where(hit, np.where(hit2, p2, p1), classes.ranked.take(classes.starts.take(cls) + rest)).astype(np.int32)
         code = np.where(hit, np.where(hit2, code, code - end2), c - rest * part)
         width = np.where(hit, np.where(hit2, end2, end1 - end2), part)
-        model.update(x, (x >> 8).astype(np.int64), (p2 == x, p1 == x))
+        # A damaged block may name an id that the segment doesn't have; its checksum tells.
+        model.update(x, classes.class_of.take(x, mode="clip"), (p2 == x, p1 == x))
         out[s] = x
         need = width < FULL
         code = np.where(need, code << 16 | words.take(at), code)
@@ -210,39 +268,48 @@ def decode_blocks(blocks: list[bytes], steps: int) -> np.ndarray:
     return out.T
 
 
+def check_ids(ids: np.ndarray) -> None:
+    if ids.max(initial=0) >= NONE:
+        raise ValueError(f"a token id does not fit {ID_BITS} bits")
+
+
 def pack_segment(doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:
-    """One segment: header, directory, block table, blocks."""
+    """One segment: header, directory, classes, block table, blocks."""
     n = len(ids)
     steps = min(BLOCK, max(1, n))
     lanes = max(1, -(-n // steps))
-    padded = np.zeros(lanes * steps, np.uint16)
+    padded = np.full(lanes * steps, ids[-1] if n else 0, np.uint32)
     padded[:n] = ids
     rows = padded.reshape(lanes, steps)
-    blocks = encode_blocks(rows)
-    sums = [zlib.crc32(rows[i].astype("<u2").tobytes()) for i in range(lanes)]
+    classes = Classes.count(padded)
+    blocks = encode_blocks(rows, classes)
+    sums = [zlib.crc32(rows[i].astype("<u4").tobytes()) for i in range(lanes)]
+    ranked = classes.to_bytes()
     null = np.array([d is None for d in doc_ids], np.uint8)
     directory = zlib.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(counts, "<u8").tobytes() + null.tobytes())
-    head = struct.pack("<4sIQIII", MAGIC, len(doc_ids), n, lanes, steps, len(directory))
+    head = struct.pack(HEAD, MAGIC, len(doc_ids), n, lanes, steps, len(directory), len(ranked))
     table = np.array([[len(b) for b in blocks], sums], "<u4").tobytes()
-    return b"".join([head, directory, table, *blocks])
+    return b"".join([head, directory, ranked, table, *blocks])
 
 
 def read_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """Document ids, their token counts, and all token ids; raises if a checksum fails."""
-    magic, n_docs, n, lanes, steps, size = struct.unpack_from("<4sIQIII", data)
+    magic, n_docs, n, lanes, steps, size, ranked = struct.unpack_from(HEAD, data)
     if magic != MAGIC:
         raise ValueError("not a token segment")
-    at = struct.calcsize("<4sIQIII")
+    at = struct.calcsize(HEAD)
     directory = zlib.decompress(data[at : at + size])
     at += size
+    classes = Classes.from_bytes(data[at : at + ranked])
+    at += ranked
     doc_ids = np.frombuffer(directory, "<i8", n_docs).tolist()
     counts = np.frombuffer(directory, "<u8", n_docs, 8 * n_docs).astype(np.int64)
     null = np.frombuffer(directory, np.uint8, n_docs, 16 * n_docs)
     table = np.frombuffer(data, "<u4", 2 * lanes, at).reshape(2, lanes)
     at += 8 * lanes
     ends = np.concatenate([[0], np.cumsum(table[0], dtype=np.int64)]) + at
-    rows = decode_blocks([data[ends[i] : ends[i + 1]] for i in range(lanes)], steps)
-    rows = np.ascontiguousarray(rows).astype("<u2")
+    rows = decode_blocks([data[ends[i] : ends[i + 1]] for i in range(lanes)], steps, classes)
+    rows = np.ascontiguousarray(rows).astype("<u4")
     for i in range(lanes):
         if zlib.crc32(rows[i].tobytes()) != table[1, i]:
             raise ValueError(f"checksum of block {i} differs")
@@ -279,11 +346,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         for batch in batches:
             for name, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
                 v = np.frombuffer(ids + end, "<u4")
-                if v.max() >= NONE:
-                    raise ValueError("a token id does not fit 16 bits")
+                check_ids(v)
                 names.append(name)
                 counts.append(len(v))
-                held.append(v.astype(np.uint16))
+                held.append(v)
                 size += len(v)
                 if size >= BLOCK * LANES:
                     yield segment()

@@ -9,11 +9,11 @@ from dinelens.llm import token_files, tokens
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.lists(st.one_of(st.integers(0, 65534), st.integers(0, 3)), max_size=400), st.integers(1, 70))
+@given(st.lists(st.one_of(st.integers(0, token_files.NONE - 1), st.integers(65533, 65537), st.integers(0, 3)), max_size=400), st.integers(1, 70))
 def test_any_ids_come_back(ids, block):
     before, token_files.BLOCK = token_files.BLOCK, block
     try:
-        v = np.array(ids, np.uint16)
+        v = np.array(ids, np.uint32)
         names, counts, back = token_files.read_segment(token_files.pack_segment([None, 7], [len(ids), 0], v))
     finally:
         token_files.BLOCK = before
@@ -30,6 +30,32 @@ def test_repeats_are_predicted_and_noise_is_stored():
         assert np.array_equal(token_files.read_segment(data)[2], v)
 
 
+def test_fewer_bits_than_zlib_on_the_same_blocks(documents):
+    enc = tokens.encoder(tokens.public_path("word_bpe_49k.json"))
+    texts = [r["text"] or "" for r in documents.orderBy("doc_id").select("text").collect()]
+    v = np.concatenate([np.frombuffer(ids, "<u4") for ids in enc.encode(texts)])
+    data = token_files.pack_segment([1], [len(v)], v)
+    n = token_files.BLOCK
+    plain = sum(len(zlib.compress(v[i : i + n].astype("<u2").tobytes(), 6)) for i in range(0, len(v), n))
+    assert len(data) < 0.9 * plain
+    assert np.array_equal(token_files.read_segment(data)[2], v)
+
+
+def test_classes_of_very_many_ids_are_cut():
+    ids = np.concatenate([np.arange(400_000), np.zeros(30_000_000, np.int64)])
+    classes = token_files.Classes.count(ids)
+    assert classes.sizes.max() <= token_files.LARGEST and len(classes.starts) < 512
+    back = token_files.Classes.from_bytes(classes.to_bytes())
+    for name in ("ranked", "starts", "weights", "sizes", "class_of", "place_of"):
+        assert np.array_equal(getattr(back, name), getattr(classes, name))
+
+
+def test_the_largest_id_is_refused():
+    token_files.check_ids(np.array([0, token_files.NONE - 1], np.uint32))
+    with pytest.raises(ValueError, match="does not fit"):
+        token_files.check_ids(np.array([1, token_files.NONE], np.uint32))
+
+
 def test_a_changed_byte_is_found():
     v = np.arange(5000, dtype=np.uint16)
     data = bytearray(token_files.pack_segment([1], [len(v)], v))
