@@ -990,6 +990,31 @@ q(
     """SELECT rid AS restaurant_id, rank, theme, CAST(n AS BIGINT) AS reviews, CAST(n_place AS BIGINT) AS city_reviews, score
 FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, theme) AS rank FROM theme_scores WHERE score > 0) z WHERE rank <= 5""",
 )
+_PAGES = "SELECT CAST((n - 1) // 7 + 1 AS INT) AS page, n AS row_number, t.* EXCLUDE (n) FROM ({t}) t WHERE (n - 1) // 7 + 1 IN (1, 3, 20, 1000)"
+q(
+    "order_pages_index",
+    ["stg_orders"],
+    _PAGES.format(
+        t="""SELECT order_id, restaurant_id, order_date, order_amount, row_number() OVER
+ (ORDER BY order_amount DESC NULLS LAST, order_date ASC NULLS LAST, restaurant_id ASC NULLS LAST, order_id ASC NULLS LAST) AS n FROM stg_orders"""
+    ),
+)
+q(
+    "explore_orders_pages_index",
+    ["mart_orders"],
+    _PAGES.format(
+        t=f"""SELECT restaurant_name, city, total_orders, total_revenue, {aov()} AS avg_order_value, row_number() OVER (ORDER BY {BY_REV}) AS n
+ FROM mart_orders WHERE {_MINS0}"""
+    ),
+)
+q("explore_orders_pages_index_info", ["mart_orders"], _info(f"mart_orders WHERE {_MINS0}", 3, 2))
+q(
+    "city_month_users_sketched",
+    ["stg_orders", "stg_restaurants"],
+    f"""SELECT {rc("city")} AS city, CAST(date_trunc('month', order_date) AS DATE) AS month, COUNT(user_id) AS orders,
+ COUNT(DISTINCT user_id) AS users, TRUE AS estimate_holds
+FROM stg_orders o JOIN stg_restaurants r ON o.restaurant_id = r.restaurant_id GROUP BY 1, 2""",
+)
 for _key in ("mart_orders", "mart_city_order_stats"):
     ORACLE[f"{_key}_incremental"] = ORACLE[_key]
 q(

@@ -10,13 +10,16 @@ returned frames.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dinelens.operators import adhoc, explorer, insights, learned, revenue, reviews, staging, themes
-from dinelens.operators.paging import page_params
+from dinelens.functions.places import real_city
+from dinelens.operators import adhoc, distinct, explorer, insights, learned, revenue, reviews, staging, themes
+from dinelens.operators.page_index import PageIndex
+from dinelens.operators.paging import Page, page_params
 from dinelens.operators.scoring import RecordedReplies, RuleScorer
 from dinelens.operators.text_index import TextIndex
 from dinelens.plans import incremental
@@ -157,6 +160,20 @@ def _reject_lines(w: Warehouse) -> DataFrame:
     return _quarantine(w).rejects.select(folder, "record", "reason")
 
 
+def _city_month_users(w: Warehouse) -> DataFrame:
+    """Users of a real city per month from stored daily sketches, held against the exact count."""
+    orders = staging.stg_orders(w.raw_orders(["order_id", "r_id", "user_id", "order_date"]))
+    places = w.stg_restaurants.select("restaurant_id", real_city("city").alias("city"))
+    rows = orders.join(places, "restaurant_id").select("city", "order_date", "user_id")
+    path = scratch_path(w.spark, "user-sketches")
+    distinct.daily_sketches(rows, ["city"], "order_date", "user_id").write.parquet(path)
+    month = F.date_trunc("month", "order_date").cast("date").alias("month")
+    found = distinct.merged(w.spark.read.parquet(path), ["city", month])
+    exact = rows.groupBy("city", month).agg(F.countDistinct("user_id").alias("users"))
+    both = found.withColumnsRenamed({"city": "_city", "month": "_month"}).join(exact, F.col("city").eqNullSafe(F.col("_city")) & F.col("month").eqNullSafe(F.col("_month")))
+    return both.select("city", "month", F.col("n_rows").alias("orders"), "users", distinct.within(F.col("distinct_estimate"), F.col("users")).alias("estimate_holds"))
+
+
 def _order_days(w: Warehouse) -> DataFrame:
     """The stored days after a load, a load of late orders, and the second one once more."""
     path = scratch_path(w.spark, "order-days")
@@ -234,6 +251,7 @@ def _bad_orders(w: Warehouse) -> DataFrame:
 
 # the same marts from stored days: two loads, one of them late and repeated
 _add("mart_orders_incremental", lambda w: incremental.mart_orders(_order_days(w), w.stg_restaurants))
+_add("city_month_users_sketched", lambda w: _city_month_users(w))
 _add("mart_city_order_stats_incremental", lambda w: incremental.mart_city_order_stats(_order_days(w), w.stg_restaurants))
 _add("mart_city_restaurant_stats", lambda w: w.mart_city_restaurant_stats)
 _add("mart_city_order_stats", lambda w: w.mart_city_order_stats)
@@ -438,6 +456,31 @@ def _matches(w: Warehouse, patterns: tuple[str, ...]) -> DataFrame:
     return out
 
 
+# ------------------------------------------------- D4: pages at any depth
+ANY_PAGES = (Page(1, 7), Page(3, 7), Page(20, 7), Page(1_000, 7))  # the last lies beyond small tables' end
+
+
+def _pages(index: PageIndex) -> DataFrame:
+    out = [index.page(p).select(F.lit(p.page).alias("page"), "*") for p in ANY_PAGES]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _orders_by_amount(w: Warehouse) -> PageIndex:
+    rows = staging.stg_orders(w.raw_orders(["order_id", "r_id", "order_date", "sales_amount"]))
+    rows = rows.select("order_id", "restaurant_id", "order_date", "order_amount")
+    order = [F.col("order_amount").desc_nulls_last(), F.col("order_date").asc_nulls_last(), F.col("restaurant_id").asc_nulls_last(), F.col("order_id").asc_nulls_last()]
+    return PageIndex.build(rows, order, scratch_path(w.spark, "page-index"))
+
+
+def _marts_by_revenue(w: Warehouse) -> PageIndex:
+    listing = explorer.orders_listing(w.mart_orders)
+    return PageIndex.build(listing.rows, listing.order, scratch_path(w.spark, "page-index"))
+
+
+_add("order_pages_index", lambda w: _pages(_orders_by_amount(w)))
+_add("explore_orders_pages_index", lambda w: _pages(_marts_by_revenue(w)))
+_add("explore_orders_pages_index_info", lambda w: _marts_by_revenue(w).info(PAGE_2_OF_3))
+
 _add("distinct_cities", lambda w: explorer.distinct_cities(w.mart_orders))
 _add("distinct_real_cities", lambda w: explorer.distinct_real_cities(w.mart_orders))
 
