@@ -8,7 +8,7 @@ and closing paragraphs beside an inner container); it climbs to the body for
 a title, for text of the body's own or for more than ``MINOR`` of its text.
 The container reached is the page's own and gets its vote. A container is
 named by its generalised path: tags with classes from the body down, digits
-replaced. Per host and path Spark sums the votes, the pages that have the path
+replaced, kept as a 64-bit key so that deep nesting takes linear memory. Per host and path Spark sums the votes, the pages that have the path
 and those where it lies beside the page's own container; a path that lies
 beside it on most of several pages is outvoted.
 
@@ -43,9 +43,11 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -99,11 +101,17 @@ def marked(value: str, in_article: bool) -> int:
     return most
 
 
+def path_key(around: int, name: str) -> int:
+    """A path's key from that of the path around it: 64 bits, so a page's paths take linear memory."""
+    key = xxhash.xxh64_intdigest(name, around & (1 << 64) - 1)
+    return key - (1 << 64) if key >> 63 else key
+
+
 class Page:
     """Containers and text blocks of one page."""
 
     def __init__(self, source: str):
-        self.paths, self.parents, self.semantic = ["html"], [-1], [False]
+        self.paths, self.parents, self.semantic, self.depth = [path_key(0, "html")], [-1], [False], [0]
         self.blocks: list[tuple[int, str, int, bool]] = []  # container, text, characters of links, is it a title
         self.dropped = [0]
         self.marks: list[tuple[int, int, str]] = []  # of marked elements: mark around, ``marked``, name
@@ -143,6 +151,18 @@ class Page:
                 out[k] = k in counts or out[around]
             return out
 
+        nested: list[bool] = []  # is a mark inside one of the same name
+        firm = [False] * (len(marks) + 1)  # is it or one around it wholly of boilerplate words
+        opened: list[int] = []
+        names_open: dict[str, int] = {}
+        for k, (around, is_a, name) in enumerate(marks):
+            while opened and opened[-1] != around:
+                names_open[marks[opened.pop()][2]] -= 1
+            nested.append(names_open.get(name, 0) > 0)
+            firm[k] = is_a == 2 or firm[around]
+            opened.append(k)
+            names_open[name] = names_open.get(name, 0) + 1
+
         def texts(gone: list[bool]) -> tuple[dict[str, int], int]:
             """Plain characters left in the elements of each name, and on the page."""
             n = [0] * (len(marks) + 1)
@@ -151,14 +171,14 @@ class Page:
             rest, by_name = sum(n), {}
             for k in range(len(marks) - 1, -1, -1):
                 n[marks[k][0]] += n[k]
-            for k, (around, _, name) in enumerate(marks):
-                if n[k] and not any(marks[j][2] == name for j in chain(around)):
+            for k, (_, _, name) in enumerate(marks):
+                if n[k] and not nested[k]:
                     by_name[name] = by_name.get(name, 0) + n[k]
             return by_name, rest
 
         largest = max(
             (c for c in range(len(self.paths)) if self.semantic[c] and held[c]),
-            key=lambda c: (all(marks[k][1] < 2 for k in chain(self.mark_of[c])), held[c], -c),
+            key=lambda c: (not firm[self.mark_of[c]], held[c], -c),
             default=-1,
         )
         safe = set(chain(self.mark_of[largest])) if largest >= 0 else set()
@@ -167,10 +187,15 @@ class Page:
         for kind, share in ((2, WHOLE_SHARE), (1, PART_SHARE)):
             by_name, rest = texts(off(counts))
             counts |= {k for k, (_, is_a, name) in enumerate(marks) if is_a == kind and k not in safe and by_name.get(name, 0) <= share * rest}
-        while total and counts and not texts(off(counts))[1]:
-            # Nothing is left: the name with most text does not count.
-            name = max((marks[k][2] for k in counts), key=lambda x: (whole.get(x, 0), x))
-            counts = {k for k in counts if marks[k][2] != name}
+        if total and counts:
+            # While nothing is left, the name with most text does not count.
+            names = sorted({marks[k][2] for k in counts}, key=lambda x: (whole.get(x, 0), x), reverse=True)
+            place = {x: i for i, x in enumerate(names)}
+
+            def without(n: int) -> set[int]:
+                return {k for k in counts if place[marks[k][2]] >= n}
+
+            counts = without(bisect_left(range(len(names)), 1, key=lambda n: texts(off(without(n)))[1]))
         gone = off(counts)
         keep = [not gone[m] for m in self.block_marks]
         for (c, t, _, _), k in zip(self.blocks, keep, strict=True):
@@ -179,8 +204,9 @@ class Page:
         self.blocks = [b for b, k in zip(self.blocks, keep, strict=True) if k]
 
     def _read(self, source: str) -> None:
-        # (tag, container or -1, does it drop, open elements of the same tag inside, mark around)
-        stack: list[list] = [["html", 0, False, 0, -1]]
+        # (tag, does it drop, open elements of the same tag inside, container and mark around)
+        stack: list[list] = [["html", False, 0, 0, -1]]
+        places: dict[str, list[int]] = {}  # of a tag's open elements on the stack
         mark = -1
         at, here, dropping, links = 0, 0, 0, 0
         words: list[str] = []
@@ -204,9 +230,15 @@ class Page:
             nonlocal here, dropping, mark
             flush()
             while len(stack) > k:
-                _, _, drops, _, mark = stack.pop()
+                tag, drops, _, here, mark = stack.pop()
+                places[tag].pop()
                 dropping -= drops
-            here = next(f[1] for f in reversed(stack) if f[1] >= 0)
+
+        def push(tag: str, drops: bool, around: int) -> None:
+            nonlocal dropping
+            places.setdefault(tag, []).append(len(stack))
+            stack.append([tag, drops, 0, here, around])
+            dropping += drops
 
         for m in TAG.finditer(source):
             if m.start() < at:  # inside a raw element
@@ -238,13 +270,12 @@ class Page:
                 if tag in BLOCKS:
                     flush()
                     title = False
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        if stack[k][3]:
-                            stack[k][3] -= 1
-                        else:
-                            close(k)
-                        break
+                if places.get(tag):
+                    k = places[tag][-1]
+                    if stack[k][2]:
+                        stack[k][2] -= 1
+                    else:
+                        close(k)
                 continue
             if tag in BLOCKS:
                 flush()
@@ -255,7 +286,7 @@ class Page:
             if tag in VOID or attrs.endswith("/"):
                 continue
             drops, name = tag in DROPPED, tag
-            in_article = (tag == "header" or bool(attrs)) and any(f[0] == "article" for f in stack)
+            in_article = (tag == "header" or bool(attrs)) and bool(places.get("article"))
             if tag == "header":
                 drops = not in_article
             worded, names = 0, tag
@@ -277,23 +308,19 @@ class Page:
                 mark = len(self.marks) - 1
             if tag in CONTAINERS and tag != "html":
                 flush()
-                self.paths.append(f"{self.paths[here]}>{name}")
+                push(tag, bool(drops), around)
+                self.paths.append(path_key(self.paths[here], name))
+                self.depth.append(self.depth[here] + 1)
                 self.parents.append(here)
                 self.semantic.append(tag in SEMANTIC)
                 self.dropped.append(0)
                 self.mark_of.append(mark)
                 here = len(self.paths) - 1
-                stack.append([tag, here, bool(drops), 0, around])
-                dropping += bool(drops)
             elif drops or mark != around:
                 flush()
-                stack.append([tag, -1, bool(drops), 0, around])
-                dropping += bool(drops)
-            else:
-                for f in reversed(stack):
-                    if f[0] == tag:
-                        f[3] += 1
-                        break
+                push(tag, bool(drops), around)
+            elif places.get(tag):
+                stack[places[tag][-1]][2] += 1
         if at < len(source):
             words.append(source[at:])
         flush()
@@ -308,8 +335,7 @@ class Page:
             if t <= 0:
                 continue
             pure = t / (t + self.dropped[c] + self.links[c])
-            depth = self.paths[c].count(">")
-            out.append((t / whole * pure**0.5 + (0.2 if self.semantic[c] else 0.0) + 0.05 * min(depth, 10), c))
+            out.append((t / whole * pure**0.5 + (0.2 if self.semantic[c] else 0.0) + 0.05 * min(self.depth[c], 10), c))
         return sorted(out, key=lambda x: (-x[0], -x[1]))
 
     def own(self) -> int:
@@ -319,13 +345,14 @@ class Page:
             return -1
         at = best[0][1]
         up = self.parents[at]
+        beside_of = self._beside(at)
         while up >= 0 and not self.semantic[at]:
             plain, linked = self.text[up] - self.text[at], self.links[up] - self.links[at]
             if plain or linked:
-                beside = self._beside(at, up)
+                beside = beside_of.get(up, [])
                 if plain < linked and not any(title for _, _, title in beside):
                     break
-                if self.paths[up].count(">") <= 1 and plain <= MINOR * self.text[up]:
+                if self.depth[up] <= 1 and plain <= MINOR * self.text[up]:
                     titled = {child for child, _, title in beside if title}
                     if any(child >= 0 and child not in titled for child, _, _ in beside):
                         break
@@ -333,17 +360,22 @@ class Page:
             up = self.parents[up]
         return at
 
-    def _beside(self, at: int, up: int) -> list[tuple[int, int, bool]]:
-        """Blocks of ``up`` outside ``at``: child container of ``up`` or -1, plain characters, is it a title."""
-        inside, out = self.inside({at}), []
+    def _beside(self, at: int) -> dict[int, list[tuple[int, int, bool]]]:
+        """By container around ``at``, its blocks outside the next one on the way there:
+        child container of it or -1, plain characters, is it a title."""
+        way, up = set(), at
+        while up >= 0:
+            way.add(up)
+            up = self.parents[up]
+        top, child = [0] * len(self.paths), [-1] * len(self.paths)
+        for c, around in enumerate(self.parents):
+            if c in way:
+                top[c] = c
+            else:
+                top[c], child[c] = top[around], c if around in way else child[around]
+        out: dict[int, list[tuple[int, int, bool]]] = {}
         for c, t, linked, title in self.blocks:
-            if inside[c]:
-                continue
-            child = -1
-            while c != up and c >= 0:
-                child, c = c, self.parents[c]
-            if c == up:
-                out.append((child, len(t) - linked, title))
+            out.setdefault(top[c], []).append((child[c], len(t) - linked, title))
         return out
 
     def inside(self, roots: set[int]) -> list[bool]:
@@ -358,7 +390,7 @@ class Page:
         inside = self.inside(roots)
         return "\n".join(t for c, t, _, _ in self.blocks if inside[c])
 
-    def votes(self) -> dict[str, tuple[int, int]]:
+    def votes(self) -> dict[int, tuple[int, int]]:
         """Per path with plain text: is it the own container's, and do all its containers lie beside that."""
         own = self.own()
         if own < 0:
@@ -367,14 +399,14 @@ class Page:
         while up >= 0:
             around.add(up)
             up = self.parents[up]
-        out: dict[str, tuple[int, int]] = {}
+        out: dict[int, tuple[int, int]] = {}
         for c, path in enumerate(self.paths):
             if self.text[c] > 0:
                 won, beside = out.get(path, (0, 1))
                 out[path] = (won | (path == self.paths[own]), beside & (not inside[c] and c not in around))
         return out
 
-    def extract(self, ranked: list[str], outvoted: list[str] = ()) -> str:
+    def extract(self, ranked: list[int], outvoted: list[int] = ()) -> str:
         """Text by the first of the host's paths that holds nearly all, else of the page's own container."""
         own = self.own()
         if own < 0:
@@ -400,7 +432,7 @@ def host_of(url: Column) -> Column:
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen: dict[tuple[str, str], list[int]] = {}
+        seen: dict[tuple[str, int], list[int]] = {}
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for path, (won, beside) in Page(source).votes().items():
                 n = seen.setdefault((host, path), [0, 0, 0])
@@ -408,14 +440,14 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n[1] += 1
                 n[2] += beside
         rows = sorted(seen.items())
-        names = [pa.array([key[i] for key, _ in rows], pa.string()) for i in range(2)]
+        names = [pa.array([key[i] for key, _ in rows], kind) for i, kind in enumerate((pa.string(), pa.int64()))]
         counts = [pa.array([n[i] for _, n in rows], pa.int64()) for i in range(3)]
         yield pa.RecordBatch.from_arrays([*names, *counts], ["host", "path", "votes", "pages", "beside"])
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
     """``host, paths, outvoted``: the paths with most votes, best first, and the outvoted ones, from rows of ``host, html``."""
-    counted = pages.select("host", "html").mapInArrow(_votes, "host string, path string, votes long, pages long, beside long")
+    counted = pages.select("host", "html").mapInArrow(_votes, "host string, path long, votes long, pages long, beside long")
     summed = counted.groupBy("host", "path").agg(*[F.sum(n).alias(n) for n in ("votes", "pages", "beside")])
     won = F.when(F.col("votes") > 0, F.struct(F.lit(0).alias("kind"), F.col("votes").alias("n")))
     lost = F.when((F.col("pages") > 1) & (2 * F.col("beside") > F.col("pages")), F.struct(F.lit(1).alias("kind"), F.col("pages").alias("n")))

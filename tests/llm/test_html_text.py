@@ -1,3 +1,5 @@
+import time
+
 from dinelens.llm.html_text import Page, extract_text
 
 
@@ -47,6 +49,22 @@ def test_markup_and_references():
         Page(broken).extract(["html>body"])
 
 
+def test_deep_nesting_takes_linear_time_and_memory():
+    n = 100_000
+    for one in ("<div>", '<div class="x">t ', '<div class="sidebar ad"><span class="promo">t '):
+        began = time.process_time()
+        p = Page(one * n)
+        assert len(p.paths) == n + 1 and len(set(p.paths)) == n + 1
+        p.votes()
+        assert len(p.extract([1])) == (0 if one == "<div>" else 2 * n - 1)
+        assert time.process_time() - began < 60
+
+
+def test_an_empty_table(spark):
+    got = extract_text(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert got.columns == ["page_id", "url", "text"] and got.collect() == []
+
+
 def test_paths_of_the_host_win(spark):
     # The widget is longer than the article on one page; the other pages outvote it.
     good = [(i, "http://h.example/x", f"<body><div class='post-{i}'><p>{'Article words here. ' * 8}</p></div><div class='extra'><p>Short.</p></div></body>") for i in range(5)]
