@@ -8,7 +8,8 @@ For a record (a page, a document) and a language l
   documents (held-out ones excluded), applied to the whole text and tempered
   to at most ``EVIDENCE`` trigrams, since trigrams are not independent;
 * declared: the ``lang`` attribute of the markup;
-* address: public suffix of the host and a language-like first path segment;
+* address: suffix of the host (two labels where a generic one stands before a
+  country's, as in ``co.uk``) and a language-like first path segment;
 * host: prior smoothed towards the host's domain, and that towards all records.
 
 How reliable a declaration or an address is comes from grouped sums of the
@@ -40,13 +41,15 @@ from dinelens.llm.html_text import host_of
 
 TABLE = 1 << 16
 MAX_TRAIN_ROWS = 30_000
-MAX_LANGUAGES = 256
 EVIDENCE = 60.0
 SMOOTH = 0.5
 PULL = 20.0  # records that a wider prior counts for
 
 HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", re.S | re.I)
 TAGS = re.compile(r"<[^<>]*>")
+# Labels under which countries' registries hand out names.
+GENERIC = "ac co com edu go gob gov mil ne net nom or org sch".split()
+SUFFIX = rf"(?:(?:{'|'.join(GENERIC)})\.[a-z]{{2}}|[a-z][a-z0-9-]*)"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -73,7 +76,8 @@ def train_text(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> tuple[list[st
     """Languages and their log-probabilities of trigram codes, from rows of ``doc_id, text, lang``.
 
     The sample is taken by a hash of the id, at most ``max_rows`` rows in
-    expectation; the driver gets at most ``TABLE`` counts for each language.
+    expectation; the driver gets at most ``TABLE`` counts for each language of
+    the sample, all of which are kept (a quarter of a megabyte each).
     """
     rows = docs.filter(docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs["doc_id"]))
     rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -94,11 +98,10 @@ def train_text(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> tuple[list[st
 
     counted = rows.filter(share).select("lang", "text").mapInArrow(run, "lang string, code int, n long")
     summed = materialise(counted.groupBy("lang", "code").agg(F.sum("n").alias("n")), "trigrams")
-    most = summed.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    names = sorted(r["lang"] for r in most.collect())
+    names = sorted(r["lang"] for r in summed.select("lang").distinct().collect())
     table = np.zeros((TABLE, len(names)))
     if names:
-        got = summed.filter(F.col("lang").isin(names)).toArrow()
+        got = summed.toArrow()
         place = {x: i for i, x in enumerate(names)}
         column = np.array([place[x] for x in got.column("lang").to_pylist()], int)
         table[got.column("code").to_numpy(), column] = got.column("n").to_numpy()
@@ -215,7 +218,8 @@ def page_records(pages: DataFrame) -> DataFrame:
     declared = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
     segment = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([a-zA-Z]{2})(?:[/?#-]|$)", 1))
     host = host_of(F.col("url"))
-    suffix = F.regexp_extract(host, r"\.([a-z]+)$", 1)
+    suffix = F.regexp_extract(host, rf"\.({SUFFIX})$", 1)
+    domain = F.regexp_extract(host, rf"([^.]+\.{SUFFIX})$", 1)
     address = F.concat_ws("/", suffix, segment)
     return pages.select(
         "page_id",
@@ -225,7 +229,7 @@ def page_records(pages: DataFrame) -> DataFrame:
         F.when(declared != "", declared).otherwise(none).alias("declared"),
         F.when(address != "/", address).otherwise(none).alias("address"),
         F.when(host != "", host).otherwise(none).alias("host"),
-        F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"),
+        F.when(domain != "", domain).otherwise(host).alias("domain"),
     )
 
 

@@ -47,6 +47,59 @@ def test_evidence_is_fused(spark):
     assert found[200] == "aa" and found[201] == "bb" and found[202] == "bb" and found[None] == "aa"
 
 
+def test_posterior_equals_brute_force(spark):
+    names, table = small_model()
+    texts = {"aa": "lama mala amal", "bb": "tok kot otko", "ab": "lama tok", "": ""}
+    rows = []
+    for i in range(60):
+        text, lang = list(texts)[i % 4], ("aa", "bb", "")[i % 3]
+        host = ("x.co.uk", "www.x.co.uk", "y.co.uk", "z.de", "1.2.3.4")[i % 5]
+        rows.append((i, f"http://{host}/{('aa', 'bb', 'long')[i // 4 % 3]}/{i}", f"<html lang={lang}><p>{texts[text]}</p></html>", None))
+    records = language_id.page_records(spark.createDataFrame(rows, PAGES))
+    got = {r["page_id"]: r for r in language_id.identify(records, names, table).collect()}
+    evidence = {r["page_id"]: r for r in records.collect()}
+    assert {r["domain"] for r in evidence.values()} == {"x.co.uk", "y.co.uk", "z.de", "1.2.3.4"}
+    assert {r["address"] for r in evidence.values()} >= {"co.uk/aa", "de/bb", "/aa"}
+
+    def tempered(source):
+        codes = language_id.trigram_codes(language_id.markup_text(source))
+        total = table[codes].sum(axis=0, dtype=np.float64)
+        return total * min(1.0, language_id.EVIDENCE / max(1, len(codes)))
+
+    def soft(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    logs = {i: tempered(html) for i, _, html, _ in rows}
+    p = {i: soft(x) for i, x in logs.items()}
+    total = sum(p.values())
+    prior = (total + language_id.SMOOTH) / (total.sum() + language_id.SMOOTH * 2)
+
+    def summed(column, value):
+        return sum(p[i] for i in p if evidence[i][column] == value)
+
+    def smoothed(sums, around):
+        return (sums + language_id.PULL * around) / (sums.sum() + language_id.PULL)
+
+    for i in p:
+        e = evidence[i]
+        x = logs[i] + np.log(smoothed(summed("host", e["host"]), smoothed(summed("domain", e["domain"]), prior)))
+        for column in ("declared", "address"):
+            if e[column] is not None:
+                kinds = len({r[column] for r in evidence.values()} - {None})
+                x = x + np.log((summed(column, e[column]) + language_id.SMOOTH) / (total + language_id.SMOOTH * (kinds + 1)))
+        want = soft(x)
+        assert abs(got[i]["probability"] - want.max()) < 2e-6
+        assert want[names.index(got[i]["lang"])] > want.max() - 1e-9
+
+
+def test_every_language_of_the_sample_is_kept(spark):
+    rows = [(i, f"l{i:03}", f"text {i} of its own") for i in range(700)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    names, table = language_id.train_text(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert names == [lang for _, lang, _ in rows] and len(names) > 256 and table.shape[1] == len(names)
+
+
 def test_odd_rows(spark, odd_documents, empty_documents):
     names, table = language_id.train_text(odd_documents)
     got = language_id.identify(language_id.document_records(odd_documents), names, table)
