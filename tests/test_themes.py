@@ -34,8 +34,8 @@ def test_texts_are_read_once_and_stored_counts_make_the_themes(spark, tmp_path):
 
 
 def test_sums_of_a_phrase_cross_batches():
-    h = [1, 1, 1, 2, 2, 2, 2, 3]
-    rows = [("a", "X", "p q"), ("b", "X", "p q"), ("a", "X", "p q"), ("c", "Y", "p q"), ("c", "Y", "r s"), ("a", "X", themes.TOTAL), ("c", "Y", "r s"), ("c", "Y", "t u")]
+    h = [1, 1, 1, 1, 1, 1, 2, 3]
+    rows = [("a", "X", "p q"), ("b", "X", "p q"), ("c", "Y", "r s"), ("a", "X", "p q"), ("c", "Y", "p q"), ("c", "Y", "r s"), ("a", "X", themes.TOTAL), ("c", "Y", "t u")]
     # Two phrases of one hash, and one hash over several batches.
     table = pa.table([[r[i] for r in rows] for i in range(3)] + [[2] * 8, h], names=["rid", "place", "theme", "n", "h"])
     for size in (1, 2, 3, 8):
