@@ -1,8 +1,8 @@
 """Source divergence audit by chunk factorization.
 
 White-space chunks are counted per document and combined per task; every
-globally distinct chunk is cut into terms once; the terms are joined back to
-the counts and added up per language and source. A term is kept if at least
+globally distinct chunk, with its counts, is cut into terms once; these are
+added up per language and source. A term is kept if at least
 three documents of its language hold it. How a source's share of the kept terms
 departs from the others' and from the language's is then integer arithmetic.
 
@@ -99,10 +99,15 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
     return docs.select(text_or_empty().alias("text"), place.alias("place")).mapInArrow(count, "place string, chunk string, n long, seen long")
 
 
+def _cut(chunks: DataFrame) -> DataFrame:
+    """Rows of ``chunk``, once for each of its terms (``term``)."""
+    cut = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
+    return chunks.select("*", F.explode(cut).alias("term"))
+
+
 def chunk_terms(chunks: DataFrame) -> DataFrame:
     """``chunk, term, times`` of distinct chunks: each is cut into terms once."""
-    cut = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    return chunks.select("chunk").distinct().select("chunk", F.explode(cut).alias("term")).groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"))
+    return _cut(chunks.select("chunk").distinct()).groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
 def kept_terms(counts: DataFrame) -> DataFrame:
@@ -111,22 +116,23 @@ def kept_terms(counts: DataFrame) -> DataFrame:
     ``n`` is the term's occurrences in the group, ``n_lang`` in the language;
     ``first`` marks one row per language and term.
 
-    The counts are dealt by chunk once: that shuffle serves the sums per group,
-    the distinct chunks and the join of the two.
+    The counts are dealt by chunk once: that shuffle serves the sums per group
+    and the distinct chunks.
     """
     one = F.when(F.col("seen") != MANY, F.col("seen"))
     sums = counts.repartition("chunk").groupBy("place", "chunk")
     sums = sums.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("seen") == MANY, LEAST_DOCS).otherwise(1)).alias("docs"), F.min(one).alias("least"), F.max(one).alias("most"))
-    # Always true; it names all columns, so that both uses of the shuffle read the same ones.
-    sums = sums.filter((F.col("n") > 0) & (F.col("docs") > 0) & (F.col("least").isNull() | F.col("most").isNotNull()))
-    rows = sums.join(chunk_terms(sums).hint("merge"), "chunk")  # both grow with the input: never broadcast
+    # A chunk's places are put into one row, at most one for each group, so each chunk is cut into terms once.
+    chunks = sums.groupBy("chunk").agg(F.collect_list(F.struct("place", "n", "docs", "least", "most")).alias("of"))
+    # A term that a chunk has repeatedly has a row for each time; only n is summed.
+    rows = _cut(chunks).select("term", F.inline("of"))
     size = F.substring_index("place", ":", 1).cast("int")
     start = F.instr("place", ":") + 1
     rows = rows.select(
         F.substring("place", start, size).alias("lang"),
         F.substring("place", start + size, F.length("place")).alias("source"),
         "term",
-        (F.col("n") * F.col("times")).alias("n"),
+        "n",
         "docs",
         "least",
         "most",

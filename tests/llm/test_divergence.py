@@ -81,3 +81,11 @@ def test_shares_beyond_long(spark):
 def test_chunk_terms(spark, chunk, terms):
     df = spark.createDataFrame([(chunk,), (chunk,)], "chunk string")
     assert {r["term"]: r["times"] for r in divergence.chunk_terms(df).collect()} == terms
+
+
+def test_counts_of_chunks_are_added_up_once(spark):
+    docs = spark.createDataFrame([("one two-two, two-two,", "en", s) for s in "abc"], "text string, lang string, source string")
+    kept = divergence.kept_terms(divergence.chunk_counts(docs))
+    plan = kept._jdf.queryExecution().toString()
+    assert "Join" not in plan and plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("MapInArrow") == 1
+    assert sorted((r["term"], r["source"], r["n"], r["n_lang"]) for r in kept.collect()) == [(t, s, n, 3 * n) for t, n in (("one", 1), ("two", 4)) for s in "abc"]
