@@ -54,7 +54,7 @@ BLOCK = 64
 PRIOR_WEIGHT = 0.5
 PREDICT_AT = 0.7
 FLUSH = 200_000
-CACHED = 50_000
+CACHED = 2_000_000  # numbers that the remembered vectors of a worker hold
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -305,16 +305,20 @@ class _Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict = {}
+        self.known: dict[bytes, tuple[float, str]] = {}
+        self.size = 0
 
     def __call__(self, ids: list[int], tfs: list[int]) -> tuple[float, str]:
         # One term alone has the same unit vector for any count.
-        key = (tuple(ids), tuple(tfs) if len(ids) > 1 else ())
-        if key not in self.known:
-            if len(self.known) > CACHED:
+        key = np.array([*ids, *tfs] if len(ids) > 1 else ids, np.int32).tobytes()
+        found = self.known.get(key)
+        if found is None:
+            self.size += len(key) // 4 + 64  # an entry's own share
+            if self.size > CACHED:
                 self.known.clear()
-            self.known[key] = self.model.score(ids, tfs)
-        return self.known[key]
+                self.size = len(key) // 4 + 64
+            found = self.known[key] = self.model.score(ids, tfs)
+        return found
 
 
 def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

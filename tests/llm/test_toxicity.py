@@ -1,3 +1,4 @@
+import pickle
 import random
 import zlib
 
@@ -108,3 +109,20 @@ def test_a_repeated_id_does_not_fill_the_sample(spark):
     # Below the bound nothing is left out.
     got = toxicity.labelled_sample(spark.createDataFrame(rows, DOCS), labels, 1000).collect()
     assert {(r["doc_id"], r["text"]) for r in got} == {(i, t) for i, t, _, _ in rows} and len(got) == 340
+
+
+def test_remembered_vectors_are_bounded_by_their_size(monkeypatch):
+    monkeypatch.setattr(toxicity, "CACHED", 4000)
+
+    class Model:
+        @staticmethod
+        def score(ids, tfs):
+            return float(sum(ids) + sum(tfs)), ""
+
+    scored = toxicity._Scorer(Model)
+    for i in range(300):
+        ids, tfs = list(range(1000 + i, 1200 + i)), [1] * 200
+        assert scored(ids, tfs) == scored(ids, tfs) == Model.score(ids, tfs)
+        assert len(pickle.dumps(scored.known)) <= 4 * toxicity.CACHED
+    assert scored.known
+    assert scored([3], [1]) == scored([3], [9]) and scored([], []) == Model.score([], [])
