@@ -1,24 +1,36 @@
 """Token ids of whole texts by the tokenizers library, with a cache of words.
 
 Both kinds of pre-tokenizer in use part a text at white space, and a word from
-a full stop or comma behind it. So a text is cut into words, every word is
-encoded by the library once per worker and remembered. For a byte-level
-vocabulary a space belongs to the word after it, and runs of white space are
-tokens; texts with anything but single spaces and line breaks between words,
-and all texts of other kinds of tokenizer, go to the library as a whole.
+a full stop or comma behind it. So a batch of texts is cut into words and its
+distinct words are found by Arrow; each of them is encoded by the library once
+per worker and remembered, and the ids are laid out by their words' numbers. A
+word of Latin letters is one pre-token and goes to the library's model as such.
+For a byte-level vocabulary a space belongs to the word after it, and runs of
+white space are tokens; texts with anything but single spaces and line breaks
+between words, and all texts of other kinds of tokenizer, go to the library as
+a whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import string
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MAX_CACHED = 600_000
-STOPS = ".,"
+MAX_CACHED = 800_000
+MARKS = string.punctuation
 JOINED = 64
+CHARS = 8_000_000  # of texts encoded at once, unless one text is longer
+LATIN = "\u0250"  # letters below are composed and have long been letters
+SAMPLE = string.ascii_letters + "\u00df\u00e9\u00c0\u0160"
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+# How a byte-level vocabulary writes each byte.
+BYTES = {b: chr(b) for b in PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
 _OPEN: dict[str, Encoder] = {}
 
 
@@ -48,10 +60,17 @@ class Encoder:
         steps = [s.get("type") for s in before.get("pretokenizers", [])]
         self.bytewise = norm is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         self.wordwise = norm is not None and steps == ["Split", "ByteLevel"] and before["pretokenizers"][0]["behavior"] == "Removed"
-        # Cached ids by word: at a line's start, and after a space (or any word, where white space is dropped).
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
-        self.stops = dict(zip(STOPS, self.whole(list(STOPS)), strict=True))
+        # Ids by word; for a byte-level vocabulary a line's first word has the line break before it.
+        self._forget()
+        # Whether Latin letters reach the model as one pre-token, at most put in lower case.
+        rules = norm.get("normalizers", [norm]) if norm else []
+        known = all(r["type"] in ("NFC", "Lowercase") or r["type"] == "Replace" and r["pattern"] == {"Regex": r"\s+"} for r in rules)
+        own = all(t["special"] for t in kind.get("added_tokens") or [])  # the others are cut out of a text
+        self.lower = any(r["type"] == "Lowercase" for r in rules)
+        self.tokenize = self.library.model.tokenize
+        self.direct = known and own and (self.bytewise or self.wordwise)
+        self.direct = self.direct and len(self.library.pre_tokenizer.pre_tokenize_str(SAMPLE)) == 1
+        self.direct = self.direct and all(self._model_ids(w, "") == self.whole([w])[0] for w in (SAMPLE, *SAMPLE))
         self.line_break = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -72,48 +91,139 @@ class Encoder:
                 out.extend(self.whole([before + w for w in chunk]))
         return out
 
-    def _learn(self, cache: dict, words: set[str], before: str) -> None:
-        new = words.difference(cache)
-        if len(cache) + len(new) > MAX_CACHED:
-            cache.clear()
-            new = words
-        # The letter before the stop must still be one in lower case, or the two may join.
-        stopped = {w for w in new if w[-1:] in self.stops and w[:-1].isalpha() and w[-2].lower().isalpha()}
-        plain = (new - stopped | {w[:-1] for w in stopped}).difference(cache)
+    def _forget(self) -> None:
+        # The number of each word; by number, its ids' count and place in ``flat``, and whether it can't be used.
+        self.cache: dict[str, int] = {}
+        self.size, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.odd, self.flat = np.zeros(0, bool), np.zeros(0, np.uint32)
+
+    def _laid(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words one after another, and where each word's begin, with the end."""
+        each = self.size[numbers]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        kind = np.int32 if ends[-1] + len(self.flat) < 1 << 31 else np.int64
+        at = np.repeat((self.start[numbers] - ends[:-1]).astype(kind), each)
+        at += np.arange(ends[-1], dtype=kind)
+        return self.flat[at], ends
+
+    def _model_ids(self, word: str, lead: str) -> bytes:
+        if self.lower:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTES)
+        return array("I", [t.id for t in self.tokenize(lead + word)]).tobytes()
+
+    def _plain(self, words: list[str], before: str) -> dict[str, bytes | None]:
+        """Ids of each word behind ``before``, a space or nothing; None if white space at its ends would join others."""
+        found: dict[str, bytes | None] = {}
+        letters, rest, lead = [], [], BYTES[32] if before else ""
+        for w in words:
+            if not w.isalpha():
+                rest.append(w)
+            elif self.direct and (w.isascii() or max(w) < LATIN and w.lower().isalpha()):
+                found[w] = self._model_ids(w, lead)
+            else:
+                letters.append(w)
         if before or self.wordwise:
-            letters = [w for w in plain if w.isalpha()]
-            cache.update(zip(letters, self._joined(letters, before), strict=True))
-            plain.difference_update(letters)
-        rest = list(plain)
-        for word, ids in zip(rest, self.whole([before + w for w in rest]), strict=True):
-            unsafe = self.bytewise and (not word or word[0].isspace() or word[-1].isspace())
-            cache[word] = None if unsafe else ids
-        for w in stopped:
-            cache[w] = cache[w[:-1]] + self.stops[w[-1]]
-
-    def encode(self, texts: list[str], at_once: int = 256) -> list[bytes]:
+            found.update(zip(letters, self._joined(letters, before), strict=True))
+        else:
+            rest += letters
+        for w, ids in zip(rest, self.whole([before + w for w in rest]), strict=True):
+            unsafe = self.bytewise and (not w or w[0].isspace() or w[-1].isspace())
+            found[w] = None if unsafe else ids
+        return found
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode and remember new words."""
+        # Letters with marks behind. The last letter must still be one in lower case, or the two may join.
+        marked: list[tuple[str, str]] = []
+        plain: set[str] = set()
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if len(stem) < len(w) and stem.lstrip("\n").isalpha() and stem[-1].lower().isalpha():
+                marked.append((stem, w[len(stem) :]))
+            else:
+                plain.add(w)
+        stems = {s for s, _ in marked}
+        plain |= stems.difference(self.cache)
+        found: dict[str, bytes | None] = {}
+        if self.bytewise:
+            first = [w for w in plain if w[:1] == "\n"]
+            ids_of = self._plain([w[1:] for w in first], "")
+            for w in first:
+                ids = ids_of[w[1:]]
+                found[w] = ids if ids is None else self.line_break + ids
+            plain.difference_update(first)
+        found |= self._plain(list(plain), " " if self.bytewise else "")
+        known = list(stems.difference(found))
+        ids, ends = self._laid(np.array([self.cache[w] for w in known], np.int64))
+        ids_of = {w: ids[a:b].tobytes() for w, a, b in zip(known, ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+        tails = list({t for _, t in marked})
+        ids_of_tail = dict(zip(tails, self.whole(tails), strict=True))
+        for stem, tail in marked:
+            found[stem + tail] = (found[stem] if stem in found else ids_of[stem]) + ids_of_tail[tail]
+        self._remember(list(found), list(found.values()))
+
+    def _remember(self, words: list[str], ids: list[bytes | None]) -> None:
+        size = np.array([len(x or b"") // 4 for x in ids], np.int64)
+        self.cache.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.odd = np.concatenate([self.odd, np.array([x is None for x in ids], bool)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(x for x in ids if x), "<u4")])
+
+    def _keep(self, words: list[str]) -> None:
+        """Forget all words but these."""
+        numbers = np.array([self.cache[w] for w in words], np.int64)
+        flat, ends = self._laid(numbers)
+        self.size, self.odd = self.size[numbers], self.odd[numbers]
+        self.start, self.flat = ends[:-1], flat
+        self.cache = dict(zip(words, range(len(words)), strict=True))
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        found = list(map(self.cache.get, words))
+        new = [i for i, n in enumerate(found) if n is None]
+        if not new:
+            return np.array(found, np.int64)
+        if len(self.cache) + len(new) > MAX_CACHED:  # the words of these texts are likely in the next
+            self._keep([w for w, n in zip(words, found, strict=True) if n is not None])
+            found = list(map(self.cache.get, words))
+        self._learn([words[i] for i in new])
+        for i in new:
+            found[i] = self.cache[words[i]]
+        return np.array(found, np.int64)
+
+    def encode(self, texts: list[str], at_once: int = 1024) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
         if not (self.bytewise or self.wordwise):
             return self.whole(texts)
-        some = self._bytewise if self.bytewise else self._wordwise
-        return [ids for at in range(0, len(texts), at_once) for ids in some(texts[at : at + at_once])]
-
-    def _bytewise(self, texts: list[str]) -> list[bytes]:
-        cut = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        self._learn(self.first, {line[0] for lines in cut for line in lines}, "")
-        self._learn(self.later, set().union(*[line[1:] for lines in cut for line in lines]), " ")
-        first, later, out = self.first, self.later.__getitem__, []
-        for text, lines in zip(texts, cut, strict=True):
-            try:
-                out.append(self.line_break.join([first[x[0]] + b"".join(map(later, x[1:])) for x in lines]))
-            except TypeError:  # white space that belongs to no word
-                out.extend(self.whole([text]))
+        out: list[bytes] = []
+        some: list[str] = []
+        size = 0
+        for t in texts:
+            if some and (len(some) >= at_once or size + len(t) > CHARS):
+                out.extend(self._some(some))
+                some, size = [], 0
+            some.append(t)
+            size += len(t)
+        return out + self._some(some) if some else out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        if self.bytewise:  # each line's first word keeps the line break before it, the text's first is given one
+            cut = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        else:  # other white space than ASCII's stays in a word, for the library to part
+            cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = cut.flatten().dictionary_encode()
+        number = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        ids, ends = self._laid(number)
+        bounds = cut.offsets.to_numpy()
+        at = 4 * ends[bounds]
+        starts = at[:-1] + 4 * self.bytewise  # without the line break before the text
+        raw = memoryview(ids).cast("B")
+        out = [bytes(raw[a:b]) for a, b in zip(starts.tolist(), at[1:].tolist(), strict=True)]
+        odd = self.odd[number]
+        if odd.any():  # white space that belongs to no word
+            rest = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(odd)])[bounds])).tolist()
+            for i, whole in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+                out[i] = whole
         return out
-
-    def _wordwise(self, texts: list[str]) -> list[bytes]:
-        # str.split() also parts at the four separators, which other tools see as characters.
-        odd = {i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        cut = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        self._learn(self.later, set().union(*cut), "")
-        later = self.later.__getitem__
-        return [self.whole([texts[i]])[0] if i in odd else b"".join(map(later, c)) for i, c in enumerate(cut)]

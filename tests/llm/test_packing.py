@@ -103,3 +103,23 @@ def test_slots_number_every_piece():
     s = [(((50, 1), (25, 2)), 3), (((25, 4),), 2)]
     first, seq, each, off = packing.slots(s)[25]
     assert first.tolist() == [0, 6] and seq.tolist() == [0, 3] and each.tolist() == [2, 4] and off.tolist() == [50, 0]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_are_encoded_once_and_outlast_a_full_cache(name, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_CACHED", 40)
+    rng = random.Random(2)
+    words = ["Haus", "naïve", "ŠKODA", "straße***", "İ.%", "the,%%%", "x'", "don't.", "é", "日本.", "éa!", "á.", "≠", "a.b.", "...", "12.", "ΣΑΣ;", "x y", " z", "ª!"]
+    words += ["".join(rng.choices("abcdeé", k=6)) + rng.choice(["", ".", "?!"]) for _ in range(60)]
+    texts = [rng.choice(["", " ", "\n"]) + rng.choice([" ", "\n", "\t"]).join(rng.choices(words, k=12)) for _ in range(300)]
+    enc = tokens.Encoder(tokens.public_path(name))
+    assert enc.direct
+    asked = []
+    monkeypatch.setattr(enc, "tokenize", lambda w, ask=enc.tokenize: asked.append(w) or ask(w))
+    got = [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts * 2, at_once=300)]
+    assert got == library_ids(tokens.public_path(name), texts * 2)
+    # Those of the last texts are still known, whatever the cache's size.
+    n = len(asked)
+    assert n and enc.encode(texts) and len(asked) == n
+    got = [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts, at_once=7)]
+    assert got == library_ids(tokens.public_path(name), texts)
