@@ -14,7 +14,8 @@ ids before) predicts one id with a confidence; these tables start empty in each
 block. Adaptive weights per confidence mix the three. All arithmetic is on
 integers, so writer and reader agree on any machine. A range coder with 56-bit
 state and 16-bit output codes the result. The blocks of a segment are coded in
-lock-step, one numpy lane per block.
+lock-step, one numpy lane per block; a step's calls cost much the same for few
+lanes as for many, so a task's last ids join the segment before.
 
 Segments are rows of a Parquet table (``part, number, first, n_ids, data``),
 so any store that Spark writes to can hold them and a lost task leaves no half
@@ -45,8 +46,8 @@ from dinelens.llm.tokens import encoder
 
 MAGIC = b"TID2"
 HEAD = "<4sIQIIII"
-BLOCK = 4096
-LANES = 1024
+BLOCK = 1024
+LANES = 3072  # of a segment; its last may have half as many more, so that few lanes are rare
 SLOT_BITS = 10  # of a context table
 SLOTS = 1 << SLOT_BITS
 SHIFT = np.uint32(32 - SLOT_BITS)  # takes a 32-bit hash to a slot
@@ -62,6 +63,7 @@ TOTAL_BITS = 12
 TOTAL = 1 << TOTAL_BITS  # of the class frequencies
 FULL = 1 << 40  # the coder's width stays at or above this
 LOW = FULL - 1
+ROOM_STEPS = 32  # between looks at the room for code words
 
 
 class Classes:
@@ -117,12 +119,12 @@ class _Model:
 
     def __init__(self, lanes: int, classes: Classes):
         self.lane, self.k = np.arange(lanes), len(classes.starts)
-        self.base, self.row = self.lane * SLOTS, self.lane * self.k
+        self.base, self.row, self.cells = self.lane * SLOTS, self.lane * self.k, self.lane << 2
         # A context's entry is its predicted id and, above that, the confidence.
         self.entries = [np.full(lanes * SLOTS, NONE, np.int32) for _ in range(2)]
         self.weights = [np.tile(np.array(WEIGHTS, np.int64), lanes) for _ in range(2)]
         self.before1, self.before2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.counts = np.tile(classes.weights, (lanes, 1))
+        self.counts = np.tile(classes.weights.astype(np.int32), (lanes, 1))
         self.seen: list[np.ndarray] = []
         self.step = 0
         self._frequencies()
@@ -132,11 +134,11 @@ class _Model:
             flat = (np.stack(self.seen) + self.row).ravel()
             self.counts += np.bincount(flat, minlength=self.counts.size).reshape(self.counts.shape)
             self.seen = []
-        freq = 1 + self.counts * (TOTAL - self.k) // self.counts.sum(axis=1, keepdims=True)
-        freq[:, 0] += TOTAL - freq.sum(axis=1)
+        freq = 1 + self.counts * (TOTAL - self.k) // self.counts.sum(axis=1, keepdims=True, dtype=np.int32)
+        freq[:, 0] += TOTAL - freq.sum(axis=1, dtype=np.int32)
         self.freq = freq
         # Of each class: where its share begins and, above 16 bits, how large it is.
-        self.shares = (np.cumsum(freq, axis=1) - freq + (freq << 16)).astype(np.int32).ravel()
+        self.shares = (np.cumsum(freq, axis=1, dtype=np.int32) - freq + (freq << 16)).ravel()
 
     def inverse(self) -> np.ndarray:
         """The class of each of the ``TOTAL`` places, lane by lane."""
@@ -150,7 +152,7 @@ class _Model:
         self.at = [self.base + hash2, self.base + hash1]
         e2, e1 = (t.take(i) for t, i in zip(self.entries, self.at, strict=True))
         self.sure = [e2 >> ID_BITS, e1 >> ID_BITS]
-        self.cell = [(self.lane << 2) + s for s in self.sure]
+        self.cell = [self.cells + s for s in self.sure]
         w2, w1 = (w.take(i) for w, i in zip(self.weights, self.cell, strict=True))
         self.w = [w2, w1]
         return e2 & NONE, e1 & NONE, w2, w2 + ((ONE - w2) * w1 >> 12)
@@ -160,7 +162,7 @@ class _Model:
         for k, hit in enumerate(hits):
             w = self.w[k]
             self.weights[k][self.cell[k]] = w + ((np.where(hit, ONE - LEAST, LEAST) - w) >> 4)
-            self.entries[k][self.at[k]] = ids | np.where(hit, np.minimum(self.sure[k] + 1, 3) << ID_BITS, 0)
+            self.entries[k][self.at[k]] = ids | (np.minimum(self.sure[k] + 1, 3) * hit << ID_BITS)
         self.seen.append(cls)
         self.before2 = self.before1
         self.before1 = ids.astype(np.uint32) + np.uint32(1)
@@ -174,11 +176,18 @@ def encode_blocks(ids: np.ndarray, classes: Classes) -> list[bytes]:
     lanes, steps = ids.shape
     model = _Model(lanes, classes)
     low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
-    room = steps * 3 + 5
+    # An id takes three words at most, mostly half of one; more room is made as it is needed.
+    room = steps // 2 + 3 * ROOM_STEPS + 5
     out = np.zeros(lanes * room, np.uint32)
     at = np.arange(lanes) * room
     columns = np.ascontiguousarray(ids.T).astype(np.int32)
-    for x in columns:
+    for step, x in enumerate(columns):
+        if step % ROOM_STEPS == 0 and (used := int((at - np.arange(lanes) * room).max())) + 3 * ROOM_STEPS + 5 > room:
+            more = room + steps // 4 + 3 * ROOM_STEPS
+            wider = np.zeros((lanes, more), np.uint32)
+            wider[:, : used + 1] = out.reshape(lanes, room)[:, : used + 1]
+            at += np.arange(lanes) * (more - room)
+            out, room = wider.ravel(), more
         p2, p1, a, b = model.predict()
         unit = width >> 12
         right2, right1 = p2 == x, p1 == x
@@ -243,12 +252,13 @@ def decode_blocks(blocks: list[bytes], steps: int, classes: Classes) -> np.ndarr
         hit2, hit = code < end2, code < end1
         unit = (width - end1) >> TOTAL_BITS
         c = code - end1
-        cls = inverse.take(place + np.clip(c // unit, 0, TOTAL - 1)).astype(np.int64)
+        # Below zero where a prediction was right; what comes of it then isn't used.
+        cls = inverse.take(place + np.minimum(np.maximum(c // unit, 0), TOTAL - 1)).astype(np.int64)
         share = model.shares.take(model.row + cls)
         sizes = classes.sizes.take(cls)
         part = (share >> 16) * unit // sizes
         c -= (share & 0xFFFF) * unit
-        rest = np.clip(c // part, 0, sizes - 1)
+        rest = np.minimum(np.maximum(c // part, 0), sizes - 1)
         x = np.where(hit, np.where(hit2, p2, p1), classes.ranked.take(classes.starts.take(cls) + rest)).astype(np.int32)
         code = np.where(hit, np.where(hit2, code, code - end2), c - rest * part)
         width = np.where(hit, np.where(hit2, end2, end1 - end2), part)
@@ -316,6 +326,35 @@ def read_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else d for d, z in zip(doc_ids, null.tolist(), strict=True)], counts, rows.reshape(-1)[:n]
 
 
+def segments(docs: Iterator[tuple[int | None, np.ndarray]]) -> Iterator[tuple[list, list[int], np.ndarray]]:
+    """Whole documents for one segment after another: their ids, token counts and token ids.
+
+    Each has ``BLOCK * LANES`` token ids or a document's more. The last has half to one and a half times as many, if it isn't the only one.
+    """
+    names: list = []
+    held: list[np.ndarray] = []
+    size, cut, full = 0, 0, BLOCK * LANES
+
+    def taken(n: int) -> tuple[list, list[int], np.ndarray]:
+        nonlocal size
+        some = names[:n], [len(v) for v in held[:n]], np.concatenate(held[:n])
+        del names[:n], held[:n]
+        size -= len(some[2])
+        return some
+
+    for name, v in docs:
+        names.append(name)
+        held.append(v)
+        size += len(v)
+        if not cut and size >= full:
+            cut = len(names)
+        if 2 * size >= 3 * full:
+            yield taken(cut)
+            cut = len(names) if size >= full else 0
+    if names:
+        yield taken(len(names))
+
+
 FILE = "part int, number int, first long, n_ids long, data binary"
 
 
@@ -328,33 +367,20 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         part = TaskContext.get().partitionId()
-        names: list = []
-        counts: list[int] = []
-        held: list[np.ndarray] = []
-        size, number, first = 0, 0, 0
-
-        def segment() -> pa.RecordBatch:
-            nonlocal size, number, first
-            data = pack_segment(names, counts, np.concatenate(held))
-            row = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())]
-            first, number, size = first + size, number + 1, 0
-            names.clear()
-            counts.clear()
-            held.clear()
-            return pa.RecordBatch.from_arrays(row, ["part", "number", "first", "n_ids", "data"])
-
-        for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
-                v = np.frombuffer(ids + end, "<u4")
-                check_ids(v)
-                names.append(name)
-                counts.append(len(v))
-                held.append(v)
-                size += len(v)
-                if size >= BLOCK * LANES:
-                    yield segment()
-        if names:
-            yield segment()
+        first = 0
+
+        def coded() -> Iterator[tuple[int | None, np.ndarray]]:
+            for batch in batches:
+                for name, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+                    v = np.frombuffer(ids + end, "<u4")
+                    check_ids(v)
+                    yield name, v
+
+        for number, (names, counts, ids) in enumerate(segments(coded())):
+            data = pack_segment(names, counts, ids)
+            row = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())]
+            first += len(ids)
+            yield pa.RecordBatch.from_arrays(row, ["part", "number", "first", "n_ids", "data"])
 
     rows.select("doc_id", "text").mapInArrow(run, FILE).write.option("compression", "uncompressed").parquet(path)
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_CACHED = 800_000
+MAX_CACHED = 500_000
 MARKS = string.punctuation
 JOINED = 64
 CHARS = 8_000_000  # of texts encoded at once, unless one text is longer

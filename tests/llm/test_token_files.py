@@ -41,6 +41,21 @@ def test_fewer_bits_than_zlib_on_the_same_blocks(documents):
     assert np.array_equal(token_files.read_segment(data)[2], v)
 
 
+def test_no_segment_of_a_task_has_few_lanes(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK", 8)
+    monkeypatch.setattr(token_files, "LANES", 16)
+    for sizes in ([10] * n for n in range(60)):
+        docs = [(k, np.arange(n, dtype=np.uint32) + k) for k, n in enumerate(sizes)]
+        found = list(token_files.segments(iter(docs)))
+        assert [d for names, _, _ in found for d in names] == list(range(len(sizes)))
+        assert all(counts == [10] * len(names) and len(ids) == 10 * len(names) for names, counts, ids in found)
+        assert not docs or np.array_equal(np.concatenate([ids for _, _, ids in found]), np.concatenate([v for _, v in docs]))
+        assert len(found) < 2 or all(len(ids) >= 64 for _, _, ids in found)
+        assert all(len(ids) < 192 + 10 for _, _, ids in found)
+    docs = [(None, np.arange(n, dtype=np.uint32)) for n in (1000, 1, 500, 130, 3)]
+    assert [counts for _, counts, _ in token_files.segments(iter(docs))] == [[1000], [1, 500], [130, 3]]
+
+
 def test_classes_of_very_many_ids_are_cut():
     ids = np.concatenate([np.arange(400_000), np.zeros(30_000_000, np.int64)])
     classes = token_files.Classes.count(ids)
