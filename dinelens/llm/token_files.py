@@ -57,7 +57,8 @@ ONE = 4096  # what the shares of the three orders sum to
 LEAST = 64  # of a prediction's weight, and of what lies above it
 WEIGHTS = (64, 800, 2000, 3200)  # at first, by confidence
 CLASSES = 256
-LARGEST = 1 << 15  # ids of a class, so that an id's share is never empty
+PLACE_BITS = 15
+LARGEST = 1 << PLACE_BITS  # ids of a class, so that an id's share is never empty
 PRIOR = 1024  # ids of a block that the segment's shares of the classes count for
 TOTAL_BITS = 12
 TOTAL = 1 << TOTAL_BITS  # of the class frequencies
@@ -77,6 +78,7 @@ class Classes:
         top = int(ranked.max()) + 1
         self.class_of, self.place_of = np.zeros(top, np.int64), np.zeros(top, np.int64)
         self.class_of[ranked], self.place_of[ranked] = order, place
+        self.both_of = (self.class_of << PLACE_BITS | self.place_of).astype(np.int32)
 
     @classmethod
     def count(cls, ids: np.ndarray) -> Classes:
@@ -118,12 +120,16 @@ class _Model:
     """The predictions of ``lanes`` blocks at once."""
 
     def __init__(self, lanes: int, classes: Classes):
-        self.lane, self.k = np.arange(lanes), len(classes.starts)
-        self.base, self.row, self.cells = self.lane * SLOTS, self.lane * self.k, self.lane << 2
+        self.lanes, self.k = lanes, len(classes.starts)
+        # Tables of both orders, order 2 first. Alike slots of all lanes lie together, so those in much use stay in the processor's cache.
+        lane = np.arange(lanes)
+        self.row = lane * self.k
+        self.base, self.cells = np.stack([lane, lane + SLOTS * lanes]), np.stack([lane, lane + len(WEIGHTS) * lanes])
         # A context's entry is its predicted id and, above that, the confidence.
-        self.entries = [np.full(lanes * SLOTS, NONE, np.int32) for _ in range(2)]
-        self.weights = [np.tile(np.array(WEIGHTS, np.int64), lanes) for _ in range(2)]
-        self.before1, self.before2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.entries = np.full(2 * SLOTS * lanes, NONE, np.int32)
+        self.weights = np.tile(np.repeat(np.array(WEIGHTS, np.int32), lanes), 2)  # at first by confidence
+        self.before1, self.hashed2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.hashes = np.zeros((2, lanes), np.uint32)
         self.counts = np.tile(classes.weights.astype(np.int32), (lanes, 1))
         self.seen: list[np.ndarray] = []
         self.step = 0
@@ -131,8 +137,7 @@ class _Model:
 
     def _frequencies(self) -> None:
         if self.seen:
-            flat = (np.stack(self.seen) + self.row).ravel()
-            self.counts += np.bincount(flat, minlength=self.counts.size).reshape(self.counts.shape)
+            self.counts += np.bincount(np.concatenate(self.seen), minlength=self.counts.size).reshape(self.counts.shape)
             self.seen = []
         freq = 1 + self.counts * (TOTAL - self.k) // self.counts.sum(axis=1, keepdims=True, dtype=np.int32)
         freq[:, 0] += TOTAL - freq.sum(axis=1, dtype=np.int32)
@@ -142,87 +147,122 @@ class _Model:
 
     def inverse(self) -> np.ndarray:
         """The class of each of the ``TOTAL`` places, lane by lane."""
-        return np.repeat(np.tile(np.arange(self.k, dtype=np.uint16), len(self.lane)), self.freq.ravel())
+        return np.repeat(np.tile(np.arange(self.k, dtype=np.uint8 if self.k <= 256 else np.uint16), self.lanes), self.freq.ravel())
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The two predicted ids, and the ends of their shares of ``ONE``."""
-        b1 = self.before1
-        hash2 = ((b1 * np.uint32(2246822519)) ^ (self.before2 * np.uint32(3266489917))) >> SHIFT
-        hash1 = (b1 * np.uint32(2654435761)) >> SHIFT
-        self.at = [self.base + hash2, self.base + hash1]
-        e2, e1 = (t.take(i) for t, i in zip(self.entries, self.at, strict=True))
-        self.sure = [e2 >> ID_BITS, e1 >> ID_BITS]
-        self.cell = [self.cells + s for s in self.sure]
-        w2, w1 = (w.take(i) for w, i in zip(self.weights, self.cell, strict=True))
-        self.w = [w2, w1]
-        return e2 & NONE, e1 & NONE, w2, w2 + ((ONE - w2) * w1 >> 12)
-
-    def update(self, ids: np.ndarray, cls: np.ndarray, hits: tuple[np.ndarray, np.ndarray]) -> None:
-        """``hits``: whether the order-2 and the order-1 prediction were right."""
-        for k, hit in enumerate(hits):
-            w = self.w[k]
-            self.weights[k][self.cell[k]] = w + ((np.where(hit, ONE - LEAST, LEAST) - w) >> 4)
-            self.entries[k][self.at[k]] = ids | (np.minimum(self.sure[k] + 1, 3) * hit << ID_BITS)
-        self.seen.append(cls)
-        self.before2 = self.before1
-        self.before1 = ids.astype(np.uint32) + np.uint32(1)
+        hashes = self.hashes
+        np.multiply(self.before1, np.uint32(2246822519), out=hashes[0])
+        hashes[0] ^= self.hashed2
+        np.multiply(self.before1, np.uint32(2654435761), out=hashes[1])
+        hashes >>= SHIFT
+        self.at = hashes.astype(np.int64)
+        self.at *= self.lanes
+        self.at += self.base
+        self.entry = self.entries.take(self.at)
+        self.cell = (self.entry >> ID_BITS).astype(np.int64)
+        self.cell *= self.lanes
+        self.cell += self.cells
+        self.w = self.weights.take(self.cell)
+        w2, w1 = self.w
+        return self.entry & NONE, w2.astype(np.int64), (w2 + ((ONE - w2) * w1 >> 12)).astype(np.int64)
+
+    def update(self, ids: np.ndarray, place: np.ndarray, hits: np.ndarray) -> None:
+        """``place``: of the ids' classes in all lanes' shares; ``hits``: whether the order-2 and the order-1 prediction were right."""
+        right = hits.astype(np.int32)
+        step = right * (ONE - 2 * LEAST)
+        step += LEAST
+        step -= self.w
+        step >>= 4
+        step += self.w
+        self.weights[self.cell.ravel()] = step.ravel()
+        surer = self.entry
+        surer += 1 << ID_BITS
+        np.minimum(surer, ids | 3 << ID_BITS, out=surer)
+        surer -= ids
+        surer *= right
+        surer += ids
+        self.entries[self.at.ravel()] = surer.ravel()
+        self.seen.append(place)
+        self.hashed2 = self.before1 * np.uint32(3266489917)
+        self.before1 = ids.view(np.uint32) + np.uint32(1)
         self.step += 1
         if _refreshes(self.step):
             self._frequencies()
 
 
+def turned(a: np.ndarray) -> np.ndarray:
+    """The transposed array, made by a few rows at a time, as rows of 4,096 bytes share places in a processor's cache."""
+    out = np.empty(a.shape[::-1], a.dtype)
+    for i in range(0, len(a), 8):
+        out[:, i : i + 8] = a[i : i + 8].T
+    return out
+
+
 def encode_blocks(ids: np.ndarray, classes: Classes) -> list[bytes]:
     """Code words of each row of a (lanes, steps) array of ids."""
     lanes, steps = ids.shape
     model = _Model(lanes, classes)
     low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
-    # An id takes three words at most, mostly half of one; more room is made as it is needed.
+    # Words of all lanes lie together. An id takes three at most, mostly half of one; more room is made as it is needed.
     room = steps // 2 + 3 * ROOM_STEPS + 5
     out = np.zeros(lanes * room, np.uint32)
-    at = np.arange(lanes) * room
-    columns = np.ascontiguousarray(ids.T).astype(np.int32)
-    for step, x in enumerate(columns):
-        if step % ROOM_STEPS == 0 and (used := int((at - np.arange(lanes) * room).max())) + 3 * ROOM_STEPS + 5 > room:
-            more = room + steps // 4 + 3 * ROOM_STEPS
-            wider = np.zeros((lanes, more), np.uint32)
-            wider[:, : used + 1] = out.reshape(lanes, room)[:, : used + 1]
-            at += np.arange(lanes) * (more - room)
-            out, room = wider.ravel(), more
-        p2, p1, a, b = model.predict()
-        unit = width >> 12
-        right2, right1 = p2 == x, p1 == x
+    lane = np.arange(lanes)
+    at = lane.copy()
+    for step, x in enumerate(turned(ids).view(np.int32)):
+        if step % ROOM_STEPS == 0 and int(at.max()) // lanes + 3 * ROOM_STEPS + 5 > room:
+            more = steps // 4 + 3 * ROOM_STEPS
+            out = np.concatenate([out, np.zeros(lanes * more, np.uint32)])
+            room += more
+        predicted, a, b = model.predict()
+        hits = predicted == x
+        right2, right1 = hits
         hit1 = right1 & ~right2 & (b > a)  # a share may be too small to code
         hit = right2 | hit1
+        unit = width >> 12
         end2, end1 = a * unit, b * unit
-        cls = classes.class_of.take(x)
-        share = model.shares.take(model.row + cls)
+        both = classes.both_of.take(x)
+        cls = (both >> PLACE_BITS).astype(np.int64)
+        place = model.row + cls
+        share = model.shares.take(place).astype(np.int64)
         unit = (width - end1) >> TOTAL_BITS
         part = (share >> 16) * unit // classes.sizes.take(cls)
-        low += np.where(hit, np.where(right2, 0, end2), end1 + (share & 0xFFFF) * unit + classes.place_of.take(x) * part)
-        width = np.where(hit, np.where(right2, end2, end1 - end2), part)
-        model.update(x, cls, (right2, right1))
+        share &= 0xFFFF
+        share *= unit
+        share += end1
+        share += (both & LARGEST - 1) * part
+        first, either = -right2.astype(np.int64), -hit.astype(np.int64)  # masks; a choice by them is faster than np.where
+        begin = end2 & ~first
+        low += share ^ (share ^ begin) & either
+        end1 ^= (end1 ^ end2) & first
+        end1 -= begin
+        width = part ^ (part ^ end1) & either
+        model.update(x, place, hits)
         # Words may have 17 bits; the carry is passed on at the end. A lane that
         # need not move writes its next place in vain.
         need = width < FULL
-        out[at] = low >> 40
-        low = np.where(need, (low & LOW) << 16, low)
-        width = np.where(need, width << 16, width)
-        at += need
+        out[at] = (low >> 40).astype(np.uint32)
+        need = need.astype(np.int64)
+        low &= (need - 1) | LOW
+        at += need * lanes
+        need <<= 4
+        low <<= need
+        width <<= need
         k = np.flatnonzero(width < FULL)
         while len(k):
             out[at[k]] = low[k] >> 40
             low[k] = (low[k] & LOW) << 16
             width[k] <<= 16
-            at[k] += 1
+            at[k] += lanes
             k = k[width[k] < FULL]
     # The width is at least one word's unit, so one word names a place inside it.
     out[at] = (low + LOW) >> 40
-    at += 1
-    out = out.reshape(lanes, room)
-    at -= np.arange(lanes) * room
+    at += lanes
+    out = out.reshape(room, lanes)
+    at //= lanes
     for j in range(int(at.max()) - 1, 0, -1):
-        out[:, j - 1] += out[:, j] >> 16
-    words = (out & 0xFFFF).astype(">u2")
+        out[j - 1] += out[j] >> 16
+    words = turned((out & 0xFFFF).astype(">u2"))
     # The first byte is always zero: the width began at 48 of 56 bits.
     return [words[i, : at[i]].tobytes()[1:] for i in range(lanes)]
 
@@ -234,48 +274,66 @@ def decode_blocks(blocks: list[bytes], steps: int, classes: Classes) -> np.ndarr
     words = np.zeros((lanes, room), np.uint16)
     for i, b in enumerate(blocks):
         words[i, : (len(b) + 1) // 2] = np.frombuffer(b + b"\0" * (len(b) % 2), ">u2")
+    words = turned(words)
     model = _Model(lanes, classes)
     inverse, step_of = model.inverse(), 0
-    code = (words[:, 0].astype(np.int64) << 32) | (words[:, 1].astype(np.int64) << 16) | words[:, 2]
+    code = (words[0].astype(np.int64) << 32) | (words[1].astype(np.int64) << 16) | words[2]
     width = np.full(lanes, 1 << 48, np.int64)
-    start = np.arange(lanes) * room
-    at, last = start + 3, start + room - 1
+    lane = np.arange(lanes)
+    at, last = lane + 3 * lanes, lane + (room - 1) * lanes
     words = words.ravel()
-    place = np.arange(lanes) * TOTAL
-    out = np.zeros((steps, lanes), np.uint32)
+    lane *= TOTAL
+    out = np.zeros((steps, lanes), np.int32)
     for s in range(steps):
         if model.step != step_of and _refreshes(model.step):
             inverse, step_of = model.inverse(), model.step
-        p2, p1, a, b = model.predict()
+        predicted, a, b = model.predict()
         unit = width >> 12
         end2, end1 = a * unit, b * unit
         hit2, hit = code < end2, code < end1
         unit = (width - end1) >> TOTAL_BITS
         c = code - end1
         # Below zero where a prediction was right; what comes of it then isn't used.
-        cls = inverse.take(place + np.minimum(np.maximum(c // unit, 0), TOTAL - 1)).astype(np.int64)
-        share = model.shares.take(model.row + cls)
+        cls = inverse.take(lane + np.minimum(np.maximum(c // unit, 0), TOTAL - 1)).astype(np.int64)
+        place = model.row + cls
+        share = model.shares.take(place).astype(np.int64)
         sizes = classes.sizes.take(cls)
         part = (share >> 16) * unit // sizes
-        c -= (share & 0xFFFF) * unit
+        share &= 0xFFFF
+        share *= unit
+        c -= share
         rest = np.minimum(np.maximum(c // part, 0), sizes - 1)
-        x = np.where(hit, np.where(hit2, p2, p1), classes.ranked.take(classes.starts.take(cls) + rest)).astype(np.int32)
-        code = np.where(hit, np.where(hit2, code, code - end2), c - rest * part)
-        width = np.where(hit, np.where(hit2, end2, end1 - end2), part)
+        first, either = -hit2.astype(np.int64), -hit.astype(np.int64)  # masks, as in encode_blocks
+        p2, p1 = predicted
+        x = classes.ranked.take(classes.starts.take(cls) + rest).astype(np.int32)
+        x ^= (x ^ p1 ^ (p1 ^ p2) & first.astype(np.int32)) & either.astype(np.int32)
+        begin = end2 & ~first
+        rest *= part
+        c -= rest
+        code -= begin
+        code = c ^ (c ^ code) & either
+        end1 ^= (end1 ^ end2) & first
+        end1 -= begin
+        width = part ^ (part ^ end1) & either
         # A damaged block may name an id that the segment doesn't have; its checksum tells.
-        model.update(x, classes.class_of.take(x, mode="clip"), (p2 == x, p1 == x))
+        model.update(x, model.row + (classes.both_of.take(x, mode="clip") >> PLACE_BITS), predicted == x)
         out[s] = x
         need = width < FULL
-        code = np.where(need, code << 16 | words.take(at), code)
-        width = np.where(need, width << 16, width)
-        at = np.minimum(at + need, last)
+        need = need.astype(np.int64)
+        word = words.take(at) * need
+        at += need * lanes
+        np.minimum(at, last, out=at)
+        need <<= 4
+        code <<= need
+        code |= word
+        width <<= need
         k = np.flatnonzero(width < FULL)
         while len(k):
             code[k] = code[k] << 16 | words[at[k]]
             width[k] <<= 16
-            at[k] = np.minimum(at[k] + 1, last[k])
+            at[k] = np.minimum(at[k] + lanes, last[k])
             k = k[width[k] < FULL]
-    return out.T
+    return turned(out).view(np.uint32)
 
 
 def check_ids(ids: np.ndarray) -> None:
@@ -319,7 +377,7 @@ def read_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     at += 8 * lanes
     ends = np.concatenate([[0], np.cumsum(table[0], dtype=np.int64)]) + at
     rows = decode_blocks([data[ends[i] : ends[i + 1]] for i in range(lanes)], steps, classes)
-    rows = np.ascontiguousarray(rows).astype("<u4")
+    rows = rows.astype("<u4")
     for i in range(lanes):
         if zlib.crc32(rows[i].tobytes()) != table[1, i]:
             raise ValueError(f"checksum of block {i} differs")

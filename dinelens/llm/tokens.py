@@ -13,10 +13,14 @@ a whole.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
+import re
 import string
 from array import array
+from bisect import bisect_left
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,13 @@ SAMPLE = string.ascii_letters + "\u00df\u00e9\u00c0\u0160"
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 # How a byte-level vocabulary writes each byte.
 BYTES = {b: chr(b) for b in PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
+# The same for bytes of words with line breaks between.
+WRITTEN = "".join("\n" if b == 10 else BYTES[b] for b in range(256))
+LETTERS = [c for c in map(chr, range(ord(LATIN))) if c.isalpha()]
+# Those that lower case, Python's and Arrow's, keeps single letters.
+ALONE = "".join(c for c, low in zip(LETTERS, pc.utf8_lower(pa.array(LETTERS)).to_pylist(), strict=True) if c.lower() == low and len(low) == 1 and low.isalpha())
+ALL_ALONE = re.compile(f"[{ALONE}]+").fullmatch
+ID_OF = attrgetter("id")
 _OPEN: dict[str, Encoder] = {}
 
 
@@ -47,6 +58,24 @@ def encoder(path: str) -> Encoder:
     return _OPEN[path]
 
 
+def laid(ids: np.ndarray, size: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """These parts of ``ids`` one after another, and where each begins, with the end."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    kind = np.int32 if ends[-1] + len(ids) < 1 << 31 else np.int64
+    at = np.repeat((start - ends[:-1]).astype(kind), size)
+    at += np.arange(ends[-1], dtype=kind)
+    return ids[at], ends
+
+
+def listed(words: pa.LargeStringArray) -> list[str]:
+    """As ``to_pylist``, many times faster."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def paired(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return np.stack([one, two], axis=1).ravel()
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core already
@@ -70,7 +99,10 @@ class Encoder:
         self.tokenize = self.library.model.tokenize
         self.direct = known and own and (self.bytewise or self.wordwise)
         self.direct = self.direct and len(self.library.pre_tokenizer.pre_tokenize_str(SAMPLE)) == 1
-        self.direct = self.direct and all(self._model_ids(w, "") == self.whole([w])[0] for w in (SAMPLE, *SAMPLE))
+        if self.direct:
+            number, size, ids = self._by_model([SAMPLE, *SAMPLE], "")
+            each = np.split(ids, np.cumsum(size)[:-1])
+            self.direct = [each[n].tobytes() for n in number] == self.whole([SAMPLE, *SAMPLE])
         self.line_break = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -97,90 +129,120 @@ class Encoder:
         self.size, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.odd, self.flat = np.zeros(0, bool), np.zeros(0, np.uint32)
 
-    def _laid(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these words one after another, and where each word's begin, with the end."""
-        each = self.size[numbers]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        kind = np.int32 if ends[-1] + len(self.flat) < 1 << 31 else np.int64
-        at = np.repeat((self.start[numbers] - ends[:-1]).astype(kind), each)
-        at += np.arange(ends[-1], dtype=kind)
-        return self.flat[at], ends
+    def _added(self, size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Put ids of so many each into ``flat``; how many, and where they begin there."""
+        start = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, ids])
+        return size, start
+
+    def _bytes_added(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self._added(np.array([len(x) // 4 for x in found], np.int64), np.frombuffer(b"".join(found), "<u4"))
 
-    def _model_ids(self, word: str, lead: str) -> bytes:
+    def _pairs_added(self, one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and starts of the ids of each first with those of its second behind."""
+        ids, ends = laid(self.flat, *map(paired, one, two))
+        return self._added(np.diff(ends[::2]), ids)
+
+    def _by_model(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words of Latin letters: the number of each among the distinct ones as the model reads them; those ones' counts of ids, and their ids."""
+        text = "\n".join(words)
         if self.lower:
-            word = word.lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(BYTES)
-        return array("I", [t.id for t in self.tokenize(lead + word)]).tobytes()
-
-    def _plain(self, words: list[str], before: str) -> dict[str, bytes | None]:
-        """Ids of each word behind ``before``, a space or nothing; None if white space at its ends would join others."""
-        found: dict[str, bytes | None] = {}
-        letters, rest, lead = [], [], BYTES[32] if before else ""
+            text = text.lower()
+        if not text.isascii():
+            text = codecs.charmap_decode(text.encode(), "strict", WRITTEN)[0]
+        written = text.split("\n")
+        distinct = dict.fromkeys(written)
+        tokenize, ids, ends = self.tokenize, array("I"), [0]
+        for w in distinct:
+            ids.extend(map(ID_OF, tokenize(lead + w)))
+            ends.append(len(ids))
+        if len(distinct) < len(written):
+            number = dict(zip(distinct, range(len(distinct)), strict=True))
+            return np.array([number[w] for w in written]), np.diff(ends), np.frombuffer(ids, np.uint32)
+        return np.arange(len(written)), np.diff(ends), np.frombuffer(ids, np.uint32)
+
+    def _model_added(self, words: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
+        number, size, ids = self._by_model(words, BYTES[32] if before else "")
+        size, start = self._added(size, ids)
+        return size[number], start[number]
+
+    def _plain(self, words: list[str], before: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words, in another order, with sizes and starts of their ids behind ``before``, a space or nothing."""
+        direct, letters, rest = [], [], []
         for w in words:
             if not w.isalpha():
                 rest.append(w)
-            elif self.direct and (w.isascii() or max(w) < LATIN and w.lower().isalpha()):
-                found[w] = self._model_ids(w, lead)
+            elif self.direct and (w.isascii() or ALL_ALONE(w)):
+                direct.append(w)
             else:
                 letters.append(w)
+        parts = []
+        if direct:
+            parts.append(self._model_added(direct, before))
         if before or self.wordwise:
-            found.update(zip(letters, self._joined(letters, before), strict=True))
+            parts.append(self._bytes_added(self._joined(letters, before)))
         else:
-            rest += letters
-        for w, ids in zip(rest, self.whole([before + w for w in rest]), strict=True):
-            unsafe = self.bytewise and (not w or w[0].isspace() or w[-1].isspace())
-            found[w] = None if unsafe else ids
-        return found
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode and remember new words."""
+            parts.append(self._bytes_added(self.whole(letters)))
+        parts.append(self._bytes_added(self.whole([before + w for w in rest])))
+        size, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return direct + letters + rest, size, start
+
+    def _learn(self, latin: list[str], words: list[str]) -> None:
+        """Encode and remember new words; the former are of Latin letters that reach the model as they are."""
+        if latin:
+            self._remember(latin, *self._model_added(latin, " " if self.bytewise else ""), np.zeros(len(latin), bool))
+        if not words:
+            return
         # Letters with marks behind. The last letter must still be one in lower case, or the two may join.
-        marked: list[tuple[str, str]] = []
+        marked, stems, tails = [], [], []
         plain: set[str] = set()
         for w in words:
-            stem = w.rstrip(MARKS)
-            if len(stem) < len(w) and stem.lstrip("\n").isalpha() and stem[-1].lower().isalpha():
-                marked.append((stem, w[len(stem) :]))
-            else:
-                plain.add(w)
-        stems = {s for s, _ in marked}
-        plain |= stems.difference(self.cache)
-        found: dict[str, bytes | None] = {}
+            if not w.isalpha():
+                stem = w.rstrip(MARKS)
+                if len(stem) < len(w) and stem.lstrip("\n").isalpha() and stem[-1].lower().isalpha():
+                    marked.append(w)
+                    stems.append(stem)
+                    tails.append(w[len(stem) :])
+                    continue
+            plain.add(w)
+        plain.update(s for s in stems if s not in self.cache)
         if self.bytewise:
             first = [w for w in plain if w[:1] == "\n"]
-            ids_of = self._plain([w[1:] for w in first], "")
-            for w in first:
-                ids = ids_of[w[1:]]
-                found[w] = ids if ids is None else self.line_break + ids
             plain.difference_update(first)
-        found |= self._plain(list(plain), " " if self.bytewise else "")
-        known = list(stems.difference(found))
-        ids, ends = self._laid(np.array([self.cache[w] for w in known], np.int64))
-        ids_of = {w: ids[a:b].tobytes() for w, a, b in zip(known, ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
-        tails = list({t for _, t in marked})
-        ids_of_tail = dict(zip(tails, self.whole(tails), strict=True))
-        for stem, tail in marked:
-            found[stem + tail] = (found[stem] if stem in found else ids_of[stem]) + ids_of_tail[tail]
-        self._remember(list(found), list(found.values()))
-
-    def _remember(self, words: list[str], ids: list[bytes | None]) -> None:
-        size = np.array([len(x or b"") // 4 for x in ids], np.int64)
+            found, size, start = self._plain([w[1:] for w in first], "")
+            n = len(found)
+            at = self._bytes_added([self.line_break])
+            both = self._pairs_added((np.repeat(at[0], n), np.repeat(at[1], n)), (size, start))
+            self._remember(["\n" + w for w in found], *both, self._unsafe(found))
+        found, size, start = self._plain(list(plain), " " if self.bytewise else "")
+        self._remember(found, size, start, self._unsafe(found))
+        if marked:
+            number = [self.cache[s] for s in stems]
+            kinds = {t: i for i, t in enumerate(dict.fromkeys(tails))}
+            size, start = self._bytes_added(self.whole(list(kinds)))
+            kind = [kinds[t] for t in tails]
+            both = self._pairs_added((self.size[number], self.start[number]), (size[kind], start[kind]))
+            self._remember(marked, *both, np.zeros(len(marked), bool))
+
+    def _unsafe(self, words: list[str]) -> np.ndarray:
+        """Words of a byte-level vocabulary whose white space at the ends would join other."""
+        return np.array([self.bytewise and (not w or w[0].isspace() or w[-1].isspace()) for w in words], bool)
+
+    def _remember(self, words: list[str], size: np.ndarray, start: np.ndarray, odd: np.ndarray) -> None:
         self.cache.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.odd = np.concatenate([self.odd, np.array([x is None for x in ids], bool)])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(x for x in ids if x), "<u4")])
+        self.size, self.start = np.concatenate([self.size, size]), np.concatenate([self.start, start])
+        self.odd = np.concatenate([self.odd, odd])
 
     def _keep(self, words: list[str]) -> None:
         """Forget all words but these."""
         numbers = np.array([self.cache[w] for w in words], np.int64)
-        flat, ends = self._laid(numbers)
+        flat, ends = laid(self.flat, self.size[numbers], self.start[numbers])
         self.size, self.odd = self.size[numbers], self.odd[numbers]
         self.start, self.flat = ends[:-1], flat
         self.cache = dict(zip(words, range(len(words)), strict=True))
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
+    def _numbers(self, latin: list[str], rest: list[str]) -> np.ndarray:
+        words = latin + rest
         found = list(map(self.cache.get, words))
         new = [i for i, n in enumerate(found) if n is None]
         if not new:
@@ -188,11 +250,43 @@ class Encoder:
         if len(self.cache) + len(new) > MAX_CACHED:  # the words of these texts are likely in the next
             self._keep([w for w, n in zip(words, found, strict=True) if n is not None])
             found = list(map(self.cache.get, words))
-        self._learn([words[i] for i in new])
-        for i in new:
-            found[i] = self.cache[words[i]]
+        some = [words[i] for i in new]
+        n = bisect_left(new, len(latin))
+        self._learn(some[:n], some[n:])
+        for i, number in zip(new, map(self.cache.get, some), strict=True):
+            found[i] = number
         return np.array(found, np.int64)
 
+    def _distinct(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct words one after another, where each word's begin, with the end, and which can't be used.
+
+        Of Latin letters with marks behind, only the letters are remembered, in lower case if the model reads them so.
+        """
+        if not self.direct:
+            number = self._numbers([], listed(words))
+            return *laid(self.flat, self.size[number], self.start[number]), self.odd[number]
+        stems = pc.utf8_rtrim(words, characters=MARKS)
+        latin = pc.match_substring_regex(stems, f"^[{ALONE}]+$")
+        known = latin.to_numpy(zero_copy_only=False)
+        coded = stems.filter(latin)
+        coded = (pc.utf8_lower(coded) if self.lower else coded).dictionary_encode()
+        number = self._numbers(listed(coded.dictionary), listed(words.filter(pc.invert(latin))))
+        of = np.empty(len(words), np.int64)
+        of[known] = number[: len(coded.dictionary)][coded.indices.to_numpy()]
+        of[~known] = number[len(coded.dictionary) :]
+        marked = pc.and_(latin, pc.not_equal(stems, words))
+        tails = [w[n:] for w, n in zip(listed(words.filter(marked)), pc.utf8_length(stems.filter(marked)).to_numpy().tolist(), strict=True)]
+        kinds = {t: i for i, t in enumerate(dict.fromkeys(tails))}
+        found = self.whole(list(kinds))
+        each = np.array([len(x) // 4 for x in found], np.int64)
+        kind = np.array([kinds[t] for t in tails], np.int64)
+        size, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        at = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        size[at], start[at] = each[kind], (len(self.flat) + np.cumsum(each) - each)[kind]
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), "<u4")])
+        ids, ends = laid(flat, paired(self.size[of], size), paired(self.start[of], start))
+        return ids, ends[::2], self.odd[of]
+
     def encode(self, texts: list[str], at_once: int = 1024) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
         if not (self.bytewise or self.wordwise):
@@ -214,14 +308,15 @@ class Encoder:
         else:  # other white space than ASCII's stays in a word, for the library to part
             cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         coded = cut.flatten().dictionary_encode()
-        number = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
-        ids, ends = self._laid(number)
+        number = coded.indices.to_numpy()
+        ids, ends, odd = self._distinct(coded.dictionary)
+        ids, ends = laid(ids, np.diff(ends)[number], ends[number])
         bounds = cut.offsets.to_numpy()
         at = 4 * ends[bounds]
         starts = at[:-1] + 4 * self.bytewise  # without the line break before the text
         raw = memoryview(ids).cast("B")
         out = [bytes(raw[a:b]) for a, b in zip(starts.tolist(), at[1:].tolist(), strict=True)]
-        odd = self.odd[number]
+        odd = odd[number]
         if odd.any():  # white space that belongs to no word
             rest = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(odd)])[bounds])).tolist()
             for i, whole in zip(rest, self.whole([texts[i] for i in rest]), strict=True):

@@ -65,6 +65,31 @@ def test_classes_of_very_many_ids_are_cut():
         assert np.array_equal(getattr(back, name), getattr(classes, name))
 
 
+def test_more_classes_than_a_byte_counts_and_much_room(monkeypatch):
+    monkeypatch.setattr(token_files, "CLASSES", 400)
+    monkeypatch.setattr(token_files, "ROOM_STEPS", 1)
+    v = np.random.default_rng(1).permutation(np.arange(60_000) % 20_000).astype(np.uint32) * 50
+    assert len(token_files.Classes.count(v).starts) > 256
+    assert np.array_equal(token_files.read_segment(token_files.pack_segment([1], [len(v)], v))[2], v)
+
+
+def test_words_alike_but_for_case_and_marks_are_encoded_once():
+    """Each form of a word, and each with marks behind, was remembered and encoded apart."""
+    enc = tokens.Encoder(tokens.public_path("word_bpe_49k.json"))
+    texts = ["a Straße, straße? a STRASSE", "Straße... Straße), strasse! A Straße;"]
+    assert enc.encode(texts) == enc.whole(texts)
+    assert set(enc.cache) == {"a", "straße", "strasse"}
+
+
+def test_the_same_ids_as_the_library_for_letters_of_all_kinds():
+    letters = [chr(c) for c in [*range(33, 1500), 0x1E96, 0x1E9E, 0x2126, 0x212A, 0xFB01, 0x10400]]
+    texts = ["", " ", "a", "n'\u0303, \u0130. \u01c5x! x\u0308? H\u0331; \u039f\u03a3, \u00b5\u00aa.", "he's HE'LL, it's. don't!"]
+    texts += [" ".join(before + c + behind for c in letters) for before in ("", "x", "X") for behind in ("", "y", "Y", ",", "..)")]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        enc = tokens.Encoder(tokens.public_path(name))
+        assert enc.encode(texts) == enc.whole(texts)
+
+
 def test_the_largest_id_is_refused():
     token_files.check_ids(np.array([0, token_files.NONE - 1], np.uint32))
     with pytest.raises(ValueError, match="does not fit"):
