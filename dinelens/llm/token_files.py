@@ -64,6 +64,7 @@ TOTAL_BITS = 12
 TOTAL = 1 << TOTAL_BITS  # of the class frequencies
 FULL = 1 << 40  # the coder's width stays at or above this
 LOW = FULL - 1
+WORDS = 800_000  # remembered by a worker's encoder
 ROOM_STEPS = 32  # between looks at the room for code words
 
 
@@ -423,7 +424,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, WORDS)
         part = TaskContext.get().partitionId()
         first = 0
 

@@ -19,7 +19,7 @@ import os
 import re
 import string
 from array import array
-from bisect import bisect_left
+from itertools import repeat
 from operator import attrgetter
 
 import numpy as np
@@ -51,10 +51,11 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary file, one per Python worker."""
+def encoder(path: str, most: int | None = None) -> Encoder:
+    """The encoder of a vocabulary file, one per Python worker; it remembers ``most`` words, else ``MAX_CACHED``."""
     if path not in _OPEN:
         _OPEN[path] = Encoder(path)
+    _OPEN[path].most = most
     return _OPEN[path]
 
 
@@ -78,6 +79,7 @@ def paired(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 class Encoder:
     def __init__(self, path: str):
+        self.most: int | None = None
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core already
         from tokenizers import Tokenizer
 
@@ -100,9 +102,8 @@ class Encoder:
         self.direct = known and own and (self.bytewise or self.wordwise)
         self.direct = self.direct and len(self.library.pre_tokenizer.pre_tokenize_str(SAMPLE)) == 1
         if self.direct:
-            number, size, ids = self._by_model([SAMPLE, *SAMPLE], "")
-            each = np.split(ids, np.cumsum(size)[:-1])
-            self.direct = [each[n].tobytes() for n in number] == self.whole([SAMPLE, *SAMPLE])
+            size, ids = self._by_model([SAMPLE, *SAMPLE], "")
+            self.direct = [v.tobytes() for v in np.split(ids, np.cumsum(size)[:-1])] == self.whole([SAMPLE, *SAMPLE])
         self.line_break = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -143,28 +144,18 @@ class Encoder:
         ids, ends = laid(self.flat, *map(paired, one, two))
         return self._added(np.diff(ends[::2]), ids)
 
-    def _by_model(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of words of Latin letters: the number of each among the distinct ones as the model reads them; those ones' counts of ids, and their ids."""
+    def _by_model(self, words: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
+        """Of words of Latin letters: how many ids each has, and all their ids."""
         text = "\n".join(words)
         if self.lower:
             text = text.lower()
         if not text.isascii():
             text = codecs.charmap_decode(text.encode(), "strict", WRITTEN)[0]
-        written = text.split("\n")
-        distinct = dict.fromkeys(written)
-        tokenize, ids, ends = self.tokenize, array("I"), [0]
-        for w in distinct:
+        tokenize, ids, ends, lead = self.tokenize, array("I"), [0], BYTES[32] if before else ""
+        for w in text.split("\n"):
             ids.extend(map(ID_OF, tokenize(lead + w)))
             ends.append(len(ids))
-        if len(distinct) < len(written):
-            number = dict(zip(distinct, range(len(distinct)), strict=True))
-            return np.array([number[w] for w in written]), np.diff(ends), np.frombuffer(ids, np.uint32)
-        return np.arange(len(written)), np.diff(ends), np.frombuffer(ids, np.uint32)
-
-    def _model_added(self, words: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
-        number, size, ids = self._by_model(words, BYTES[32] if before else "")
-        size, start = self._added(size, ids)
-        return size[number], start[number]
+        return np.diff(ends), np.frombuffer(ids, np.uint32)
 
     def _plain(self, words: list[str], before: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The words, in another order, with sizes and starts of their ids behind ``before``, a space or nothing."""
@@ -178,7 +169,7 @@ class Encoder:
                 letters.append(w)
         parts = []
         if direct:
-            parts.append(self._model_added(direct, before))
+            parts.append(self._added(*self._by_model(direct, before)))
         if before or self.wordwise:
             parts.append(self._bytes_added(self._joined(letters, before)))
         else:
@@ -190,7 +181,7 @@ class Encoder:
     def _learn(self, latin: list[str], words: list[str]) -> None:
         """Encode and remember new words; the former are of Latin letters that reach the model as they are."""
         if latin:
-            self._remember(latin, *self._model_added(latin, " " if self.bytewise else ""), np.zeros(len(latin), bool))
+            self._remember(latin, *self._added(*self._by_model(latin, " " if self.bytewise else "")), np.zeros(len(latin), bool))
         if not words:
             return
         # Letters with marks behind. The last letter must still be one in lower case, or the two may join.
@@ -243,19 +234,23 @@ class Encoder:
 
     def _numbers(self, latin: list[str], rest: list[str]) -> np.ndarray:
         words = latin + rest
-        found = list(map(self.cache.get, words))
-        new = [i for i, n in enumerate(found) if n is None]
-        if not new:
-            return np.array(found, np.int64)
-        if len(self.cache) + len(new) > MAX_CACHED:  # the words of these texts are likely in the next
-            self._keep([w for w, n in zip(words, found, strict=True) if n is not None])
-            found = list(map(self.cache.get, words))
-        some = [words[i] for i in new]
-        n = bisect_left(new, len(latin))
-        self._learn(some[:n], some[n:])
-        for i, number in zip(new, map(self.cache.get, some), strict=True):
-            found[i] = number
-        return np.array(found, np.int64)
+
+        def known(some: list[str]) -> np.ndarray:
+            return np.fromiter(map(self.cache.get, some, repeat(-1)), np.int64, len(some))
+
+        found = known(words)
+        new = np.flatnonzero(found < 0)
+        if not len(new):
+            return found
+        if len(self.cache) + len(new) > (self.most or MAX_CACHED):  # the words of these texts are likely in the next
+            self._keep([words[i] for i in np.flatnonzero(found >= 0).tolist()])
+            found = known(words)
+        n, first = int(np.searchsorted(new, len(latin))), len(self.size)
+        others = [words[i] for i in new[n:].tolist()]
+        self._learn([words[i] for i in new[:n].tolist()], others)
+        found[new[:n]] = np.arange(first, first + n)  # they are numbered as they come
+        found[new[n:]] = known(others)
+        return found
 
     def _distinct(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of distinct words one after another, where each word's begin, with the end, and which can't be used.
