@@ -10,8 +10,8 @@ classes of about 1/256 of all counts, so ids of a class are about equally
 frequent. The segment's header lists the ids of each class. A block starts from
 the segment's shares of the classes and adapts them to its own ids; within a
 class all ids get the same share. Order-1 and order-2: a context (the one or two
-ids before) predicts one id with a confidence; these tables start empty in each
-block. Adaptive weights per confidence mix the three. All arithmetic is on
+ids before) predicts one id with a confidence; their table starts empty in each
+block, and a slot of it has both orders' cells of an id side by side. Adaptive weights per confidence mix the three. All arithmetic is on
 integers, so writer and reader agree on any machine. A range coder with 56-bit
 state and 16-bit output codes the result. The blocks of a segment are coded in
 lock-step, one numpy lane per block; a step's calls cost much the same for few
@@ -44,13 +44,14 @@ from pyspark.sql import Window as W
 from dinelens.llm.common import materialise, shared_folder, text_or_empty
 from dinelens.llm.tokens import encoder
 
-MAGIC = b"TID2"
+MAGIC = b"TID3"
 HEAD = "<4sIQIIII"
 BLOCK = 1024
 LANES = 3072  # of a segment; its last may have half as many more, so that few lanes are rare
-SLOT_BITS = 10  # of a context table
+SLOT_BITS = 9  # of the context table
 SLOTS = 1 << SLOT_BITS
 SHIFT = np.uint32(32 - SLOT_BITS)  # takes a 32-bit hash to a slot
+CELL_BITS = 2  # a slot has a cell for the id before, the others are for that id and the one before it
 ID_BITS = 20
 NONE = (1 << ID_BITS) - 1
 ONE = 4096  # what the shares of the three orders sum to
@@ -122,12 +123,11 @@ class _Model:
 
     def __init__(self, lanes: int, classes: Classes):
         self.lanes, self.k = lanes, len(classes.starts)
-        # Tables of both orders, order 2 first. Alike slots of all lanes lie together, so those in much use stay in the processor's cache.
-        lane = np.arange(lanes)
-        self.row = lane * self.k
-        self.base, self.cells = np.stack([lane, lane + SLOTS * lanes]), np.stack([lane, lane + len(WEIGHTS) * lanes])
+        # Of both orders, order 2 first. Alike slots of all lanes lie together, so those in much use stay in the processor's cache.
+        self.lane = np.arange(lanes)
+        self.row, self.cells = self.lane * self.k, np.stack([self.lane, self.lane + len(WEIGHTS) * lanes])
         # A context's entry is its predicted id and, above that, the confidence.
-        self.entries = np.full(2 * SLOTS * lanes, NONE, np.int32)
+        self.entries = np.full((SLOTS << CELL_BITS) * lanes, NONE, np.int32)
         self.weights = np.tile(np.repeat(np.array(WEIGHTS, np.int32), lanes), 2)  # at first by confidence
         self.before1, self.hashed2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.hashes = np.zeros((2, lanes), np.uint32)
@@ -156,10 +156,16 @@ class _Model:
         np.multiply(self.before1, np.uint32(2246822519), out=hashes[0])
         hashes[0] ^= self.hashed2
         np.multiply(self.before1, np.uint32(2654435761), out=hashes[1])
-        hashes >>= SHIFT
-        self.at = hashes.astype(np.int64)
-        self.at *= self.lanes
-        self.at += self.base
+        hashes[0] >>= 16
+        hashes[0] *= (1 << CELL_BITS) - 1
+        hashes[0] >>= 16
+        hashes[1] >>= SHIFT
+        self.at = at = hashes.astype(np.int64)
+        at[1] *= self.lanes
+        at[1] += self.lane
+        at[1] <<= CELL_BITS
+        at[0] += at[1]
+        at[0] += 1
         self.entry = self.entries.take(self.at)
         self.cell = (self.entry >> ID_BITS).astype(np.int64)
         self.cell *= self.lanes
